@@ -11,14 +11,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.common import scratch_path
+    from tidemark.llm.token_store import read_documents, write_tokens
+    from tidemark.llm.tokens import default_tokenizer
+
+    path = scratch_path(spark, "token-store")
+    write_tokens(_table(spark, sf_dir, "documents"), path, default_tokenizer(), end_id=2)
+    return read_documents(spark, path, digest_only=True)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.simhash_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.packing import pack
+    from tidemark.llm.tokens import default_tokenizer
+
+    return pack(_table(spark, sf_dir, "documents"), default_tokenizer(), capacity=4096, end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_token_store": op5_token_store,
     "op6_simhash": op6_simhash,
+    "op7_packing": op7_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 
@@ -19,7 +18,7 @@ class WordTokenizer:
     separators or the start of a special token go through the library whole, as do all texts otherwise.
     """
 
-    def __init__(self, path: str, white_space_splits: bool = True, limit: int = 600_000):
+    def __init__(self, path: str, white_space_splits: bool = True, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
@@ -31,24 +30,35 @@ class WordTokenizer:
             part = words[at : at + 2000]
             found = self.encode(" ".join(part), add_special_tokens=False)
             starts = np.cumsum([0] + [len(w) + 1 for w in part])
-            ids = found.ids
+            ids = np.array(found.ids, "<u4")
             begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(begins, starts).tolist()
+            cuts, ids = (4 * np.searchsorted(begins, starts)).tolist(), ids.tobytes()
             for w, a, b in zip(part, cuts, cuts[1:], strict=False):
                 self.known[w] = ids[a:b]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text, without special tokens."""
-        split = [self._words(t) for t in texts]
-        new = {w for words in split if words for w in words if w not in self.known}
+        get, out, new, open_ = self.known.get, [], {}, []
+        for t in texts:
+            words = self._words(t)
+            if words is None:
+                out.append([np.array(self.encode(t, add_special_tokens=False).ids, "<u4").tobytes()])
+                continue
+            found = list(map(get, words))
+            if None in found:
+                gaps = [(i, words[i]) for i, x in enumerate(found) if x is None]
+                new.update(dict.fromkeys(w for _, w in gaps))
+                open_.append((found, gaps))
+            out.append(found)
         if new:
             self._learn(list(new))
-        known = self.known.__getitem__
-        out = [np.fromiter(chain.from_iterable(map(known, words)), np.uint32) if words is not None else np.array(self.encode(t, add_special_tokens=False).ids, np.uint32) for t, words in zip(texts, split, strict=True)]
-        if len(self.known) > self.limit:  # the words met first stay, being the common ones
-            for w in new:
-                del self.known[w]
-        return out
+            for found, gaps in open_:
+                for i, w in gaps:
+                    found[i] = self.known[w]
+            if len(self.known) > self.limit:  # the words met first stay, being the common ones
+                for w in new:
+                    del self.known[w]
+        return [np.frombuffer(b"".join(x), "<u4") for x in out]
 
     def _words(self, text: str) -> list[str] | None:
         if not self.split or _ODD.search(text):
