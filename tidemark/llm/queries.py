@@ -11,6 +11,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.common import fold
+    from tidemark.llm.language_id import identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    return identify(docs, train(docs.where(~held_out)), "doc_id", held_out.alias("held_out"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.common import scratch_path
     from tidemark.llm.token_store import read_documents, write_tokens
@@ -41,6 +50,7 @@ def op10_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op5_token_store": op5_token_store,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
