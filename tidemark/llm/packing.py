@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import written
-from tidemark.llm.tokens import WordTokenizer
+from tidemark.llm.tokens import word_tokenizer
 
 
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -114,7 +114,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     they exceed the capacity; part and local_rank count the pieces of a length within a task's output."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, seen = WordTokenizer(tokenizer, white_space_splits), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        words, part, seen = word_tokenizer(tokenizer, white_space_splits), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 rows: list[list] = [[] for _ in range(6)]

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import partitions
 from tidemark.llm.dac import Levels
-from tidemark.llm.tokens import WordTokenizer
+from tidemark.llm.tokens import word_tokenizer
 
 _STREAMS = ("chunks", "bitmaps", "ranks")
 
@@ -40,7 +40,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, chunk_
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, seq = WordTokenizer(tokenizer, white_space_splits), TaskContext.get().partitionId(), 0
+        words, part, seq = word_tokenizer(tokenizer, white_space_splits), TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         names: list = []
         size = 0

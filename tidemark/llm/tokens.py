@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class WordTokenizer:
@@ -18,7 +15,7 @@ class WordTokenizer:
     separators or the start of a special token go through the library whole, as do all texts otherwise.
     """
 
-    def __init__(self, path: str, white_space_splits: bool = True, limit: int = 1_000_000):
+    def __init__(self, path: str, white_space_splits: bool = True, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
@@ -61,9 +58,23 @@ class WordTokenizer:
         return [np.frombuffer(b"".join(x), "<u4") for x in out]
 
     def _words(self, text: str) -> list[str] | None:
-        if not self.split or _ODD.search(text):
+        if not self.split or any(x in text for x in _ODD):
             return None
-        return _WORDS.findall(text.lower()) if text.isascii() else text.split()
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return text.lower().split()  # up to U+00FF, case folding and composition change nothing else
+
+
+_held: dict[tuple[str, bool], WordTokenizer] = {}
+
+
+def word_tokenizer(path: str, white_space_splits: bool = True) -> WordTokenizer:
+    """The worker's own tokenizer for a file: what it has learnt serves its later tasks too."""
+    if (path, white_space_splits) not in _held:
+        _held[path, white_space_splits] = WordTokenizer(path, white_space_splits)
+    return _held[path, white_space_splits]
 
 
 def default_tokenizer() -> str:
