@@ -20,6 +20,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs.where(~held_out)), "doc_id", held_out.alias("held_out"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.common import fold
+    from tidemark.llm.toxicity import labelled, score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 5) == 0
+    return score(docs, train(labelled(docs, _table(spark, sf_dir, "labels")).where(~held_out)), "doc_id", held_out.alias("held_out"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.common import scratch_path
     from tidemark.llm.token_store import read_documents, write_tokens
@@ -51,6 +60,7 @@ def op10_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
     "op5_token_store": op5_token_store,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
