@@ -52,6 +52,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), default_tokenizer(), capacity=4096, end_id=1)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.ball_tree import top_k
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_store": op5_token_store,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
+    "op8_decontamination": op8_decontamination,
     "op10_ball_tree": op10_ball_tree,
 }
 
