@@ -35,6 +35,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(labelled(docs, _table(spark, sf_dir, "labels")).where(~held_out)), "doc_id", held_out.alias("held_out"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secret_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents")).drop("text_hash", "value")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.common import scratch_path
     from tidemark.llm.token_store import read_documents, write_tokens
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
+    "op4_secret_scan": op4_secret_scan,
     "op5_token_store": op5_token_store,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
