@@ -70,6 +70,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.interpolated_lm import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op10_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.ball_tree import top_k
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_interpolated_lm": op9_interpolated_lm,
     "op10_ball_tree": op10_ball_tree,
 }
 
