@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import written
+from tidemark.llm.decontaminate import drop_contaminated
+from tidemark.llm.packing import pack
+from tidemark.llm.secret_scan import redact
 from tidemark.llm.simhash_dedup import keep_one_each
+from tidemark.llm.tokens import default_tokenizer
+from tidemark.llm.toxicity import drop_toxic, labelled, train
+
+
+def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity of 0.5 or more go. The model learns from all labelled documents."""
+    model = train(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +26,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return keep_one_each(docs)
 
 
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item, exact or edited, go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, as token pieces placed in training sequences of 4096."""
+    return pack(docs, default_tokenizer(), capacity=4096, end_id=1)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic_documents),
     ("simhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_copies),
+    ("secret scans", redact_secrets),
+    ("best-fit packing", pack_sequences),
 ]
 
 #: Learned models and fuzzy alignment decide here, which SQL cannot express; tests compare with brute force.
