@@ -19,36 +19,34 @@ def count_if(test: Column) -> Column:
     return F.count_if(F.coalesce(test, F.lit(False)))
 
 
-def latency_edge(ms: Column) -> Column:
-    """The first edge that a duration does not exceed; null stays null."""
-    out = None
-    for edge in LATENCY_EDGES[:-1]:
-        out = F.when(ms <= edge, edge) if out is None else out.when(ms <= edge, edge)
-    return out.when(ms.isNotNull(), LATENCY_EDGES[-1])
+def latency_edge(ms: str = "request_time_ms") -> str:
+    """SQL of the first edge that a duration does not exceed; null stays null."""
+    return f"CASE {' '.join(f'WHEN {ms} <= {e} THEN {e}' for e in LATENCY_EDGES[:-1])} WHEN {ms} IS NOT NULL THEN {LATENCY_EDGES[-1]} END"
 
 
-def _status(n: int) -> Column:
-    return count_if(F.col("status").between(100 * n, 100 * n + 99))
+def _status(n: int) -> str:
+    return f"count_if(coalesce(status BETWEEN {n}00 AND {n}99, false))"
 
 
-_REQUESTS = {"requests": F.count("*")}
+# measures are SQL text, as they are declared before there is a session
+_REQUESTS = {"requests": "count(*)"}
 _ERRORS = {"status_4xx": _status(4), "status_5xx": _status(5)}
-_SEEN = {"first_seen": F.min("ts"), "last_seen": F.max("ts")}
-_BYTES = {"bytes_sent": F.coalesce(F.sum("bytes_sent"), F.lit(0))}
-_TIMES = {"request_time_count": F.count("request_time_ms"), "request_time_sum_ms": F.coalesce(F.sum("request_time_ms"), F.lit(0))}
-_SLOW = {"slow_requests": count_if(F.col("request_time_ms") >= 1000)}
+_SEEN = {"first_seen": "min(ts)", "last_seen": "max(ts)"}
+_BYTES = {"bytes_sent": "coalesce(sum(bytes_sent), 0)"}
+_TIMES = {"request_time_count": "count(request_time_ms)", "request_time_sum_ms": "coalesce(sum(request_time_ms), 0)"}
+_SLOW = {"slow_requests": "count_if(coalesce(request_time_ms >= 1000, false))"}
+_UNIQUE_IPS = {"unique_ips": "count(DISTINCT client_ip)"}
 
 
 @dataclass(frozen=True)
 class Rollup:
-    """One rollup table: its bucket, its keys after site and environment, its measures and what rows it counts.
-
-    ``unique`` names measures that count distinct values; they do not add up over buckets."""
+    """One rollup table: its bucket, its keys after site and environment (name -> SQL), its measures and what rows it
+    counts. ``unique`` names measures that count distinct values; they do not add up over buckets."""
 
     name: str
     width: str
-    keys: dict[str, Column]
-    measures: dict[str, Column]
+    keys: dict[str, str]
+    measures: dict[str, str]
     where: str | None = None
     unique: tuple[str, ...] = ()
 
@@ -58,27 +56,38 @@ class Rollup:
 
 
 _FULL = _REQUESTS | _ERRORS | _BYTES | _SEEN
+
+
+def _by(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
 ROLLUPS = {
     r.name: r
     for r in (
-        Rollup("rollup_1m", "minute", {}, _REQUESTS | {f"status_{n}xx": _status(n) for n in (2, 3, 4, 5)} | {"unique_ips": F.count_distinct("client_ip")} | _BYTES | _TIMES | _SLOW | {"empty_user_agents": count_if(F.coalesce(F.col("user_agent"), F.lit("")) == "")}, unique=("unique_ips",)),
-        Rollup("rollup_ip_1h", "hour", {"client_ip": F.col("client_ip")}, _FULL, "client_ip is not null"),
-        Rollup("rollup_path_1h", "hour", {"path": F.col("path")}, _FULL, "path is not null"),
-        Rollup("rollup_user_agent_1h", "hour", {"user_agent": F.col("user_agent")}, _FULL, "user_agent is not null"),
-        Rollup("rollup_ip_path_1h", "hour", {"client_ip": F.col("client_ip"), "path": F.col("path")}, _FULL, "client_ip is not null and path is not null"),
-        Rollup("rollup_ip_user_agent_1h", "hour", {"client_ip": F.col("client_ip"), "user_agent": F.col("user_agent")}, _FULL, "client_ip is not null and user_agent is not null"),
-        Rollup("rollup_status_1h", "hour", {"status": F.coalesce("status", F.lit(0))}, _REQUESTS | _SEEN),
-        Rollup("rollup_site_latency_1h", "hour", {"bucket_le_ms": latency_edge(F.col("request_time_ms"))}, _REQUESTS, "request_time_ms is not null"),
-        Rollup("rollup_path_latency_1h", "hour", {"path": F.col("path"), "bucket_le_ms": latency_edge(F.col("request_time_ms"))}, _REQUESTS | {"status_5xx": _status(5), "request_time_sum_ms": F.sum("request_time_ms")} | _SEEN, "path is not null and request_time_ms is not null"),
+        Rollup("rollup_1m", "minute", {}, _REQUESTS | {f"status_{n}xx": _status(n) for n in (2, 3, 4, 5)} | _UNIQUE_IPS | _BYTES | _TIMES | _SLOW | {"empty_user_agents": "count_if(coalesce(user_agent, '') = '')"}, unique=("unique_ips",)),
+        Rollup("rollup_ip_1h", "hour", _by("client_ip"), _FULL, "client_ip is not null"),
+        Rollup("rollup_path_1h", "hour", _by("path"), _FULL, "path is not null"),
+        Rollup("rollup_user_agent_1h", "hour", _by("user_agent"), _FULL, "user_agent is not null"),
+        Rollup("rollup_ip_path_1h", "hour", _by("client_ip", "path"), _FULL, "client_ip is not null and path is not null"),
+        Rollup("rollup_ip_user_agent_1h", "hour", _by("client_ip", "user_agent"), _FULL, "client_ip is not null and user_agent is not null"),
+        Rollup("rollup_status_1h", "hour", {"status": "coalesce(status, 0)"}, _REQUESTS | _SEEN),
+        Rollup("rollup_site_latency_1h", "hour", {"bucket_le_ms": latency_edge()}, _REQUESTS, "request_time_ms is not null"),
+        Rollup("rollup_path_latency_1h", "hour", _by("path") | {"bucket_le_ms": latency_edge()}, _REQUESTS | {"status_5xx": _status(5), "request_time_sum_ms": "sum(request_time_ms)"} | _SEEN, "path is not null and request_time_ms is not null"),
+        Rollup("rollup_security_probe_1h", "hour", _by("family", "category", "rule_key"), {"events": "count(*)"} | _UNIQUE_IPS | _ERRORS | _SEEN, unique=("unique_ips",)),
     )
 }
 
 
 def _grouped(rows: DataFrame, spec: Rollup) -> DataFrame:
     rows = rows.where(spec.where) if spec.where else rows
-    keyed = rows.withColumns({"bucket_ts": F.date_trunc(spec.width, "ts")} | {f"__{k}": c for k, c in spec.keys.items()})
+    keyed = rows.withColumns({"bucket_ts": F.date_trunc(spec.width, "ts")} | {f"__{k}": F.expr(c) for k, c in spec.keys.items()})
     groups = [F.col("bucket_ts"), F.col("site_id"), F.col("env"), *(F.col(f"__{k}").alias(k) for k in spec.keys)]
-    return keyed.groupBy(*groups).agg(*(c.alias(n) for n, c in spec.measures.items()))
+    return keyed.groupBy(*groups).agg(*_measures(spec.measures))
+
+
+def _measures(measures: dict[str, str]) -> list[Column]:
+    return [F.expr(c).alias(n) for n, c in measures.items()]
 
 
 def build(events: DataFrame, name: str) -> DataFrame:
@@ -88,16 +97,15 @@ def build(events: DataFrame, name: str) -> DataFrame:
 
 def build_probes(probes: DataFrame) -> DataFrame:
     """rollup_security_probe_1h over classified probes."""
-    spec = Rollup("rollup_security_probe_1h", "hour", {k: F.col(k) for k in ("family", "category", "rule_key")}, {"events": F.count("*"), "unique_ips": F.count_distinct("client_ip")} | _ERRORS | _SEEN)
-    return _grouped(probes, spec)
+    return build(probes, "rollup_security_probe_1h")
 
 
 def build_params(events: DataFrame) -> DataFrame:
     """rollup_query_param_1h: by parameter and value, with the newest request as an example."""
     rows = with_params(events).withColumns({"bucket_ts": F.date_trunc("hour", "ts"), "value_hash": F.md5("param_value")})
     newest = lambda c: F.max_by(F.coalesce(c, F.lit("")), F.struct("ts", "id")).alias(f"example_{c}")
-    measures = _REQUESTS | _ERRORS | _SLOW | {"unique_ips": F.count_distinct("client_ip"), "unique_user_agents": F.count_distinct("user_agent"), "unique_paths": F.count_distinct("path")} | _TIMES | _SEEN
-    return rows.groupBy("bucket_ts", "site_id", "env", "param_family", "param", "value_hash").agg(*(c.alias(n) for n, c in measures.items()), newest("path"), newest("query"), F.first("param_value").alias("param_value"))
+    measures = _REQUESTS | _ERRORS | _SLOW | _UNIQUE_IPS | {"unique_user_agents": "count(DISTINCT user_agent)", "unique_paths": "count(DISTINCT path)"} | _TIMES | _SEEN
+    return rows.groupBy("bucket_ts", "site_id", "env", "param_family", "param", "value_hash").agg(*_measures(measures), newest("path"), newest("query"), F.first("param_value").alias("param_value"))
 
 
 def merge(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
@@ -105,8 +113,8 @@ def merge(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
     spec = ROLLUPS[name]
     if spec.unique:
         raise ValueError(f"{name} counts distinct values, which do not add up")
-    join = {n: F.min(n) if n == "first_seen" else F.max(n) if n == "last_seen" else F.sum(n) for n in spec.measures}
-    return old.unionByName(new).groupBy(*spec.columns).agg(*(c.alias(n) for n, c in join.items()))
+    join = {n: f"min({n})" if n == "first_seen" else f"max({n})" if n == "last_seen" else f"sum({n})" for n in spec.measures}
+    return old.unionByName(new).groupBy(*spec.columns).agg(*_measures(join))
 
 
 def touched_hours(rows: DataFrame) -> DataFrame:

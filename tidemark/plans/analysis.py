@@ -15,11 +15,26 @@ from tidemark.functions.useragent import FIELDS, analyse
 from tidemark.operators.rollups import count_if, histogram_p95
 
 INTEL = ("reverse_dns", "asn", "asn_org", "network", "country_code", "known_actor", "actor_type", "risk_score", "forward_confirmed", "verified_actor", "is_datacenter", "is_tor_exit", "provider_verified", "provider_id", "provider_name", "manual_label", "manual_action")
-_4XX, _5XX = count_if(F.col("status").between(400, 499)), count_if(F.col("status").between(500, 599))
-_SLOW = count_if(F.col("request_time_ms") >= 1000)
-_BYTES = F.coalesce(F.sum("bytes_sent"), F.lit(0))
-_AVG, _P95 = F.coalesce(F.avg("request_time_ms"), F.lit(0.0)), F.coalesce(F.percentile("request_time_ms", F.lit(0.95)), F.lit(0.0))
-_SEEN = (F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+
+
+def _class(n: int) -> Column:
+    return count_if(F.col("status").between(100 * n, 100 * n + 99)).alias(f"status_{n}xx")
+
+
+def _slow() -> Column:
+    return count_if(F.col("request_time_ms") >= 1000).alias("slow_requests")
+
+
+def _bytes() -> Column:
+    return F.coalesce(F.sum("bytes_sent"), F.lit(0)).alias("bytes_sent")
+
+
+def _times() -> tuple[Column, Column]:
+    return F.coalesce(F.avg("request_time_ms"), F.lit(0.0)).alias("avg_request_time_ms"), F.coalesce(F.percentile("request_time_ms", F.lit(0.95)), F.lit(0.0)).alias("p95_request_time_ms")
+
+
+def _seen() -> tuple[Column, Column]:
+    return F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
 
 
 def rate(part: str, total: str = "requests") -> Column:
@@ -30,8 +45,8 @@ def totals(events: DataFrame) -> DataFrame:
     """One row of counters, latencies and rates."""
     row = events.agg(
         F.count("*").alias("requests"), F.count_distinct("client_ip").alias("unique_ips"), F.count_distinct("user_agent").alias("unique_user_agents"),
-        _4XX.alias("status_4xx"), _5XX.alias("status_5xx"), count_if(F.coalesce("user_agent", F.lit("")) == "").alias("empty_user_agents"),
-        _SLOW.alias("slow_requests"), _BYTES.alias("bytes_sent"), _AVG.alias("avg_request_time_ms"), _P95.alias("p95_request_time_ms"),
+        _class(4), _class(5), count_if(F.coalesce("user_agent", F.lit("")) == "").alias("empty_user_agents"),
+        _slow(), _bytes(), *_times(),
     )
     return row.withColumns({"status_4xx_rate": rate("status_4xx"), "status_5xx_rate": rate("status_5xx"), "slow_requests_rate": rate("slow_requests"), "empty_user_agents_rate": rate("empty_user_agents")})
 
@@ -44,7 +59,7 @@ def totals_from_minutes(minutes: DataFrame) -> DataFrame:
 
 
 def site_summary(events: DataFrame) -> DataFrame:
-    rows = events.groupBy("site_id", "env").agg(F.count("*").alias("requests"), F.count_distinct("client_ip").alias("unique_ips"), _4XX.alias("status_4xx"), _5XX.alias("status_5xx"), _AVG.alias("avg_request_time_ms"), _P95.alias("p95_request_time_ms"), *_SEEN)
+    rows = events.groupBy("site_id", "env").agg(F.count("*").alias("requests"), F.count_distinct("client_ip").alias("unique_ips"), _class(4), _class(5), *_times(), *_seen())
     return rows.withColumns({"status_4xx_rate": rate("status_4xx"), "status_5xx_rate": rate("status_5xx")})
 
 
@@ -72,7 +87,7 @@ def _with_intel(rows: DataFrame, intel: DataFrame | None) -> DataFrame:
 
 
 def top_ips(events: DataFrame, intel: DataFrame | None = None, limit: int = 25) -> DataFrame:
-    rows = events.where("client_ip is not null").groupBy("client_ip").agg(F.count("*").alias("requests"), _4XX.alias("status_4xx"), _5XX.alias("status_5xx"), _BYTES.alias("bytes_sent"), *_SEEN)
+    rows = events.where("client_ip is not null").groupBy("client_ip").agg(F.count("*").alias("requests"), _class(4), _class(5), _bytes(), *_seen())
     return _with_intel(_top(rows, limit, F.desc("requests"), "client_ip"), intel)
 
 
@@ -83,14 +98,14 @@ def top_ips_from_rollup(rows: DataFrame, intel: DataFrame | None = None, limit:
 
 
 def top_paths(events: DataFrame, limit: int = 10) -> DataFrame:
-    rows = events.groupBy(F.coalesce("path", F.lit("")).alias("path")).agg(F.count("*").alias("requests"), _4XX.alias("status_4xx"), _5XX.alias("status_5xx"), _BYTES.alias("bytes_sent"), *_SEEN)
+    rows = events.groupBy(F.coalesce("path", F.lit("")).alias("path")).agg(F.count("*").alias("requests"), _class(4), _class(5), _bytes(), *_seen())
     return _top(rows, limit, F.desc("requests"), "path")
 
 
 def user_agents(events: DataFrame, intel: DataFrame, limit: int = 25) -> DataFrame:
     """Top user agents with their analysis, and how many of their addresses and requests are verified."""
     proof = intel.select(F.col("ip").alias("client_ip"), verified_source_loose(F.col("known_actor"), F.col("actor_type"), F.col("manual_action"), F.col("forward_confirmed"), F.col("verified_actor")).alias("__ok"))
-    by_ip = events.groupBy(F.coalesce("user_agent", F.lit("")).alias("sample"), "client_ip").agg(F.count("*").alias("n"), _4XX.alias("n4"), _5XX.alias("n5"), _BYTES.alias("nb"), *_SEEN)
+    by_ip = events.groupBy(F.coalesce("user_agent", F.lit("")).alias("sample"), "client_ip").agg(F.count("*").alias("n"), _class(4).alias("n4"), _class(5).alias("n5"), _bytes().alias("nb"), *_seen())
     ok = F.coalesce("__ok", F.lit(False))
     rows = by_ip.join(proof, "client_ip", "left").groupBy("sample").agg(
         F.sum("n").alias("requests"), F.count("client_ip").alias("unique_ips"), F.sum("n4").alias("status_4xx"), F.sum("n5").alias("status_5xx"), F.sum("nb").alias("bytes_sent"),
@@ -101,7 +116,7 @@ def user_agents(events: DataFrame, intel: DataFrame, limit: int = 25) -> DataFra
 
 
 def slow_paths(events: DataFrame, limit: int = 25, least: int = 20) -> DataFrame:
-    rows = events.where("request_time_ms is not null").groupBy("site_id", "env", F.coalesce("path", F.lit("")).alias("path")).agg(F.count("*").alias("requests"), F.avg("request_time_ms").alias("avg_request_time_ms"), F.percentile("request_time_ms", F.lit(0.95)).alias("p95_request_time_ms"), _5XX.alias("status_5xx"), *_SEEN)
+    rows = events.where("request_time_ms is not null").groupBy("site_id", "env", F.coalesce("path", F.lit("")).alias("path")).agg(F.count("*").alias("requests"), F.avg("request_time_ms").alias("avg_request_time_ms"), F.percentile("request_time_ms", F.lit(0.95)).alias("p95_request_time_ms"), _class(5), *_seen())
     return _top(rows.where(F.col("requests") >= least), limit, F.desc("p95_request_time_ms"), F.desc("requests"), "site_id", "env", "path")
 
 
@@ -119,7 +134,7 @@ def status_breakdown(events: DataFrame, limit: int = 32) -> DataFrame:
 
 def path_hotspots(events: DataFrame, limit: int = 25) -> DataFrame:
     """Paths with 30 or more requests, 5 or more server errors and a rate of 0.2 or more."""
-    rows = events.groupBy("site_id", "env", F.coalesce("path", F.lit("")).alias("path")).agg(F.count("*").alias("requests"), _5XX.alias("status_5xx"), *_SEEN).where("requests >= 30 and status_5xx >= 5")
+    rows = events.groupBy("site_id", "env", F.coalesce("path", F.lit("")).alias("path")).agg(F.count("*").alias("requests"), _class(5), *_seen()).where("requests >= 30 and status_5xx >= 5")
     return _top(rows.withColumn("rate", rate("status_5xx")).where("rate >= 0.2"), limit, F.desc("status_5xx"), F.desc("requests"), "site_id", "env", "path")
 
 
@@ -128,7 +143,7 @@ def probe_summary(events: DataFrame, probes: DataFrame, family: str, category: s
     own = probes.where(F.col("family") == family)
     own = own.where(F.col("category") == category) if category else own
     keys = ["category", "rule_key", "site_id", "env", "client_ip", F.coalesce("path", F.lit("")).alias("path")]
-    rows = own.groupBy(*keys).agg(F.count("*").alias("requests"), _4XX.alias("status_4xx"), _5XX.alias("status_5xx"), F.max("method").alias("method"), F.max(F.coalesce("query", F.lit(""))).alias("sample_query"), F.max("match_reason").alias("match_reason"), *_SEEN)
+    rows = own.groupBy(*keys).agg(F.count("*").alias("requests"), _class(4), _class(5), F.max("method").alias("method"), F.max(F.coalesce("query", F.lit(""))).alias("sample_query"), F.max("match_reason").alias("match_reason"), *_seen())
     top = _top(rows, limit, F.desc("requests"), "category", "site_id", "env", "client_ip", "path")
     hits = events.join(top.select("client_ip").distinct(), "client_ip", "left_semi").groupBy("client_ip").agg(F.count("*").alias("total_ip_hits"))
     return top.join(hits, "client_ip", "left").withColumn("total_ip_hits", F.coalesce("total_ip_hits", F.lit(0)))
@@ -136,19 +151,19 @@ def probe_summary(events: DataFrame, probes: DataFrame, family: str, category: s
 
 def tor_sources(events: DataFrame, probes: DataFrame, intel: DataFrame, limit: int = 25) -> DataFrame:
     exits = intel.where("is_tor_exit").select(F.col("ip").alias("client_ip"), "risk_score", "country_code")
-    rows = events.join(exits, "client_ip").groupBy("client_ip", "risk_score", "country_code").agg(F.count("*").alias("requests"), _4XX.alias("status_4xx"), _5XX.alias("status_5xx"), *_SEEN)
+    rows = events.join(exits, "client_ip").groupBy("client_ip", "risk_score", "country_code").agg(F.count("*").alias("requests"), _class(4), _class(5), *_seen())
     admin = probes.where("family = 'admin'").groupBy("client_ip").agg(F.count("*").alias("admin_requests"))
     joined = rows.join(admin, "client_ip", "left").withColumn("admin_requests", F.coalesce("admin_requests", F.lit(0)))
     return _top(joined, limit, F.desc("admin_requests"), F.desc("requests"), "client_ip")
 
 
 def log_totals(logs: DataFrame) -> DataFrame:
-    return logs.groupBy("log_type", "severity").agg(F.count("*").alias("events"), *_SEEN)
+    return logs.groupBy("log_type", "severity").agg(F.count("*").alias("events"), *_seen())
 
 
 def log_messages(logs: DataFrame, limit: int = 25) -> DataFrame:
     """Most frequent messages by type, severity and first 240 characters, with the sites they come from."""
-    rows = logs.groupBy("log_type", "severity", F.left("message", F.lit(240)).alias("message")).agg(F.count("*").alias("events"), F.array_join(F.sort_array(F.collect_set("site_id")), ", ").alias("sites"), *_SEEN)
+    rows = logs.groupBy("log_type", "severity", F.left("message", F.lit(240)).alias("message")).agg(F.count("*").alias("events"), F.array_join(F.sort_array(F.collect_set("site_id")), ", ").alias("sites"), *_seen())
     return _top(rows, limit, F.desc("events"), "log_type", "severity", "message")
 
 
@@ -159,7 +174,7 @@ def latest_logs(logs: DataFrame, limit: int = 25) -> DataFrame:
 def timeline(events: DataFrame, seconds: int, points: int = 180) -> DataFrame:
     """Buckets since the epoch, the newest 180, oldest first."""
     bucket = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds) * seconds)
-    rows = events.groupBy(bucket.alias("bucket_ts")).agg(F.count("*").alias("requests"), _4XX.alias("status_4xx"), _5XX.alias("status_5xx"), _BYTES.alias("bytes_sent"))
+    rows = events.groupBy(bucket.alias("bucket_ts")).agg(F.count("*").alias("requests"), _class(4), _class(5), _bytes())
     return _top(rows, points, F.desc("bucket_ts")).orderBy("bucket_ts")
 
 
@@ -169,7 +184,7 @@ def query_params(events: DataFrame, limit: int = 25, param: str = "", family: st
     rows = rows.where(F.col("param") == param.lower()) if param else rows
     rows = rows.where(F.col("param_family") == family) if family else rows
     newest = lambda c: F.max_by(F.coalesce(c, F.lit("")), F.struct("ts", "id")).alias(f"example_{c}")
-    out = rows.groupBy("param_family", "param", "param_value").agg(F.count("*").alias("requests"), _4XX.alias("status_4xx"), _5XX.alias("status_5xx"), _SLOW.alias("slow_requests"), F.count_distinct("client_ip").alias("unique_ips"), F.count_distinct("path").alias("unique_paths"), _AVG.alias("avg_request_time_ms"), newest("path"), newest("query"), *_SEEN)
+    out = rows.groupBy("param_family", "param", "param_value").agg(F.count("*").alias("requests"), _class(4), _class(5), _slow(), F.count_distinct("client_ip").alias("unique_ips"), F.count_distinct("path").alias("unique_paths"), _times()[0], newest("path"), newest("query"), *_seen())
     return _top(out, limit, F.desc("status_5xx"), F.desc("slow_requests"), F.desc("requests"), "param_family", "param", "param_value")
 
 
@@ -255,15 +270,15 @@ def paged(rows: DataFrame, limit: int, offset: int, *order: Column | str) -> Dat
 def agent_detail(events: DataFrame, agent: str) -> dict[str, DataFrame]:
     """Traffic, addresses, paths and requests of one user agent."""
     own = events.where(F.coalesce("user_agent", F.lit("")) == agent)
-    counted = lambda *k: own.groupBy(*k).agg(F.count("*").alias("requests"), _4XX.alias("status_4xx"), _5XX.alias("status_5xx"), *_SEEN)
+    counted = lambda *k: own.groupBy(*k).agg(F.count("*").alias("requests"), _class(4), _class(5), *_seen())
     return {"traffic": totals(own), "ips": counted("client_ip"), "paths": counted("path"), "requests": own}
 
 
 def ip_detail(events: DataFrame, ip: str) -> dict[str, DataFrame]:
     """Summary, sites, paths, addresses asked for, user agents and requests of one address."""
     own = events.where(F.col("client_ip") == ip)
-    counted = lambda *k: own.groupBy(*k).agg(F.count("*").alias("requests"), _4XX.alias("status_4xx"), _5XX.alias("status_5xx"), _BYTES.alias("bytes_sent"), *_SEEN)
-    hits = own.groupBy("site_id", "env", "method", "path", "query", "status", "user_agent").agg(F.count("*").alias("requests"), _AVG.alias("avg_request_time_ms"), _P95.alias("p95_request_time_ms"), *_SEEN)
+    counted = lambda *k: own.groupBy(*k).agg(F.count("*").alias("requests"), _class(4), _class(5), _bytes(), *_seen())
+    hits = own.groupBy("site_id", "env", "method", "path", "query", "status", "user_agent").agg(F.count("*").alias("requests"), *_times(), *_seen())
     return {"traffic": totals(own), "sites": counted("site_id", "env"), "paths": counted("path"), "url_hits": hits, "user_agents": counted("user_agent"), "requests": own}
 
 
@@ -274,7 +289,7 @@ def signal_detail(probes: DataFrame, **filters: str) -> dict[str, DataFrame]:
         raise ValueError(f"unknown filters: {sorted(unknown)}")
     for name, value in filters.items():
         probes = probes.where(F.col(name) == value) if value else probes
-    counted = lambda *k: probes.groupBy(*k).agg(F.count("*").alias("requests"), _4XX.alias("status_4xx"), _5XX.alias("status_5xx"), *_SEEN)
+    counted = lambda *k: probes.groupBy(*k).agg(F.count("*").alias("requests"), _class(4), _class(5), *_seen())
     return {"summary": counted("family", "category", "rule_key"), "ips": counted("client_ip"), "requests": probes}
 
 
