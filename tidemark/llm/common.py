@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,7 @@ def _discard_at_exit() -> None:
 
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id's text, modulo ``folds``; a null id counts as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")), F.lit(folds))
+    return F.pmod(F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
 def texts_as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -77,6 +78,13 @@ def texts_as_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that only so many texts stand in Python at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def ascii_words(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text whose A-Z are lower-cased; other letters stay."""
     return text.lower().split()
@@ -85,7 +93,7 @@ def ascii_words(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for up to ``limit`` words of a worker."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

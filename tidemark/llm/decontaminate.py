@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-The benchmark's word n-grams are counted over all documents. The rarer half of each item's n-grams are its
-seeds: a share of the item, not a fixed count, so that an item which is itself common in the corpus
-keeps its seeds. Where a seed stands in a document, the words around it are aligned with the item;
+The benchmark's word n-grams are counted over all documents. An item's seeds are the rarer half of its
+n-grams, and all others that are not much more frequent than its middle one: measured against the item
+itself, so that one which is common in the corpus keeps its seeds, and so do the parts that edited
+copies leave as they were. Where a seed stands in a document, the words around it are aligned with the item;
 edited and paraphrased copies still align over most of their words.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import in_slices, written
+
 _WORD = re.compile(r"\w+")
 Gram = tuple[str, ...]
 
@@ -108,7 +111,7 @@ class Matcher:
                 continue
             key = item, window.tobytes()
             if key not in self.memory:
-                if len(self.memory) > 20_000:
+                if len(self.memory) > 5_000:
                     self.memory.clear()
                 self.memory[key] = align(own, window)
             score, first, last = self.memory[key]
@@ -124,7 +127,7 @@ def _gram_counts(docs: DataFrame, grams: list[Gram]) -> dict[int, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(number), np.int64)
-        for batch in batches:
+        for batch in in_slices(batches):
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 for n in sizes:
@@ -137,7 +140,7 @@ def _gram_counts(docs: DataFrame, grams: list[Gram]) -> dict[int, int]:
     return {r["gram"]: r["n"] for r in rows}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seed_share: float = 0.5, least: float = 0.6, items_a_pass: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seed_share: float = 0.5, rare: float = 4.0, least: float = 0.6, items_a_pass: int = 20_000) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word, start_char, end_char: passages of ``docs`` (doc_id, text)
     that copy an item of ``benchmark`` (item_id, text), exactly or edited.
 
@@ -155,24 +158,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seed_share:
             items.append(words)
             names.append(row["item_id"])
         if len(items) == items_a_pass:
-            out, items, names = out.unionByName(_pass(docs, items, names, schema, n, seed_share, least)), [], []
-    return out.unionByName(_pass(docs, items, names, schema, n, seed_share, least)) if items else out
+            out, items, names = out.unionByName(_pass(docs, items, names, schema, n, seed_share, rare, least)), [], []
+    return out.unionByName(_pass(docs, items, names, schema, n, seed_share, rare, least)) if items else out
 
 
-def _pass(docs: DataFrame, items: list[list[str]], names: list, schema: T.StructType, n: int, seed_share: float, least: float) -> DataFrame:
+def _pass(docs: DataFrame, items: list[list[str]], names: list, schema: T.StructType, n: int, seed_share: float, rare: float, least: float) -> DataFrame:
     grams = sorted({g for words in items for g in grams_of(words, n)})
     counts, number = _gram_counts(docs, grams), {g: k for k, g in enumerate(grams)}
     seeds: dict[Gram, list[tuple[int, int]]] = {}
     for item, words in enumerate(items):
-        placed = sorted(enumerate(grams_of(words, n)), key=lambda x: (counts.get(number[x[1]], 0), x[0]))
-        for place, gram in placed[: -int(-len(placed) * seed_share // 1)]:
-            seeds.setdefault(gram, []).append((item, place))
+        placed = sorted((counts.get(number[g], 0), place, g) for place, g in enumerate(grams_of(words, n)))
+        usual = placed[len(placed) // 2][0]
+        for rank, (held, place, gram) in enumerate(placed):
+            if rank < len(placed) * seed_share or held <= rare * usual + 8:
+                seeds.setdefault(gram, []).append((item, place))
     shared = docs.sparkSession.sparkContext.broadcast((items, seeds))  # bounded by items_a_pass
     item_type = pa.array(names).type
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*shared.value, least)
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [(k, *hit) for k, text in enumerate(batch.column(1).to_pylist()) for hit in matcher.find(text)]
             k, item, *rest = zip(*rows, strict=True) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k, pa.int64())), pa.array([names[i] for i in item], item_type), pa.array(rest[0], pa.float64()), *(pa.array(x, pa.int32()) for x in rest[1:])], names=schema.fieldNames())
@@ -182,7 +187,5 @@ def _pass(docs: DataFrame, items: list[list[str]], names: list, schema: T.Struct
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` whose text copies no benchmark item; rows with a null doc_id are judged by text too."""
-    from tidemark.llm.common import written
-
     bad = written(contaminated(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), benchmark, **settings).select("doc_id").distinct(), "contaminated")
     return docs.join(bad, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["doc_id"], "left_anti")
