@@ -10,7 +10,8 @@ places, so at least ``reach = least - window + 1`` of its words follow that plac
 2. The others are sorted over all partitions by that hash and the words after it, so that a suffix
    stands beside those with which it has most words in common.
 3. Each is compared with its two neighbours and the match extended word by word, right and left. Both
-   together say whether the passage is long enough. Overlapping passages of a document are joined.
+   together say whether the passage is long enough. Suffixes that three or more share are sorted once
+   more, by the words before them. Overlapping passages of a document are joined.
 
 Documents with the same words throughout are one class: their suffixes are sorted once.
 """
@@ -188,19 +189,16 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 5, window: i
     """
     if least < window + gram:
         raise ValueError("least must be window + gram or more")
-    spark, n = docs.sparkSession, 2 * partitions(docs.sparkSession, 4)
+    n = 2 * partitions(docs.sparkSession, 4)
     doc_id = docs.schema["doc_id"].dataType
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     per_doc = written(texts.mapInArrow(_keep_suffixes(to_arrow_schema(T.StructType([docs.schema["doc_id"]])).field(0).type, least, gram, window), T.StructType([T.StructField("doc_id", doc_id), T.StructField("cls", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType()))])), "kept-suffixes")
     classes = written(per_doc.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "word-classes")
     suffixes = per_doc.join(classes, ["cls", "doc_id"], "left_semi").select("cls", "doc_id", F.inline(F.arrays_zip("places", "keys"))).toDF("cls", "doc_id", "place", "key")
-    shared = written(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
-    wanted = suffixes.join(shared, "key").groupBy("doc_id", "cls").agg(F.collect_list(F.struct("place", "key")).alias("at")).select("doc_id", "cls", F.col("at.place").alias("places"), F.col("at.key").alias("keys"))
-    sorted_ = texts.join(wanted, "doc_id").select("doc_id", "text", "cls", "places", "keys").mapInArrow(_with_words(least, window), _SUFFIX).repartitionByRange(n, "key", "after", "cls", "place").sortWithinPartitions("key", "after", "cls", "place")
-    found = written(sorted_.mapInArrow(_compare(least, window), _FOUND), "matches")
-    ends = [tuple(r)[2:4] + tuple(r)[6:] for r in found.where("side >= 0").orderBy("part", "side").collect()]  # two rows a partition
-    across = [m for a, b in pairwise(ends) for m in match(a, b, least, window)]
-    matches = found.where("side = -1").select("cls", "place", "left", "right").unionByName(spark.createDataFrame(across, "cls long, place int, left int, right int"))
+    shared = written(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
+    met = suffixes.join(shared, "key")
+    # of three and more, the neighbour with most words to the right need not have most to the left
+    matches = _matches(texts, met, "after", least, window, n).unionByName(_matches(texts, met.where("n > 2"), "before", least, window, n))
     inside = _joined(matches)
     own = per_doc.select("doc_id", "cls", "n_words").join(classes.select("cls", "n_copies"), "cls")
     copies = own.where("n_copies > 1").select("doc_id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), "n_copies")
@@ -208,6 +206,17 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 5, window: i
     return copies.unionByName(single).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "n_copies")
 
 
+def _matches(texts: DataFrame, suffixes: DataFrame, by: str, least: int, window: int, n: int) -> DataFrame:
+    """Long enough matches of neighbouring suffixes (cls, doc_id, place, key), sorted by their words ``by`` either side."""
+    wanted = suffixes.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("place", "key")).alias("at")).select("doc_id", "cls", F.col("at.place").alias("places"), F.col("at.key").alias("keys"))
+    order = ["key", by, "cls", "place"]  # the place last: suffixes that are alike fill more than one partition
+    sorted_ = texts.join(wanted, "doc_id").select("doc_id", "text", "cls", "places", "keys").mapInArrow(_with_words(least, window), _SUFFIX).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    found = written(sorted_.mapInArrow(_compare(least, window), _FOUND), "matches")
+    ends = [tuple(r)[2:4] + tuple(r)[6:] for r in found.where("side >= 0").orderBy("part", "side").collect()]  # two rows a partition
+    across = [m for a, b in pairwise(ends) for m in match(a, b, least, window)]
+    return found.where("side = -1").select("cls", "place", "left", "right").unionByName(texts.sparkSession.createDataFrame(across, "cls long, place int, left int, right int"))
+
+
 def _joined(matches: DataFrame) -> DataFrame:
     """Overlapping or touching matches of a class as one span: (cls, start_word, end_word)."""
     spans = matches.select("cls", (F.col("place") - F.col("left")).alias("s"), (F.col("place") + F.col("right")).alias("e")).groupBy("cls", "s").agg(F.max("e").alias("e"))
