@@ -146,3 +146,50 @@ def test_empty_tables(spark, events):
     none = events.limit(0)
     assert N.totals(none).first().requests == 0
     assert N.site_summary(none).isEmpty() and N.query_params(none).isEmpty() and O.alert_candidates(none).isEmpty()
+
+
+def test_lookups(spark):
+    from tidemark.operators import lookups as L
+
+    ips = spark.createDataFrame([("1.2.3.4",), ("2001:db8::1",), ("x",)], "ip string").select(L.origin_host("ip").alias("h")).collect()
+    assert [r.h for r in ips] == ["4.3.2.1.origin.asn.cymru.com", "1." + "0." * 23 + "8.b.d.0.1.0.0.2.origin6.asn.cymru.com", None]
+    a = spark.createDataFrame([("13335 132892 | 1.1.1.0/24 | US | arin | 2010-07-14",)], "a string").select(L.parse_origin(F.col("a")).alias("a")).first().a
+    assert tuple(a) == (13335, "1.1.1.0/24", "US", "arin")
+    raw = '{"handle": "N", "country": "US", "cidr0_cidrs": [{"v4prefix": "1.1.1.0", "length": 24}, {"length": 3}], "events": [{"eventAction": "Registration", "eventDate": "d"}], "links": [{"href": ""}, {"rel": "self", "href": "h"}]}'
+    r = [x.r for x in spark.createDataFrame([(raw,), ("{",)], "a string").select(L.flatten_rdap(F.col("a")).alias("r")).collect()]
+    assert (r[0].handle, r[0].cidrs, r[0].registration, len(r[0].links), r[1]) == ("N", ["1.1.1.0/24"], "d", 1, None)
+    reverse = spark.createDataFrame([("1.1.1.1", "a"), ("2.2.2.2", "b")], "ip string, name string")
+    forward = spark.createDataFrame([("a", "1.1.1.1"), ("b", "9.9.9.9")], "name string, ip string")
+    assert {x.ip: x.forward_confirmed for x in L.forward_confirmed(reverse, forward).collect()} == {"1.1.1.1": True, "2.2.2.2": False}
+
+
+def test_provider_files(spark, tmp_path):
+    from tidemark.sources import providers
+
+    (tmp_path / "bingbot.json").write_text('{"prefixes": [{"ipv4Prefix": "192.0.2.0/24"}]}')
+    (tmp_path / "unheard-of").write_text("192.0.2.0/24")
+    assert [(r.provider_id, r.cidr) for r in I.provider_ranges(providers.documents(spark, str(tmp_path))).collect()] == [("bingbot", "192.0.2.0/24")]
+    assert len(providers.PROVIDERS) == 26
+
+
+def test_read_audit_and_evidence(spark, events):
+    since, until = datetime(2024, 1, 5, 10, 7, 30), datetime(2024, 1, 9, 5, 13)
+    marked = events.withColumn("rollups_1h_backfilled_at", F.col("ts"))
+    facts = events.where("status >= 400 and id % 10 <> 0")
+    got = O.read_audit(marked, facts, R.build(events, "rollup_1m"), R.build(events, "rollup_status_1h"), since, until)
+    assert got["traffic_source"] == "dimension rollups + hour edge events" and got["raw_gap_rows"] > 0
+    assert got["expected_raw_rows"] < R.window(events, since, until).count()
+    assert O.evenly(list(range(100)), 4) == [0, 33, 66, 99] and O.evenly([1, 2], 4) == [1, 2]
+    packed = O.evidence({"t": "x" * 300}, {"traffic_timeline": [{"v": k} for k in range(500)], "other": [{}] * 99}, {"issues": [{}] * 40})
+    assert len(packed["summary"]["t"]) == 240 and [len(v) for v in packed["charts"].values()] == [24, 24] and len(packed["drilldowns"]["issues"]) == 8
+
+
+def test_stored_agents_are_filled(spark):
+    from tidemark.functions import useragent as U
+
+    schema = "ua string, s struct<family string, browser_family string, browser_version string, os_family string, os_version string, device_family string, actor_type string, known_actor string, is_bot boolean, is_tool boolean, risk_score int>"
+    df = spark.createDataFrame([("curl/8.7.1", ("tool", "", None, "", "", "unknown", "tool", "Somebody", None, False, 0))], schema)
+    got = df.select(U.merge_stored(F.col("s"), U.analyse(F.col("ua"))).alias("m")).first().m
+    assert (got.family, got.browser_version, got.known_actor, got.is_tool, got.risk_score) == ("curl", "8.7.1", "Somebody", True, 65)
+    stored = spark.createDataFrame([("a", "", "x", 1, 1), ("b", "f", "x", 1, 2), ("c", "f", "x", None, 3)], "user_agent string, family string, actor_type string, risk_score int, last_seen int")
+    assert [r.user_agent for r in O.stale_agents(stored).collect()] == ["c", "a"]

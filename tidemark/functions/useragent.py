@@ -120,7 +120,13 @@ FIELDS = ("family", "browser_family", "browser_version", "os_family", "os_versio
 
 
 def merge_stored(stored: Column, computed: Column) -> Column:
-    """A stored analysis, with gaps and generic values filled from a computed one."""
-    text = lambda n: F.coalesce(F.when(~F.coalesce(stored[n], F.lit("")).isin("", "unknown", "generic-crawler", "mozilla"), stored[n]), computed[n]).alias(n)
+    """A stored analysis, with gaps filled from a computed one; families that only name a kind count as gaps."""
+    kind = F.lower(F.trim(F.coalesce(stored["actor_type"], F.lit(""))))
+
+    def text(n: str) -> Column:
+        value = F.lower(F.trim(F.coalesce(stored[n], F.lit(""))))
+        gap = value.isin("", "unknown", "browser", "tool", "crawler", "bot") | ((kind != "") & (value == kind)) if n == "family" else value.isin("", "unknown") if n in ("actor_type", "device_family") else value == ""
+        return F.when(gap, computed[n]).otherwise(stored[n]).alias(n)
+
     flag = lambda n: F.coalesce(stored[n] | computed[n], stored[n], computed[n]).alias(n)
     return F.struct(*(text(n) for n in FIELDS[:8]), flag("is_bot"), flag("is_tool"), F.when(stored["risk_score"] > 0, stored["risk_score"]).otherwise(computed["risk_score"]).alias("risk_score"))

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import probes
 from tidemark.functions.timewindow import bucket_seconds
 from tidemark.operators import intel as I
 from tidemark.operators import rollups as R
@@ -139,6 +140,63 @@ def report_text(row: dict) -> str:
     return "\n".join(lines)
 
 
+def drilldowns(rows: int = 30, **sections: DataFrame) -> dict[str, DataFrame]:
+    """The first rows of each section of a report, as they are sorted there."""
+    return {name: df.limit(rows) for name, df in sections.items()}
+
+
+def evenly(rows: list, limit: int) -> list:
+    """At most ``limit`` rows, spread evenly, the first and last among them."""
+    if len(rows) <= limit or limit < 2:
+        return rows[:limit]
+    return [rows[k * (len(rows) - 1) // (limit - 1)] for k in range(limit)]
+
+
+def shortened(value: object, most: int = 240) -> object:
+    """Long strings cut with an ellipsis, in whatever they stand."""
+    if isinstance(value, dict):
+        return {k: shortened(v, most) for k, v in value.items()}
+    if isinstance(value, list):
+        return [shortened(v, most) for v in value]
+    return value[: most - 1] + "…" if isinstance(value, str) and len(value) > most else value
+
+
+def evidence(summary: dict, charts: dict[str, list[dict]], sections: dict[str, list[dict]], points: int = 24, rows: int = 8) -> dict:
+    """A report compacted to a bounded size: timelines thinned evenly, other lists cut, long strings shortened."""
+    thin = lambda name, data: evenly(data, points) if name == "traffic_timeline" else data[:points]
+    return shortened({"summary": summary, "charts": {n: thin(n, d) for n, d in charts.items()}, "drilldowns": {n: d[:rows] for n, d in sections.items()}})
+
+
+def read_audit(events: DataFrame, facts: DataFrame, minutes: DataFrame, statuses: DataFrame, since: datetime, until: datetime) -> dict:
+    """Which tables each report of a window would read, and how many raw rows that takes."""
+    w = R.window(events, since, until)
+    edge = lambda seconds: w.where((F.col("ts") < R.at(R.whole(since, until, seconds)[0])) | (F.col("ts") >= R.at(R.whole(since, until, seconds)[1]))).count()
+    ready, status_ready = R.dimension_ready(events, since, until), R.same_total(minutes, statuses, since, until)
+    gaps = w.where("status >= 400").join(facts.select("id"), "id", "left_anti").count()
+    minute_edges, hour_edges = edge(60), edge(3600)
+    raw = "raw access_events"
+    return {
+        "access_analysis_source": "dimension rollups + hour edge events" if ready else raw,
+        "traffic_source": ("dimension rollups + hour edge events" if ready else raw) + ("" if status_ready else " + raw status"),
+        "overview_source": "rollup_1m + minute edge events", "recent_errors_source": "error facts" + (" + raw gap rows" if gaps else ""),
+        "minute_edge_events": minute_edges, "hour_edge_events": hour_edges, "raw_gap_rows": gaps, "expected_raw_rows": max(minute_edges, hour_edges) if ready else w.count(),
+    }
+
+
+def database_probe_ips(probes: DataFrame) -> DataFrame:
+    """Addresses that probe databases, with their sites, riskiest first."""
+    text = F.concat_ws(" ", "category", "rule_key", "match_reason", "sample_query", "path")
+    rows = probes.where(text.rlike("(?i)sql|mysql|database|query|select_from|union|information_schema") & (F.coalesce("client_ip", F.lit("")) != ""))
+    sums = (F.sum(n).alias(n) for n in ("requests", "status_4xx", "status_5xx"))
+    return rows.groupBy("client_ip").agg(*sums, F.sort_array(F.collect_set("site_id")).alias("sites")).orderBy(F.desc("requests"), "client_ip")
+
+
+def stale_agents(stored: DataFrame, limit: int = 5000) -> DataFrame:
+    """User agents whose analysis is incomplete, the newest first: what to analyse again."""
+    gap = lambda c: F.coalesce(c, F.lit("")) == ""
+    return stored.where(gap(F.col("family")) | gap(F.col("actor_type")) | F.col("risk_score").isNull()).orderBy(F.desc("last_seen"), "user_agent").limit(limit)
+
+
 def report_catalog(reports: DataFrame, site: str = "", kind: str = "", limit: int = 25, offset: int = 0) -> DataFrame:
     """A page of reports, newest first, with its summary out of the stored input; a site also matches reports of all."""
     rows = reports.where((F.col("site_id") == site) | F.col("site_id").isNull()) if site else reports
@@ -296,6 +354,7 @@ def registered(ev: str, when: str, since: datetime, until: datetime) -> Iterator
         SELECT CAST(date_trunc('week', bucket_start) AS TIMESTAMP) AS range_start, count(*) AS segments, CAST(sum(line_count) AS BIGINT) AS line_count, min(bucket_start) AS first_bucket, max(bucket_end) AS last_bucket FROM sg WHERE bucket_end <= TIMESTAMP '{until}' AND line_count % 5 <> 0 GROUP BY 1"""
     yield "merged_intervals", lambda s, d: merged_intervals(A.access_events(s, d).where("status >= 500").select("site_id", F.col("ts").cast("timestamp").alias("range_start"), (F.col("ts").cast("timestamp") + F.expr("interval 30 minutes")).alias("range_end")), "site_id"), f"""{ev}, iv AS (SELECT site_id, ts AS range_start, ts + INTERVAL 30 MINUTE AS range_end FROM ev WHERE status >= 500),
         m AS (SELECT *, max(range_end) OVER (PARTITION BY site_id ORDER BY range_start, range_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM iv), g AS (SELECT *, sum(CASE WHEN b IS NULL OR range_start > b THEN 1 ELSE 0 END) OVER (PARTITION BY site_id ORDER BY range_start, range_end) AS run FROM m) SELECT site_id, min(range_start) AS range_start, max(range_end) AS range_end FROM g GROUP BY site_id, run"""
+    yield "database_probe_ips", lambda s, d: database_probe_ips(N.probe_summary(window(s, d), probes.probes(window(s, d)), "injection", limit=100_000)).withColumn("sites", F.array_join("sites", ", ")), f"{ev} SELECT client_ip, count(*) AS requests, {c4} AS status_4xx, {c5} AS status_5xx, string_agg(DISTINCT site_id, ', ' ORDER BY site_id) AS sites FROM w WHERE query = 'id=1%20OR%201%3D1' AND client_ip IS NOT NULL GROUP BY 1"
     yield "retention_counts", lambda s, d: retention_counts({"access_events": (A.access_events(s, d), "ts", until), "log_events": (A.log_events(s, d), "ts", since)}), f"{ev} SELECT 'access_events' AS \"table\", count(*) AS expired FROM ev WHERE ts < TIMESTAMP '{until}' UNION ALL SELECT 'log_events', count(*) FROM ev WHERE ts < TIMESTAMP '{since}'"
 
     ranges = [("203.0.113.0/24", "net-all", "cloud"), ("203.0.113.64/26", "net-b", "edge"), ("203.0.113.96/28", "net-c", "crawler"), ("203.0.113.100/32", "net-d", "monitor"), ("203.0.113.64/26", "net-a", "fetcher")]
