@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +15,17 @@ def session(name: str = "tidemark", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once; for sessions that were started without it on their path."""
+    context = spark.sparkContext
+    if not getattr(context, "_has_tidemark", False):
+        root = Path(__file__).resolve().parent
+        if root.parent.suffix != ".zip":
+            archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+            with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+                for file in sorted(root.rglob("*.py")):
+                    out.write(file, file.relative_to(root.parent))
+            context.addPyFile(str(archive))
+        context._has_tidemark = True
