@@ -183,8 +183,8 @@ _TIMELINE = lambda n: f"SELECT * FROM (SELECT to_timestamp(floor(epoch(ts) / {n}
 _on_window("timeline", lambda w: N.timeline(w, O.width(SINCE, UNTIL)), _TIMELINE(O.width(SINCE, UNTIL)))
 _on_window("timeline_3h", lambda w: N.timeline(w, 10800), _TIMELINE(10800))
 _on_window("query_params", N.query_params, PARAMS("w") + f" SELECT param_family, param, param_value, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_CS} AS slow_requests, {_UNIQUE}, coalesce(avg(request_time_ms), 0.0) AS avg_request_time_ms, {_NEWEST}, {_SEEN} FROM pr GROUP BY 1, 2, 3 ORDER BY status_5xx DESC, slow_requests DESC, requests DESC, param_family, param, param_value LIMIT 25")
-_ERROR = "id, ts, site_id, env, client_ip, method, path, query, status, request_time_ms, user_agent"
-_on_window("recent_errors", lambda w: N.recent_errors(w, probes.errors(w).where("id % 13 <> 0"), limit=50), f"SELECT {_ERROR} FROM w WHERE status >= 400 ORDER BY ts DESC, id DESC LIMIT 50")
+_ERROR = "id, ts, site_id, env, client_ip, method, path, query, status, user_agent"
+_on_window("recent_errors", lambda w: N.recent_errors(w, probes.errors(w).where("id % 13 <> 0"), limit=50).select(*_ERROR.split(", ")), f"SELECT {_ERROR} FROM w WHERE status >= 400 ORDER BY ts DESC, id DESC LIMIT 50")
 _on_window("agent_detail_ips", lambda w: N.paged(N.agent_detail(w, "curl/8.7.1")["ips"], 10, 5, F.desc("requests"), F.asc_nulls_first("client_ip")), f"SELECT *, count(*) OVER () AS total FROM (SELECT client_ip, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_SEEN} FROM w WHERE user_agent = 'curl/8.7.1' GROUP BY 1) ORDER BY requests DESC, client_ip NULLS FIRST LIMIT 10 OFFSET 5")
 _on_window("ip_detail_hits", lambda w: N.ip_detail(w, "203.0.113.77")["url_hits"], f"SELECT site_id, env, method, path, query, status, user_agent, count(*) AS requests, coalesce(avg(request_time_ms), 0.0) AS avg_request_time_ms, {_P95} AS p95_request_time_ms, {_SEEN} FROM w WHERE client_ip = '203.0.113.77' GROUP BY ALL")
 _on_window("ip_detail_sites", lambda w: N.ip_detail(w, "203.0.113.77")["sites"], f"SELECT site_id, env, {_FULL} FROM w WHERE client_ip = '203.0.113.77' GROUP BY ALL")
