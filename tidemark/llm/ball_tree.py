@@ -186,7 +186,7 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, shard_rows: i
     Ties go to the smaller vec_id. Null vectors, vectors with a null, NaN or infinite component and rows
     without a vec_id take no part; a repeated row counts as often as it stands there as a candidate and
     once as a query. An empty table gives no rows. Shards and blocks have about shard_rows and block_rows
-    rows each, however many there are.
+    rows each, however many there are. Scores must fit into 64 bits.
     """
     usable = written(_integers(vectors), "vectors")
     spark = vectors.sparkSession

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import WordHashes, ascii_words, fold, mix, partitions, texts_as_bytes, written
+from tidemark.llm.common import WordHashes, ascii_words, fold, in_slices, mix, partitions, texts_as_bytes, written
 
 _hashes = WordHashes()
 #: Hash of the start of a text (b" ") and of its end (b""); no word is either.
@@ -77,7 +77,7 @@ def token_blocks(docs: DataFrame, folds: int, tuning: int, block_tokens: int) ->
             sizes[kind] = 0
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for name, fold_, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_as_bytes(batch), strict=True):
                 kind = fold_ == tuning
                 words = np.append(_hashes.of(ascii_words(text)), end)

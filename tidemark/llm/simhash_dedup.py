@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_words, texts_as_bytes, written
+from tidemark.llm.common import ascii_words, in_slices, texts_as_bytes, written
 from tidemark.llm.components import components
 
 SEGMENTS = 32
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42) ->
     """doc_id and fp (the fingerprint's 64 bits as a long) of every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             fps = np.array([fingerprint(t, words_per_shingle, seed) for t in texts_as_bytes(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 

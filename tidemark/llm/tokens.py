@@ -15,7 +15,7 @@ class WordTokenizer:
     separators or the start of a special token go through the library whole, as do all texts otherwise.
     """
 
-    def __init__(self, path: str, white_space_splits: bool = True, limit: int = 500_000):
+    def __init__(self, path: str, white_space_splits: bool = True, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
