@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import WordHashes, ascii_words, mix, partitions, texts_as_bytes, written
+from tidemark.llm.common import WordHashes, ascii_words, mix, texts_as_bytes, written
 
 _hashes = WordHashes()
 
@@ -189,7 +189,6 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 5, window: i
     """
     if least < window + gram:
         raise ValueError("least must be window + gram or more")
-    n = 2 * partitions(docs.sparkSession, 4)
     doc_id = docs.schema["doc_id"].dataType
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     per_doc = written(texts.mapInArrow(_keep_suffixes(to_arrow_schema(T.StructType([docs.schema["doc_id"]])).field(0).type, least, gram, window), T.StructType([T.StructField("doc_id", doc_id), T.StructField("cls", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType()))])), "kept-suffixes")
@@ -198,7 +197,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 5, window: i
     shared = written(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
     met = suffixes.join(shared, "key")
     # of three and more, the neighbour with most words to the right need not have most to the left
-    matches = _matches(texts, met, "after", least, window, n).unionByName(_matches(texts, met.where("n > 2"), "before", least, window, n))
+    matches = _matches(texts, met, "after", least, window).unionByName(_matches(texts, met.where("n > 2"), "before", least, window))
     inside = _joined(matches)
     own = per_doc.select("doc_id", "cls", "n_words").join(classes.select("cls", "n_copies"), "cls")
     copies = own.where("n_copies > 1").select("doc_id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), "n_copies")
@@ -206,11 +205,11 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 5, window: i
     return copies.unionByName(single).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "n_copies")
 
 
-def _matches(texts: DataFrame, suffixes: DataFrame, by: str, least: int, window: int, n: int) -> DataFrame:
+def _matches(texts: DataFrame, suffixes: DataFrame, by: str, least: int, window: int) -> DataFrame:
     """Long enough matches of neighbouring suffixes (cls, doc_id, place, key), sorted by their words ``by`` either side."""
     wanted = suffixes.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("place", "key")).alias("at")).select("doc_id", "cls", F.col("at.place").alias("places"), F.col("at.key").alias("keys"))
     order = ["key", by, "cls", "place"]  # the place last: suffixes that are alike fill more than one partition
-    sorted_ = texts.join(wanted, "doc_id").select("doc_id", "text", "cls", "places", "keys").mapInArrow(_with_words(least, window), _SUFFIX).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    sorted_ = texts.join(wanted, "doc_id").select("doc_id", "text", "cls", "places", "keys").mapInArrow(_with_words(least, window), _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
     found = written(sorted_.mapInArrow(_compare(least, window), _FOUND), "matches")
     ends = [tuple(r)[2:4] + tuple(r)[6:] for r in found.where("side >= 0").orderBy("part", "side").collect()]  # two rows a partition
     across = [m for a, b in pairwise(ends) for m in match(a, b, least, window)]

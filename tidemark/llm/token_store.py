@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import partitions
 from tidemark.llm.dac import Levels
 from tidemark.llm.tokens import word_tokenizer
 
@@ -65,8 +64,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, chunk_
         if held:
             yield segment()
 
-    spark = docs.sparkSession
-    ordered = docs.select("doc_id", "text").repartitionByRange(2 * partitions(spark, 4), "doc_id").sortWithinPartitions("doc_id", "text")
+    # no number given: small inputs come together in fewer partitions, which stay in order
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, _segment_type(docs.schema["doc_id"].dataType)).write.option("compression", "zstd").parquet(path)
 
 
