@@ -193,3 +193,11 @@ def test_stored_agents_are_filled(spark):
     assert (got.family, got.browser_version, got.known_actor, got.is_tool, got.risk_score) == ("curl", "8.7.1", "Somebody", True, 65)
     stored = spark.createDataFrame([("a", "", "x", 1, 1), ("b", "f", "x", 1, 2), ("c", "f", "x", None, 3)], "user_agent string, family string, actor_type string, risk_score int, last_seen int")
     assert [r.user_agent for r in O.stale_agents(stored).collect()] == ["c", "a"]
+
+
+def test_scans_read_what_they_need(spark):
+    from tidemark.plans import registry
+
+    plan = registry.queries()["status_breakdown"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
+    assert "user_id" not in plan and "props" not in plan
