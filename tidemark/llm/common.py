@@ -65,8 +65,10 @@ def _discard_at_exit() -> None:
     if spark is not None:
         try:
             discard_written(spark)
-        except Exception:  # noqa: BLE001  the session may be gone already; the folder is scratch space
+        except Exception:  # noqa: BLE001  the session may be going; the folder is scratch space
             pass
+    for path in _written:
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)  # without a session: if it is a plain path
 
 
 def fold(doc_id: str | Column, folds: int) -> Column:
