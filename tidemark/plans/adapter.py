@@ -66,6 +66,23 @@ def ip_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, INTEL).distinct()
 
 
+def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The access events as raw log lines of one file a site, as a web server would have written them."""
+    e = access_events(spark, sf_dir)
+    seconds = F.concat(F.floor(F.col("request_time_ms") / 1000), F.lit("."), F.lpad((F.col("request_time_ms") % 1000).cast("string"), 3, "0"))
+    target = F.concat("path", F.when(F.col("query").isNull(), "").otherwise(F.concat(F.lit("?"), "query")))
+    dash = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    raw = F.concat(dash(F.col("client_ip")), F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss Z"), F.lit('] "'), "method", F.lit(" "), target, F.lit(' HTTP/1.1" '), "status", F.lit(" "), "bytes_sent", F.lit(' "-" "'), dash(F.col("user_agent")), F.lit('" '), dash(seconds))
+    return e.select("site_id", "env", F.lit("c1").alias("container_id"), F.lit("nginx-access").alias("log_type"), F.concat("site_id", F.lit(".log")).alias("raw_file_id"), F.col("id").alias("raw_line_no"), raw.alias("raw"))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log events as lines of a PHP error log."""
+    e = log_events(spark, sf_dir).where("log_type = 'php-error'")
+    raw = F.concat(F.lit("["), F.date_format("ts", "dd-MMM-yyyy HH:mm:ss"), F.lit(" UTC] PHP Warning: "), "message")
+    return e.select("site_id", "env", F.lit("c1").alias("container_id"), "log_type", F.concat("site_id", F.lit(".log")).alias("raw_file_id"), F.col("id").alias("raw_line_no"), raw.alias("raw"))
+
+
 def plain_times(df: DataFrame) -> DataFrame:
     """Timestamps without zone, as DuckDB gives them."""
     return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n, t in df.dtypes if t == "timestamp"})

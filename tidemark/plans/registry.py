@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bots, params, probes, search, useragent
 from tidemark.functions.catalog import agent_sql
+from tidemark.operators import combine as C
 from tidemark.operators import rollups as R
 from tidemark.plans import adapter as A
 from tidemark.plans import analysis as N
@@ -200,6 +201,20 @@ for _name, _text, _cond in (
 ):
     _on_window(_name, lambda w, t=_text: search.search(w, t).select("id", "ts", "site_id", "path", "status"), _SEARCH + _cond)
 
+# ---- ingest: raw lines, combined and indexed again
+
+def _ingested(s: SparkSession, d: str) -> DataFrame:
+    lines, _ = C.combine(A.access_lines(s, d))
+    events, _ = C.index_access(lines)
+    return events.select("ts", "site_id", "env", "client_ip", "method", "path", "query", "status", "bytes_sent", "user_agent", F.coalesce("request_time_ms", F.lit(0)).alias("request_time_ms"))
+
+
+_OCTET = "CASE WHEN TRY_CAST(split_part(client_ip, '.', 4) AS INT) > 255 THEN NULL ELSE client_ip END AS client_ip"
+_add("ingest_access_lines", _ingested, f"{EV} SELECT DISTINCT date_trunc('second', ts) AS ts, site_id, env, {_OCTET}, method, path, query, status, bytes_sent, user_agent, coalesce(request_time_ms, 0) AS request_time_ms FROM ev")
+_add("ingest_log_lines", lambda s, d: C.index_logs(C.combine(A.log_lines(s, d))[0]).select("ts", "site_id", "env", "log_type", "severity", "message"), f"WITH lg AS ({A.LOGS_SQL}) SELECT DISTINCT date_trunc('second', ts) AS ts, site_id, env, log_type, CASE WHEN contains(message, 'error') THEN 'error' ELSE 'warning' END AS severity, concat('PHP Warning: ', message) AS message FROM lg WHERE log_type = 'php-error'")
+_add("segment_manifest", lambda s, d: C.manifest(C.combine(A.access_lines(s, d), SINCE, UNTIL)[0], UNTIL).select("bucket_start", "bucket_end", "site_id", "env", "line_count", "min_ts", "max_ts", "status"), f"""{EV}, l AS (SELECT DISTINCT date_trunc('second', ts) AS ts, site_id, env, client_ip, method, path, query, status, bytes_sent, user_agent, request_time_ms FROM ev WHERE date_trunc('hour', ts) >= date_trunc('hour', TIMESTAMP '{SINCE}') AND date_trunc('hour', ts) < TIMESTAMP '{UNTIL}')
+    SELECT *, CASE WHEN bucket_end + INTERVAL 15 MINUTE < TIMESTAMP '{UNTIL}' THEN 'finalized' ELSE 'rewritten' END AS status FROM (SELECT date_trunc('hour', ts) AS bucket_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS bucket_end, site_id, env, count(*) AS line_count, min(ts) AS min_ts, max(ts) AS max_ts FROM l GROUP BY ALL)""")
+
 # ---- dashboard, alerts and audits
 
 for _name, _run, _text in O.registered(EV, _WHEN, SINCE, UNTIL):
