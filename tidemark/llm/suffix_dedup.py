@@ -9,7 +9,7 @@ places, so at least ``reach = least - window + 1`` of its words follow that plac
    in the corpus repeat nowhere and go.
 2. The others are sorted over all partitions by that hash and the words after it, so that a suffix
    stands beside those with which it has most words in common.
-3. Each is compared with its two neighbours and the match extended word by word, right and left. Both
+3. Each is compared with its neighbours and the match extended word by word, right and left. Both
    together say whether the passage is long enough. Suffixes that three or more share are sorted once
    more, by the words before them. Overlapping passages of a document are joined.
 
@@ -150,8 +150,8 @@ def match(a: tuple, b: tuple, least: int, window: int) -> list[tuple]:
 _FOUND = "part int, side int, cls long, place int, left int, right int, key long, before binary, after binary"
 
 
-def _compare(least: int, window: int):
-    """Compare each sorted suffix with the next. The partition's first and last, whose other neighbour is
+def _compare(least: int, window: int, back: int = 3):
+    """Compare each sorted suffix with the ``back`` before it. The partition's first and last, whose other neighbour is
     elsewhere, come along with side 0 and 1."""
     names = [x.split()[0] for x in _FOUND.split(", ")]
     types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
@@ -160,15 +160,17 @@ def _compare(least: int, window: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 9, types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last = TaskContext.get().partitionId(), None
+        part, last, alike = TaskContext.get().partitionId(), None, []
         for batch in batches:
-            rows = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
-            if not rows:
-                continue
-            out = [(part, -1, *m, None, None, None) for a, b in pairwise([last, *rows] if last else rows) for m in match(a, b, least, window)]
-            if last is None:
-                out.append((part, 0, *rows[0][:2], 0, 0, *rows[0][2:]))
-            last = rows[-1]
+            out = []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if last is None:
+                    out.append((part, 0, *row[:2], 0, 0, *row[2:]))
+                elif last[2] != row[2]:
+                    alike = []
+                out += [(part, -1, *m, None, None, None) for other in alike for m in match(other, row, least, window)]
+                alike = [*alike[-back + 1 :], row]
+                last = row
             yield found(out)
         if last:
             yield found([(part, 1, *last[:2], 0, 0, *last[2:])])
