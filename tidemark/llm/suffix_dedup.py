@@ -19,7 +19,6 @@ Documents with the same words throughout are one class: their suffixes are sorte
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -131,20 +130,42 @@ def _with_words(least: int, window: int):
     return run
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """How many leading 4-byte words are equal."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    return int((np.frombuffer(a[:n], np.uint32) != np.frombuffer(b[:n], np.uint32)).argmax())
+def _words_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column of 4-byte words as a matrix of ``size`` columns, padded with zeros, and how many words each row has."""
+    if not len(column):
+        return np.zeros((0, size), np.uint32), np.zeros(0, np.int64)
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    lengths = np.diff(offsets) // 4
+    matrix = np.zeros((len(column), size), np.uint32)
+    data = column.buffers()[2]
+    if data is not None:
+        matrix[np.arange(size) < lengths[:, None]] = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint32)
+    return matrix, lengths
 
 
-def match(a: tuple, b: tuple, least: int, window: int) -> list[tuple]:
-    """(cls, place, left, right) of both suffixes if the passage they share is long enough."""
-    if a[2] != b[2] or a[:2] == b[:2]:
-        return []
-    left, right = _common(a[3], b[3]), least - window + 1 + _common(a[4], b[4])
-    return [(*x[:2], left, right) for x in (a, b)] if left + right >= least else []
+def _common(words: np.ndarray, lengths: np.ndarray, k: int) -> np.ndarray:
+    """How many leading words each row shares with that ``k`` rows before it, from row ``k`` on."""
+    same = (words[k:] == words[:-k]) & (np.arange(words.shape[1]) < np.minimum(lengths[k:], lengths[:-k])[:, None])
+    return np.where(same.all(1), words.shape[1], same.argmin(1))
+
+
+def longest_matches(rows: pa.Table, least: int, window: int, back: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most words to the left and to the right of each suffix that a long enough match with one of the
+    ``back`` rows before or after it has; -1 where there is none.
+
+    All matches of a suffix hold its place, so that together they are one span: nothing else is needed of them.
+    """
+    cls, place, key = (rows.column(k).to_numpy() for k in range(3))
+    (before, n_before), (after, n_after) = (_words_of(rows.column(k).combine_chunks(), max(1, window - 1)) for k in (3, 4))
+    left, right = np.full(len(cls), -1, np.int32), np.full(len(cls), -1, np.int32)
+    for k in range(1, min(back, len(cls) - 1) + 1):
+        most_left, most_right = _common(before, n_before, k), least - window + 1 + _common(after, n_after, k)
+        alike = (key[k:] == key[:-k]) & ((cls[k:] != cls[:-k]) | (place[k:] != place[:-k])) & (most_left + most_right >= least)
+        for part in (slice(k, None), slice(None, -k)):
+            left[part] = np.maximum(left[part], np.where(alike, most_left, -1))
+            right[part] = np.maximum(right[part], np.where(alike, most_right, -1))
+    return left, right
 
 
 _FOUND = "part int, side int, cls long, place int, left int, right int, key long, before binary, after binary"
@@ -153,27 +174,27 @@ _FOUND = "part int, side int, cls long, place int, left int, right int, key long
 def _compare(least: int, window: int, back: int = 3):
     """Compare each sorted suffix with the ``back`` before it. The partition's first and last, whose other neighbour is
     elsewhere, come along with side 0 and 1."""
-    names = [x.split()[0] for x in _FOUND.split(", ")]
-    types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    schema = to_arrow_schema(T.StructType.fromDDL(_FOUND))
 
-    def found(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 9, types, strict=True)], names=names)
+    def end(row: pa.Table, part: int, side: int) -> pa.RecordBatch:
+        cls, place, *words = (row.column(k).combine_chunks() for k in range(5))
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (part, side)] + [cls, place] + [pa.array([0], pa.int32())] * 2 + words, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, alike = TaskContext.get().partitionId(), None, []
+        part, kept = TaskContext.get().partitionId(), None
         for batch in batches:
-            out = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if last is None:
-                    out.append((part, 0, *row[:2], 0, 0, *row[2:]))
-                elif last[2] != row[2]:
-                    alike = []
-                out += [(part, -1, *m, None, None, None) for other in alike for m in match(other, row, least, window)]
-                alike = [*alike[-back + 1 :], row]
-                last = row
-            yield found(out)
-        if last:
-            yield found([(part, 1, *last[:2], 0, 0, *last[2:])])
+            if not len(batch):
+                continue
+            if kept is None:
+                yield end(pa.Table.from_batches([batch.slice(0, 1)]), part, 0)
+            rows = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch])
+            left, right = longest_matches(rows, least, window, back)
+            at = np.flatnonzero(right >= 0)
+            found = [np.full(len(at), part, np.int32), np.full(len(at), -1, np.int32), rows.column(0).to_numpy()[at], rows.column(1).to_numpy()[at], left[at], right[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, schema.types[:6], strict=True)] + [pa.nulls(len(at), t) for t in schema.types[6:]], schema=schema)
+            kept = rows.slice(max(0, len(rows) - back))
+        if kept is not None:
+            yield end(kept.slice(len(kept) - 1), part, 1)
 
     return run
 
@@ -213,8 +234,9 @@ def _matches(texts: DataFrame, suffixes: DataFrame, by: str, least: int, window:
     order = ["key", by, "cls", "place"]  # the place last: suffixes that are alike fill more than one partition
     sorted_ = texts.join(wanted, "doc_id").select("doc_id", "text", "cls", "places", "keys").mapInArrow(_with_words(least, window), _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
     found = written(sorted_.mapInArrow(_compare(least, window), _FOUND), "matches")
-    ends = [tuple(r)[2:4] + tuple(r)[6:] for r in found.where("side >= 0").orderBy("part", "side").collect()]  # two rows a partition
-    across = [m for a, b in pairwise(ends) for m in match(a, b, least, window)]
+    ends = found.where("side >= 0").orderBy("part", "side").select("cls", "place", "key", "before", "after").toArrow()  # two rows a partition
+    left, right = longest_matches(ends, least, window, 1)
+    across = [(c, p, int(x), int(y)) for c, p, x, y in zip(ends.column(0).to_pylist(), ends.column(1).to_pylist(), left, right, strict=True) if y >= 0]
     return found.where("side = -1").select("cls", "place", "left", "right").unionByName(texts.sparkSession.createDataFrame(across, "cls long, place int, left int, right int"))
 
 
