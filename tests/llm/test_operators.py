@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,6 +134,23 @@ def test_repeated_passages_of_nothing(empty, spark):
         suffix_dedup.repeated_passages(empty, least=10)
 
 
+@pytest.mark.parametrize("rows", [0, 1, 2, 60])
+def test_longest_matches_are_those_of_near_rows(rows):
+    r, least, window, back = random.Random(rows), 8, 5, 3
+    side = lambda: np.array([r.randrange(2) for _ in range(r.randrange(window))], ">u4").tobytes()
+    table = [(r.randrange(4), r.randrange(3), k // 20, side(), side()) for k in range(rows)]
+    common = lambda a, b: next((k for k in range(min(len(a), len(b)) // 4) if a[4 * k : 4 * k + 4] != b[4 * k : 4 * k + 4]), min(len(a), len(b)) // 4)
+    expected = []
+    for k, a in enumerate(table):
+        near = [b for j, b in enumerate(table) if 0 < abs(j - k) <= back and a[2] == b[2] and a[:2] != b[:2]]
+        sizes = [(common(a[3], b[3]), least - window + 1 + common(a[4], b[4])) for b in near]
+        sizes = [s for s in sizes if sum(s) >= least]
+        expected.append(tuple(max(s) for s in zip(*sizes, strict=True)) if sizes else (-1, -1))
+    columns = [pa.array([x[k] for x in table], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
+    left, right = suffix_dedup.longest_matches(pa.table(columns, names=["cls", "place", "key", "before", "after"]), least, window, back)
+    assert list(zip(left.tolist(), right.tolist(), strict=True)) == expected
+
+
 def test_minimisers_are_those_of_windows():
     words = np.random.default_rng(1).integers(0, 9, 400).astype(np.uint64)
     grams = suffix_dedup.windowed_hash(words, 5)
