@@ -127,6 +127,22 @@ def test_repeated_passages(spark, seed):
     assert cut.count() == docs.count() and cut.columns == docs.columns
 
 
+def test_passages_of_templates_are_whole(spark):
+    # many share the core, and only words before and after it together reach 50
+    r = random.Random(7)
+    kinds = lambda mark: [[f"{mark}{k}x{j}" for j in range(r.randint(3, 7))] for k in range(20)]
+    texts = []
+    for size in (36, 40, 44):
+        core, heads, tails = [f"core{size}x{j}" for j in range(size)], kinds(f"head{size}-"), kinds(f"tail{size}-")
+        for k in range(600):
+            own = lambda side: [f"{side}{size}-{k}-{j}" for j in range(30)]  # noqa: E731, B023
+            texts.append(" ".join(own("a") + r.choice(heads) + core + r.choice(tails) + own("b")))
+    got = {}
+    for x in suffix_dedup.repeated_passages(frame(spark, texts)).orderBy("doc_id", "start_word").collect():
+        got.setdefault(x.doc_id, []).append([x.start_word, x.end_word])
+    assert got == brute_repeats({k: split(t) for k, t in enumerate(texts)}, 50)
+
+
 def test_repeated_passages_of_nothing(empty, spark):
     assert suffix_dedup.repeated_passages(empty).isEmpty()
     assert suffix_dedup.repeated_passages(frame(spark, [], NONE)).isEmpty()

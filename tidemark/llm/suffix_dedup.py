@@ -7,11 +7,14 @@ places, so at least ``reach = least - window + 1`` of its words follow that plac
 
 1. Each kept suffix is known by a hash of its first ``reach`` words; suffixes whose hash stands alone
    in the corpus repeat nowhere and go.
-2. The others are sorted over all partitions by that hash and the words after it, so that a suffix
-   stands beside those with which it has most words in common.
-3. Each is compared with its neighbours and the match extended word by word, right and left. Both
-   together say whether the passage is long enough. Suffixes that three or more share are sorted once
-   more, by the words before them. Overlapping passages of a document are joined.
+2. Where two suffixes share that hash, they are sorted over all partitions by it and the words after it,
+   so that they stand beside each other, and the match is extended word by word, right and left. Both
+   together say whether the passage is long enough.
+3. Where three or more share it, neighbours in one order do not show all matches: the best partner may be
+   any of them. Each window of ``least`` words that holds the suffix's first ``reach`` is hashed, and windows
+   counted twice or more are repeated. Suffixes with the same words all around have the same
+   windows, which are made once.
+4. Overlapping passages of a document are joined.
 
 Documents with the same words throughout are one class: their suffixes are sorted once.
 """
@@ -130,6 +133,49 @@ def _with_words(least: int, window: int):
     return run
 
 
+_CONTEXT = "cls long, place int, context long, least_left int, windows array<long>"
+
+
+def windows_around(words: np.ndarray, places: np.ndarray, least: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place: a hash of the ``window - 1`` words before it to those after its first ``least - window + 1``, as
+    far as the text goes; how many words before it the window of ``least`` words that starts last and the one
+    that starts first hold; and, by words before it, the hashes of all windows between those two."""
+    whole, left = windowed_hash(words, least), np.arange(window)
+    first, last = np.maximum(places - window + 1, 0), np.minimum(places, len(whole) - 1)
+    # the two outermost windows overlap, so that they hold all the words
+    context = mix(mix(whole[first], whole[last]), ((places - first) * window + places - last).astype(np.uint64))
+    # with the words before the place: two places of a document may hold the same window
+    hashes = mix(whole[np.clip(places[:, None] - left, 0, len(whole) - 1)], left.astype(np.uint64)[None, :])
+    return context, places - last, places - first, hashes
+
+
+def _with_windows(least: int, window: int):
+    """The kept suffixes with a hash of the words around them, and the hashes of the windows that hold them where a
+    task meets those words for the first time."""
+    schema = to_arrow_schema(T.StructType.fromDDL(_CONTEXT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                rows: list[list] = [[] for _ in schema.types]
+                for text, cls, places in zip(texts_as_bytes(part), *(part.column(k).to_pylist() for k in (2, 3)), strict=True):
+                    split = ascii_words(text)
+                    if class_of(split) != cls:  # another row with the same doc_id
+                        continue
+                    context, low, high, hashes = windows_around(_hashes.of(split), np.array(places, np.int64), least, window)
+                    for c, place, lo, hi, own in zip(context.view(np.int64).tolist(), places, low.tolist(), high.tolist(), hashes.view(np.int64), strict=True):
+                        for column, value in zip(rows, (cls, place, c, lo, None if c in met else own[lo : hi + 1]), strict=True):
+                            column.append(value)
+                        met.add(c)
+                    if len(met) > 200_000:
+                        met.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
+
+    return run
+
+
 def _words_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """A binary column of 4-byte words as a matrix of ``size`` columns, padded with zeros, and how many words each row has."""
     if not len(column):
@@ -207,8 +253,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 5, window: i
     after the passage. n_copies counts the rows whose words are all the same, this one included: with
     more than one, the whole text is the passage. Null, empty and shorter texts give no row, nor do
     rows without a doc_id; an empty table gives none; a doc_id that stands in several rows is reported
-    for each. Nothing is dropped for being frequent: suffixes of a common passage are sorted like any
-    other, over as many partitions as they fill.
+    for each. Nothing is dropped for being frequent: the windows of a common passage are counted in each task
+    before the sum.
     """
     if least < window + gram:
         raise ValueError("least must be window + gram or more")
@@ -219,8 +265,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 5, window: i
     suffixes = per_doc.join(classes, ["cls", "doc_id"], "left_semi").select("cls", "doc_id", F.inline(F.arrays_zip("places", "keys"))).toDF("cls", "doc_id", "place", "key")
     shared = written(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
     met = suffixes.join(shared, "key")
-    # of three and more, the neighbour with most words to the right need not have most to the left
-    matches = _matches(texts, met, "after", least, window).unionByName(_matches(texts, met.where("n > 2"), "before", least, window))
+    # of three and more, a neighbour need not be the partner that completes the passage
+    matches = _matches(texts, met.where("n = 2"), least, window).unionByName(_window_matches(texts, met.where("n > 2"), least, window))
     inside = _joined(matches)
     own = per_doc.select("doc_id", "cls", "n_words").join(classes.select("cls", "n_copies"), "cls")
     copies = own.where("n_copies > 1").select("doc_id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), "n_copies")
@@ -228,11 +274,27 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 5, window: i
     return copies.unionByName(single).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "n_copies")
 
 
-def _matches(texts: DataFrame, suffixes: DataFrame, by: str, least: int, window: int) -> DataFrame:
-    """Long enough matches of neighbouring suffixes (cls, doc_id, place, key), sorted by their words ``by`` either side."""
-    wanted = suffixes.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("place", "key")).alias("at")).select("doc_id", "cls", F.col("at.place").alias("places"), F.col("at.key").alias("keys"))
-    order = ["key", by, "cls", "place"]  # the place last: suffixes that are alike fill more than one partition
-    sorted_ = texts.join(wanted, "doc_id").select("doc_id", "text", "cls", "places", "keys").mapInArrow(_with_words(least, window), _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
+def _wanted(suffixes: DataFrame) -> DataFrame:
+    """One row a document: doc_id, cls, places and keys of ``suffixes`` (cls, doc_id, place, key)."""
+    return suffixes.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("place", "key")).alias("at")).select("doc_id", "cls", F.col("at.place").alias("places"), F.col("at.key").alias("keys"))
+
+
+def _window_matches(texts: DataFrame, suffixes: DataFrame, least: int, window: int) -> DataFrame:
+    """The most words to the left and to the right of suffixes (cls, doc_id, place, key) in windows of ``least`` words that
+    stand elsewhere too, whichever suffix they are shared with. All hold the place, so that together they are one span."""
+    around = written(texts.join(_wanted(suffixes), "doc_id").select("doc_id", "text", "cls", "places").mapInArrow(_with_windows(least, window), _CONTEXT), "contexts")
+    contexts = written(around.groupBy("context").agg(F.count("*").alias("n"), F.first("least_left").alias("least_left"), F.first("windows", ignorenulls=True).alias("windows")), "windows")
+    each = lambda some: some.select("context", "n", "least_left", F.posexplode("windows").alias("more", "hash"))
+    shared = written(each(contexts).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"), "shared-windows")
+    single = each(contexts.where("n = 1")).join(shared, "hash", "left_semi").groupBy("context").agg(F.max(F.col("least_left") + F.col("more")).alias("left"), (least - F.min(F.col("least_left") + F.col("more"))).alias("right"))
+    several = contexts.where("n > 1").select("context", (F.col("least_left") + F.size("windows") - 1).alias("left"), (least - F.col("least_left")).alias("right"))
+    return around.select("cls", "place", "context").join(single.unionByName(several), "context").select("cls", "place", "left", "right")
+
+
+def _matches(texts: DataFrame, suffixes: DataFrame, least: int, window: int) -> DataFrame:
+    """Long enough matches of neighbouring suffixes (cls, doc_id, place, key), sorted by key and the words after it."""
+    order = ["key", "after", "cls", "place"]
+    sorted_ = texts.join(_wanted(suffixes), "doc_id").select("doc_id", "text", "cls", "places", "keys").mapInArrow(_with_words(least, window), _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
     found = written(sorted_.mapInArrow(_compare(least, window), _FOUND), "matches")
     ends = found.where("side >= 0").orderBy("part", "side").select("cls", "place", "key", "before", "after").toArrow()  # two rows a partition
     left, right = longest_matches(ends, least, window, 1)
