@@ -310,6 +310,22 @@ def test_decontamination(spark, empty):
     assert len(decontaminate.contaminated(docs, items, items_a_pass=1).collect()) == len(got)
 
 
+def test_edited_copies_are_found_as_by_brute_force(spark):
+    r, path = random.Random(3), "/root/testdata/sf0.01"
+    items = {x.item_id: decontaminate.words_of(x.text) for x in spark.read.parquet(f"{path}/benchmark.parquet").collect()[:12]}
+    texts = [prose(k, 60) for k in range(12)]
+    for w in items.values():
+        for share in (0.1, 0.2, 0.3):
+            at = set(r.sample(range(len(w)), round(share * len(w))))
+            texts.append(" ".join([prose(r.random(), 15), *(f"other{k}" if k in at else x for k, x in enumerate(w)), prose(r.random(), 15)]))
+        texts.append(f"{prose(r.random(), 15)} {' '.join(w[: (len(w) + 1) // 2])} {prose(r.random(), 15)}")
+    codes = {}
+    code = lambda words: np.array([codes.setdefault(w, len(codes)) for w in words])
+    expected = {(k, i) for k, t in enumerate(texts) for i, w in items.items() if decontaminate.align(code(w), code(decontaminate.words_of(t)))[0] >= 0.36 * len(w)}
+    got = decontaminate.contaminated(frame(spark, texts), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == expected and {k for k, _ in expected} == set(range(12, len(texts)))
+
+
 def test_common_items_are_found_too(spark):
     docs = frame(spark, [f"{prose(k, 40)} {ITEM}" for k in range(30)])
     assert decontaminate.contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 30

@@ -140,12 +140,13 @@ def _gram_counts(docs: DataFrame, grams: list[Gram]) -> dict[int, int]:
     return {r["gram"]: r["n"] for r in rows}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seed_share: float = 0.5, rare: float = 4.0, least: float = 0.6, items_a_pass: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seed_share: float = 0.5, rare: float = 4.0, least: float = 0.36, items_a_pass: int = 20_000) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word, start_char, end_char: passages of ``docs`` (doc_id, text)
     that copy an item of ``benchmark`` (item_id, text), exactly or edited.
 
     score is the alignment's score (a match 1, a mismatch or gap -1) over the item's words; passages from
-    ``least`` up are returned, all of them. Words are compared in lower case without punctuation. Null and
+    ``least`` up are returned, all of them: an item with three words in ten replaced scores about 0.4, one
+    of which half is copied 0.5, and unrelated texts stay under 0.2. Words are compared in lower case without punctuation. Null and
     empty texts, and items without words, match nothing; repeated items and documents are reported each.
     Items shorter than n words are one seed. The benchmark is worked off in passes of items_a_pass
     items, which bounds what every worker holds, whatever its size; an empty one gives no rows.
