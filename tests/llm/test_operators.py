@@ -447,6 +447,21 @@ def test_toxicity(spark, empty):
     assert {x.predicted for x in toxicity.score(docs, none, "doc_id").collect()} == {0}
 
 
+def test_long_runs_are_read_whole(spark):
+    r, order = random.Random(5), 6
+    runs = ["".join(r.choice("stone") for _ in range(n)) for n in (39, 40, 41, 45, 75, 76, 200)]
+    grams = lambda w: Counter(p[max(0, end - order) : end] for p in [f"^{w}$"] for end in range(2, len(p) + 1))
+    # counted: what stands far into a run is learnt from, once
+    docs = spark.createDataFrame([(w, 1) for w in runs], "text string, toxic int")
+    for w in runs:
+        rows = toxicity.ngram_counts(toxicity.word_counts(docs.where(F.col("text") == w), order), order).where((F.length("gram") == order) | F.col("gram").startswith("^")).where("gram <> '^'")
+        assert {x.gram: x.n for x in rows.collect()} == dict(grams(w))
+    # scored: pieces add up to the run
+    table = toxicity.WordRatios(order, {g: r.random() for w in runs for g in grams(w)}, {})
+    for w in runs:
+        assert sum(map(table.ratio, toxicity.words_of(w.upper(), order))) == pytest.approx(sum(n * table.grams[g] for g, n in grams(w).items()))
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held, rows = fold("doc_id", 5) == 0, toxicity.labelled(docs, labels)

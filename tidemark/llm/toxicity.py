@@ -30,18 +30,35 @@ DISCOUNTS = (0.0, 1.0, 1.6, 1.8)
 SHARED = 0.75
 #: Ratios nearer to zero, or to their context's, are left out of the tables.
 NEGLIGIBLE = 0.02
-#: Longest part of a word that is looked at: longer "words" are data, not language.
+#: Longer words (whole clauses in scripts without blanks) are read in pieces of so many characters.
 LONGEST = 40
+#: Stands at a piece's end where its word was cut; no word holds it.
+CUT = "_"
 FEATURES = 4
 #: A log-likelihood ratio from which a word speaks clearly for toxic.
 CLEAR = 2.5
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w[:LONGEST] for w in _FIND((text or "").lower())]
+def words_of(text: str | None, order: int) -> list[str]:
+    """The words; those over ``LONGEST`` characters in pieces that overlap by ``order - 1``, so that each run of
+    ``order`` characters stands in just one of them."""
+    words = _FIND((text or "").lower())
+    return [p for w in words for p in (pieces_of(w, order) if len(w) > LONGEST else (w,))]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def pieces_of(word: str, order: int) -> Iterator[str]:
+    for at in range(0, len(word) - order + 1, LONGEST - order + 1):
+        yield f"{CUT if at else ''}{word[at : at + LONGEST]}{CUT if at + LONGEST < len(word) else ''}"
+        if at + LONGEST >= len(word):
+            break
+
+
+def padded_of(word: str) -> str:
+    """A word between ``^`` and ``$``, which do not stand where it was cut."""
+    return f"{'' if word[0] == CUT else '^'}{word.strip(CUT)}{'' if word[-1] == CUT else '$'}"
+
+
+def word_counts(docs: DataFrame, order: int) -> DataFrame:
     """(word, toxic, n): in how many texts of ``docs`` (text, toxic) a word stands, added up in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +73,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in in_slices(batches):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[label].update(set(words_of(text)))
+                seen[label].update(set(words_of(text, order)))
                 if len(seen[0]) + len(seen[1]) > 500_000:
                     yield from flush()
         yield from flush()
@@ -66,7 +83,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def ngram_counts(words: DataFrame, order: int) -> DataFrame:
     """(gram, toxic, n): n-grams of 1 to ``order`` characters of the words between ``^`` and ``$``."""
-    padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+    mark = lambda cut, c: F.when(cut, F.lit("")).otherwise(F.lit(c))
+    padded = F.concat(mark(F.col("word").startswith(CUT), "^"), F.translate("word", CUT, ""), mark(F.col("word").endswith(CUT), "$"))
     size = F.length("padded")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda end: F.transform(F.sequence(F.greatest(F.lit(1), end - order + 1), end), lambda start: F.substring(F.col("padded"), start, end - start + 1))))
     return words.withColumn("padded", padded).select("toxic", "n", F.explode(grams).alias("gram")).groupBy("gram", "toxic").agg(F.sum("n").alias("n"))
@@ -154,8 +172,8 @@ class WordRatios:
     def ratio(self, word: str) -> float:
         found = self.memory.get(word)
         if found is None:
-            padded, found, grams, contexts, order = f"^{word}$", 0.0, self.grams, self.contexts, self.order
-            for end in range(2, len(padded) + 1):
+            padded, found, grams, contexts, order = padded_of(word), 0.0, self.grams, self.contexts, self.order
+            for end in range(2 if padded[0] == "^" else order, len(padded) + 1):
                 gram = padded[max(0, end - order) : end]
                 found += grams[gram] if gram in grams else contexts.get(gram[:-1], 0.0)
             if len(self.memory) < 100_000:
@@ -165,7 +183,7 @@ class WordRatios:
     def features(self, text: str | None) -> list[float]:
         """Mean log-likelihood ratio a word; the share and mean excess of words that speak clearly for toxic;
         the clearest word. All zero for a text without words."""
-        words = words_of(text)
+        words = words_of(text, self.order)
         if not words:
             return [0.0] * FEATURES
         known, memory = self.ratio, self.memory
@@ -216,7 +234,7 @@ def train(labelled: DataFrame, order: int = 6, sample_rows: int = 24_000, calibr
     share = min(1.0, sample_rows / max(1, rows.count()))
     rows = written(rows.where(F.col("place") < share), "toxicity-sample")
     counting, rest = rows.where(F.col("place") >= share * calibration), rows.where(F.col("place") < share * calibration)
-    grams = ngram_counts(word_counts(counting), order).where((F.length("gram") == order) | F.col("gram").startswith("^"))
+    grams = ngram_counts(word_counts(counting, order), order).where((F.length("gram") == order) | F.col("gram").startswith("^"))
     language = KneserNey.of([(r["gram"], r["toxic"], r["n"]) for r in grams.toLocalIterator()], order).ratios()
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
