@@ -447,19 +447,78 @@ def test_toxicity(spark, empty):
     assert {x.predicted for x in toxicity.score(docs, none, "doc_id").collect()} == {0}
 
 
+def plain_grams(padded, order, first=2):
+    return Counter(padded[max(0, end - order) : end] for end in range(first, len(padded) + 1))
+
+
 def test_long_runs_are_read_whole(spark):
     r, order = random.Random(5), 6
     runs = ["".join(r.choice("stone") for _ in range(n)) for n in (39, 40, 41, 45, 75, 76, 200)]
-    grams = lambda w: Counter(p[max(0, end - order) : end] for p in [f"^{w}$"] for end in range(2, len(p) + 1))
     # counted: what stands far into a run is learnt from, once
     docs = spark.createDataFrame([(w, 1) for w in runs], "text string, toxic int")
     for w in runs:
-        rows = toxicity.ngram_counts(toxicity.word_counts(docs.where(F.col("text") == w), order), order).where((F.length("gram") == order) | F.col("gram").startswith("^")).where("gram <> '^'")
-        assert {x.gram: x.n for x in rows.collect()} == dict(grams(w))
+        rows = toxicity.ngram_counts(toxicity.word_counts(docs.where(F.col("text") == w), order), order)
+        assert {x.gram: x.n for x in rows.collect()} == dict(plain_grams(f"^{w}$", order))
     # scored: pieces add up to the run
-    table = toxicity.WordRatios(order, {g: r.random() for w in runs for g in grams(w)}, {})
+    table = ratios_of({w: (n, n % 3) for n, w in enumerate(runs, 1)}, order)
     for w in runs:
-        assert sum(map(table.ratio, toxicity.words_of(w.upper(), order))) == pytest.approx(sum(n * table.grams[g] for g, n in grams(w).items()))
+        pieces = toxicity.words_of(w.upper(), order)
+        assert len(pieces) == (1 if len(w) <= 40 else -(-(len(w) - order + 1) // (40 - order + 1)))
+        assert table.ratios(pieces).sum() == pytest.approx(plain_ratio({w: (n, n % 3) for n, w in enumerate(runs, 1)}, order, w), abs=1e-9)
+
+
+def ratios_of(words, order):
+    rows = [(g, label, c * n) for w, ns in words.items() for label, n in enumerate(ns) if n for g, c in plain_grams(f"^{w}$", order).items()]
+    total = Counter()
+    for g, label, n in rows:
+        total[g, label] += n
+    return toxicity.WordRatios.of(toxicity.code_points(pa.array([g for g, _ in total]), order), np.array([x for _, x in total]), np.array(list(total.values())), order)
+
+
+def plain_ratio(words, order, word):
+    """Two interpolated Kneser-Ney models, character by character, from their definition."""
+    own = [Counter(), Counter()]
+    for w, ns in words.items():
+        for label, n in enumerate(ns):
+            for g, c in plain_grams(f"^{w}$", order).items():
+                own[label][g] += n * c
+    own = [+c for c in own]
+    every = {g[at:] for c in own for g in c for at in range(len(g))}  # any gram that stands anywhere
+    letters = 1 + len({g[-1] for c in own for g in c})
+
+    def taken(counts):
+        n = Counter(counts)
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        each = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0 for k in (1, 2, 3)]
+        each = [0] + [d if 0 < d <= k else y for k, d in enumerate(each, 1)]
+        return lambda count: each[min(count, 3)]
+
+    before = {n: Counter(g[1:] for g in every if len(g) == n + 1) for n in range(1, order)}
+
+    def shared(g):
+        if not g:
+            return 1 / letters
+        counts = before[len(g)]
+        off, context = taken(counts.values()), {x: c for x, c in counts.items() if x[:-1] == g[:-1]}
+        if not context:
+            return shared(g[1:])
+        return (counts[g] - off(counts[g]) + sum(map(off, context.values())) * shared(g[1:])) / sum(context.values())
+
+    def p(counts, g):
+        off, context = taken(counts.values()), {x: c for x, c in counts.items() if x[:-1] == g[:-1] and (len(x) == order or x[0] == "^")}
+        return (counts[g] - off(counts[g]) + sum(map(off, context.values())) * shared(g[1:])) / sum(context.values()) if context else shared(g[1:])
+
+    return sum(n * math.log(p(own[1], g) / p(own[0], g)) for g, n in plain_grams(f"^{word}$", order).items())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_word_ratios_are_those_of_two_kneser_ney_models(seed):
+    r = random.Random(seed)
+    words = {"".join(r.choice("abc") for _ in range(r.randint(1, 9))): (r.randrange(4), r.randrange(3)) for _ in range(40)}
+    for order in (2, 4):
+        table = ratios_of(words, order)
+        asked = [*list(words)[:12], "cab", "abba", "zaz", "z", "a"]
+        assert table.ratios(asked).tolist() == pytest.approx([plain_ratio(words, order, w) for w in asked], abs=1e-9)
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -470,29 +529,6 @@ def test_toxicity_on_held_out_documents(spark):
     assert rates[1] >= 0.85 and rates[0] <= 0.02
 
 
-def test_word_ratios_are_those_of_the_two_models():
-    words = [("stone", 0, 9), ("stove", 0, 5), ("store", 1, 4), ("scum", 1, 7), ("scam", 0, 1)]
-    grams = Counter()
-    for w, label, n in words:
-        p = f"^{w}$"
-        for end in range(1, len(p) + 1):
-            for start in range(max(0, end - 4), end):
-                grams[p[start:end], label] += n
-    kn = toxicity.KneserNey.of([(g, c, n) for (g, c), n in grams.items() if len(g) == 4 or g[0] == "^"], 4)
-    table = kn.ratios()
-    for w in ("stone", "scum", "scuz", "new"):
-        p, expected = f"^{w}$", 0.0
-        for end in range(2, len(p) + 1):
-            g = p[max(0, end - 4) : end]
-            probs = []
-            for own, totals in zip(kn.own, kn.totals, strict=True):
-                low, t = kn._shared(g[1:]), totals.get(g[:-1])
-                probs.append((kn._left(own.get(g, 0)) + t[1] * low) / t[0] if t else low)
-            expected += math.log(probs[1] / probs[0])
-        assert table.ratio(w) == pytest.approx(expected, abs=1e-3)
-    assert table.ratio("scum") > 0 > table.ratio("stone")
-
-
 # ---- 4
 
 def test_secret_scan(spark, empty):
