@@ -274,21 +274,32 @@ def test_ball_tree(spark, scale):
     x = (r.integers(-9, 10, (600, 6)) / 8 * scale).round(4)
     x[50:60] = x[40]
     rows = [(int(k), [float(v) for v in row]) for k, row in enumerate(x)]
-    odd_rows = [(700, None), (800, [1.0, None] + [0.0] * 4), (900, [float("nan")] * 6), (1000, [float("inf")] * 6), (None, rows[0][1]), (1100, [1.0, 2.0]), (1101, [2.0, 2.0])]
-    vectors = spark.createDataFrame([(i, v, 1, "x") for i, v in rows + odd_rows], "vec_id long, embedding array<double>, label int, score string")
-    got = {}
-    for h in ball_tree.top_k(vectors, 5, 100, shard_rows=90, block_rows=2).orderBy("query_id", "rank").collect():
-        got.setdefault(h.query_id, []).append((h.rank, h.vec_id, h.score))
-    ints = {i: [math.floor(1024 * v) for v in row] for i, row in rows} | {1100: [1024, 2048], 1101: [2048, 2048]}
-    expected = {}
-    for q in ints:
+    # vectors of other lengths and of none, and ids that stand in several rows
+    used = [*rows, (1100, [1.0, 2.0]), (1101, [2.0, 2.0]), (1200, []), (1300, []), (1301, []), (100, rows[7][1]), (200, rows[200][1]), (200, rows[200][1]), (1200, [3.0, 1.0])]
+    unused = [(700, None), (800, [1.0, None] + [0.0] * 4), (900, [float("nan")] * 6), (1000, [float("inf")] * 6), (None, rows[0][1])]
+    vectors = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in used + unused], "vec_id long, embedding array<double>, label int, score string, row int")
+    ints = [(i, [math.floor(1024 * v) for v in row]) for i, row in used]
+    expected = []
+    for n, (q, own) in enumerate(ints):
         if q % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:5]
-            expected[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == expected
+            best = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for m, (i, v) in enumerate(ints) if m != n and len(v) == len(own))[:5]
+            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for sizes in ({"shard_rows": 90, "block_rows": 2}, {"shard_rows": 40, "block_rows": 3, "pack": 2, "sample_rows": 64}, {}):
+        got = ball_tree.top_k(vectors, 5, 100, **sizes).collect()
+        assert sorted(map(tuple, got)) == sorted(expected)
     assert ball_tree.top_k(vectors.limit(0)).isEmpty()
 
 
+def test_cells_keep_equal_vectors_together():
+    r = np.random.default_rng(1)
+    points = np.concatenate([r.normal(size=(200, 3)), np.ones((100, 3)), r.normal(size=(100, 3)) + 9])
+    planes = ball_tree.cut_planes(points, 20)
+    cells = ball_tree.cell_of(points, planes)
+    assert len(set(cells[200:300])) == 1 and len(set(cells)) == len(planes[1]) + 1
+    assert all((cells == c).sum() <= 20 for c in set(cells) - set(cells[200:300]))
+    assert not len(ball_tree.cut_planes(np.ones((50, 2)), 10)[1]) and ball_tree.cell_of(points, None).max() == 0
+
+
 # ---- 8
 
 ITEM = "which ancient harbour city first traded amber with northern sailors before the great flood of stone walls"
