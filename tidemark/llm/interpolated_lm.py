@@ -9,7 +9,8 @@ Counts cover the whole corpus and nobody holds them whole. Documents become bloc
 size, each with its own sorted vocabulary. A block asks for the counts of its distinct n-grams, one
 request per range of n-gram hashes; a range gathers the requests of all blocks, adds them up and answers
 each in the order asked, so that answers carry no keys. As every block names an n-gram once,
-a frequent one weighs no more than a rare one.
+a frequent one weighs no more than a rare one. There are as many ranges as blocks, and both are dealt to
+tasks by their number, so that a range and a task stay the same size however many texts there are.
 """
 
 from __future__ import annotations
@@ -257,10 +258,12 @@ def score_texts(docs: DataFrame, order: int = 2, folds: int = 10, held_out: int
     one is zero.
     """
     spark = docs.sparkSession
-    ranges = 4 * partitions(spark, 16)
     blocks = written(token_blocks(docs, folds, tuning, block_tokens), "token-blocks")
+    # a range is as large as a block, and a task works off about four of them, whatever the size of the corpus
+    ranges = max(16, blocks.count())
+    tasks = max(partitions(spark), -(-ranges // 4))
     asked = blocks.mapInArrow(_requests(order, held_out, tuning, ranges), _REQUEST)
-    answers = written(asked.groupBy("range").applyInArrow(_answer, _ANSWER), "ngram-counts")
+    answers = written(asked.repartition(tasks, "range").groupBy("range").applyInArrow(_answer, _ANSWER), "ngram-counts")
     totals = answers.where("block = -1 and n = 0").agg(F.sum("distinct"), F.sum("distinct_base")).first()
     distinct, distinct_base = totals[0] or 0, totals[1] or 0
     sizes = {(r["base"], r["tuned"]): (r["texts"], r["tokens"]) for r in blocks.mapInArrow(_sizes(held_out, tuning), "base boolean, tuned boolean, texts long, tokens long").groupBy("base", "tuned").agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens")).collect()}
@@ -272,7 +275,8 @@ def score_texts(docs: DataFrame, order: int = 2, folds: int = 10, held_out: int
         codes, n = np.unique(_cells(p, bucket), return_counts=True)
         return pa.table({"cell": pa.array(codes), "n": pa.array(n.astype(np.int64))})
 
-    own_blocks, own_answers = blocks.where("tuning").groupBy("block"), answers.where("tuning").groupBy("block")
+    by_block = lambda some: some.repartition(tasks, "block").groupBy("block")
+    own_blocks, own_answers = by_block(blocks.where("tuning")), by_block(answers.where("tuning"))
     cells = own_blocks.cogroup(own_answers).applyInArrow(tune, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # bounded by the number of cells
     weights = learn_weights(_decoded(cells["cell"].to_numpy(np.int64), order, 1.0 / (distinct_base + 1)), cells["n"].to_numpy(float), order + 1)
 
@@ -291,7 +295,7 @@ def score_texts(docs: DataFrame, order: int = 2, folds: int = 10, held_out: int
         columns = [row["doc_ids"], own.folds == held_out, own.lengths, add(c > 0).astype(np.int64), np.full(len(own.lengths), all_tokens), add(base), add(np.log10(np.maximum(mixed, 1e-300)))]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(score, out)
+    return by_block(blocks).cogroup(by_block(answers.where("block >= 0"))).applyInArrow(score, out)
 
 
 def _sizes(held_out: int, tuning: int):
