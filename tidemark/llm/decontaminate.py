@@ -188,5 +188,6 @@ def _pass(docs: DataFrame, items: list[list[str]], names: list, schema: T.Struct
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` whose text copies no benchmark item; rows with a null doc_id are judged by text too."""
-    bad = written(contaminated(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), benchmark, **settings).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["doc_id"], "left_anti")
+    key = lambda: F.md5(F.coalesce(docs["text"], F.lit("")))
+    bad = written(contaminated(docs.select(key().alias("doc_id"), "text"), benchmark, **settings).select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    return docs.join(bad, key() == bad["__key"], "left_anti")

@@ -1,9 +1,10 @@
 """Secret scanning with a random forest that removes false positives, in DataFrame operations only.
 
-Candidates are runs of 16 or more key characters that hold a digit. The forest looks at a candidate's
-length and character mix, the transitions between characters, how much of it the corpus's own frequent
-words cover, whether it stands in a path, and the words beside it. It is trained on labelled
-findings; ``labelled_findings`` makes a set of them by rule.
+Candidates are taken widely: runs of 16 or more key characters that hold a digit, keys with an issuer's prefix, and
+whatever of 6 or more characters is assigned to a word that announces a secret (``password=``, ``token: "``, ...).
+The forest looks at a candidate's length and character mix, the transitions between characters, how much of it
+the corpus's own frequent words cover, whether it stands in a path, and the words beside it. It is trained on
+labelled findings; ``labelled_findings`` makes a set of them by rule.
 """
 
 from __future__ import annotations
@@ -19,15 +20,28 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
-#: A candidate: starts where no key character stands before it, and holds a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-_SECRET_WORD = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_\- ]?key|auth(orization)?|credentials?|bearer|private[_\- ]?key|access[_\- ]?key|client[_\- ]?key)[^A-Za-z0-9]{0,6}$"
+_KEY = r"[A-Za-z0-9+/_\-]"
+_SECRET = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\- ]?key|auth(?:orization)?|credentials?|(?:private|access|client|secret)[_\- ]?key)"
+#: A word that announces a secret, and what stands between it and the value.
+_ASSIGNED = rf"(?i:{_SECRET}[\"'`]?\s*+(?:(?::=|=>|->|==?|:)\s*+[\"'`]?|[\"'`]|(?:is|was)\s++[\"'`]?)|\b(?:bearer|basic)\s++)"
+#: An assigned value: up to eight words that a quote closes, or all up to a blank, a quote or a bracket.
+_QUOTED = r"(?<={0})(?=[^{0}\r\n]{{6}})[^\s{0}]++(?:[ \t][^\s{0}]++){{0,7}}+(?={0})"
+_VALUE = rf"(?:{_QUOTED.format(chr(34))}|{_QUOTED.format(chr(39))}|[^\s\"'`,;<>(){{}}\[\]]{{5,}}[^\s\"'`,;<>(){{}}\[\].:?])"
+#: A key with an issuer's prefix, with or without digits; dots for signed tokens.
+_PREFIXED = rf"(?<!{_KEY})(?:(?:AKIA|ASIA)[A-Z0-9]{{16,}}+|AIza{_KEY}{{16,}}+|gh[pousr]_{_KEY}{{16,}}+|glpat-{_KEY}{{12,}}+|xox[abprs]-{_KEY}{{10,}}+|sk_(?:live|test)_{_KEY}{{10,}}+|eyJ{_KEY}{{8,}}+(?:\.{_KEY}++){{1,4}}+)"
+#: A run of key characters with a digit, unless it ends as a word that has a value of its own.
+_RUN = rf"(?<!{_KEY})(?=[A-Za-z+/_\-]*+[0-9]){_KEY}{{16,}}+(?<!(?i:word|passwd|phrase|pwd|secret|token|key))={{0,2}}"
+CANDIDATE = rf"{_ASSIGNED}{_VALUE}|{_PREFIXED}|{_RUN}"
+_SECRET_WORD = rf"(?i)({_SECRET}|bearer|basic)[^A-Za-z0-9]{{0,6}}((is|was)\s+[\"'`]?)?$"
+_PASSWORD_WORD = r"(?i)(pass(word|wd|phrase)?|pwd)[^A-Za-z0-9]{0,6}((is|was)\s+[\"'`]?)?$"
 _PLAIN_WORD = r"(?i)(commit|revision|sha-?[0-9]*|md5|checksum|hash|digest|uuid|guid|etag|id|doi|isbn|serial|order|invoice|number|build|version|ref|card|account)[^A-Za-z0-9]{0,6}$"
 _UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 _ISSUED = r"^(AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abprs]-|sk_(live|test)_|eyJ)"
+#: What stands for a value that is not given.
+_STAND_IN = r"(?i)^([*xX.#_\-]+|[<$%{].*|.*[>})]|.*\.env\..*|none|null|nil|true|false|undefined|unknown|required|optional|example|your.*|my.*here|.*placeholder.*|change.?me|redacted|hidden|string|varchar.*)$"
 FEATURES = (
-    "size", "digits", "uppers", "lowers", "hexes", "marks", "distinct", "turns", "letter_pairs", "longest_word",
-    "coverage", "slashes", "in_path", "secret_word", "plain_word", "assigned", "quoted", "issued", "uuid", "numeric",
+    "size", "digits", "uppers", "lowers", "hexes", "marks", "others", "blanks", "distinct", "turns", "letter_pairs", "longest_word",
+    "coverage", "slashes", "in_path", "secret_word", "password_word", "plain_word", "assigned", "quoted", "issued", "uuid", "numeric", "stand_in",
 )
 
 
@@ -37,13 +51,17 @@ def candidates(docs: DataFrame) -> DataFrame:
     Characters count from 0. Null and empty texts have none. A repeated row has its candidates again.
     """
     held = docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
-    split = held.select("doc_id", "row", F.xxhash64("text").alias("text_hash"), F.split("text", CANDIDATE, -1).alias("around"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
-    each = split.select("doc_id", "row", "text_hash", "around", F.posexplode("found").alias("nth", "value"))
+    split = held.select("doc_id", "row", F.md5("text").alias("text_hash"), F.split("text", CANDIDATE, -1).alias("around"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    each = split.select("doc_id", "row", "text_hash", "around", F.posexplode("found").alias("nth", "whole"))
     before, after = F.get("around", F.col("nth")), F.get("around", F.col("nth") + 1)
-    each = each.select("doc_id", "row", "text_hash", "nth", "value", F.length(before).alias("gap"), F.right(before, F.lit(48)).alias("left"), F.left(after, F.lit(24)).alias("right"))
+    # an assigned value is judged without the word that announces it, which stands to its left
+    value = F.regexp_replace("whole", rf"^{_ASSIGNED}", "")
+    each = each.select("row", "doc_id", "text_hash", "nth", "whole", value.alias("value"), F.length(before).alias("gap"), F.right(before, F.lit(48)).alias("before"), F.left(after, F.lit(24)).alias("right"))
     order = Window.partitionBy("row").orderBy("nth")  # one text's candidates
-    end = F.sum(F.col("gap") + F.length("value")).over(order)
-    return each.withColumn("end_char", end).select("doc_id", "text_hash", (F.col("end_char") - F.length("value")).alias("start_char"), "end_char", "value", "left", "right")
+    end = F.sum(F.col("gap") + F.length("whole")).over(order)
+    announced = F.concat("before", F.expr("left(whole, length(whole) - length(value))"))
+    each = each.withColumn("end_char", end).withColumn("left", F.right(announced, F.lit(48)))
+    return each.select("doc_id", "text_hash", (F.col("end_char") - F.length("value")).alias("start_char"), "end_char", "value", "left", "right")
 
 
 def corpus_dictionary(docs: DataFrame, least_share: float = 1e-3) -> DataFrame:
@@ -74,6 +92,7 @@ def features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(F.regexp_extract_all("value", F.lit("[A-Za-z]+"), F.lit(0)), F.length))
     columns: dict[str, Column] = {
         "size": F.least(size, F.lit(128.0)), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"), "hexes": share("[0-9a-f]"), "marks": share(r"[+/_\-]"),
+        "others": share(r"[^A-Za-z0-9+/_\-\s]"), "blanks": share(r"\s"), "stand_in": flag(v.rlike(_STAND_IN)), "password_word": flag(F.col("left").rlike(_PASSWORD_WORD)),
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(size, F.lit(64.0)),
         "turns": share("[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])"), "letter_pairs": share("[a-z](?=[a-z])|[A-Z](?=[A-Z])"),
         "longest_word": F.coalesce(F.least(longest, F.lit(64)), F.lit(0)).cast("double"), "slashes": F.least(F.regexp_count("value", F.lit("/")), F.lit(8)).cast("double"),
@@ -85,47 +104,67 @@ def features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     return _coverage(found, dictionary).withColumns(columns)
 
 
-def labelled_findings(spark: SparkSession, rows: int = 4096) -> DataFrame:
-    """value, left, right, label: findings made by rule from hashes of their numbers, half of them secrets.
+def labelled_findings(spark: SparkSession, rows: int = 8192, words: tuple[str, ...] = ()) -> DataFrame:
+    """value, left, right, label: findings made by rule from hashes of their numbers, about half of them secrets.
 
-    Secrets: issued keys anywhere; random strings of several alphabets beside a word that announces
-    them. Others: digests, identifiers and numbers beside words that announce those or nothing, paths, links,
-    names with versions, and words of several parts with a year.
+    Secrets: issued and signed keys anywhere; random strings of several alphabets, passwords and pass phrases beside
+    a word that announces them. Others: digests, identifiers and numbers beside words that announce those or nothing,
+    paths, links, names with versions; and, announced as secrets, plain words, stand-ins, paths and expressions.
+    ``words`` are common words of the corpus, for names and phrases.
     """
-    n = F.col("id")
-    hexes = F.concat(F.sha2(F.concat(F.lit("a"), n.cast("string")), 256), F.sha2(F.concat(F.lit("b"), n.cast("string")), 256))
-    size = lambda lo, hi: (F.pmod(F.xxhash64("id", F.lit(lo)), F.lit(hi - lo + 1)) + lo).cast("int")
+    n, own = F.col("id"), (*words, "report", "release", "backup", "session", "dataset", "winter", "garden", "market", "letter", "station", "people", "number")
+    draw = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
+    pick = lambda salt, *of: F.element_at(F.array(*map(F.lit, of)), draw(salt, len(of)) + 1)
+    size = lambda lo, hi: draw(lo, hi - lo + 1) + lo
     part = lambda text, length: F.substring(text, F.lit(1), length)
-    upper = F.translate(hexes, "0123456789abcdef", "7QX2ZKM5JDW4RTHN")
+    word = lambda salt: pick(salt, *own)
+    hexes = F.concat(*(F.sha2(F.concat(F.lit(x), n.cast("string")), 256) for x in "abc"))
+    upper, digits = F.translate(hexes, "0123456789abcdef", "7QX2ZKM5JDW4RTHN"), F.translate(hexes, "abcdef", "123456")
+    letters = F.translate(hexes, "0123456789abcdef", "qGtbVnZkRmWxpLsd")
     mixed = F.regexp_replace(F.base64(F.unhex(hexes)), "[+/=]", "")
-    pick = lambda *words: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(len(words))) + 1).cast("int"))
-    name = lambda: F.concat(pick("report", "release", "backup", "invoice", "session", "dataset", "model"), F.lit("_"), pick("final", "draft", "daily", "north", "archive"), F.lit("_version_20"), part(F.translate(hexes, "abcdef", "123456"), F.lit(2)))
-    keyword = pick("password=", "passwd: ", "token = \"", "secret: '", "api_key=", "API_KEY = \"", "auth token ", "access_key: ", "client_key=\"", "pwd=")
-    end = pick("", "", "\" ", "' ", "", "\"", " ", " ", "\"", "")
-    plain = pick("commit ", "sha256: ", "md5=", "checksum ", "uuid ", "id=", "order ", "revision ", "etag: \"", "build ", "digest = \"", "number ")
-    prose = pick(" and the ", "see also ", "was found in ", "then ", "", "with ")
+    marked = F.translate(mixed, "aeiAEIswq", "!@#$%^&*?")
+    name = F.concat(word(5), F.lit("_"), word(6), pick(7, "_version_20", "_v1_", "-20", "_"), part(digits, F.lit(2)))
+    prose = pick(8, " and the ", "see also ", "was found in ", "then ", "", "with ")
+    keyword = pick(9, "password=", "passwd: ", "token = \"", "secret: '", "api_key=", "API_KEY = \"", "Authorization: ", "access_key: ", "client_key=\"", "pwd=", "Bearer ", "secret is ")
+    secret_end = pick(9, "", "", "\" ", "' ", "", "\"", " ", " ", "\"", "", " ", " ")
+    password = pick(10, "password=", "password: ", "passwd = \"", "pwd=", "Password: '", "pass=", "the password is ", "PASSWORD=\"", "passphrase: \"")
+    password_end = pick(10, "", " ", "\"", ";", "' ", "&", " ", "\"", "\" ")
+    phrase_start, phrase_end = pick(11, "passphrase = \"", "password: \"", "pass phrase is \"", "secret='"), pick(11, "\"", "\" ", "\"", "'")
+    plain = pick(12, "commit ", "sha256: ", "md5=", "checksum ", "uuid ", "id=", "order ", "revision ", "etag: \"", "build ", "digest = \"", "number ")
+    said = pick(13, "password: ", "the token: ", "secret: ", "a token is ", "the password is ", "token=", "Password: \"", "authorization: ", "basic ", "the secret was ")
     uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
-    digits = F.translate(hexes, "abcdef", "123456")
+    phrase = F.replace(F.concat_ws(" ", word(15), word(16), word(17), word(18)), F.lit(" "), pick(14, " ", "-", " ", "_"))
     kinds = [
-        (1, F.concat(F.lit("AKIA"), part(upper, F.lit(16))), prose, F.lit(" in")),
-        (1, part(hexes, size(16, 40)), keyword, end),
-        (1, part(mixed, size(20, 44)), keyword, end),
-        (1, F.concat(pick("ghp_", "xoxb-", "sk_live_", "glpat-", "AIza"), part(mixed, size(24, 36))), pick(" ", "token: ", "key=", "use "), F.lit(" ")),
+        (1, F.concat(pick(19, "AKIA", "ASIA"), part(upper, F.lit(16))), prose, F.lit(" in")),
+        (1, part(hexes, size(16, 64)), keyword, secret_end),
+        (1, part(mixed, size(20, 44)), keyword, secret_end),
+        (1, F.concat(pick(20, "ghp_", "gho_", "xoxb-", "sk_live_", "glpat-", "AIza"), part(F.when(n % 3 == 0, letters).otherwise(mixed), size(24, 36))), pick(21, " ", "token: ", "key=", "use "), F.lit(" ")),
         (1, part(hexes, F.lit(40)), F.lit("token = \""), F.lit("\" ")),
         (1, F.concat(part(mixed, size(18, 30)), F.lit("0x9")), F.concat(prose, F.lit("the secret ")), F.lit(" ")),
+        (1, F.concat(F.when(n % 2 == 0, F.initcap(word(22))).otherwise(word(22)), part(digits, size(1, 4)), pick(23, "", "", "!", "@", "#", "$x", "?!")), password, password_end),
+        (1, part(F.when(n % 2 == 0, marked).otherwise(mixed), size(7, 15)), password, password_end),
+        (1, phrase, phrase_start, phrase_end),
+        (1, F.concat(F.lit("eyJhbGciOi"), part(mixed, size(10, 20)), F.lit(".eyJ"), F.substring(mixed, 3, 30), F.lit("."), F.substring(mixed, 20, 40)), pick(24, "Bearer ", " ", "token=", "jwt "), F.lit(" ")),
+        (1, part(letters, size(16, 36)), keyword, secret_end),
+        (1, part(marked, size(16, 30)), keyword, secret_end),
         (0, part(hexes, F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), (n % 3 + 1).cast("int"))), plain, F.lit(" ")),
-        (0, F.when(n % 2 == 0, uuid).otherwise(part(hexes, F.lit(40))), F.concat(prose, pick("id ", "uuid: ", "", "ref ")), F.lit(" ")),
-        (0, F.concat(F.lit("usr/share/"), name()), F.lit(" /"), F.lit(".txt")),
-        (0, F.concat(F.lit("articles/20"), part(digits, F.lit(2)), F.lit("/"), name()), F.lit("https://www.example.com/"), F.lit("/")),
-        (0, part(digits, size(16, 24)), F.concat(prose, pick("card ", "account ", "", "order number ", "call ")), F.lit(" ")),
-        (0, F.concat(name(), F.lit("-rev"), part(digits, F.lit(1))), prose, F.lit(", ")),
-    ]
-    rows_ = spark.range(rows)
-    case = lambda k: reduce(lambda a, x: a.when(n % len(kinds) == x[0], x[1][k]), list(enumerate(kinds))[1:], F.when(n % len(kinds) == 0, kinds[0][k]))
-    return rows_.select(case(1).alias("value"), case(2).alias("left"), case(3).alias("right"), reduce(lambda a, x: a.when(n % len(kinds) == x[0], F.lit(x[1][0])), list(enumerate(kinds))[1:], F.when(n % len(kinds) == 0, F.lit(kinds[0][0]))).cast("double").alias("label"))
-
-
-def train(findings: DataFrame, dictionary: DataFrame, trees: int = 40, depth: int = 7, seed: int = 11) -> PipelineModel:
+        (0, F.when(n % 2 == 0, uuid).otherwise(part(hexes, F.lit(40))), F.concat(prose, pick(25, "id ", "uuid: ", "", "ref ")), F.lit(" ")),
+        (0, F.concat(F.lit("usr/share/"), name), F.lit(" /"), F.lit(".txt")),
+        (0, F.concat(F.lit("articles/20"), part(digits, F.lit(2)), F.lit("/"), name), F.lit("https://www.example.com/"), F.lit("/")),
+        (0, part(digits, size(16, 24)), F.concat(prose, pick(26, "card ", "account ", "", "order number ", "call ")), F.lit(" ")),
+        (0, F.concat(word(27), F.lit("-"), name, F.lit("-rev"), part(digits, F.lit(1))), prose, F.lit(", ")),
+        (0, F.concat(word(28), F.when(n % 3 == 0, word(29)).otherwise(F.lit(""))), said, pick(30, " ", " and", " ", "\"")),
+        (0, pick(31, "********", "xxxxxxxx", "required", "optional", "<password>", "${DB_PASSWORD}", "process.env.TOKEN", "undefined", "changeme", "your-token-here", "REDACTED", "string", "example"), F.when(n % 2 == 0, said).otherwise(password), F.lit(" ")),
+        (0, F.concat(pick(32, "/var/run/", "/etc/", "../", "https://www."), word(33), pick(34, "/", ".example.com/", "/conf/"), name), F.when(n % 2 == 0, said).otherwise(keyword), F.lit(" ")),
+        (0, F.concat(pick(35, "request.", "os.environ", "config.", "self.", "get"), pick(36, "token", "getenv", "password", "read", "value")), F.when(n % 2 == 0, said).otherwise(keyword), pick(37, "(", "[", "()", ";")),
+        (0, F.concat(word(38), F.lit(" "), word(39), F.lit(" "), pick(40, "must be", "has to be", "is not", "can be", "will be"), F.lit(" "), word(41), F.lit(" "), pick(42, "again", "here", "soon", "there")), F.lit("the password: \""), F.lit("\"")),
+        (0, F.replace(F.concat(F.lit("20"), part(digits, F.lit(2)), F.lit(" "), word(44), F.lit(" "), word(45)), F.lit(" "), pick(43, "-", "/", "_")), F.concat(prose, pick(46, "", "file ", "see ", "token ")), F.lit(" ")),
+    ]
+    part_of = lambda k, x: spark.range(k, rows, len(kinds), 1).select(x[1].alias("value"), x[2].alias("left"), x[3].alias("right"), F.lit(float(x[0])).alias("label"))
+    return reduce(DataFrame.unionByName, (part_of(k, x) for k, x in enumerate(kinds)))
+
+
+def train(findings: DataFrame, dictionary: DataFrame, trees: int = 60, depth: int = 9, seed: int = 11) -> PipelineModel:
     """A forest from labelled ``findings`` (value, left, right, label 0/1)."""
     rows = features(findings, dictionary)
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="__features"), RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)]).fit(rows)
@@ -138,7 +177,10 @@ def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     Null and empty texts give no rows, an empty table none. Columns besides doc_id and text are not read.
     """
     dictionary = corpus_dictionary(docs)
-    model = train(labelled_findings(docs.sparkSession) if findings is None else findings, dictionary)
+    if findings is None:
+        some = dictionary.where("length(word) > 3").orderBy(F.xxhash64("word")).limit(64).collect()
+        findings = labelled_findings(docs.sparkSession, words=tuple(r["word"] for r in some))
+    model = train(findings, dictionary)
     judged = model.transform(features(candidates(docs), dictionary)).withColumn("score", F.element_at(vector_to_array("probability"), 2))
     kind = F.when(F.col("issued") > 0, "issued key").when(F.col("uuid") > 0, "uuid").when(F.col("numeric") > 0, "number").when(F.col("hexes") + F.col("marks") >= 0.999, "hexadecimal").otherwise("mixed")
     return judged.select("doc_id", "text_hash", F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char"), "value", kind.alias("kind"), "score", (F.col("score") >= 0.5).alias("is_secret"))
@@ -151,7 +193,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", findings: DataFrame | None =
     """
     found = scan(docs, findings).where("is_secret").groupBy("text_hash").agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("order"), "value"))).alias("__secrets"))
     found = written(found, "secrets").withColumnRenamed("text_hash", "__hash")
-    joined = docs.join(found, F.xxhash64(docs["text"]) == F.col("__hash"), "left")
+    joined = docs.join(found, F.md5(docs["text"]) == F.col("__hash"), "left")
     clean = F.aggregate("__secrets", F.col("text"), lambda text, x: F.replace(text, x["value"], F.lit(mark)))
     joined = joined.withColumn("text", F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:

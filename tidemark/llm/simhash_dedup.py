@@ -12,6 +12,7 @@ exact Hamming distance, inside the join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,26 +26,33 @@ from tidemark.llm.components import components
 SEGMENTS = 32
 
 
-def fingerprint(text: bytes, words_per_shingle: int = 4, seed: int = 42) -> int:
-    """Bit i is set if it is set in over half the XXH64 values of the text's word shingles.
-
-    Words are split at ASCII white space after lower-casing A-Z. Fewer words than a shingle: the whole
-    sequence is one shingle. No words: 0.
-    """
+def shingle_hashes(words: list[bytes], words_per_shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of so many words, repeats included. Fewer words: the whole sequence is one; none: none."""
     from xxhash import xxh64_intdigest
 
-    words = ascii_words(text)
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - words_per_shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    ends = ends[-n:].tolist()
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[-n:].tolist(), strict=True)), np.uint64, n)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes; 0 for none."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
-        hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[at : at + 4096], ends[at : at + 4096], strict=True)], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    for at in range(0, len(hashes), 4096):
+        counts += np.unpackbits(hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, words_per_shingle: int = 4, seed: int = 42) -> int:
+    """Bit i is set if it is set in over half the XXH64 values of the text's word shingles.
+
+    Words are split at ASCII white space after lower-casing A-Z. Fewer words than a shingle: the whole
+    sequence is one shingle. No words: 0.
+    """
+    return majority_bits(shingle_hashes(ascii_words(text), words_per_shingle, seed))
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -75,11 +83,18 @@ def _groups(max_bits: int) -> list[tuple[list[int], int]]:
     return [([int(s) for s in part], int(k < ones)) for k, part in enumerate(np.array_split(np.arange(SEGMENTS), n))]
 
 
-def near_pairs(fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Rows (fp_a, fp_b, bits), fp_a < fp_b, of distinct fingerprints ``fps`` (fp) within max_bits bits."""
+def near_pairs(fps: DataFrame, max_bits: int = 4, alike: float | None = None) -> DataFrame:
+    """Rows (fp_a, fp_b, bits), fp_a < fp_b, of distinct fingerprints ``fps`` (fp) within max_bits bits.
+
+    With ``alike``, ``fps`` has a positive ``size`` too, and the lesser of a pair's sizes is at least that share of the
+    other: the size's logarithm is one more coordinate of the grid.
+    """
     if not 0 <= max_bits <= 32:
         raise ValueError("max_bits must lie between 0 and 32")
-    points = fps.select("fp", popcount_embedding(F.col("fp")).alias("point"))
+    size = F.col("size").cast("double") if alike else F.lit(1.0)
+    # two units a cell; sizes that are alike are at most one apart, so the next cell on the nearer side is enough
+    spot = F.log(size) / (2.0001 * math.log(1 / alike)) if alike else F.lit(0.0)
+    points = fps.select("fp", popcount_embedding(F.col("fp")).alias("point"), size.alias("size"), F.floor(spot).alias("level"), (F.round(spot) * 2 - F.floor(spot) - 1).cast("long").alias("next"))
     own, met = [], []
     for g, (segments, radius) in enumerate(_groups(max_bits)):
         cell = F.col("point").bitwiseAND(F.lit(_signed(sum(3 << 2 * s for s in segments))))
@@ -90,11 +105,15 @@ def near_pairs(fps: DataFrame, max_bits: int = 4) -> DataFrame:
             count = F.shiftrightunsigned("point", 2 * s).bitwiseAND(F.lit(3))
             for flip, other in ((1, 2), (3, 0)):
                 met.append(F.when(count != other, F.struct(F.lit(g).alias("g"), cell.bitwiseXOR(F.lit(_signed(flip << 2 * s))).alias("cell"))))
-    a = points.select(F.col("fp").alias("fp_a"), F.inline(F.array(*own)))
-    b = points.select(F.col("fp").alias("fp_b"), F.inline(F.array_compact(F.array(*met))))
+    a = points.select(F.col("fp").alias("fp_a"), F.col("size").alias("size_a"), "level", F.inline(F.array(*own)))
+    levels = F.explode(F.array("level", "next") if alike else F.array("level"))
+    b = points.select("fp", "size", "point", levels.alias("level")).select(F.col("fp").alias("fp_b"), F.col("size").alias("size_b"), "level", F.inline(F.array_compact(F.array(*met))))
     bits = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    joined = a.join(b, (a["g"] == b["g"]) & (a["cell"] == b["cell"]) & (F.col("fp_a") < F.col("fp_b")) & (bits <= max_bits))
-    return joined.select("fp_a", "fp_b", bits.alias("bits")).distinct()
+    same = (a["g"] == b["g"]) & (a["cell"] == b["cell"]) & (a["level"] == b["level"])
+    near = (F.col("fp_a") < F.col("fp_b")) & (bits <= max_bits)
+    if alike:
+        near = near & (F.least("size_a", "size_b") >= alike * F.greatest("size_a", "size_b"))
+    return a.join(b, same & near).select("fp_a", "fp_b", bits.alias("bits")).distinct()
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 4, words_per_shingle: int = 4) -> DataFrame:
@@ -116,10 +135,76 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, words_per_shingle: int =
     return fps.join(written(classes, "classes"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def keep_one_each(docs: DataFrame, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group; all columns stay.
+_CLASS = "cls binary, fp long, size long"
+
+
+def text_classes(docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """doc_id, cls (a 128-bit hash of all words), fp and size (number of different shingles) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in in_slices(batches):
+            cls, fps, sizes = [], [], []
+            for text in texts_as_bytes(batch):
+                words = ascii_words(text)
+                hashes = shingle_hashes(words, words_per_shingle)
+                cls.append(xxh3_128_digest(b" ".join(words)))
+                fps.append(majority_bits(hashes))
+                sizes.append(len(np.unique(hashes)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())], names=["doc_id", "cls", "fp", "size"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_CLASS}")
+
 
-    Rows that repeat that doc_id stay too. A null doc_id is its own group's only member if it has none.
+def _shingle_sets(docs: DataFrame, classes: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(cls, shingles) of ``classes`` (rep, cls), from the texts of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in in_slices(batches, 64):
+            words = [ascii_words(t) for t in texts_as_bytes(batch)]
+            # another row with the same doc_id has another class
+            own = [k for k, (w, cls) in enumerate(zip(words, batch.column(0).to_pylist(), strict=True)) if xxh3_128_digest(b" ".join(w)) == cls]
+            sets = [np.unique(shingle_hashes(words[k], words_per_shingle)).view(np.int64) for k in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "shingles"])
+
+    texts = docs.select("doc_id", "text").join(classes.select(F.col("rep").alias("doc_id"), "cls"), "doc_id").select("cls", "text")
+    return texts.mapInArrow(run, "cls binary, shingles array<long>").dropDuplicates(["cls"])
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, max_bits: int = 10) -> DataFrame:
+    """(doc_id, group) of every row with a doc_id: the smallest doc_id reachable over links between texts whose sets of
+    word shingles have that Jaccard similarity or more.
+
+    Candidates are classes of equal texts within ``max_bits`` bits of each other, by the grid of ``near_pairs``, and of
+    sizes that the similarity allows; each is verified on the shingles themselves. Texts of one fingerprint are
+    verified against the one with the smallest doc_id. Two texts of the least similarity differ in about ten bits, so
+    that of the links at that edge some are not met; of texts that are nearly the same, none.
+    """
+    rows = written(text_classes(docs.where("doc_id is not null"), words_per_shingle), "texts")
+    classes = written(rows.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("size").alias("size")), "classes")
+    leads = written(classes.groupBy("fp").agg(F.min(F.struct("rep", "cls", "size")).alias("lead")).select("fp", "lead.*").withColumn("size", F.greatest("size", F.lit(1))), "leads")
+    near = near_pairs(leads, max_bits, similarity)
+    a, b = (leads.select(F.col("fp").alias(f"fp_{x}"), F.col("rep").alias(u), F.col("cls").alias(f"cls_{x}")) for x, u in (("a", "u"), ("b", "v")))
+    same = classes.select("fp", F.col("rep").alias("v"), F.col("cls").alias("cls_b")).join(a.withColumnRenamed("fp_a", "fp"), "fp").where("cls_a <> cls_b")
+    pairs = written(near.join(a, "fp_a").join(b, "fp_b").select("u", "v", "cls_a", "cls_b").unionByName(same.select("u", "v", "cls_a", "cls_b")), "candidates")
+    asked = pairs.select(F.col("u").alias("rep"), F.col("cls_a").alias("cls")).unionByName(pairs.select(F.col("v").alias("rep"), F.col("cls_b").alias("cls"))).distinct()
+    sets = written(_shingle_sets(docs, asked, words_per_shingle), "shingles")
+    both = pairs.join(sets.toDF("cls_a", "a"), "cls_a").join(sets.toDF("cls_b", "b"), "cls_b")
+    shared = F.size(F.array_intersect("a", "b"))
+    links = both.select("u", "v", shared.alias("n"), (F.size("a") + F.size("b") - shared).alias("all")).where(F.col("n") >= similarity * F.col("all") - 1e-9).select("u", "v")
+    linked = components(links)
+    named = classes.join(linked, classes["rep"] == linked["node"], "left").select("cls", F.coalesce("component", "rep").alias("group"))
+    return rows.select("doc_id", "cls").join(written(named, "groups"), "cls").select("doc_id", "group")
+
+
+def keep_one_each(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, max_bits: int = 10) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group of similar texts; all columns stay.
+
+    Rows that repeat that doc_id stay too, and so do all rows without one. Null and empty texts are alike. An empty
+    table gives an empty one.
     """
-    found = near_duplicates(docs, max_bits).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    found = similar_groups(docs, similarity, words_per_shingle, max_bits).where(F.col("doc_id") == F.col("group")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

@@ -217,21 +217,21 @@ class WordRatios:
         """Of each text: mean log-likelihood ratio a word; the share and mean excess of words that speak clearly for
         toxic; the three clearest of its different words. NaN for a text without words."""
         out, memory = [], self.memory
-        for text in texts:
-            words = words_of(text, self.order)
+        split = [words_of(text, self.order) for text in texts]
+        new = list({w for words in split for w in words}.difference(memory))
+        for at in range(0, len(new), AT_ONCE):
+            memory.update(zip(new[at : at + AT_ONCE], self.ratios(new[at : at + AT_ONCE]).tolist(), strict=True))
+        for words in split:
             if not words:
                 out.append([np.nan] * FEATURES)
                 continue
-            new = list(set(words).difference(memory))
-            for at in range(0, len(new), AT_ONCE):
-                memory.update(zip(new[at : at + AT_ONCE], self.ratios(new[at : at + AT_ONCE]).tolist(), strict=True))
             x = np.fromiter(map(memory.__getitem__, words), np.float64, len(words))
             top = np.sort(np.fromiter(map(memory.__getitem__, set(words)), np.float64))[:-4:-1]
-            if len(memory) > REMEMBERED:  # the words met first stay, being the common ones
-                for w in new:
-                    del memory[w]
             strong = np.maximum(x - CLEAR, 0.0)
             out.append([float(np.clip(x, -4.0, 12.0).mean()), float(min(1.0, 10 * (strong > 0).mean())), float(strong.mean()), *np.minimum(12.0, top).tolist(), *[0.0] * (3 - len(top))])
+        if len(memory) > REMEMBERED:  # the words met first stay, being the common ones
+            for w in new:
+                del memory[w]
         return out
 
     def __getstate__(self) -> dict:
