@@ -179,6 +179,26 @@ def test_passages_of_templates_are_whole(spark):
     assert got == brute_repeats({k: split(t) for k, t in enumerate(texts)}, 50)
 
 
+@pytest.mark.parametrize("tasks", [1, 4, 32])
+def test_a_passage_between_popular_parts_of_it_is_found(spark, tasks):
+    r, passage = random.Random(tasks), [f"core{k}" for k in range(50)]
+    own = lambda: [f"o{r.randrange(10**9)}" for _ in range(30)]
+    texts = [" ".join(own() + passage + own()) for _ in range(2)]
+    texts += [" ".join(own() + passage[: r.randint(39, 43)] + own()) for _ in range(300)]
+    texts += [" ".join(own() + passage[-r.randint(38, 42) :] + own()) for _ in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    for k in (5, 305):  # a part quoted by rows that stand there eight times
+        rows += [(k, texts[k])] * 7
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCS)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    try:
+        got = Counter((x.doc_id, x.start_word, x.end_word, x.n_copies) for x in suffix_dedup.repeated_passages(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == Counter({(0, 30, 80, 1): 1, (1, 30, 80, 1): 1} | {(k, 0, len(split(texts[k])), 8): 8 for k in (5, 305)})
+
+
 def test_repeated_passages_of_nothing(empty, spark):
     assert suffix_dedup.repeated_passages(empty).isEmpty()
     assert suffix_dedup.repeated_passages(frame(spark, [], NONE)).isEmpty()
@@ -246,11 +266,12 @@ def test_codes_are_directly_addressable(bits):
 def test_token_store(spark, odd, empty):
     path = scratch_path(spark, "test-store")
     token_store.write_tokens(odd, path, default_tokenizer(), 2, segment_tokens=500)
-    order = sorted(((-1 if r.doc_id is None else r.doc_id, r.text or "", r.text is not None) for r in odd.collect()), key=lambda x: (x[0], x[2], x[1]))
-    ids = [np.array(encode(t, 2), "<u4") for _, t, _ in order]
+    hashed = odd.withColumn("h", F.xxhash64("text")).collect()
+    order = sorted(((-1 if r.doc_id is None else r.doc_id, r.h, r.text or "") for r in hashed))
+    ids = [np.array(encode(t, 2), "<u4") for *_, t in order]
     starts = np.cumsum([0] + [len(x) for x in ids])
     got = sorted((r.start, -1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in token_store.read_documents(spark, path).collect())
-    assert got == [(int(s), d, len(x), zlib.crc32(x.tobytes()), x.tobytes()) for s, (d, _, _), x in zip(starts, order, ids, strict=False)]
+    assert got == [(int(s), d, len(x), zlib.crc32(x.tobytes()), x.tobytes()) for s, (d, *_), x in zip(starts, order, ids, strict=False)]
     flat = np.concatenate(ids)
     asked = [0, 1, 499, 500, 501, len(flat) - 1, len(flat), -1]
     found = {r.pos: r.id for r in token_store.token_at(spark, path, spark.createDataFrame([(p,) for p in asked] + [(None,)], "pos long"), stride=700).collect()}
@@ -354,7 +375,7 @@ def test_decontamination(spark, empty):
     assert 0.6 <= next(r.score for r in got if r.doc_id == 1) < 1
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {2, 4, None, 900, 901, 902, 903}
     assert decontaminate.contaminated(docs, items.limit(0)).isEmpty() and decontaminate.contaminated(empty, items).isEmpty()
-    assert len(decontaminate.contaminated(docs, items, items_a_pass=1).collect()) == len(got)
+    assert len(decontaminate.contaminated(docs, items, items_a_pass=1).collect()) == len(decontaminate.contaminated(docs, items, words_a_pass=20).collect()) == len(got)
 
 
 def test_edited_copies_are_found_as_by_brute_force(spark):
@@ -465,6 +486,68 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in language_id.identify(docs, nothing, "doc_id").collect()} == {"und"}
 
 
+def test_rare_languages_are_learnt(spark):
+    makers = {"en": "the and of with that house water", "de": "der und nicht straße über wasser haus", "xx": "zyq qrx wvu xyzzy kwq"}
+    rows = [(makers[lang], lang) for lang, n in (("en", 3000), ("de", 1000), ("xx", 30)) for _ in range(n)]
+    docs = spark.createDataFrame([(k, prose(k, 12, w.split()), lang, None, None) for k, (w, lang) in enumerate(rows)], DOCS)
+    sample = {r.lang: r.n for r in language_id.sample_by_language(docs, 400, 20).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert 10 <= sample["xx"] <= 30 and 230 <= sample["en"] <= 370 and 70 <= sample["de"] <= 130
+    model = language_id.train(docs, dims=1 << 10, sample_rows=300, least_rows=25)
+    assert model.langs == ["de", "en", "xx"] and model.predict(prose(7, 12, makers["xx"].split()))[0] == "xx"
+
+
+def test_weights_are_those_of_plain_tf_idf(spark):
+    texts = ["Der  Hund", "die Katze und der Hund", "", "日本 語"]
+    dims = 1 << 12
+    n, df = language_id.document_frequencies(spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string"), dims)
+    plain = []
+    for t in texts:
+        chars = f" {' '.join(t.lower().split())} "
+        plain.append(Counter(language_id.ngram_buckets(t, dims).tolist()))
+        assert sum(plain[-1].values()) == 3 * len(chars) - 3
+    assert n == 5 and df.tolist() == [sum(b in c for c in [*plain, plain[2]]) for b in range(dims)]
+    idf = np.where(df > 0, np.log((1.0 + n) / (1.0 + df)) + 1.0, 0.0)
+    at, x = language_id._vector(texts[1], idf, 8.0)
+    assert dict(zip(at.tolist(), x.tolist(), strict=True)) == pytest.approx({b: 8.0 * c / sum(plain[1].values()) * idf[b] for b, c in plain[1].items()} | {dims: 1.0})
+
+
+def test_leader_steps_are_those_of_the_formula():
+    r, alpha, beta, l1, l2 = np.random.default_rng(0), 0.3, 1.0, 0.5, 0.1
+    model = language_id.Ftrl(np.zeros((6, 3)), np.zeros((6, 3)), alpha, beta, l1, l2)
+    z, n = [[0.0] * 3 for _ in range(6)], [[0.0] * 3 for _ in range(6)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= l1:
+            return 0.0
+        return -(z[i][k] - math.copysign(l1, z[i][k])) / ((beta + math.sqrt(n[i][k])) / alpha + l2)
+
+    for _ in range(60):
+        at, y = r.choice(6, 3, replace=False), int(r.integers(3))
+        x = r.random(3)
+        w = [[weight(i, k) for k in range(3)] for i in at]
+        logits = [sum(v * a[k] for v, a in zip(x, w, strict=True)) for k in range(3)]
+        e = [math.exp(v) for v in logits]
+        for i, v, own in zip(at, x, w, strict=True):
+            for k in range(3):
+                g = v * (e[k] / sum(e) - (k == y))
+                z[i][k] += g - (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / alpha * own[k]
+                n[i][k] += g * g
+        model.step(at, x, y)
+    assert model.weights() == pytest.approx(np.array([[weight(i, k) for k in range(3)] for i in range(6)]), abs=1e-12)
+    assert (model.weights() == 0).any() and (model.weights() != 0).any()
+
+
+def test_temperature_is_the_likeliest(spark):
+    r = random.Random(3)
+    makers = {"a": "one two three", "b": "three four five"}
+    docs = spark.createDataFrame([(k, prose(r.random(), 3, makers[lang].split()), lang, None, None) for k in range(600) for lang in ("ab"[k % 2],)], DOCS)
+    model = language_id.train(docs, dims=1 << 10)
+    rows = [(x.text, x.lang) for x in language_id.sample_by_language(docs, 3600, 240).where("place >= 1 / 1.2").collect()]
+    logits, y = np.array([model.logits(t) for t, _ in rows]), [model.langs.index(x) for _, x in rows]
+    loss = lambda t: -np.log(language_id.softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean()
+    assert loss(model.temperature) <= min(loss(t) for t in np.geomspace(0.03, 15, 300)) + 1e-4
+
+
 def test_language_id_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = fold("doc_id", 4) == 2

@@ -119,7 +119,3 @@ def mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
         x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b) if np.isscalar(b) else (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(32))
-
-
-def partitions(spark: SparkSession, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

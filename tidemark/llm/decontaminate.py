@@ -140,7 +140,7 @@ def _gram_counts(docs: DataFrame, grams: list[Gram]) -> dict[int, int]:
     return {r["gram"]: r["n"] for r in rows}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seed_share: float = 0.5, rare: float = 4.0, least: float = 0.36, items_a_pass: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seed_share: float = 0.5, rare: float = 4.0, least: float = 0.36, items_a_pass: int = 20_000, words_a_pass: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word, start_char, end_char: passages of ``docs`` (doc_id, text)
     that copy an item of ``benchmark`` (item_id, text), exactly or edited.
 
@@ -148,18 +148,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seed_share:
     ``least`` up are returned, all of them: an item with three words in ten replaced scores about 0.4, one
     of which half is copied 0.5, and unrelated texts stay under 0.2. Words are compared in lower case without punctuation. Null and
     empty texts, and items without words, match nothing; repeated items and documents are reported each.
-    Items shorter than n words are one seed. The benchmark is worked off in passes of items_a_pass
-    items, which bounds what every worker holds, whatever its size; an empty one gives no rows.
+    Items shorter than n words are one seed. The benchmark is worked off in passes of at most items_a_pass
+    items and, but for a single longer item, words_a_pass words, which bounds what the driver and every worker hold,
+    whatever its size; an empty one gives no rows.
     """
     spark = docs.sparkSession
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", benchmark.schema["item_id"].dataType), *(T.StructField(c, t) for c, t in [("score", T.DoubleType()), *((c, T.IntegerType()) for c in ("start_word", "end_word", "start_char", "end_char"))])])
-    out, items, names = spark.createDataFrame([], schema), [], []
+    out, items, names, size = spark.createDataFrame([], schema), [], [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        if words := words_of(row["text"]):
+        words = words_of(row["text"])
+        if items and (len(items) == items_a_pass or size + len(words) > words_a_pass):
+            out, items, names, size = out.unionByName(_pass(docs, items, names, schema, n, seed_share, rare, least)), [], [], 0
+        if words:
             items.append(words)
             names.append(row["item_id"])
-        if len(items) == items_a_pass:
-            out, items, names = out.unionByName(_pass(docs, items, names, schema, n, seed_share, rare, least)), [], []
+            size += len(words)
     return out.unionByName(_pass(docs, items, names, schema, n, seed_share, rare, least)) if items else out
 
 
@@ -173,7 +176,7 @@ def _pass(docs: DataFrame, items: list[list[str]], names: list, schema: T.Struct
         for rank, (held, place, gram) in enumerate(placed):
             if rank < len(placed) * seed_share or held <= rare * usual + 8:
                 seeds.setdefault(gram, []).append((item, place))
-    shared = docs.sparkSession.sparkContext.broadcast((items, seeds))  # bounded by items_a_pass
+    shared = docs.sparkSession.sparkContext.broadcast((items, seeds))  # bounded by words_a_pass
     item_type = pa.array(names).type
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

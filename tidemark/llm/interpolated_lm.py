@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import WordHashes, ascii_words, fold, in_slices, mix, partitions, texts_as_bytes, written
+from tidemark.llm.common import WordHashes, ascii_words, fold, in_slices, mix, texts_as_bytes, written
 
 _hashes = WordHashes()
 #: Hash of the start of a text (b" ") and of its end (b""); no word is either.
@@ -257,11 +257,10 @@ def score_texts(docs: DataFrame, order: int = 2, folds: int = 10, held_out: int
     read; an empty table gives no rows; with no training tokens at all every estimate but the uniform
     one is zero.
     """
-    spark = docs.sparkSession
     blocks = written(token_blocks(docs, folds, tuning, block_tokens), "token-blocks")
-    # a range is as large as a block, and a task works off about four of them, whatever the size of the corpus
+    # a range is as large as a block, and a task works off about two of them, whatever the size of the corpus
     ranges = max(16, blocks.count())
-    tasks = max(partitions(spark), -(-ranges // 4))
+    tasks = -(-ranges // 2)
     asked = blocks.mapInArrow(_requests(order, held_out, tuning, ranges), _REQUEST)
     answers = written(asked.repartition(tasks, "range").groupBy("range").applyInArrow(_answer, _ANSWER), "ngram-counts")
     totals = answers.where("block = -1 and n = 0").agg(F.sum("distinct"), F.sum("distinct_base")).first()

@@ -132,27 +132,37 @@ def _learner(z: np.ndarray, g: np.ndarray, turn: int, idf: np.ndarray, scale: fl
     return learn
 
 
-def train(docs: DataFrame, dims: int = 1 << 15, sample_rows: int = 3000, copies: int = 4, rounds: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3, scale: float = 8.0) -> LanguageModel:
+def sample_by_language(rows: DataFrame, sample_rows: int, least_rows: int) -> DataFrame:
+    """``text, lang, place`` of about ``sample_rows`` of ``rows`` (doc_id, text, lang), drawn by a hash of doc_id: of each
+    language its share of them, but ``least_rows`` (or all it has) at least, so that every language is learnt
+    however rare it is. place, from 0 to 1, is the row's place in its language's sample."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    total = rows.sparkSession.createDataFrame([(max(1, rows.count()),)], "all long")
+    quota = counts.join(F.broadcast(total)).select(F.col("lang"), F.least(F.lit(1.0), F.greatest(sample_rows / F.col("all"), least_rows / F.col("n"))).alias("share"))  # one row is broadcast
+    return rows.join(quota, "lang").select("text", "lang", (place / F.col("share")).alias("place")).where("place < 1")
+
+
+def train(docs: DataFrame, dims: int = 1 << 15, sample_rows: int = 3000, least_rows: int = 200, copies: int = 4, rounds: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3, scale: float = 8.0) -> LanguageModel:
     """A model from ``docs`` (doc_id, text, lang); rows with a null text or lang teach nothing.
 
-    Document frequencies come from all rows. The classifier is fitted on about ``sample_rows`` rows at
-    most, drawn by a hash of doc_id, and its temperature on others, a fifth of that number. No usable row: a model that knows no language. One language: always that one.
+    Document frequencies come from all rows. The classifier is fitted on about ``sample_rows`` rows, and on ``least_rows``
+    of each language or all that it has; its temperature on others, a fifth of that number. No usable row: a
+    model that knows no language. One language: always that one.
     """
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     n, df = document_frequencies(rows, dims)
     idf = np.where(df > 0, np.log((1.0 + n) / (1.0 + df)) + 1.0, 0.0)
-    share = min(1.0, 1.2 * sample_rows / max(1, n))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    taught = written(rows.select("text", "lang", place.alias("place")).where(F.col("place") < share), "language-sample")
+    taught = written(sample_by_language(rows, round(1.2 * sample_rows), round(1.2 * least_rows)), "language-sample")
     langs = [r["lang"] for r in taught.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return LanguageModel([], idf, np.zeros((dims, 0)), np.zeros(0))
     code, own = {x: k for k, x in enumerate(langs)}, len(langs)
-    fit, rest = taught.where(F.col("place") < share / 1.2), taught.where(F.col("place") >= share / 1.2)
+    fit, rest = taught.where(F.col("place") < 1 / 1.2), taught.where(F.col("place") >= 1 / 1.2)
     z, g = np.zeros((dims + 1, own)), np.zeros((dims + 1, own))
     for turn in range(rounds):
         learn = _learner(z, g, turn, idf, scale, code, (alpha, beta, l1, l2))
-        back = fit.withColumn("copy", F.floor(F.col("place") * copies / (share / 1.2))).groupBy("copy").applyInPandas(learn, "z binary, n binary").collect()
+        back = fit.withColumn("copy", F.floor(F.col("place") * copies * 1.2)).groupBy("copy").applyInPandas(learn, "z binary, n binary").collect()
         if back:
             read = lambda x: np.frombuffer(x, "<f4").reshape(dims + 1, own).astype(np.float64)
             z, g = np.mean([read(r["z"]) for r in back], 0), g + np.mean([read(r["n"]) for r in back], 0)

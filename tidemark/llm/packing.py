@@ -162,7 +162,8 @@ def _placed(pieces: DataFrame, capacity: int) -> DataFrame:
     out = T.StructType([T.StructField("doc_id", pieces.schema["doc_id"].dataType), *(T.StructField(n, t) for n, t in [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType())])])
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "local_rank")
-    ranked = narrow.join(before, ["length", "part"]).withColumn("rank", F.col("base") + F.col("local_rank"))
+    # never broadcast: the counts grow with the number of files
+    ranked = narrow.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("local_rank"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, out)
 
 

@@ -76,11 +76,13 @@ def minimisers(words: np.ndarray, gram: int, window: int) -> np.ndarray:
 
 
 def _keep_suffixes(doc_id: pa.DataType, least: int, gram: int, window: int):
-    """doc_id, cls (hash of all words), n_words, places and keys of the kept suffixes of texts that are long enough."""
+    """doc_id, row (a number of its own), cls (hash of all words), n_words, places and keys of the kept suffixes of texts
+    that are long enough."""
     reach = least - window + 1
-    schema = pa.schema([("doc_id", doc_id), ("cls", pa.int64()), ("n_words", pa.int32()), ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", doc_id), ("row", pa.int64()), ("cls", pa.int64()), ("n_words", pa.int32()), ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part, rows = batch.slice(at, 512), []
@@ -91,9 +93,10 @@ def _keep_suffixes(doc_id: pa.DataType, least: int, gram: int, window: int):
                     words = _hashes.of(split)
                     whole, places = windowed_hash(words, reach), minimisers(words, gram, window)
                     places = places[places < len(whole)]
-                    rows.append((k, class_of(split), len(split), places.astype(np.int32), whole[places].view(np.int64)))
-                k, cls, size, places, keys = zip(*rows, strict=True) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k, pa.int64())), *(pa.array(x, t) for x, t in zip((cls, size, places, keys), schema.types[1:], strict=True))], schema=schema)
+                    number += 1
+                    rows.append((k, number, class_of(split), len(split), places.astype(np.int32), whole[places].view(np.int64)))
+                k, *columns = zip(*rows, strict=True) if rows else [()] * 6
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k, pa.int64())), *(pa.array(x, t) for x, t in zip(columns, schema.types[1:], strict=True))], schema=schema)
 
     return run
 
@@ -260,9 +263,10 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 5, window: i
         raise ValueError("least must be window + gram or more")
     doc_id = docs.schema["doc_id"].dataType
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    per_doc = written(texts.mapInArrow(_keep_suffixes(to_arrow_schema(T.StructType([docs.schema["doc_id"]])).field(0).type, least, gram, window), T.StructType([T.StructField("doc_id", doc_id), T.StructField("cls", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType()))])), "kept-suffixes")
-    classes = written(per_doc.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "word-classes")
-    suffixes = per_doc.join(classes, ["cls", "doc_id"], "left_semi").select("cls", "doc_id", F.inline(F.arrays_zip("places", "keys"))).toDF("cls", "doc_id", "place", "key")
+    per_doc = written(texts.mapInArrow(_keep_suffixes(to_arrow_schema(T.StructType([docs.schema["doc_id"]])).field(0).type, least, gram, window), T.StructType([T.StructField("doc_id", doc_id), T.StructField("row", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType()))])), "kept-suffixes")
+    # the smallest doc_id stands for a class, by one of its rows
+    classes = written(per_doc.groupBy("cls").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row"), F.count("*").alias("n_copies")), "word-classes")
+    suffixes = per_doc.join(classes, ["cls", "row"], "left_semi").select("cls", "doc_id", F.inline(F.arrays_zip("places", "keys"))).toDF("cls", "doc_id", "place", "key")
     shared = written(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
     met = suffixes.join(shared, "key")
     # of three and more, a neighbour need not be the partner that completes the passage

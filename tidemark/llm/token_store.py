@@ -33,7 +33,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, chunk_
     """Encode whole texts of ``docs`` (doc_id, text, ...) and write a store to the new folder ``path``.
 
     Each document's ids end with ``end_id``; null and empty texts are that id alone. Rows with the same
-    doc_id stand side by side, by text; a null doc_id comes first. Other columns are not read. An
+    doc_id stand side by side, by a hash of their text; a null doc_id comes first. Other columns are not read. An
     empty table gives an empty store. A segment ends with the first document that fills it, so its size
     is bounded by segment_tokens plus one document.
     """
@@ -65,7 +65,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, chunk_
             yield segment()
 
     # no number given: small inputs come together in fewer partitions, which stay in order
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash splits rows of one doc_id, or of none, over tasks if there are too many for one
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     ordered.mapInArrow(encode, _segment_type(docs.schema["doc_id"].dataType)).write.option("compression", "zstd").parquet(path)
 
 
