@@ -108,8 +108,23 @@ def by_network_org(org: Column) -> Column:
     return _first(lambda s: [text.contains(x) for x in s.orgs])
 
 
+def _case_sql(field: str, tests: Callable[[Service], list[str]]) -> str:
+    """A DuckDB expression for a field of the first service that fits."""
+    text = {"family": "family", "known_actor": "actor", "actor_type": "kind"}
+    value = lambda s: str(s.risk) if field == "risk_score" else f"'{getattr(s, text[field])}'"
+    return f"CASE {' '.join(f'WHEN {test} THEN {value(s)}' for s in SERVICES if (test := ' OR '.join(tests(s))))} END"
+
+
 def agent_sql(text: str, field: str) -> str:
     """The same by user agent as a DuckDB expression; ``text`` is lower-cased SQL."""
-    value = {"family": lambda s: f"'{s.family}'", "known_actor": lambda s: f"'{s.actor}'", "actor_type": lambda s: f"'{s.kind}'", "risk_score": lambda s: str(s.risk)}[field]
-    cases = " ".join(f"WHEN {' OR '.join(f'contains({text}, {x!r})' for x in s.agents)} THEN {value(s)}" for s in SERVICES if s.agents)
-    return f"CASE {cases} END"
+    return _case_sql(field, lambda s: [f"contains({text}, {x!r})" for x in s.agents])
+
+
+def host_sql(text: str, field: str) -> str:
+    """By host name; ``text`` is lower-cased SQL without a closing dot."""
+    return _case_sql(field, lambda s: [f"contains({text}, {x!r})" for x in s.dns_parts] + [f"{text} = {x!r} OR ends_with({text}, {'.' + x!r})" for x in s.dns_suffixes])
+
+
+def org_sql(text: str, field: str) -> str:
+    """By network organisation; ``text`` is lower-cased SQL."""
+    return _case_sql(field, lambda s: [f"contains({text}, {x!r})" for x in s.orgs])

@@ -18,6 +18,7 @@ from tidemark.operators import combine as C
 from tidemark.operators import rollups as R
 from tidemark.plans import adapter as A
 from tidemark.plans import analysis as N
+from tidemark.plans import cases, stored
 from tidemark.plans import overview as O
 
 #: The window of the registered reports: it cuts minutes and hours at both ends.
@@ -221,6 +222,10 @@ for _name, _run, _text in O.registered(EV, _WHEN, SINCE, UNTIL):
     _add(_name, _run, _text)
 
 
+for _name, _run, _text in (*cases.registered(), *stored.registered(EV)):
+    _add(_name, _run, _text)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
