@@ -6,7 +6,7 @@ by keys, so that every top-k is repeatable. ``intel`` is a table of IP intellige
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.params import with_params
@@ -149,6 +149,14 @@ def probe_summary(events: DataFrame, probes: DataFrame, family: str, category: s
     return top.join(hits, "client_ip", "left").withColumn("total_ip_hits", F.coalesce("total_ip_hits", F.lit(0)))
 
 
+def probe_tops(probes: DataFrame, limit: int = 25) -> DataFrame:
+    """The busiest rows of ``probe_summary`` of both families in one pass, with ``family`` and without hits in all."""
+    keys = ["family", "category", "rule_key", "site_id", "env", "client_ip", F.coalesce("path", F.lit("")).alias("path")]
+    rows = probes.groupBy(*keys).agg(F.count("*").alias("requests"), _class(4), _class(5), F.max("method").alias("method"), *_seen())
+    order = Window.partitionBy("family").orderBy(F.desc("requests"), "category", "site_id", "env", "client_ip", "path")
+    return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
+
+
 def tor_sources(events: DataFrame, probes: DataFrame, intel: DataFrame, limit: int = 25) -> DataFrame:
     exits = intel.where("is_tor_exit").select(F.col("ip").alias("client_ip"), "risk_score", "country_code")
     rows = events.join(exits, "client_ip").groupBy("client_ip", "risk_score", "country_code").agg(F.count("*").alias("requests"), _class(4), _class(5), *_seen())
@@ -223,7 +231,7 @@ def _whole(x: Column) -> Column:
     return x.cast("int")
 
 
-def issues(sites: DataFrame, ips: DataFrame, agents: DataFrame, slow: DataFrame, hotspots: DataFrame, logs: DataFrame, admin: DataFrame | None = None, injection: DataFrame | None = None, tor: DataFrame | None = None) -> DataFrame:
+def issues(sites: DataFrame, ips: DataFrame, agents: DataFrame, slow: DataFrame, hotspots: DataFrame, logs: DataFrame, probes: DataFrame | None = None, tor: DataFrame | None = None) -> DataFrame:
     """All issues that the report's rows show, by score. Integer parts are cut, as in the scores' definition."""
     site = F.concat_ws("/", "site_id", "env")
     r4, r5 = rate("status_4xx"), rate("status_5xx")
@@ -242,14 +250,14 @@ def issues(sites: DataFrame, ips: DataFrame, agents: DataFrame, slow: DataFrame,
         _issues(hotspots, "path_5xx_hotspot", F.lit(True), _clamp(_whole(r5 * 80) + _part("status_5xx", 5, 20), 30, 95), "path", F.col("path"), "status_5xx", r5),
         _issues(by_type, F.concat("log_type", F.lit("_log_activity")), (F.col("severe") > 0) | F.col("log_type").contains("slow") | (F.col("events") >= 100), _clamp(25 + _part("events", 1000, 40) + _part("severe", 250, 30), 25, 95), "log", F.col("log_type"), "events"),
     ]
-    if admin is not None:
-        base = F.when(F.col("category") == "admin_tool", 58).when(F.col("category") == "password_reset", 55).when(F.col("category") == "admin_login", 62).when(F.col("category") == "admin_path", 42).otherwise(35)
+    if probes is not None:
+        by = lambda scores, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in scores.items() for x in kv]), F.col("category")), F.lit(other))
         bad = F.expr("least((status_4xx + status_5xx) div 2, 12)")
-        enough = ~((F.col("category") == "admin_path") & (F.col("requests") < 10) & (F.col("status_4xx") < 5))
-        out.append(_issues(admin, F.col("rule_key"), enough, _clamp(base + F.when(F.col("method") == "POST", 8).otherwise(0) + _part("requests", 3, 16) + bad, 30, 92), "ip", F.col("client_ip"), "requests"))
-    if injection is not None:
-        base = F.when(F.col("category") == "sql_injection", 70).when(F.col("category") == "xss", 64).when(F.col("category") == "secret_file", 68).when(F.col("category") == "path_traversal", 60).otherwise(55)
-        out.append(_issues(injection, F.col("rule_key"), F.lit(True), _clamp(base + _part("requests", 4, 10) + F.when(F.col("status_5xx") > 0, 4).otherwise(0), 35, 90), "ip", F.col("client_ip"), "requests"))
+        admin = by({"admin_tool": 58, "password_reset": 55, "admin_login": 62, "admin_path": 42}, 35) + F.when(F.col("method") == "POST", 8).otherwise(0) + _part("requests", 3, 16) + bad
+        injection = by({"sql_injection": 70, "xss": 64, "secret_file": 68, "path_traversal": 60}, 55) + _part("requests", 4, 10) + F.when(F.col("status_5xx") > 0, 4).otherwise(0)
+        few = (F.col("category") == "admin_path") & (F.col("requests") < 10) & (F.col("status_4xx") < 5)
+        score = F.when(F.col("family") == "admin", _clamp(admin, 30, 92)).otherwise(_clamp(injection, 35, 90))
+        out.append(_issues(probes, F.col("rule_key"), ~few, score, "ip", F.col("client_ip"), "requests"))
     if tor is not None:
         score = F.when(F.col("admin_requests") > 0, _clamp(70 + F.least(5 * F.col("admin_requests"), F.lit(20)), 70, 95)).otherwise(50 + _part("requests", 25, 20)).cast("int")
         out.append(_issues(tor, "tor_exit_traffic", (F.col("admin_requests") > 0) | (F.col("requests") >= 10), score, "ip", F.col("client_ip"), "requests"))

@@ -164,9 +164,23 @@ _PROBES = """, pb AS (SELECT *, 'admin' AS family, CASE WHEN method = 'POST' THE
 _PROBE_COLUMNS = "id, ts, site_id, env, client_ip, method, path, query, status, family, category, rule_key, match_reason"
 _on_window("security_probes", lambda w: probes.probes(w).select(*_PROBE_COLUMNS.split(", ")), f"{_PROBES} SELECT {_PROBE_COLUMNS} FROM px")
 _on_window("rollup_security_probe_1h", lambda w: R.build_probes(probes.probes(w)), f"{_PROBES} SELECT date_trunc('hour', ts) AS bucket_ts, site_id, env, family, category, rule_key, count(*) AS events, count(DISTINCT client_ip) AS unique_ips, {_C4} AS status_4xx, {_C5} AS status_5xx, {_SEEN} FROM px GROUP BY ALL")
+
+
+def _probe_top(family: str) -> str:
+    """The 25 busiest rows of a family's summary, without the address's hits in all."""
+    order = "requests DESC, " + ", ".join(f"{c} NULLS FIRST" for c in ("category", "site_id", "env", "client_ip", "path"))
+    return f"""(SELECT category, rule_key, site_id, env, client_ip, coalesce(path, '') AS path, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx,
+        max(method) AS method, max(coalesce(query, '')) AS sample_query, max(match_reason) AS match_reason, {_SEEN}
+        FROM px WHERE family = '{family}' GROUP BY 1, 2, 3, 4, 5, 6 ORDER BY {order} LIMIT 25)"""
+
+
+_HITS = "(SELECT client_ip, count(*) AS n FROM w WHERE client_ip IS NOT NULL GROUP BY 1)"
 for _family, _title in (("admin", "admin_probes"), ("injection", "injection_probes")):
-    _on_window(_title, lambda w, f=_family: N.probe_summary(w, probes.probes(w), f), f"{_PROBES}, top AS (SELECT category, rule_key, site_id, env, client_ip, coalesce(path, '') AS path, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, max(method) AS method, max(coalesce(query, '')) AS sample_query, max(match_reason) AS match_reason, {_SEEN} FROM px WHERE family = '{_family}' GROUP BY 1, 2, 3, 4, 5, 6 ORDER BY requests DESC, category NULLS FIRST, site_id NULLS FIRST, env NULLS FIRST, client_ip NULLS FIRST, path NULLS FIRST LIMIT 25) SELECT top.*, coalesce(h.n, 0) AS total_ip_hits FROM top LEFT JOIN (SELECT client_ip, count(*) AS n FROM w WHERE client_ip IS NOT NULL GROUP BY 1) h USING (client_ip)")
-_add("tor_sources", lambda s, d: N.tor_sources(_window(s, d), probes.probes(_window(s, d)), A.ip_intel(s, d)), f"{EV}{_PROBES} SELECT client_ip, risk_score, country_code, requests, status_4xx, status_5xx, first_seen, last_seen, coalesce(n, 0) AS admin_requests FROM (SELECT client_ip, i.risk_score, i.country_code, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_SEEN} FROM w JOIN ip i ON i.ip = w.client_ip WHERE i.is_tor_exit GROUP BY 1, 2, 3) t LEFT JOIN (SELECT client_ip, count(*) AS n FROM px WHERE family = 'admin' GROUP BY 1) a USING (client_ip) ORDER BY admin_requests DESC, requests DESC, client_ip LIMIT 25")
+    _on_window(_title, lambda w, f=_family: N.probe_summary(w, probes.probes(w), f), f"{_PROBES} SELECT t.*, coalesce(h.n, 0) AS total_ip_hits FROM {_probe_top(_family)} t LEFT JOIN {_HITS} h USING (client_ip)")
+_TOR = f"""(SELECT client_ip, risk_score, country_code, requests, status_4xx, status_5xx, first_seen, last_seen, coalesce(n, 0) AS admin_requests
+    FROM (SELECT client_ip, i.risk_score, i.country_code, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_SEEN} FROM w JOIN ip i ON i.ip = w.client_ip WHERE i.is_tor_exit GROUP BY 1, 2, 3) t
+    LEFT JOIN (SELECT client_ip, count(*) AS n FROM px WHERE family = 'admin' GROUP BY 1) a USING (client_ip) ORDER BY admin_requests DESC, requests DESC, client_ip LIMIT 25)"""
+_add("tor_sources", lambda s, d: N.tor_sources(_window(s, d), probes.probes(_window(s, d)), A.ip_intel(s, d)), f"{EV}{_PROBES} SELECT * FROM {_TOR}")
 _on_events("error_facts", lambda e: probes.errors(e).select("id", "ts", "site_id", "env", "client_ip", "path", "status"), "SELECT id, ts, site_id, env, client_ip, path, status FROM ev WHERE status >= 400")
 _on_events("slow_facts", lambda e: probes.slow(e).select("id", "ts", "site_id", "env", "client_ip", "path", "request_time_ms"), "SELECT id, ts, site_id, env, client_ip, path, request_time_ms FROM ev WHERE request_time_ms >= 1000")
 
@@ -174,10 +188,49 @@ _on_events("slow_facts", lambda e: probes.slow(e).select("id", "ts", "site_id",
 def _issues(s: SparkSession, d: str) -> DataFrame:
     w, intel = _window(s, d), A.ip_intel(s, d)
     found = probes.probes(w)
-    return N.issues(N.site_summary(w), N.top_ips(w), N.user_agents(w, intel), N.slow_paths(w), N.path_hotspots(w), N.log_totals(R.window(A.log_events(s, d), SINCE, UNTIL)), N.probe_summary(w, found, "admin"), N.probe_summary(w, found, "injection"), N.tor_sources(w, found, intel))
-
-
-_add("issues", _issues)
+    return N.issues(
+        N.site_summary(w), N.top_ips(w), N.user_agents(w, intel), N.slow_paths(w), N.path_hotspots(w),
+        N.log_totals(R.window(A.log_events(s, d), SINCE, UNTIL)), N.probe_tops(found), N.tor_sources(w, found, intel),
+    )
+
+
+def _issues_sql() -> str:
+    r4, r5 = "status_4xx / CAST(requests AS DOUBLE)", "status_5xx / CAST(requests AS DOUBLE)"
+    part = lambda c, by, most: f"least({c} // {by}, {most})"
+    held = lambda x, lo, hi: f"least(greatest({x}, {lo}), {hi})"
+    slow = held("trunc(p95_request_time_ms / 100) + 20", 30, 90)
+    base = "CASE category WHEN 'admin_tool' THEN 58 WHEN 'password_reset' THEN 55 WHEN 'admin_login' THEN 62 WHEN 'admin_path' THEN 42 ELSE 35 END"
+    admin = f"{base} + CASE WHEN method = 'POST' THEN 8 ELSE 0 END + {part('requests', 3, 16)} + {part('(status_4xx + status_5xx)', 2, 12)}"
+    base = "CASE category WHEN 'sql_injection' THEN 70 WHEN 'xss' THEN 64 WHEN 'secret_file' THEN 68 WHEN 'path_traversal' THEN 60 ELSE 55 END"
+    injection = f"{base} + {part('requests', 4, 10)} + CASE WHEN status_5xx > 0 THEN 4 ELSE 0 END"
+    tor = f"CASE WHEN admin_requests > 0 THEN {held('70 + least(5 * admin_requests, 20)', 70, 95)} ELSE 50 + {part('requests', 25, 20)} END"
+    log = held(f"25 + {part('requests', 1000, 40)} + {part('severe', 250, 30)}", 25, 95)
+    of = lambda own: "site_id, env" if own else "NULL AS site_id, NULL AS env"
+    #: source, rule, has a site, kind and value of the actor, score, events, rate, when
+    rules = [
+        ("sites", "'site_5xx_rate'", True, "site", "concat_ws('/', site_id, env)", held(f"trunc({r5} * 100) + {part('status_5xx', 10, 35)}", 35, 100), "status_5xx", r5, f"status_5xx >= 10 AND {r5} >= 0.02"),
+        ("sites", "'site_slow_p95'", True, "site", "concat_ws('/', site_id, env)", slow, "requests", "0.0", "p95_request_time_ms >= 3000 AND requests >= 100"),
+        ("ips", "'ip_5xx_burst'", False, "ip", "client_ip", held(f"trunc({r5} * 70) + {part('status_5xx', 10, 30)}", 35, 100), "status_5xx", r5, f"requests >= 50 AND status_5xx >= 10 AND {r5} >= 0.1"),
+        ("ips", "'ip_4xx_scan'", False, "ip", "client_ip", held(f"trunc({r4} * 60) + {part('status_4xx', 50, 30)}", 25, 90), "status_4xx", r4, f"status_4xx >= 100 AND {r4} >= 0.5"),
+        ("agents", "'missing_user_agent'", False, "user_agent", "family", held(f"45 + {part('requests', 1000, 25)}", 45, 75), "requests", "0.0", "actor_type = 'missing' AND requests >= 100"),
+        ("agents", "'tool_user_agent_volume'", False, "user_agent", "family", held(f"risk_score + {part('requests', 1000, 20)}", 40, 85), "requests", "0.0", "actor_type = 'tool' AND requests >= 100"),
+        ("agents", "'unverified_crawler_claim'", False, "user_agent", "known_actor", held(f"45 + {part('requests', 1000, 25)}", 45, 80), "requests", "0.0", "actor_type = 'crawler' AND verified_ips = 0 AND requests >= 1000 AND known_actor <> ''"),
+        ("slow", "'path_slow_p95'", True, "path", "path", slow, "requests", "0.0", "p95_request_time_ms >= 3000"),
+        ("hot", "'path_5xx_hotspot'", True, "path", "path", held(f"trunc({r5} * 80) + {part('status_5xx', 5, 20)}", 30, 95), "status_5xx", r5, "true"),
+        ("logs", "concat(log_type, '_log_activity')", False, "log", "log_type", log, "requests", "0.0", "severe > 0 OR contains(log_type, 'slow') OR requests >= 100"),
+        (_probe_top("admin"), "rule_key", True, "ip", "client_ip", held(admin, 30, 92), "requests", "0.0", "NOT (category = 'admin_path' AND requests < 10 AND status_4xx < 5)"),
+        (_probe_top("injection"), "rule_key", True, "ip", "client_ip", held(injection, 35, 90), "requests", "0.0", "true"),
+        (_TOR, "'tor_exit_traffic'", False, "ip", "client_ip", tor, "requests", "0.0", "admin_requests > 0 OR requests >= 10"),
+    ]
+    branch = lambda src, rule, own, kind, value, score, events, rate, when: f"SELECT {rule} AS rule_key, {of(own)}, '{kind}' AS actor_type, {value} AS actor_value, CAST({score} AS INT) AS score, requests, {events} AS events, CAST({rate} AS DOUBLE) AS rate, first_seen, last_seen FROM {src} WHERE {when}"
+    severe = "CASE WHEN severity IN ('critical', 'error') OR contains(log_type, 'error') THEN 1 ELSE 0 END"
+    return f"""{EV}{_UA}{_PROBES}, sites AS ({_SITES}), ips AS (SELECT client_ip, {_FULL} FROM w WHERE client_ip IS NOT NULL GROUP BY 1 ORDER BY requests DESC, client_ip LIMIT 25),
+        agents AS ({_AGENT}), slow AS ({_SLOW} ORDER BY p95_request_time_ms DESC, requests DESC, site_id, env, path LIMIT 25), hot AS ({_sql['path_5xx_hotspots'].removeprefix(EV)}),
+        logs AS (SELECT log_type, count(*) AS requests, CAST(sum({severe}) AS BIGINT) AS severe, {_SEEN} FROM lg GROUP BY 1)
+        SELECT *, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS severity FROM ({' UNION ALL '.join(branch(*r) for r in rules)})"""
+
+
+_add("issues", _issues, _issues_sql())
 
 # ---- traffic
 
