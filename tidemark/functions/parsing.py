@@ -1,4 +1,4 @@
-"""Log-line parsing: access lines by one Arrow function, other logs and times by Columns."""
+"""Log-line parsing, as Columns; access lines out of the ordinary by one Arrow function."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from tidemark.functions.columns import let
+
 ACCESS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("client_ip", "method", "scheme", "host", "path", "query")]
     + [T.StructField("status", T.IntegerType()), T.StructField("bytes_sent", T.LongType()), T.StructField("referer", T.StringType()), T.StructField("user_agent", T.StringType()), T.StructField("request_time_ms", T.IntegerType()), T.StructField("upstream_time_ms", T.IntegerType())]
@@ -137,6 +139,39 @@ def access_fields(lines: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({f.name: pd.array([r[k] if r else None for r in rows], dtype="string" if f.dataType == T.StringType() else "Int64") for k, f in enumerate(ACCESS.fields)})
 
 
+_NUMBER = r"(?:-|\d{1,9}(?:\.\d{1,9})?)"
+#: An access line whose fields need no more than cutting: an IPv4 address or none, a plain target, no escapes, nothing left out.
+ORDINARY = (
+    r"^((?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)|-) [^\s\"\[\]\\,]+ [^\s\"\[\]\\,]+ \[[^\]\"\\,]+\] "
+    r"\"([A-Z]+) (/(?!/)[^\s\"\\%#?,\x00-\x20\x7f]*|/)(?:\?([^\s\"\\#,\x00-\x20\x7f]*))? HTTP/[0-9.]+\" "
+    rf"(\d{{1,3}}) (-|\d{{1,18}}) \"([^\"\\\x01]+)\" \"([^\"\\\x01]+)\"(?: ({_NUMBER}))?(?: ({_NUMBER}))?$"
+)
+#: A comma with what might be an address on a side: such lines may name the client behind proxies.
+_LISTED = r"[0-9a-fA-F:.\]]\s*,|,\s*[0-9a-fA-F:.\[]"
+
+
+def is_ordinary(line: Column) -> Column:
+    return F.coalesce(line.rlike(ORDINARY) & ~line.rlike(_LISTED), F.lit(False))
+
+
+def ordinary_fields(line: Column) -> Column:
+    """What ``parse_access`` makes of an ordinary line, from one match: its groups with a sign between that it cannot hold."""
+    cut = F.split(F.regexp_replace(line, ORDINARY, "\x01".join(f"${k}" for k in range(1, 11))), "\x01", -1)
+    part = lambda k: F.get(cut, F.lit(k - 1))
+    dash = lambda c: F.when(c == "-", "").otherwise(c)
+
+    def ms(text: Column) -> Column:
+        seconds = text.try_cast("double")
+        whole = F.least(F.lit(MOST_MS).cast("double"), F.greatest(F.lit(1.0), F.floor(seconds * 1000 + 0.5).cast("double")))
+        return F.when(F.coalesce(seconds, F.lit(0.0)) > 0, whole).otherwise(0).cast("int")
+
+    values = {
+        "client_ip": dash(part(1)), "method": part(2), "scheme": F.lit(""), "host": F.lit(""), "path": part(3), "query": part(4), "status": part(5).cast("int"),
+        "bytes_sent": F.coalesce(part(6).try_cast("long"), F.lit(0).cast("long")), "referer": dash(part(7)), "user_agent": dash(part(8)), "request_time_ms": ms(part(9)), "upstream_time_ms": ms(part(10)),
+    }
+    return F.struct(*(c.alias(n) for n, c in values.items()))
+
+
 def access_time(line: Column) -> Column:
     """The first bracketed time anywhere, else the first field as an ISO time with zone; null if neither."""
     text = clean_line(line)
@@ -172,7 +207,10 @@ MYSQL_SHORT = r"^(?:# Time:\s*)?(\d{6})\s+(\d{1,2}:\d{2}:\d{2})\s*(.*)$"
 
 def parse_log(line: Column) -> Column:
     """(ts, severity, message) of an error, PHP or database line; null for others."""
-    raw = F.regexp_replace(F.regexp_replace(line, "^\ufeff", ""), "\r+$", "")
+    return let(F.regexp_replace(F.regexp_replace(line, "^\ufeff", ""), "\r+$", ""), _parsed)
+
+
+def _parsed(raw: Column) -> Column:
     part = lambda pattern, k: F.regexp_extract(raw, pattern, k)
     hour = lambda pattern, k: F.lpad(part(pattern, k), 8, "0")
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.catalog import by_user_agent
+from tidemark.functions.columns import let
 
 #: Patterns in the order in which they are tried.
 BROWSERS = (
@@ -64,12 +63,7 @@ def analyse(agent: Column, requests: Column | None = None) -> Column:
     """family, browser_family, browser_version, os_family, os_version, device_family, actor_type, known_actor,
     is_bot, is_tool, risk_score. Null counts as empty; ``requests`` sets the risk of the unknown."""
     first = F.struct(F.trim(F.coalesce(agent, F.lit(""))).alias("sample"), volume_risk(requests if requests is not None else F.lit(0)).alias("volume"))
-    return _let(first, lambda x: F.when(x["sample"] == "", _struct_of_empty()).otherwise(_let(_parts(x), _analysis)))
-
-
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once: as a lambda variable it is not copied into each of its uses."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+    return let(first, lambda x: F.when(x["sample"] == "", _struct_of_empty()).otherwise(let(_parts(x), _analysis)))
 
 
 def _parts(x: Column) -> Column:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.parsing import access_fields, access_time, clean_line, is_access, parse_log
+from tidemark.functions.parsing import access_fields, access_time, clean_line, is_access, is_ordinary, ordinary_fields, parse_log
 from tidemark.operators.rollups import at
 
 SOURCE = ["site_id", "env", "container_id"]
@@ -30,13 +30,17 @@ def fingerprint(site: Column, env: Column, container: Column, log_type: Column,
 def line_times(lines: DataFrame) -> DataFrame:
     """``lines`` (site_id, env, container_id, log_type, raw_file_id, raw_line_no, raw) with ``ts``.
 
-    Lines other than access lines that show no time take that of the last line before them in their file; blank
-    lines go.
+    Lines other than access lines that show no time take that of the last line before them in their file, if they are of
+    one; blank lines go.
     """
-    own = F.when(is_access(F.col("log_type")), access_time(F.col("raw"))).otherwise(parse_log(F.col("raw"))["ts"])
+    timed = lines.where(F.trim("raw") != "")
+    # access lines, and lines of no file, have no line before them to take a time from: only the others are sorted
+    alone = F.coalesce(is_access(F.col("log_type")), F.lit(False))
+    own = F.when(alone, access_time(F.col("raw"))).otherwise(parse_log(F.col("raw"))["ts"])
     before = Window.partitionBy(*SOURCE, "log_type", "raw_file_id").orderBy("raw_line_no").rowsBetween(Window.unboundedPreceding, 0)
-    timed = lines.where(F.trim("raw") != "").withColumn("__own", own)
-    return timed.withColumn("ts", F.when(is_access(F.col("log_type")), F.col("__own")).otherwise(F.last("__own", ignorenulls=True).over(before))).drop("__own")
+    others = timed.where(~alone & F.col("raw_file_id").isNotNull()).withColumn("__own", parse_log(F.col("raw"))["ts"])
+    carried = others.withColumn("ts", F.last("__own", ignorenulls=True).over(before)).drop("__own")
+    return timed.where(alone | F.col("raw_file_id").isNull()).withColumn("ts", own).unionByName(carried)
 
 
 def combine(lines: DataFrame, since: datetime | None = None, until: datetime | None = None) -> tuple[DataFrame, DataFrame]:
@@ -80,13 +84,17 @@ def pending_segments(in_range: DataFrame, backlog: DataFrame, limit: int) -> Dat
 
 def index_access(segment_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(access events, lines that are none) of combined access lines; empty fields and zero status or times are null."""
-    lines = segment_lines.where(is_access(F.col("log_type")))
-    parsed = lines.withColumn("a", access_fields(clean_line(F.col("raw"))))
+    lines = segment_lines.where(is_access(F.col("log_type"))).withColumn("__line", clean_line(F.col("raw")))
+    ordinary = is_ordinary(F.col("__line"))
+    # Python sees only the lines that a pattern cannot read
+    read = lines.where(ordinary).withColumn("a", ordinary_fields(F.col("__line")))
+    parsed = read.unionByName(lines.where(~ordinary).withColumn("a", access_fields("__line"))).drop("__line")
     ok = F.col("a.path").isNotNull()
     zero = lambda c: F.nullif(F.col(f"a.{c}"), F.lit(0)).alias(c)
+    text = lambda *names: [_clean(F.nullif(F.col(f"a.{c}"), F.lit(""))).alias(c) for c in names]
     events = parsed.where(ok).select(
-        F.col("fingerprint").alias("id"), "ts", *SOURCE, *(_clean(F.nullif(F.col(f"a.{c}"), F.lit(""))).alias(c) for c in ("client_ip", "method", "scheme", "host", "path", "query")),
-        zero("status"), F.col("a.bytes_sent").alias("bytes_sent"), *(_clean(F.nullif(F.col(f"a.{c}"), F.lit(""))).alias(c) for c in ("referer", "user_agent")), zero("request_time_ms"), zero("upstream_time_ms"), "fingerprint",
+        F.col("fingerprint").alias("id"), "ts", *SOURCE, *text("client_ip", "method", "scheme", "host", "path", "query"),
+        zero("status"), F.col("a.bytes_sent").alias("bytes_sent"), *text("referer", "user_agent"), zero("request_time_ms"), zero("upstream_time_ms"), "fingerprint",
     )
     return events, parsed.where(~ok).drop("a")
 

@@ -75,6 +75,18 @@ def address_bits(text: pd.Series) -> pd.Series:
     return text.map(bits)
 
 
+#: An IPv4 address as people write it; other texts are left to Python.
+_PLAIN_V4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
+
+
+def with_bits(rows: DataFrame, column: str, name: str = "__bits") -> DataFrame:
+    """``rows`` with the bits of an address column; Python sees only what is no plain IPv4 address. Nulls go."""
+    plain = F.col(column).rlike(_PLAIN_V4)
+    octet = lambda k: F.lpad(F.bin(F.split(column, r"\.")[k].cast("int")), 8, "0")
+    v4 = rows.where(plain).withColumn(name, F.concat(*map(octet, range(4))))
+    return v4.unionByName(rows.where(~plain).withColumn(name, address_bits(column))).where(F.col(name).isNotNull())
+
+
 def longest_prefix(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """``ips`` (ip, ...) with the columns of the longest range (cidr, ...) that holds each; ties by provider_id.
 
@@ -84,9 +96,9 @@ def longest_prefix(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     named = [c for c in ranges.columns if c != "ip"]
     parts = F.split("cidr", "/")
-    own = ranges.withColumn("__bits", address_bits(parts[0])).where("__bits is not null").withColumn("__n", parts[1].cast("int")).withColumn("__prefix", F.expr("left(__bits, __n)")).withColumn("__size", F.length("__bits"))
+    own = with_bits(ranges.withColumns({"__base": parts[0], "__n": parts[1].cast("int")}), "__base").withColumn("__prefix", F.expr("left(__bits, __n)")).withColumn("__size", F.length("__bits"))
     lengths = own.groupBy("__size").agg(F.collect_set("__n").alias("__ns"))  # two rows at most
-    asked = ips.select("ip").distinct().withColumn("__bits", address_bits("ip")).where("__bits is not null").withColumn("__size", F.length("__bits"))
+    asked = with_bits(ips.select("ip").distinct(), "ip").withColumn("__size", F.length("__bits"))
     tried = asked.join(F.broadcast(lengths), "__size").withColumn("__n", F.explode("__ns")).withColumn("__prefix", F.expr("left(__bits, __n)")).select("ip", "__size", "__n", "__prefix")
     met = tried.join(own.select("__size", "__n", "__prefix", *named), ["__size", "__n", "__prefix"])
     order = [F.desc("__n"), *([F.col("provider_id")] if "provider_id" in named else []), F.col("cidr")]
@@ -97,10 +109,10 @@ def longest_prefix(ips: DataFrame, ranges: DataFrame) -> DataFrame:
 def allowlisted(ips: DataFrame, allowlist: DataFrame) -> DataFrame:
     """``ips`` with the first entry, by ``position``, of an allowlist (position, cidr, label, actor_type) that holds it."""
     entries = allowlist.select("position", F.when(F.col("cidr").contains("/"), F.col("cidr")).otherwise(F.concat("cidr", F.when(F.col("cidr").contains(":"), "/128").otherwise("/32"))).alias("cidr"), F.col("label").alias("allow_label"), F.col("actor_type").alias("allow_type"))
-    parts = F.split("cidr", "/")
-    own = entries.withColumn("__bits", address_bits(parts[0])).withColumn("__prefix", F.expr("left(__bits, int(split(cidr, '/')[1]))")).withColumn("__size", F.length("__bits"))
-    asked = ips.select("ip").distinct().withColumn("__bits", address_bits("ip"))
-    met = asked.join(F.broadcast(own.drop("__bits")), (F.length("__bits") == F.col("__size")) & F.col("__bits").startswith(F.col("__prefix")))  # a short list that people write
+    base = entries.withColumn("__base", F.split("cidr", "/")[0])
+    own = with_bits(base, "__base").withColumn("__prefix", F.expr("left(__bits, int(split(cidr, '/')[1]))")).withColumn("__size", F.length("__bits"))
+    asked = with_bits(ips.select("ip").distinct(), "ip")
+    met = asked.join(F.broadcast(own.drop("__bits", "__base")), (F.length("__bits") == F.col("__size")) & F.col("__bits").startswith(F.col("__prefix")))  # a short list that people write
     first = met.groupBy("ip").agg(F.min_by("allow_label", "position").alias("allow_label"), F.min_by("allow_type", "position").alias("allow_type"))
     return ips.join(first, "ip", "left")
 

@@ -101,11 +101,23 @@ def build_probes(probes: DataFrame) -> DataFrame:
 
 
 def build_params(events: DataFrame) -> DataFrame:
-    """rollup_query_param_1h: by parameter and value, with the newest request as an example."""
+    """rollup_query_param_1h: by parameter and value, with the newest request as an example.
+
+    Requests alike in address, agent and path are added up first, so that the three distinct counts, which Spark makes
+    from a copy of each row for each of them, see each combination once and no long text.
+    """
+    keys = ["bucket_ts", "site_id", "env", "param_family", "param", "value_hash"]
     rows = with_params(events).withColumns({"bucket_ts": F.date_trunc("hour", "ts"), "value_hash": F.md5("param_value")})
-    newest = lambda c: F.max_by(F.coalesce(c, F.lit("")), F.struct("ts", "id")).alias(f"example_{c}")
-    measures = _REQUESTS | _ERRORS | _SLOW | _UNIQUE_IPS | {"unique_user_agents": "count(DISTINCT user_agent)", "unique_paths": "count(DISTINCT path)"} | _TIMES | _SEEN
-    return rows.groupBy("bucket_ts", "site_id", "env", "param_family", "param", "value_hash").agg(*_measures(measures), newest("path"), newest("query"), F.first("param_value").alias("param_value"))
+    added = _REQUESTS | _ERRORS | _SLOW | _TIMES | _SEEN
+    alike = rows.groupBy(*keys, "client_ip", "user_agent", "path").agg(*_measures(added))
+    sums = {n: f"min({n})" if n == "first_seen" else f"max({n})" if n == "last_seen" else f"sum({n})" for n in added}
+    unique = _UNIQUE_IPS | {"unique_user_agents": "count(DISTINCT user_agent)", "unique_paths": "count(DISTINCT path)"}
+    counted = alike.groupBy(*keys).agg(*_measures(sums | unique))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(f"example_{c}")
+    newest = rows.groupBy(*keys).agg(F.max(F.struct("ts", "id", text("path"), text("query"), "param_value")).alias("__newest"))
+    examples = newest.select(*keys, "__newest.example_path", "__newest.example_query", "__newest.param_value")
+    same = [counted[k].eqNullSafe(examples[k]) for k in keys]
+    return counted.join(examples, same).select(counted["*"], "example_path", "example_query", "param_value")
 
 
 def merge(old: DataFrame, new: DataFrame, name: str) -> DataFrame:

@@ -32,21 +32,24 @@ def add_counts(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return stored.unionByName(fresh).groupBy(key).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("request_count").alias("request_count"))
 
 
-def overview(events: DataFrame, since: datetime, until: datetime, now: datetime) -> DataFrame:
-    """One row: counters, rates, the busiest site and address, the newest event and its age."""
+def overview(events: DataFrame, since: datetime, until: datetime, now: datetime, minutes: DataFrame | None = None) -> DataFrame:
+    """One row: counters, rates, the busiest site and address, the newest event and its age.
+
+    With the minute rollup, the newest event is looked for from its last minute on, not in all history."""
     w = R.window(events, since, until)
     c4, c5 = R.count_if(F.col("status").between(400, 499)), R.count_if(F.col("status").between(500, 599))
     row = w.agg(F.count("*").alias("requests"), F.count_distinct("client_ip").alias("unique_ips"), c4.alias("c4"), c5.alias("c5"))
     first = lambda key: w.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(1)
     site, ip = first("site_id").toDF("top_site", "top_site_requests"), first("client_ip").toDF("top_ip", "top_ip_requests")
-    latest = events.agg(F.max("ts").alias("latest_event_at"))
-    minutes = (until - since).total_seconds() / 60
+    last = minutes.agg(F.max("bucket_ts").cast("timestamp_ntz")).first()[0] if minutes is not None else None
+    latest = (events if last is None else events.where(F.col("ts") >= R.at(last))).agg(F.max("ts").alias("latest_event_at"))
+    span = (until - since).total_seconds() / 60
     lag = F.greatest(F.lit(0), F.unix_seconds(R.at(now).cast("timestamp")) - F.unix_seconds(F.col("latest_event_at").cast("timestamp")))
     share = lambda c: F.coalesce(F.try_divide(c, "requests"), F.lit(0.0))
     one = F.lit(1) == F.lit(1)
     # each side is a single row
     joined = row.join(F.broadcast(site), one, "left").join(F.broadcast(ip), one, "left").join(F.broadcast(latest), one, "left")
-    return joined.select("requests", (F.col("requests") / minutes).alias("requests_per_minute"), "unique_ips", share("c4").alias("status_4xx_rate"), share("c5").alias("status_5xx_rate"), "top_site", "top_site_requests", "top_ip", "top_ip_requests", "latest_event_at", lag.alias("event_lag_seconds"))
+    return joined.select("requests", (F.col("requests") / span).alias("requests_per_minute"), "unique_ips", share("c4").alias("status_4xx_rate"), share("c5").alias("status_5xx_rate"), "top_site", "top_site_requests", "top_ip", "top_ip_requests", "latest_event_at", lag.alias("event_lag_seconds"))
 
 
 def alert_candidates(events: DataFrame, limit: int = 50) -> DataFrame:
@@ -207,11 +210,18 @@ def report_catalog(reports: DataFrame, site: str = "", kind: str = "", limit: in
 # ---- archives and retention
 
 def merged_intervals(rows: DataFrame, *keys: str) -> DataFrame:
-    """Overlapping or touching [range_start, range_end) as one, by key."""
+    """Overlapping or touching [range_start, range_end) as one, by key: first within the day of their start, so that a
+    busy key's many intervals are spread over tasks, then what is left of them across days."""
+    daily = _merged(rows.withColumn("__day", F.to_date("range_start")), *keys, "__day").drop("__day")
+    return _merged(daily, *keys)
+
+
+def _merged(rows: DataFrame, *keys: str) -> DataFrame:
     own = Window.partitionBy(*keys).orderBy("range_start", "range_end")
     before = F.max("range_end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     run = F.sum(F.coalesce((F.col("range_start") > F.col("__before")).cast("int"), F.lit(1))).over(own)
-    return rows.withColumn("__before", before).withColumn("__run", run).groupBy(*keys, "__run").agg(F.min("range_start").alias("range_start"), F.max("range_end").alias("range_end")).drop("__run")
+    numbered = rows.withColumn("__before", before).withColumn("__run", run)
+    return numbered.groupBy(*keys, "__run").agg(F.min("range_start").alias("range_start"), F.max("range_end").alias("range_end")).drop("__run")
 
 
 _RANK = {"monthly": 3, "weekly": 2, "daily": 1}
@@ -328,9 +338,12 @@ def registered(ev: str, when: str, since: datetime, until: datetime) -> Iterator
     now = datetime(2024, 2, 1)
     window = lambda s, d: R.window(A.access_events(s, d), since, until)
     minutes = (until - since).total_seconds() / 60
-    yield "overview", lambda s, d: overview(A.access_events(s, d), since, until, now), f"""{ev}, s AS (SELECT site_id, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, site_id LIMIT 1), i AS (SELECT client_ip, count(*) AS n FROM w WHERE client_ip IS NOT NULL GROUP BY 1 ORDER BY n DESC, client_ip LIMIT 1)
+    overview_sql = f"""{ev}, s AS (SELECT site_id, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, site_id LIMIT 1), i AS (SELECT client_ip, count(*) AS n FROM w WHERE client_ip IS NOT NULL GROUP BY 1 ORDER BY n DESC, client_ip LIMIT 1)
         SELECT requests, requests / CAST({minutes!r} AS DOUBLE) AS requests_per_minute, unique_ips, c4 / CAST(requests AS DOUBLE) AS status_4xx_rate, c5 / CAST(requests AS DOUBLE) AS status_5xx_rate, s.site_id AS top_site, s.n AS top_site_requests, i.client_ip AS top_ip, i.n AS top_ip_requests, latest AS latest_event_at, CAST(epoch(TIMESTAMP '{now}') - floor(epoch(latest)) AS BIGINT) AS event_lag_seconds
         FROM (SELECT count(*) AS requests, count(DISTINCT client_ip) AS unique_ips, {c4} AS c4, {c5} AS c5 FROM w), s, i, (SELECT max(ts) AS latest FROM ev)"""
+    yield "overview", lambda s, d: overview(A.access_events(s, d), since, until, now), overview_sql
+    with_minutes = lambda s, d: overview(A.access_events(s, d), since, until, now, R.build(A.access_events(s, d), "rollup_1m"))
+    yield "overview_with_minutes", with_minutes, overview_sql
 
     def alert_sql(actor: str, kind: str, least: int) -> str:
         return f"(SELECT site_id, env, {actor} AS actor_value, count(*) AS requests, {c4} AS status_4xx, {c5} AS status_5xx, min(ts) AS first_seen, max(ts) AS last_seen, '{kind}' AS actor_type FROM w WHERE {actor} IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= {least} ORDER BY status_5xx DESC, status_4xx DESC, requests DESC, site_id, env, actor_value LIMIT 50)"
