@@ -106,6 +106,13 @@ def longest_prefix(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     return ips.join(best.select("ip", *named), "ip", "left")
 
 
+def located(ips: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``ips`` with country_code, region and city of the network of a location table (cidr, country_code,
+    registered_country_code, region, city) that holds them; the country of registration stands in for a missing one."""
+    own = blocks.select("cidr", F.coalesce("country_code", "registered_country_code").alias("country_code"), "region", "city")
+    return longest_prefix(ips, own).drop("cidr")
+
+
 def allowlisted(ips: DataFrame, allowlist: DataFrame) -> DataFrame:
     """``ips`` with the first entry, by ``position``, of an allowlist (position, cidr, label, actor_type) that holds it."""
     entries = allowlist.select("position", F.when(F.col("cidr").contains("/"), F.col("cidr")).otherwise(F.concat("cidr", F.when(F.col("cidr").contains(":"), "/128").otherwise("/32"))).alias("cidr"), F.col("label").alias("allow_label"), F.col("actor_type").alias("allow_type"))

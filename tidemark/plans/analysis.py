@@ -301,3 +301,30 @@ def signal_detail(probes: DataFrame, **filters: str) -> dict[str, DataFrame]:
     return {"summary": counted("family", "category", "rule_key"), "ips": counted("client_ip"), "requests": probes}
 
 
+def agent_record(dimension: DataFrame, agent: str, key: int | None = None, prefix: int = 300) -> DataFrame:
+    """The one stored user agent (key, user_agent, request_count) that is meant: by its key, else by its whole text, else
+    by its first 300 characters; among equals the busiest."""
+    text = F.col("user_agent")
+    rank = F.when(F.col("key") == key, 0) if key is not None else F.when(F.lit(False), 0)
+    rank = rank.when(text == agent, 1).when(F.left(text, F.lit(prefix)) == agent[:prefix], 2)
+    return _top(dimension.withColumn("__rank", rank).where("__rank is not null"), 1, "__rank", F.desc("request_count"), "user_agent").drop("__rank")
+
+
+def tor_detail(events: DataFrame, intel: DataFrame, **filters: str) -> dict[str, DataFrame]:
+    """Traffic of Tor exits, narrowed by any of site_id, env, client_ip and path."""
+    exits = intel.where("is_tor_exit").select(F.col("ip").alias("client_ip"))
+    own = events.join(exits, "client_ip", "left_semi")
+    for name, value in filters.items():
+        own = own.where(F.col(name) == value) if value else own
+    counted = lambda *k: own.groupBy(*k).agg(F.count("*").alias("requests"), _class(4), _class(5), *_seen())
+    return {"summary": own.agg(F.count("*").alias("requests"), F.count_distinct("client_ip").alias("unique_ips"), _class(4), _class(5), *_seen()), "ips": counted("client_ip"), "requests": own}
+
+
+def ip_detail_from_rollups(ips: DataFrame, paths: DataFrame, agents: DataFrame, ip: str) -> dict[str, DataFrame]:
+    """Sites, paths and user agents of one address from rollup rows with edges (by address; and path; and agent)."""
+
+    def added(rows: DataFrame, *keys: str) -> DataFrame:
+        own = rows.where(F.col("client_ip") == ip)
+        return own.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in ("requests", "status_4xx", "status_5xx", "bytes_sent")), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+    return {"sites": added(ips, "site_id", "env"), "paths": added(paths, "path"), "user_agents": added(agents, "user_agent")}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,18 @@ def dimension(events: DataFrame, column: str) -> DataFrame:
     return events.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("request_count"))
 
 
+def value_key(value: Column) -> Column:
+    """A key for a dimension's value that needs no table of numbers given out: 60 bits of its md5."""
+    return F.conv(F.left(F.md5(value), F.lit(15)), 16, 10).cast("long")
+
+
+def keyed(events: DataFrame, dimensions: dict[str, DataFrame]) -> DataFrame:
+    """``events`` with <column>_id for each dimension (column -> table with that column and ``key``) that holds its value."""
+    for column, table in dimensions.items():
+        events = events.join(table.select(column, F.col("key").alias(f"{column}_id")), column, "left")
+    return events
+
+
 def add_new(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """``stored`` and the values it does not have; what it has is frozen as first written."""
     return stored.unionByName(fresh.join(stored.select(key), key, "left_anti"))
@@ -201,10 +214,22 @@ def stale_agents(stored: DataFrame, limit: int = 5000) -> DataFrame:
 
 
 def report_catalog(reports: DataFrame, site: str = "", kind: str = "", limit: int = 25, offset: int = 0) -> DataFrame:
-    """A page of reports, newest first, with its summary out of the stored input; a site also matches reports of all."""
-    rows = reports.where((F.col("site_id") == site) | F.col("site_id").isNull()) if site else reports
+    """A page of reports, newest first, with its summary out of the stored input and the number of all that fit in
+    ``total``; a site also matches reports of all."""
+    rows = _of_site(reports, site)
     rows = rows.where(F.col("report_type") == kind) if kind else rows
-    return rows.withColumn("report_summary", F.get_json_object("input", "$.report_summary")).orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
+    total = rows.agg(F.count("*").alias("total"))
+    page = rows.withColumn("report_summary", F.get_json_object("input", "$.report_summary")).orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
+    return page.join(F.broadcast(total))  # one row
+
+
+def report_types(reports: DataFrame, site: str = "") -> DataFrame:
+    """Number of reports by type."""
+    return _of_site(reports, site).groupBy("report_type").agg(F.count("*").alias("reports"))
+
+
+def _of_site(reports: DataFrame, site: str) -> DataFrame:
+    return reports.where((F.col("site_id") == site) | F.col("site_id").isNull()) if site else reports
 
 
 # ---- archives and retention
@@ -255,17 +280,38 @@ def archive_groups(segments: DataFrame, cutoff: datetime, archived: DataFrame, u
 
 def retention_counts(tables: dict[str, tuple[DataFrame, str, datetime]]) -> DataFrame:
     """(table, expired): rows of each table whose time column is before its cutoff."""
-    parts = [df.where(F.col(column) < R.at(cutoff)).agg(F.count("*").alias("expired")).select(F.lit(name).alias("table"), "expired") for name, (df, column, cutoff) in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    expired = lambda df, column, cutoff: df.where(F.col(column) < R.at(cutoff)).agg(F.count("*").alias("expired"))
+    return reduce(DataFrame.unionByName, (expired(*own).select(F.lit(name).alias("table"), "expired") for name, own in tables.items()))
+
+
+def retained(events: DataFrame, cutoff: datetime) -> DataFrame:
+    """What retention leaves: events from the cutoff on, and those of temporary imports, which expire by themselves."""
+    return events.where((F.col("ts") >= R.at(cutoff)) | F.col("temporary_import_id").isNotNull())
 
 
 def without_expired_imports(events: DataFrame, imports: DataFrame, now: datetime) -> DataFrame:
     """Events but those of temporary imports that have run out."""
-    over = imports.where(F.col("expires_at") <= R.at(now)).select(F.col("id").alias("temporary_import_id"))
-    return events.join(over, "temporary_import_id", "left_anti")
+    return events.join(_expired(imports, now), "temporary_import_id", "left_anti")
+
+
+def _expired(imports: DataFrame, now: datetime) -> DataFrame:
+    return imports.where(F.col("expires_at") <= R.at(now)).select(F.col("id").alias("temporary_import_id"))
+
+
+def rollup_without_expired(rollup: DataFrame, name: str, events: DataFrame, imports: DataFrame, now: datetime) -> DataFrame:
+    """A rollup after the imports that have run out are gone: hours that held their events are counted anew from the rest,
+    and vanish if nothing is left."""
+    hours = R.touched_hours(events.join(_expired(imports, now), "temporary_import_id", "left_semi"))
+    hour = lambda df, c: df.withColumn("__hour", F.date_trunc("hour", c))
+    touched = hours.withColumnRenamed("bucket_ts", "__hour")
+    left = hour(without_expired_imports(events, imports, now), "ts").join(touched, "__hour", "left_semi").drop("__hour")
+    return hour(rollup, "bucket_ts").join(touched, "__hour", "left_anti").drop("__hour").unionByName(R.build(left, name))
+
+
+def table_audit(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(table, rows, oldest, newest) of tables by their time column."""
+    parts = [df.agg(F.count("*").alias("rows"), F.min(c).alias("oldest"), F.max(c).alias("newest")).select(F.lit(n).alias("table"), "rows", "oldest", "newest") for n, (df, c) in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def site_rates(events: DataFrame) -> DataFrame:
