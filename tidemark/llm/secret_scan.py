@@ -23,7 +23,7 @@ from tidemark.llm.common import written
 _KEY = r"[A-Za-z0-9+/_\-]"
 _SECRET = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\- ]?key|auth(?:orization)?|credentials?|(?:private|access|client|secret)[_\- ]?key)"
 #: A word that announces a secret, and what stands between it and the value.
-_ASSIGNED = rf"(?i:{_SECRET}[\"'`]?\s*+(?:(?::=|=>|->|==?|:)\s*+[\"'`]?|[\"'`]|(?:is|was)\s++[\"'`]?)|\b(?:bearer|basic)\s++)"
+_ASSIGNED = rf"(?=[pP][aAwWrR]|[sS][eE]|[tT][oO]|[aA][pPuUcC]|[cC][rRlL]|[bB][eEaA])(?i:{_SECRET}[\"'`]?\s*+(?:(?::=|=>|->|==?|:)\s*+[\"'`]?|[\"'`]|(?:is|was)\s++[\"'`]?)|\b(?:bearer|basic)\s++)"
 #: An assigned value: up to eight words that a quote closes, or all up to a blank, a quote or a bracket.
 _QUOTED = r"(?<={0})(?=[^{0}\r\n]{{6}})[^\s{0}]++(?:[ \t][^\s{0}]++){{0,7}}+(?={0})"
 _VALUE = rf"(?:{_QUOTED.format(chr(34))}|{_QUOTED.format(chr(39))}|[^\s\"'`,;<>(){{}}\[\]]{{5,}}[^\s\"'`,;<>(){{}}\[\].:?])"
@@ -32,6 +32,10 @@ _PREFIXED = rf"(?<!{_KEY})(?:(?:AKIA|ASIA)[A-Z0-9]{{16,}}+|AIza{_KEY}{{16,}}+|gh
 #: A run of key characters with a digit, unless it ends as a word that has a value of its own.
 _RUN = rf"(?<!{_KEY})(?=[A-Za-z+/_\-]*+[0-9]){_KEY}{{16,}}+(?<!(?i:word|passwd|phrase|pwd|secret|token|key))={{0,2}}"
 CANDIDATE = rf"{_ASSIGNED}{_VALUE}|{_PREFIXED}|{_RUN}"
+#: A text without any of these has no candidate: a run that might be one, a part of an announcing word, an issuer's prefix.
+_SOME_RUN = rf"(?<!{_KEY})(?=[A-Za-z+/_\-]*+[0-9]){_KEY}{{16}}"
+_SOME_WORD = ("pass", "pwd", "secret", "token", "auth", "credential", "key", "bearer", "basic")
+_SOME_PREFIX = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "sk_", "eyJ")
 _SECRET_WORD = rf"(?i)({_SECRET}|bearer|basic)[^A-Za-z0-9]{{0,6}}((is|was)\s+[\"'`]?)?$"
 _PASSWORD_WORD = r"(?i)(pass(word|wd|phrase)?|pwd)[^A-Za-z0-9]{0,6}((is|was)\s+[\"'`]?)?$"
 _PLAIN_WORD = r"(?i)(commit|revision|sha-?[0-9]*|md5|checksum|hash|digest|uuid|guid|etag|id|doi|isbn|serial|order|invoice|number|build|version|ref|card|account)[^A-Za-z0-9]{0,6}$"
@@ -50,7 +54,11 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     Characters count from 0. Null and empty texts have none. A repeated row has its candidates again.
     """
-    held = docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
+    # cheap tests first, as most texts hold nothing of the kind
+    low = F.lower("text")
+    some = [*(low.contains(x) for x in _SOME_WORD), *(F.col("text").contains(x) for x in _SOME_PREFIX), F.col("text").rlike(_SOME_RUN)]
+    some = docs.select("doc_id", "text").where(reduce(lambda a, b: a | b, some))
+    held = some.where(F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
     split = held.select("doc_id", "row", F.md5("text").alias("text_hash"), F.split("text", CANDIDATE, -1).alias("around"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
     each = split.select("doc_id", "row", "text_hash", "around", F.posexplode("found").alias("nth", "whole"))
     before, after = F.get("around", F.col("nth")), F.get("around", F.col("nth") + 1)
@@ -164,9 +172,9 @@ def labelled_findings(spark: SparkSession, rows: int = 8192, words: tuple[str, .
     return reduce(DataFrame.unionByName, (part_of(k, x) for k, x in enumerate(kinds)))
 
 
-def train(findings: DataFrame, dictionary: DataFrame, trees: int = 60, depth: int = 9, seed: int = 11) -> PipelineModel:
+def train(findings: DataFrame, dictionary: DataFrame, trees: int = 40, depth: int = 8, seed: int = 11) -> PipelineModel:
     """A forest from labelled ``findings`` (value, left, right, label 0/1)."""
-    rows = features(findings, dictionary)
+    rows = written(features(written(findings, "findings"), dictionary), "labelled")  # read several times below
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="__features"), RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)]).fit(rows)
 
 
@@ -181,7 +189,8 @@ def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
         some = dictionary.where("length(word) > 3").orderBy(F.xxhash64("word")).limit(64).collect()
         findings = labelled_findings(docs.sparkSession, words=tuple(r["word"] for r in some))
     model = train(findings, dictionary)
-    judged = model.transform(features(candidates(docs), dictionary)).withColumn("score", F.element_at(vector_to_array("probability"), 2))
+    # written, as the features read them twice
+    judged = model.transform(features(written(candidates(docs), "candidates"), dictionary)).withColumn("score", F.element_at(vector_to_array("probability"), 2))
     kind = F.when(F.col("issued") > 0, "issued key").when(F.col("uuid") > 0, "uuid").when(F.col("numeric") > 0, "number").when(F.col("hexes") + F.col("marks") >= 0.999, "hexadecimal").otherwise("mixed")
     return judged.select("doc_id", "text_hash", F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char"), "value", kind.alias("kind"), "score", (F.col("score") >= 0.5).alias("is_secret"))
 
