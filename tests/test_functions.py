@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -65,6 +66,24 @@ def test_access_column(spark):
     assert [r.a.path for r in got] == ["/foo", None, None, None]
 
 
+def test_ordinary_lines_are_read_as_by_the_parser(spark):
+    r = random.Random(1)
+    ips = ["203.0.113.9", "10.0.0.1", "256.1.1.1", "1.2.3.04", "-", "unix:", "2001:db8::1", "host"]
+    targets = ["/", "/a/b", "/a?x=1", "/a?x=%20&y", "/a%20b", "//h/p", "/a?b?c", "/a#f", "*", "/a?q=1,2", "https://x.example/p", "/é?ü", "/a:b?c:d", "/?"]
+    agents = ["-", "curl/8", "Mozilla/5.0 (X11) (KHTML, like Gecko)", "x, 8.8.8.8", "a [b] c", 'say \\"hi\\"', "", "é", "GET /x HTTP/1.1"]
+    times = ["", " 0.1", " -", " 1.5 0.25", " 0 0.0004", ' 1 "0.1, 0.2"', ' 0.2 "8.8.8.8, 10.0.0.1"', " nan", " 1e3", " 5 6 7", " 99999999"]
+    pick = lambda *of: r.choice(of)
+    lines = [
+        f'{r.choice(ips)} - {pick("-", "bob", "a b")} [17/Jun/2026:14:22:31 +0000] "{pick("GET", "POST", "get")} {r.choice(targets)} HTTP/{pick("1.1", "2.0", "x")}" '
+        f'{pick("200", "404", "-", "1000")} {pick("5", "-", "0", "99999999999999999999")} "{pick("-", "https://e.example/a?b", "x,y", "")}" "{r.choice(agents)}"{r.choice(times)}'
+        for _ in range(20_000)
+    ]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").where(parsing.is_ordinary(F.col("line"))).withColumn("a", parsing.ordinary_fields(F.col("line"))).collect()
+    assert len(rows) > 100
+    for row in rows:
+        assert tuple(row.a) == parsing.parse_access(row.line), row.line
+
+
 @pytest.mark.parametrize(
     ("line", "ts", "severity", "start"),
     [

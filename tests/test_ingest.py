@@ -99,6 +99,22 @@ def test_tree_and_segments_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "week")).count() == 3
 
 
+def test_large_files_are_read_in_splits(spark, tmp_path):
+    folder = tmp_path / "raw/site1/live/c1"
+    folder.mkdir(parents=True)
+    texts = {f"nginx-access.log.{k}": [f"{k}-{n} {'x' * (n % 50)}" if n % 7 else "" for n in range(400 * k + 3)] for k in range(4)}
+    for name, rows in texts.items():
+        (folder / name).write_text("\r\n".join(rows) if name.endswith("2") else "\n".join(rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = logs.read_tree(spark, str(tmp_path / "raw"))
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 8
+        assert sorted((r.raw_file_id.rsplit("/", 1)[-1], r.raw_line_no, r.raw) for r in got.collect()) == sorted((name, n + 1, x) for name, rows in texts.items() for n, x in enumerate(rows) if x)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_archives(spark, tmp_path):
     import zstandard
 

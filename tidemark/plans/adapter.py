@@ -77,9 +77,16 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log events as lines of a PHP error log."""
-    e = log_events(spark, sf_dir).where("log_type = 'php-error'")
-    raw = F.concat(F.lit("["), F.date_format("ts", "dd-MMM-yyyy HH:mm:ss"), F.lit(" UTC] PHP Warning: "), "message")
+    """The log events as lines of their kinds: a PHP error and a slow log, a web server's error log and a database's."""
+    e = log_events(spark, sf_dir)
+    level = F.when(F.col("severity") == "critical", "crit").when(F.col("severity") == "warning", "warn").otherwise(F.col("severity"))
+    at = lambda form: F.date_format("ts", form)
+    raw = (
+        F.when(F.col("log_type") == "php-error", F.concat(F.lit("["), at("dd-MMM-yyyy HH:mm:ss"), F.lit(" UTC] PHP Warning: "), "message"))
+        .when(F.col("log_type") == "nginx-error", F.concat(at("yyyy/MM/dd HH:mm:ss"), F.lit(" ["), level, F.lit("] 1#0: "), "message"))
+        .when(F.col("log_type") == "php-slow", F.concat(F.lit("["), at("dd-MMM-yyyy HH:mm:ss"), F.lit("] [pool www] "), "message"))
+        .otherwise(F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z "), "id", F.lit(" ["), F.initcap("severity"), F.lit("] "), "message"))
+    )
     return e.select("site_id", "env", F.lit("c1").alias("container_id"), "log_type", F.concat("site_id", F.lit(".log")).alias("raw_file_id"), F.col("id").alias("raw_line_no"), raw.alias("raw"))
 
 

@@ -147,13 +147,15 @@ _BROWSER = "CASE WHEN regexp_matches(sample, '(?i)Chrome/[0-9.]+') THEN 'Chrome'
 _AGENT = f"""SELECT *, CASE WHEN sample = '' THEN 'missing' WHEN svc IS NOT NULL THEN svc WHEN tool <> '' THEN 'tool' WHEN browser <> '' THEN 'browser' ELSE 'unknown' END AS actor_type,
     CASE WHEN sample = '' THEN 'empty' WHEN tool <> '' THEN tool WHEN svc IS NOT NULL THEN fam WHEN browser <> '' THEN browser ELSE 'unknown' END AS family,
     CAST(CASE WHEN sample = '' THEN 55 WHEN tool <> '' THEN (CASE WHEN vol < 60 THEN 65 ELSE vol END) WHEN svc IS NOT NULL THEN rsk WHEN browser <> '' THEN (CASE WHEN vol > 30 THEN 15 ELSE vol END) ELSE vol END AS INT) AS risk_score,
-    CASE WHEN sample = '' OR act IS NULL THEN '' ELSE act END AS known_actor
+    CASE WHEN sample = '' OR act IS NULL THEN '' ELSE act END AS known_actor, browser AS browser_family, CASE WHEN tool <> '' OR browser <> '' THEN regexp_extract(sample, '(?i)(?:curl|python-requests|Chrome)/([0-9]+[.][0-9]+[.][0-9]+)', 1) ELSE '' END AS browser_version,
+    CASE WHEN contains(sample, 'Windows NT 10.0') THEN 'Windows' ELSE '' END AS os_family, CASE WHEN contains(sample, 'Windows NT 10.0') THEN '10/11' ELSE '' END AS os_version, CASE WHEN contains(sample, 'Windows NT 10.0') THEN 'Desktop' ELSE 'unknown' END AS device_family,
+    sample <> '' AND coalesce(svc, '') = 'crawler' AS is_bot, sample <> '' AND (tool <> '' OR coalesce(svc, '') IN ('tool', 'monitor')) AS is_tool
     FROM (SELECT *, {_TOOL} AS tool, {_BROWSER} AS browser, {agent_sql(_LOW, 'actor_type')} AS svc, {agent_sql(_LOW, 'family')} AS fam, {agent_sql(_LOW, 'known_actor')} AS act, {agent_sql(_LOW, 'risk_score')} AS rsk, CASE WHEN requests >= 10000 THEN 60 WHEN requests >= 1000 THEN 45 ELSE 30 END AS vol FROM ua)"""
 _UA = f""", ua AS (SELECT coalesce(user_agent, '') AS sample, count(*) AS requests, count(DISTINCT client_ip) AS unique_ips, {_C4} AS status_4xx, {_C5} AS status_5xx, {_BYTES},
     count(DISTINCT client_ip) FILTER (WHERE ok) AS verified_ips, count(*) FILTER (WHERE ok) AS verified_requests, {_SEEN} FROM (SELECT w.*, coalesce({_LOOSE}, false) AND i.ip IS NOT NULL AS ok FROM w LEFT JOIN ip i ON i.ip = w.client_ip) GROUP BY 1 ORDER BY requests DESC, sample LIMIT 25)"""
-_AGENT_COLUMNS = ("sample", "requests", "unique_ips", "status_4xx", "status_5xx", "bytes_sent", "verified_ips", "verified_requests", "first_seen", "last_seen", "family", "actor_type", "known_actor", "risk_score", "verified_source", "status_4xx_rate", "status_5xx_rate")
-_add("user_agents", lambda s, d: N.user_agents(_window(s, d), A.ip_intel(s, d)).select(*_AGENT_COLUMNS), f"{EV}{_UA} SELECT sample, requests, unique_ips, status_4xx, status_5xx, bytes_sent, verified_ips, verified_requests, first_seen, last_seen, family, actor_type, known_actor, risk_score, verified_ips > 0 AS verified_source, {_R4}, {_R5} FROM ({_AGENT})")
-_on_events("user_agent_dimension", lambda e: O.dimension(e, "user_agent").withColumn("a", useragent.analyse(F.col("user_agent"), F.col("request_count"))).select("user_agent", "first_seen", "last_seen", "request_count", *(F.col(f"a.{f}").alias(f) for f in ("family", "actor_type", "known_actor", "risk_score"))), f", ua AS (SELECT user_agent AS sample, count(*) AS requests, {_SEEN} FROM ev WHERE user_agent IS NOT NULL GROUP BY 1) SELECT sample AS user_agent, first_seen, last_seen, requests AS request_count, family, actor_type, known_actor, risk_score FROM ({_AGENT})")
+_FIELDS = ", ".join(useragent.FIELDS)
+_add("user_agents", lambda s, d: N.user_agents(_window(s, d), A.ip_intel(s, d)), f"{EV}{_UA} SELECT sample, requests, unique_ips, status_4xx, status_5xx, bytes_sent, verified_ips, verified_requests, first_seen, last_seen, {_FIELDS}, verified_ips > 0 AS verified_source, {_R4}, {_R5} FROM ({_AGENT})")
+_on_events("user_agent_dimension", lambda e: O.dimension(e, "user_agent").withColumn("a", useragent.analyse(F.col("user_agent"), F.col("request_count"))).select("user_agent", "first_seen", "last_seen", "request_count", *(F.col(f"a.{f}").alias(f) for f in useragent.FIELDS)), f", ua AS (SELECT user_agent AS sample, count(*) AS requests, {_SEEN} FROM ev WHERE user_agent IS NOT NULL GROUP BY 1) SELECT sample AS user_agent, first_seen, last_seen, requests AS request_count, {_FIELDS} FROM ({_AGENT})")
 _on_events("bot_kinds", lambda e: e.groupBy(F.coalesce("user_agent", F.lit("")).alias("sample")).agg(F.count("*").alias("requests")).withColumn("a", useragent.analyse(F.col("sample"), F.col("requests"))).select("sample", "requests", bots.bot_kind(F.col("a.family"), F.col("a.known_actor"), F.col("a.actor_type"), F.col("sample"), F.lit(""), F.col("a.risk_score"), F.lit("")).alias("kind")), "SELECT coalesce(user_agent, '') AS sample, count(*) AS requests, CASE WHEN contains(user_agent, 'AhrefsBot') THEN 'seo' WHEN contains(user_agent, 'curl') OR contains(user_agent, 'python') THEN 'tools' WHEN contains(user_agent, 'sqlmap') THEN 'suspicious' ELSE 'other' END AS kind FROM ev GROUP BY ALL")
 
 # ---- probes and facts
@@ -240,6 +242,7 @@ _on_window("timeline_3h", lambda w: N.timeline(w, 10800), _TIMELINE(10800))
 _on_window("query_params", N.query_params, PARAMS("w") + f" SELECT param_family, param, param_value, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_CS} AS slow_requests, {_UNIQUE}, coalesce(avg(request_time_ms), 0.0) AS avg_request_time_ms, {_NEWEST}, {_SEEN} FROM pr GROUP BY 1, 2, 3 ORDER BY status_5xx DESC, slow_requests DESC, requests DESC, param_family, param, param_value LIMIT 25")
 _ERROR = "id, ts, site_id, env, client_ip, method, path, query, status, user_agent"
 _on_window("recent_errors", lambda w: N.recent_errors(w, probes.errors(w).where("id % 13 <> 0"), limit=50).select(*_ERROR.split(", ")), f"SELECT {_ERROR} FROM w WHERE status >= 400 ORDER BY ts DESC, id DESC LIMIT 50")
+_add("recent_errors_with_intel", lambda s, d: N.recent_errors(_window(s, d), probes.errors(_window(s, d)), A.ip_intel(s, d), 50).select(*_ERROR.split(", "), "actor_type", "known_actor", "manual_action", "country_code", "verified_source"), f"{EV} SELECT e.*, i.actor_type, i.known_actor, i.manual_action, i.country_code, {_VERIFIED} AS verified_source FROM (SELECT {_ERROR} FROM w WHERE status >= 400 ORDER BY ts DESC, id DESC LIMIT 50) e LEFT JOIN ip i ON i.ip = e.client_ip")
 _on_window("agent_detail_ips", lambda w: N.paged(N.agent_detail(w, "curl/8.7.1")["ips"], 10, 5, F.desc("requests"), F.asc_nulls_first("client_ip")), f"SELECT *, count(*) OVER () AS total FROM (SELECT client_ip, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_SEEN} FROM w WHERE user_agent = 'curl/8.7.1' GROUP BY 1) ORDER BY requests DESC, client_ip NULLS FIRST LIMIT 10 OFFSET 5")
 _on_window("ip_detail_hits", lambda w: N.ip_detail(w, "203.0.113.77")["url_hits"], f"SELECT site_id, env, method, path, query, status, user_agent, count(*) AS requests, coalesce(avg(request_time_ms), 0.0) AS avg_request_time_ms, {_P95} AS p95_request_time_ms, {_SEEN} FROM w WHERE client_ip = '203.0.113.77' GROUP BY ALL")
 _on_window("ip_detail_sites", lambda w: N.ip_detail(w, "203.0.113.77")["sites"], f"SELECT site_id, env, {_FULL} FROM w WHERE client_ip = '203.0.113.77' GROUP BY ALL")
@@ -265,7 +268,11 @@ def _ingested(s: SparkSession, d: str) -> DataFrame:
 
 _OCTET = "CASE WHEN TRY_CAST(split_part(client_ip, '.', 4) AS INT) > 255 THEN NULL ELSE client_ip END AS client_ip"
 _add("ingest_access_lines", _ingested, f"{EV} SELECT DISTINCT date_trunc('second', ts) AS ts, site_id, env, {_OCTET}, method, path, query, status, bytes_sent, user_agent, coalesce(request_time_ms, 0) AS request_time_ms FROM ev")
-_add("ingest_log_lines", lambda s, d: C.index_logs(C.combine(A.log_lines(s, d))[0]).select("ts", "site_id", "env", "log_type", "severity", "message"), f"WITH lg AS ({A.LOGS_SQL}) SELECT DISTINCT date_trunc('second', ts) AS ts, site_id, env, log_type, CASE WHEN contains(message, 'error') THEN 'error' ELSE 'warning' END AS severity, concat('PHP Warning: ', message) AS message FROM lg WHERE log_type = 'php-error'")
+_LOG_LINES_SQL = f"""WITH lg AS ({A.LOGS_SQL}) SELECT DISTINCT date_trunc('second', ts) AS ts, site_id, env, log_type,
+    CASE log_type WHEN 'php-error' THEN CASE WHEN contains(message, 'error') THEN 'error' ELSE 'warning' END WHEN 'php-slow' THEN CASE WHEN contains(message, 'error') THEN 'error' ELSE 'info' END ELSE severity END AS severity,
+    CASE log_type WHEN 'php-error' THEN concat('PHP Warning: ', message) WHEN 'nginx-error' THEN concat('1#0: ', message) WHEN 'php-slow' THEN concat('[pool www] ', message)
+    ELSE concat(CAST(id AS VARCHAR), ' [', upper(left(severity, 1)), substr(severity, 2), '] ', message) END AS message FROM lg"""
+_add("ingest_log_lines", lambda s, d: C.index_logs(C.combine(A.log_lines(s, d))[0]).select("ts", "site_id", "env", "log_type", "severity", "message"), _LOG_LINES_SQL)
 _add("segment_manifest", lambda s, d: C.manifest(C.combine(A.access_lines(s, d), SINCE, UNTIL)[0], UNTIL).select("bucket_start", "bucket_end", "site_id", "env", "line_count", "min_ts", "max_ts", "status"), f"""{EV}, l AS (SELECT DISTINCT date_trunc('second', ts) AS ts, site_id, env, client_ip, method, path, query, status, bytes_sent, user_agent, request_time_ms FROM ev WHERE date_trunc('hour', ts) >= date_trunc('hour', TIMESTAMP '{SINCE}') AND date_trunc('hour', ts) < TIMESTAMP '{UNTIL}')
     SELECT *, CASE WHEN bucket_end + INTERVAL 15 MINUTE < TIMESTAMP '{UNTIL}' THEN 'finalized' ELSE 'rewritten' END AS status FROM (SELECT date_trunc('hour', ts) AS bucket_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS bucket_end, site_id, env, count(*) AS line_count, min(ts) AS min_ts, max(ts) AS max_ts FROM l GROUP BY ALL)""")
 

@@ -54,7 +54,7 @@ def _quarantined(s: SparkSession, d: str) -> DataFrame:
 
 def _carried(s: SparkSession, d: str) -> DataFrame:
     """Lines without a time between those of a PHP log, indexed."""
-    lines = A.log_lines(s, d)
+    lines = A.log_lines(s, d).where("log_type = 'php-error'")
     trace = F.concat(F.lit("#0 trace "), "raw_line_no")
     timed = C.line_times(lines.withColumn("raw", F.when(F.col("raw_line_no") % 3 == 1, trace).otherwise(F.col("raw")))).where("ts is not null")
     return C.index_logs(timed.withColumn("fingerprint", F.col("raw_line_no").cast("string"))).select("fingerprint", "ts", "site_id", "severity", "message")

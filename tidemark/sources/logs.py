@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from fnmatch import fnmatch
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,32 +17,45 @@ from tidemark.functions.parsing import combined_log_type, local_log_type
 SEGMENT_LINE = T.StructType([T.StructField(n, T.StringType()) for n in ("ts", "site_id", "env", "container_id", "log_type", "raw_file_id")] + [T.StructField("raw_line_no", T.LongType()), T.StructField("raw", T.StringType()), T.StructField("fingerprint", T.StringType())])
 
 
-def _numbered(files: DataFrame) -> DataFrame:
-    """(path, raw_line_no, raw) of whole files; the number is the line's place in its file."""
-    lines = files.select("path", F.posexplode(F.split("value", "\n")).alias("at", "raw"))
-    return lines.select("path", (F.col("at") + 1).cast("long").alias("raw_line_no"), F.regexp_replace("raw", "\r$", "").alias("raw")).where(F.trim("raw") != "")
+def _numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, raw_line_no, raw) of all files below a folder; the number is the line's place in its file.
+
+    Files are read in splits, so that a large one is many tasks' work. Within a task, rows are numbered in order; a
+    line's place in its split is its distance from the split's first row, to which the lines of the file's earlier
+    splits are added: one small row a split.
+    """
+    read = spark.read.text(folder, recursiveFileLookup=True, lineSep="\n")
+    meta = F.col("_metadata")
+    lines = read.select(F.col("value"), meta["file_path"].alias("path"), meta["file_block_start"].alias("split")).withColumn("row", F.monotonically_increasing_id())
+    splits = lines.groupBy("path", "split").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("split")) - F.col("n")
+    placed = lines.join(splits.select("path", "split", "first", before.alias("before")), ["path", "split"])
+    number = (F.col("before") + F.col("row") - F.col("first") + 1).alias("raw_line_no")
+    return placed.select("path", number, F.regexp_replace("value", "\r$", "").alias("raw")).where(F.trim("raw") != "")
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """Lines of <root>/<site>/<env>/<container>/.../<file>, plain or gzip, with source columns and log type.
 
-    Files are read whole, as their lines need numbers; a file is one task's work, so raw files should be those
-    of an hour or a day. Files that lie less deep are left out.
+    Plain files may be of any size; a gzip file cannot be split and is one task's work. Files that lie less deep are
+    left out.
     """
-    whole = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
     below = F.split(F.substring_index("path", "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/", -1), "/")
-    named = _numbered(whole).withColumn("p", below).where(F.size("p") >= 4)
+    named = _numbered(spark, root).withColumn("p", below).where(F.size("p") >= 4)
     part = lambda k: F.element_at("p", k)
-    return named.select(part(1).alias("site_id"), part(2).alias("env"), part(3).alias("container_id"), combined_log_type(F.col("path")).alias("log_type"), F.col("path").alias("raw_file_id"), "raw_line_no", "raw").where("log_type <> 'unknown'")
+    source = (part(1).alias("site_id"), part(2).alias("env"), part(3).alias("container_id"))
+    rows = named.select(*source, combined_log_type(F.col("path")).alias("log_type"), F.col("path").alias("raw_file_id"), "raw_line_no", "raw")
+    return rows.where("log_type <> 'unknown'")
 
 
 def read_local(spark: SparkSession, folder: str, site: str, env: str, masks: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
     """Lines of a local log folder as one source. Without masks all files count; then by log type, if types are given."""
-    whole = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
+    lines = _numbered(spark, folder)
     if masks:
-        whole = whole.where(_any_mask(F.regexp_extract("path", "([^/]+)$", 1), masks))
-    lines = _numbered(whole).select(F.lit(site).alias("site_id"), F.lit(env).alias("env"), F.lit("local").alias("container_id"), local_log_type(F.col("path")).alias("log_type"), F.col("path").alias("raw_file_id"), "raw_line_no", "raw")
-    return lines.where(F.col("log_type").isin(types)) if types else lines.where("log_type <> 'unknown'")
+        lines = lines.where(_any_mask(F.regexp_extract("path", "([^/]+)$", 1), masks))
+    source = (F.lit(site).alias("site_id"), F.lit(env).alias("env"), F.lit("local").alias("container_id"))
+    rows = lines.select(*source, local_log_type(F.col("path")).alias("log_type"), F.col("path").alias("raw_file_id"), "raw_line_no", "raw")
+    return rows.where(F.col("log_type").isin(types)) if types else rows.where("log_type <> 'unknown'")
 
 
 def _any_mask(name: Column, masks: list[str]) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Id, name, actor type, address and kind of each list.
+#: Id, name, actor type, address and kind of each list. Whoever fetches microsoft-365 adds a ``clientrequestid`` of
+#: their own to its address, as its publisher asks; no query here reads it.
 PROVIDERS = (
     ("openai-gptbot", "OpenAI GPTBot", "crawler", "https://openai.com/gptbot.json", "json"),
     ("openai-searchbot", "OpenAI SearchBot", "crawler", "https://openai.com/searchbot.json", "json"),
