@@ -1,4 +1,9 @@
-"""A corpus-cleaning pipeline: each stage applies one corpus operator to what the stage before it kept."""
+"""A corpus-cleaning pipeline: each stage applies one corpus operator to what the stage before it kept.
+
+Stages take any columns besides doc_id and text along. Null texts count as empty; they are neither toxic nor contaminated
+and hold no secret, but are alike, so that one of them stays. Rows without a doc_id are judged by their text alone and never
+taken for copies. Repeated rows are judged alike: they go or stay together. Empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -16,13 +21,14 @@ from tidemark.llm.toxicity import drop_toxic, labelled, train
 
 
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity of 0.5 or more go. The model learns from all labelled documents."""
+    """Documents with a toxicity of 0.5 or more go. The model learns from labelled documents, about 24,000 at most."""
     model = train(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that with the smallest doc_id."""
+    """One document of each group of texts with a Jaccard similarity of 0.8 or more over five words stays: that with
+    the smallest doc_id. Rows that repeat its doc_id stay with it."""
     return keep_one_each(docs)
 
 
