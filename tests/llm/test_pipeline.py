@@ -1,6 +1,7 @@
 """The pipeline's stages against plain checks of what must go and what must stay."""
 
 import random
+from collections import defaultdict
 
 import corpus_pipeline
 import pytest
@@ -12,6 +13,19 @@ from tidemark.llm.common import written
 SF = "/root/testdata/sf0.01"
 
 
+def similar_pairs(rows):
+    """doc_id -> {doc_id: Jaccard similarity over five words} of rows that share any five."""
+    sets = {r.doc_id: frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) > 4 else frozenset([tuple(w)]) for r in rows for w in [(r.text or "").lower().split()]}
+    holders, out = defaultdict(set), defaultdict(dict)
+    for d, s in sets.items():
+        for x in s:
+            holders[x].add(d)
+    for d, s in sets.items():
+        for other in {o for x in s if len(holders[x]) < 400 for o in holders[x]} - {d}:
+            out[d][other] = len(s & sets[other]) / len(s | sets[other])
+    return out
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
@@ -34,6 +48,10 @@ def test_stages(spark, stages):
     assert kept.where("toxic = 1").count() <= 0.25 * before.join(labels, "doc_id").where("toxic = 1").count()
     _, before, after = stages[1]
     assert after.select("text").distinct().count() == after.count() > 0.8 * before.count()
+    kept, alike = {r.doc_id for r in after.collect()}, similar_pairs(before.collect())
+    gone = {r.doc_id for r in before.collect()} - kept
+    assert all(any(j >= 0.8 for j in alike[d].values()) for d in gone)  # nothing goes without a text like it
+    assert not [(a, b) for a in kept for b, j in alike[a].items() if b in kept and j >= 0.9]
     _, before, after = stages[2]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     has = F.lit(False)
