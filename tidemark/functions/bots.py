@@ -34,5 +34,7 @@ def bot_kind(family: Column, known_actor: Column, actor_type: Column, sample: Co
         if name in ("monitors", "tools"):
             hit = hit | (kind == name[:-1])
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    suspect = (blank(manual_action) == "suspicious") | (F.coalesce(risk, F.lit(0)) >= 70) | text.rlike(SUSPECT_AGENT) | F.concat_ws(" ", blank(actor_type), blank(known_actor), blank(reverse_dns)).rlike(SUSPECT_SOURCE)
+    suspect = (blank(manual_action) == "suspicious") | (F.coalesce(risk, F.lit(0)) >= 70) | text.rlike(SUSPECT_AGENT) | F.concat_ws(
+        " ", blank(actor_type), blank(known_actor), blank(reverse_dns),
+    ).rlike(SUSPECT_SOURCE)
     return out.when(suspect, "suspicious").otherwise("other")

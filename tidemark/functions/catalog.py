@@ -87,7 +87,10 @@ def _first(test: Callable[[Service], list[Column]]) -> Column:
     out = None
     for s in SERVICES:
         if tests := test(s):
-            row = F.struct(F.lit(s.id).alias("id"), F.lit(s.family).alias("family"), F.lit(s.actor).alias("known_actor"), F.lit(s.kind).alias("actor_type"), F.lit(s.risk).alias("risk_score"))
+            row = F.struct(
+                F.lit(s.id).alias("id"), F.lit(s.family).alias("family"), F.lit(s.actor).alias("known_actor"), F.lit(s.kind).alias("actor_type"),
+                F.lit(s.risk).alias("risk_score"),
+            )
             out = F.when(_any(tests), row) if out is None else out.when(_any(tests), row)
     return out
 

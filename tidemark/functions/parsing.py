@@ -21,7 +21,11 @@ ACCESS = T.StructType(
     + [T.StructField("status", T.IntegerType()), T.StructField("bytes_sent", T.LongType()), T.StructField("referer", T.StringType()), T.StructField("user_agent", T.StringType()), T.StructField("request_time_ms", T.IntegerType()), T.StructField("upstream_time_ms", T.IntegerType())]
 )
 MOST_MS = 86_400_000
-_NOT_PUBLIC = [ip_network(x) for x in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "0.0.0.0/32", "fc00::/7", "::1/128", "fe80::/10", "::/128")]
+_NOT_PUBLIC = [
+    ip_network(x) for x in (
+        "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "0.0.0.0/32", "fc00::/7", "::1/128", "fe80::/10", "::/128",
+    )
+]
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 _BAD_ESCAPE = re.compile(r"%(?![0-9a-fA-F]{2})")
 
@@ -128,7 +132,10 @@ def parse_access(line: str) -> tuple | None:
     request, rest = fields[at].split(" "), fields[at + 3 :] + [""] * 4
     path, query, scheme, host = split_target(request[1]) if len(request) > 1 else ("", "", "", "")
     dash = lambda x: "" if x == "-" else x
-    return (client_ip(fields), request[0] if len(request) > 1 else "", scheme, host, path, query, _whole(fields[at + 1], 0, 999), _whole(fields[at + 2], -(1 << 63), (1 << 63) - 1), dash(rest[0]), dash(rest[1]), duration_ms(rest[2]), duration_ms(rest[3]))
+    return (
+        client_ip(fields), request[0] if len(request) > 1 else "", scheme, host, path, query, _whole(fields[at + 1], 0, 999),
+        _whole(fields[at + 2], -(1 << 63), (1 << 63) - 1), dash(rest[0]), dash(rest[1]), duration_ms(rest[2]), duration_ms(rest[3]),
+    )
 
 
 @pandas_udf(ACCESS)
@@ -187,13 +194,17 @@ def _iso(text: Column) -> Column:
 
 def severity(name: Column) -> Column:
     text = F.lower(F.trim(name))
-    return F.when(text.isin("emerg", "alert", "crit", "critical", "fatal", "panic"), "critical").when(text.isin("err", "error"), "error").when(text.isin("warn", "warning"), "warning").when(text == "", "info").otherwise(text)
+    return F.when(
+        text.isin("emerg", "alert", "crit", "critical", "fatal", "panic"), "critical",
+    ).when(text.isin("err", "error"), "error").when(text.isin("warn", "warning"), "warning").when(text == "", "info").otherwise(text)
 
 
 def severity_of(message: Column) -> Column:
     """By the first bracketed word, else by words in the text."""
     lower, bracket = F.lower(message), F.regexp_extract(message, r"\[([A-Za-z]+)\]", 1)
-    return F.when(bracket != "", severity(bracket)).when(lower.rlike("fatal|critical|panic"), "critical").when(lower.rlike("error|exception"), "error").when(lower.contains("warn"), "warning").when(lower.contains("note") | lower.contains("notice"), "notice").otherwise("info")
+    return F.when(bracket != "", severity(bracket)).when(lower.rlike("fatal|critical|panic"), "critical").when(lower.rlike("error|exception"), "error").when(lower.contains("warn"), "warning").when(
+        lower.contains("note") | lower.contains("notice"), "notice",
+    ).otherwise("info")
 
 
 #: The line formats in the order in which they are tried.
@@ -217,7 +228,10 @@ def _parsed(raw: Column) -> Column:
     def read(pattern: str, ts: Column, level: Column, message: Column) -> Column:
         return F.when(raw.rlike(pattern) & ts.isNotNull(), F.struct(ts.alias("ts"), level.alias("severity"), F.trim(message).alias("message")))
 
-    apache = F.concat_ws(" ", part(APACHE, 1), F.lpad(part(APACHE, 2), 2, "0"), F.concat(part(APACHE, 3), F.rpad(F.when(part(APACHE, 4) == "", ".").otherwise(part(APACHE, 4)), 7, "0")), part(APACHE, 5))
+    apache = F.concat_ws(
+        " ", part(APACHE, 1), F.lpad(part(APACHE, 2), 2, "0"),
+        F.concat(part(APACHE, 3), F.rpad(F.when(part(APACHE, 4) == "", ".").otherwise(part(APACHE, 4)), 7, "0")), part(APACHE, 5),
+    )
     return F.coalesce(
         read(NGINX, F.try_to_timestamp(part(NGINX, 1), F.lit("yyyy/MM/dd HH:mm:ss")), severity(part(NGINX, 2)), part(NGINX, 3)),
         read(APACHE, F.try_to_timestamp(apache, F.lit("MMM dd HH:mm:ss.SSSSSS yyyy")), severity_of(part(APACHE, 6)), part(APACHE, 6)),
@@ -270,7 +284,10 @@ def local_log_type(path: Column) -> Column:
 def combined_log_type(path: Column) -> Column:
     """The kind of log when raw files are combined: database logs only by the start of their names."""
     name = _log_name(path)
-    database = [(name.startswith("mysql-slow.log") | name.startswith("mysqld-slow-query.log"), "mysql-slow"), (name.startswith("mysql.log") | name.startswith("mysqld.log"), "mysql")]
+    database = [
+        (name.startswith("mysql-slow.log") | name.startswith("mysqld-slow-query.log"), "mysql-slow"),
+        (name.startswith("mysql.log") | name.startswith("mysqld.log"), "mysql"),
+    ]
     return _choose(_web_server(name) + database + _apache(name, True))
 
 

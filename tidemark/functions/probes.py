@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 #: Words and patterns that name a probe.
 ADMIN_TOOL = ("phpmyadmin", "/pma", "adminer", "/xmlrpc.php", "/wp-admin/install.php", "/wp-admin/setup-config.php")
-PASSWORD_RESET = ("lostpassword", "lost-password", "retrievepassword", "resetpass", "forgot_password", "forgot-password", "passwordreset", "reset_password", "request-password-reset")
+PASSWORD_RESET = (
+    "lostpassword", "lost-password", "retrievepassword", "resetpass", "forgot_password", "forgot-password", "passwordreset", "reset_password",
+    "request-password-reset",
+)
 PASSWORD_RESET_START = ("/password/reset", "/password/email", "/reset-password", "/forgot-password", "/account/reset")
 ADMIN_LOGIN = ("controller=adminlogin", "submitlogin", "adminlogin")
 ADMIN_PATH = ("/wp-login.php", "/wp-admin", "/administrator", "/admin", "/login", "/user/login", "/backend", "/manager")
@@ -71,7 +74,18 @@ def injection(path: Column, query: Column) -> Column:
     gate = F.exists(F.concat(variants(p), variants(q), variants(F.concat(p, F.lit("?"), q))), lambda v: any_of(v, CANDIDATE))
     tries = variants(target)
     sql = F.get(F.filter(F.transform(tries, _sql_reason), lambda x: x.isNotNull()), F.lit(0))
-    script = F.get(F.filter(F.transform(tries, lambda v: F.when(any_of(v, ("<script", "3cscript")), "script_tag").when(any_of(v, ("javascript:", "onerror=", "onload=", "alert(")), "xss_payload")), lambda x: x.isNotNull()), F.lit(0))
+    script = F.get(
+        F.filter(
+            F.transform(
+                tries,
+                lambda v: F.when(any_of(v, ("<script", "3cscript")), "script_tag").when(
+                    any_of(v, ("javascript:", "onerror=", "onload=", "alert(")), "xss_payload",
+                ),
+            ),
+            lambda x: x.isNotNull(),
+        ),
+        F.lit(0),
+    )
     secret = F.exists(tries, lambda v: any_of(v, SECRET_FILE)) | F.exists(variants(p), lambda v: v.startswith("/.env"))
     system = F.exists(tries, lambda v: v.rlike(TRAVERSAL) | any_of(v, SYSTEM_FILE))
     row = lambda category, reason: F.struct(F.lit(category).alias("category"), reason.alias("reason"))

@@ -31,14 +31,19 @@ def verified_source_loose(known_actor: Column, actor_type: Column, manual_action
     """The rule of the user-agent report: fewer types are ruled out, and 'Tor exit' is an actor like others."""
     action = F.coalesce(manual_action, F.lit(""))
     proven = _true(verified_actor) | (_true(forward_confirmed) & (F.coalesce(known_actor, F.lit("")) != ""))
-    return F.when(action == "suspicious", False).when(action.isin("allowlisted", "verified"), True).otherwise(~F.coalesce(actor_type, F.lit("")).isin("", "datacenter", "unknown", "tor") & proven)
+    return F.when(action == "suspicious", False).when(action.isin("allowlisted", "verified"), True).otherwise(
+        ~F.coalesce(actor_type, F.lit("")).isin("", "datacenter", "unknown", "tor") & proven
+    )
 
 
 def classify_reverse_dns(names: Column, requests: Column) -> Column:
     """(actor_type, known_actor, risk_score) by the first host name that a service claims, else by volume."""
     hit = F.get(F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), by_reverse_dns), lambda x: x.isNotNull()), F.lit(0))
     volume = F.when(requests >= 10000, 65).when(requests >= 1000, 50).when(requests >= 100, 35).otherwise(20)
-    return F.struct(F.coalesce(hit["actor_type"], F.lit("unknown")).alias("actor_type"), F.coalesce(hit["known_actor"], F.lit("")).alias("known_actor"), F.coalesce(hit["risk_score"], volume).cast("int").alias("risk_score"))
+    return F.struct(
+        F.coalesce(hit["actor_type"], F.lit("unknown")).alias("actor_type"), F.coalesce(hit["known_actor"], F.lit("")).alias("known_actor"),
+        F.coalesce(hit["risk_score"], volume).cast("int").alias("risk_score"),
+    )
 
 
 def is_infrastructure(actor_type: Column) -> Column:
@@ -58,7 +63,10 @@ def traffic_risk(risk: Column, requests: Column, status_4xx: Column, status_5xx:
 def network_org(actor_type: Column, known_actor: Column, risk: Column, org: Column, is_tor: Column) -> Column:
     """The organisation's service in place of what is known so far, except for Tor exits."""
     service = F.when(~_true(is_tor), by_network_org(org))
-    return F.struct(F.coalesce(service["actor_type"], actor_type).alias("actor_type"), F.coalesce(service["known_actor"], known_actor).alias("known_actor"), F.coalesce(service["risk_score"], risk).alias("risk_score"))
+    return F.struct(
+        F.coalesce(service["actor_type"], actor_type).alias("actor_type"), F.coalesce(service["known_actor"], known_actor).alias("known_actor"),
+        F.coalesce(service["risk_score"], risk).alias("risk_score"),
+    )
 
 
 def suspicious_ip(manual_action: Column, actor_type: Column, known_actor: Column, is_tor_exit: Column, category: Column, rented: Column, requests: Column, status_4xx: Column, status_5xx: Column, risk: Column) -> Column:

@@ -71,7 +71,10 @@ def _parts(x: Column) -> Column:
     sample = x["sample"]
     found = {"browser": _named(sample, BROWSERS), "tool": _named(sample, TOOLS), "os": _named(sample, SYSTEMS)}
     token = F.lower(F.regexp_extract(sample, r"^[/;() ]*([^/;() ]+)", 1))
-    return F.struct(F.lower(sample).alias("lower"), by_user_agent(sample).alias("service"), x["volume"].alias("volume"), token.alias("token"), *(c.alias(f"{n}{suffix}") for n, pair in found.items() for c, suffix in zip(pair, ("", "_version"), strict=True)))
+    return F.struct(
+        F.lower(sample).alias("lower"), by_user_agent(sample).alias("service"), x["volume"].alias("volume"), token.alias("token"),
+        *(c.alias(f"{n}{suffix}") for n, pair in found.items() for c, suffix in zip(pair, ("", "_version"), strict=True)),
+    )
 
 
 def _analysis(x: Column) -> Column:
@@ -119,8 +122,13 @@ def merge_stored(stored: Column, computed: Column) -> Column:
 
     def text(n: str) -> Column:
         value = F.lower(F.trim(F.coalesce(stored[n], F.lit(""))))
-        gap = value.isin("", "unknown", "browser", "tool", "crawler", "bot") | ((kind != "") & (value == kind)) if n == "family" else value.isin("", "unknown") if n in ("actor_type", "device_family") else value == ""
+        gap = value.isin(
+            "", "unknown", "browser", "tool", "crawler", "bot",
+        ) | ((kind != "") & (value == kind)) if n == "family" else value.isin("", "unknown") if n in ("actor_type", "device_family") else value == ""
         return F.when(gap, computed[n]).otherwise(stored[n]).alias(n)
 
     flag = lambda n: F.coalesce(stored[n] | computed[n], stored[n], computed[n]).alias(n)
-    return F.struct(*(text(n) for n in FIELDS[:8]), flag("is_bot"), flag("is_tool"), F.when(stored["risk_score"] > 0, stored["risk_score"]).otherwise(computed["risk_score"]).alias("risk_score"))
+    return F.struct(
+        *(text(n) for n in FIELDS[:8]), flag("is_bot"), flag("is_tool"),
+        F.when(stored["risk_score"] > 0, stored["risk_score"]).otherwise(computed["risk_score"]).alias("risk_score"),
+    )

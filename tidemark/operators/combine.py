@@ -64,9 +64,15 @@ def manifest(segment_lines: DataFrame, now: datetime, finalize_after_s: int = 90
     """One row a segment: hour and source, number of lines, first and last time, a hash of its content that does not
     depend on order, and whether it is final."""
     line = F.conv(F.left("fingerprint", F.lit(15)), 16, 10).cast("decimal(38,0)")
-    rows = segment_lines.groupBy("bucket_start", *SOURCE, "log_type").agg(F.count("*").alias("line_count"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.sum(line).alias("__sum"))
+    rows = segment_lines.groupBy("bucket_start", *SOURCE, "log_type").agg(
+        F.count("*").alias("line_count"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.sum(line).alias("__sum"),
+    )
     end = F.col("bucket_start") + F.expr("interval 1 hour")
-    return rows.select("bucket_start", end.alias("bucket_end"), *SOURCE, "log_type", "line_count", "min_ts", "max_ts", F.sha2(F.concat_ws(":", "line_count", "__sum"), 256).alias("content_sha256"), F.when(end + F.make_interval(secs=F.lit(finalize_after_s)) < at(now), "finalized").otherwise("rewritten").alias("status"))
+    return rows.select(
+        "bucket_start", end.alias("bucket_end"), *SOURCE, "log_type", "line_count", "min_ts", "max_ts",
+        F.sha2(F.concat_ws(":", "line_count", "__sum"), 256).alias("content_sha256"),
+        F.when(end + F.make_interval(secs=F.lit(finalize_after_s)) < at(now), "finalized").otherwise("rewritten").alias("status"),
+    )
 
 
 def changed_segments(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -107,7 +113,10 @@ def _clean(c: Column) -> Column:
 def index_logs(segment_lines: DataFrame) -> DataFrame:
     """Log events of combined lines of other kinds; a line that no format fits keeps its segment time as information."""
     parsed = segment_lines.where(~is_access(F.col("log_type"))).withColumn("p", parse_log(F.col("raw")))
-    return parsed.select("fingerprint", F.coalesce("p.ts", "ts").alias("ts"), *SOURCE, "log_type", F.coalesce("p.severity", F.lit("info")).alias("severity"), _clean(F.coalesce("p.message", F.trim("raw"))).alias("message"), _clean(F.col("raw")).alias("raw"))
+    return parsed.select(
+        "fingerprint", F.coalesce("p.ts", "ts").alias("ts"), *SOURCE, "log_type", F.coalesce("p.severity", F.lit("info")).alias("severity"),
+        _clean(F.coalesce("p.message", F.trim("raw"))).alias("message"), _clean(F.col("raw")).alias("raw"),
+    )
 
 
 def new_rows(stored: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -96,7 +96,9 @@ def longest_prefix(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     named = [c for c in ranges.columns if c != "ip"]
     parts = F.split("cidr", "/")
-    own = with_bits(ranges.withColumns({"__base": parts[0], "__n": parts[1].cast("int")}), "__base").withColumn("__prefix", F.expr("left(__bits, __n)")).withColumn("__size", F.length("__bits"))
+    own = with_bits(
+        ranges.withColumns({"__base": parts[0], "__n": parts[1].cast("int")}), "__base",
+    ).withColumn("__prefix", F.expr("left(__bits, __n)")).withColumn("__size", F.length("__bits"))
     lengths = own.groupBy("__size").agg(F.collect_set("__n").alias("__ns"))  # two rows at most
     asked = with_bits(ips.select("ip").distinct(), "ip").withColumn("__size", F.length("__bits"))
     tried = asked.join(F.broadcast(lengths), "__size").withColumn("__n", F.explode("__ns")).withColumn("__prefix", F.expr("left(__bits, __n)")).select("ip", "__size", "__n", "__prefix")
@@ -115,11 +117,19 @@ def located(ips: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def allowlisted(ips: DataFrame, allowlist: DataFrame) -> DataFrame:
     """``ips`` with the first entry, by ``position``, of an allowlist (position, cidr, label, actor_type) that holds it."""
-    entries = allowlist.select("position", F.when(F.col("cidr").contains("/"), F.col("cidr")).otherwise(F.concat("cidr", F.when(F.col("cidr").contains(":"), "/128").otherwise("/32"))).alias("cidr"), F.col("label").alias("allow_label"), F.col("actor_type").alias("allow_type"))
+    entries = allowlist.select(
+        "position",
+        F.when(F.col("cidr").contains("/"), F.col("cidr")).otherwise(
+            F.concat("cidr", F.when(F.col("cidr").contains(":"), "/128").otherwise("/32"))
+        ).alias("cidr"),
+        F.col("label").alias("allow_label"), F.col("actor_type").alias("allow_type"),
+    )
     base = entries.withColumn("__base", F.split("cidr", "/")[0])
     own = with_bits(base, "__base").withColumn("__prefix", F.expr("left(__bits, int(split(cidr, '/')[1]))")).withColumn("__size", F.length("__bits"))
     asked = with_bits(ips.select("ip").distinct(), "ip")
-    met = asked.join(F.broadcast(own.drop("__bits", "__base")), (F.length("__bits") == F.col("__size")) & F.col("__bits").startswith(F.col("__prefix")))  # a short list that people write
+    met = asked.join(
+        F.broadcast(own.drop("__bits", "__base")), (F.length("__bits") == F.col("__size")) & F.col("__bits").startswith(F.col("__prefix")),
+    )  # a short list that people write
     first = met.groupBy("ip").agg(F.min_by("allow_label", "position").alias("allow_label"), F.min_by("allow_type", "position").alias("allow_type"))
     return ips.join(first, "ip", "left")
 
@@ -133,12 +143,21 @@ def assemble(ips: DataFrame) -> DataFrame:
     is_datacenter and provider_verified.
     """
     out = ips.withColumn("__a", trust.classify_reverse_dns(F.col("names"), F.col("requests")))
-    out = out.withColumn("verified_actor", F.coalesce("forward_confirmed", F.lit(False)) & (F.col("__a.known_actor") != "") & ~trust.is_infrastructure(F.col("__a.actor_type")))
+    out = out.withColumn(
+        "verified_actor",
+        F.coalesce("forward_confirmed", F.lit(False)) & (F.col("__a.known_actor") != "") & ~trust.is_infrastructure(F.col("__a.actor_type")),
+    )
     tor = F.coalesce("is_tor_exit", F.lit(False))
-    out = out.select("*", F.when(tor, "tor").otherwise(F.col("__a.actor_type")).alias("__t"), F.when(tor, "Tor exit").otherwise(F.col("__a.known_actor")).alias("__k"), F.when(tor, F.greatest(F.col("__a.risk_score"), F.lit(80))).otherwise(F.col("__a.risk_score")).alias("__r"))
+    out = out.select(
+        "*", F.when(tor, "tor").otherwise(F.col("__a.actor_type")).alias("__t"),
+        F.when(tor, "Tor exit").otherwise(F.col("__a.known_actor")).alias("__k"),
+        F.when(tor, F.greatest(F.col("__a.risk_score"), F.lit(80))).otherwise(F.col("__a.risk_score")).alias("__r"),
+    )
     out = out.withColumn("__o", trust.network_org(F.col("__t"), F.col("__k"), F.col("__r"), F.col("asn_org"), tor))
     official = F.col("provider_name").isNotNull()
-    out = out.withColumn("provider_verified", official).withColumn("__t", F.when(official, F.col("provider_type")).otherwise(F.col("__o.actor_type"))).withColumn("__k", F.when(official, F.col("provider_name")).otherwise(F.col("__o.known_actor")))
+    out = out.withColumn("provider_verified", official).withColumn("__t", F.when(official, F.col("provider_type")).otherwise(F.col("__o.actor_type"))).withColumn(
+        "__k", F.when(official, F.col("provider_name")).otherwise(F.col("__o.known_actor")),
+    )
     out = out.withColumn("__r", F.when(official, F.greatest(F.col("__o.risk_score"), trust.provider_baseline(F.col("provider_type")))).otherwise(F.col("__o.risk_score")))
     out = out.withColumn("is_datacenter", trust.is_infrastructure(F.col("__t")))
     out = out.withColumn("__r", trust.traffic_risk(F.col("__r"), F.col("requests"), F.col("status_4xx"), F.col("status_5xx"), official | F.col("is_datacenter")))
@@ -163,7 +182,11 @@ def merge(stored: DataFrame, fresh: DataFrame) -> DataFrame:
         elif name in kept:
             out.append(F.coalesce(old, new).alias(name))
         elif name == "risk_score" and "manual_action" in stored.columns:
-            out.append(F.when(F.coalesce(F.col("s.manual_action"), F.lit("")).isin("suspicious", "verified", "allowlisted"), old).otherwise(F.coalesce(new, old)).alias(name))
+            out.append(
+                F.when(
+                    F.coalesce(F.col("s.manual_action"), F.lit("")).isin("suspicious", "verified", "allowlisted"), old,
+                ).otherwise(F.coalesce(new, old)).alias(name)
+            )
         else:
             out.append(F.coalesce(new, old).alias(name))
     return s.join(f, F.col("s.ip") == F.col("f.ip"), "full_outer").select(*out)
@@ -171,10 +194,16 @@ def merge(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def refresh_candidates(rollup: DataFrame, limit: int = 500) -> DataFrame:
     """The busiest addresses of rollup_ip_1h rows, with what the risk rules need."""
-    return rollup.groupBy(F.col("client_ip").alias("ip")).agg(*(F.sum(n).alias(n) for n in ("requests", "status_4xx", "status_5xx"))).orderBy(F.desc("requests"), "ip").limit(limit)
+    return rollup.groupBy(F.col("client_ip").alias("ip")).agg(
+        *(F.sum(n).alias(n) for n in ("requests", "status_4xx", "status_5xx"))
+    ).orderBy(F.desc("requests"), "ip").limit(limit)
 
 
 def backfill_candidates(dimension: DataFrame, stored: DataFrame, limit: int = 5000) -> DataFrame:
     """All known addresses of either table, the busiest first, those never seen last."""
-    both = dimension.select(F.col("client_ip").alias("ip"), F.col("request_count").alias("n"), "last_seen").unionByName(stored.select("ip", F.lit(0).cast("long").alias("n"), F.lit(None).cast(dimension.schema["last_seen"].dataType).alias("last_seen")))
-    return both.groupBy("ip").agg(F.sum("n").alias("requests"), F.max("last_seen").alias("last_seen")).orderBy(F.desc("requests"), F.desc_nulls_last("last_seen"), "ip").limit(limit)
+    both = dimension.select(F.col("client_ip").alias("ip"), F.col("request_count").alias("n"), "last_seen").unionByName(
+        stored.select("ip", F.lit(0).cast("long").alias("n"), F.lit(None).cast(dimension.schema["last_seen"].dataType).alias("last_seen"))
+    )
+    return both.groupBy("ip").agg(
+        F.sum("n").alias("requests"), F.max("last_seen").alias("last_seen"),
+    ).orderBy(F.desc("requests"), F.desc_nulls_last("last_seen"), "ip").limit(limit)

@@ -30,19 +30,40 @@ def origin_host(ip: pd.Series) -> pd.Series:
 def parse_origin(answer: Column) -> Column:
     """(asn, network, country_code, registry) of an origin answer 'asn | prefix | country | registry | date'."""
     part = lambda k: F.nullif(F.trim(F.split_part(answer, F.lit("|"), F.lit(k))), F.lit(""))
-    return F.struct(F.split_part(part(1), F.lit(" "), F.lit(1)).try_cast("long").alias("asn"), part(2).alias("network"), part(3).alias("country_code"), part(4).alias("registry"))
+    return F.struct(
+        F.split_part(part(1), F.lit(" "), F.lit(1)).try_cast("long").alias("asn"), part(2).alias("network"), part(3).alias("country_code"),
+        part(4).alias("registry"),
+    )
 
 
 def flatten_rdap(answer: Column) -> Column:
     """The fields of a registry's JSON answer that reports show; four links at most; null for broken JSON."""
     raw = F.from_json(answer, _RDAP)
-    cidr = F.filter(F.transform(raw["cidr0_cidrs"], lambda x: F.when(x["length"] > 0, F.concat_ws("/", F.coalesce(F.nullif(x["v4prefix"], F.lit("")), F.nullif(x["v6prefix"], F.lit(""))), x["length"]))), lambda x: x.isNotNull() & x.contains("/"))
+    cidr = F.filter(
+        F.transform(
+            raw["cidr0_cidrs"],
+            lambda x: F.when(
+                x["length"] > 0, F.concat_ws("/", F.coalesce(F.nullif(x["v4prefix"], F.lit("")), F.nullif(x["v6prefix"], F.lit(""))), x["length"]),
+            ),
+        ),
+        lambda x: x.isNotNull() & x.contains("/"),
+    )
     dated = lambda *names: F.get(F.filter(raw["events"], lambda e: F.lower(e["eventAction"]).isin(*names)), F.lit(0))["eventDate"]
     links = F.slice(F.filter(raw["links"], lambda x: F.coalesce(x["href"], F.lit("")) != ""), 1, 4)
-    return F.when(raw["handle"].isNotNull() | raw["name"].isNotNull(), F.struct(raw["handle"].alias("handle"), raw["name"].alias("name"), raw["type"].alias("type"), raw["country"].alias("country_code"), raw["startAddress"].alias("start_address"), raw["endAddress"].alias("end_address"), cidr.alias("cidrs"), dated("registration").alias("registration"), dated("last changed", "last update of rdap database").alias("last_changed"), links.alias("links")))
+    return F.when(
+        raw["handle"].isNotNull() | raw["name"].isNotNull(),
+        F.struct(
+            raw["handle"].alias("handle"), raw["name"].alias("name"), raw["type"].alias("type"), raw["country"].alias("country_code"),
+            raw["startAddress"].alias("start_address"), raw["endAddress"].alias("end_address"), cidr.alias("cidrs"),
+            dated("registration").alias("registration"), dated("last changed", "last update of rdap database").alias("last_changed"),
+            links.alias("links"),
+        ),
+    )
 
 
 def forward_confirmed(reverse: DataFrame, forward: DataFrame) -> DataFrame:
     """(ip, forward_confirmed): whether one of an address's names (ip, name) resolves back to it (name, ip)."""
-    hits = reverse.join(forward.select("name", F.col("ip").alias("__back")), "name", "left").groupBy("ip").agg(F.max(F.coalesce(F.col("__back") == F.col("ip"), F.lit(False))).alias("forward_confirmed"))
+    hits = reverse.join(forward.select("name", F.col("ip").alias("__back")), "name", "left").groupBy("ip").agg(
+        F.max(F.coalesce(F.col("__back") == F.col("ip"), F.lit(False))).alias("forward_confirmed")
+    )
     return hits

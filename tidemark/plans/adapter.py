@@ -72,8 +72,14 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.concat(F.floor(F.col("request_time_ms") / 1000), F.lit("."), F.lpad((F.col("request_time_ms") % 1000).cast("string"), 3, "0"))
     target = F.concat("path", F.when(F.col("query").isNull(), "").otherwise(F.concat(F.lit("?"), "query")))
     dash = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
-    raw = F.concat(dash(F.col("client_ip")), F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss Z"), F.lit('] "'), "method", F.lit(" "), target, F.lit(' HTTP/1.1" '), "status", F.lit(" "), "bytes_sent", F.lit(' "-" "'), dash(F.col("user_agent")), F.lit('" '), dash(seconds))
-    return e.select("site_id", "env", F.lit("c1").alias("container_id"), F.lit("nginx-access").alias("log_type"), F.concat("site_id", F.lit(".log")).alias("raw_file_id"), F.col("id").alias("raw_line_no"), raw.alias("raw"))
+    raw = F.concat(
+        dash(F.col("client_ip")), F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss Z"), F.lit('] "'), "method", F.lit(" "), target,
+        F.lit(' HTTP/1.1" '), "status", F.lit(" "), "bytes_sent", F.lit(' "-" "'), dash(F.col("user_agent")), F.lit('" '), dash(seconds),
+    )
+    return e.select(
+        "site_id", "env", F.lit("c1").alias("container_id"), F.lit("nginx-access").alias("log_type"),
+        F.concat("site_id", F.lit(".log")).alias("raw_file_id"), F.col("id").alias("raw_line_no"), raw.alias("raw"),
+    )
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +93,10 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("log_type") == "php-slow", F.concat(F.lit("["), at("dd-MMM-yyyy HH:mm:ss"), F.lit("] [pool www] "), "message"))
         .otherwise(F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z "), "id", F.lit(" ["), F.initcap("severity"), F.lit("] "), "message"))
     )
-    return e.select("site_id", "env", F.lit("c1").alias("container_id"), "log_type", F.concat("site_id", F.lit(".log")).alias("raw_file_id"), F.col("id").alias("raw_line_no"), raw.alias("raw"))
+    return e.select(
+        "site_id", "env", F.lit("c1").alias("container_id"), "log_type", F.concat("site_id", F.lit(".log")).alias("raw_file_id"),
+        F.col("id").alias("raw_line_no"), raw.alias("raw"),
+    )
 
 
 def plain_times(df: DataFrame) -> DataFrame:

@@ -14,7 +14,10 @@ from tidemark.functions.trust import verified_source, verified_source_loose
 from tidemark.functions.useragent import FIELDS, analyse
 from tidemark.operators.rollups import count_if, histogram_p95
 
-INTEL = ("reverse_dns", "asn", "asn_org", "network", "country_code", "known_actor", "actor_type", "risk_score", "forward_confirmed", "verified_actor", "is_datacenter", "is_tor_exit", "provider_verified", "provider_id", "provider_name", "manual_label", "manual_action")
+INTEL = (
+    "reverse_dns", "asn", "asn_org", "network", "country_code", "known_actor", "actor_type", "risk_score", "forward_confirmed", "verified_actor",
+    "is_datacenter", "is_tor_exit", "provider_verified", "provider_id", "provider_name", "manual_label", "manual_action",
+)
 
 
 def _class(n: int) -> Column:
@@ -30,7 +33,9 @@ def _bytes() -> Column:
 
 
 def _times() -> tuple[Column, Column]:
-    return F.coalesce(F.avg("request_time_ms"), F.lit(0.0)).alias("avg_request_time_ms"), F.coalesce(F.percentile("request_time_ms", F.lit(0.95)), F.lit(0.0)).alias("p95_request_time_ms")
+    return F.coalesce(F.avg("request_time_ms"), F.lit(0.0)).alias("avg_request_time_ms"), F.coalesce(
+        F.percentile("request_time_ms", F.lit(0.95)), F.lit(0.0),
+    ).alias("p95_request_time_ms")
 
 
 def _seen() -> tuple[Column, Column]:
@@ -48,18 +53,33 @@ def totals(events: DataFrame) -> DataFrame:
         _class(4), _class(5), count_if(F.coalesce("user_agent", F.lit("")) == "").alias("empty_user_agents"),
         _slow(), _bytes(), *_times(),
     )
-    return row.withColumns({"status_4xx_rate": rate("status_4xx"), "status_5xx_rate": rate("status_5xx"), "slow_requests_rate": rate("slow_requests"), "empty_user_agents_rate": rate("empty_user_agents")})
+    return row.withColumns(
+        {
+            "status_4xx_rate": rate("status_4xx"), "status_5xx_rate": rate("status_5xx"), "slow_requests_rate": rate("slow_requests"),
+            "empty_user_agents_rate": rate("empty_user_agents"),
+        }
+    )
 
 
 def totals_from_minutes(minutes: DataFrame) -> DataFrame:
     """The additive counters of ``totals`` from minute rows (``rollup_with_edges``)."""
-    names = ("requests", "status_2xx", "status_3xx", "status_4xx", "status_5xx", "bytes_sent", "request_time_count", "request_time_sum_ms", "slow_requests", "empty_user_agents")
+    names = (
+        "requests", "status_2xx", "status_3xx", "status_4xx", "status_5xx", "bytes_sent", "request_time_count", "request_time_sum_ms",
+        "slow_requests", "empty_user_agents",
+    )
     row = minutes.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
-    return row.withColumns({"avg_request_time_ms": rate("request_time_sum_ms", "request_time_count"), "status_4xx_rate": rate("status_4xx"), "status_5xx_rate": rate("status_5xx")})
+    return row.withColumns(
+        {
+            "avg_request_time_ms": rate("request_time_sum_ms", "request_time_count"), "status_4xx_rate": rate("status_4xx"),
+            "status_5xx_rate": rate("status_5xx"),
+        }
+    )
 
 
 def site_summary(events: DataFrame) -> DataFrame:
-    rows = events.groupBy("site_id", "env").agg(F.count("*").alias("requests"), F.count_distinct("client_ip").alias("unique_ips"), _class(4), _class(5), *_times(), *_seen())
+    rows = events.groupBy("site_id", "env").agg(
+        F.count("*").alias("requests"), F.count_distinct("client_ip").alias("unique_ips"), _class(4), _class(5), *_times(), *_seen(),
+    )
     return rows.withColumns({"status_4xx_rate": rate("status_4xx"), "status_5xx_rate": rate("status_5xx")})
 
 
@@ -67,10 +87,19 @@ def site_summary_from_rollups(minutes: DataFrame, ips: DataFrame, latency: DataF
     """The same from rollup rows: exact counters and addresses, p95 as the upper edge of its histogram bucket;
     seen times are those of the minutes."""
     keys = ["site_id", "env"]
-    rows = minutes.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in ("requests", "status_4xx", "status_5xx", "request_time_count", "request_time_sum_ms")), F.min("bucket_ts").alias("first_seen"), (F.max("bucket_ts") + F.expr("interval 1 minute")).alias("last_seen"))
+    rows = minutes.groupBy(*keys).agg(
+        *(F.sum(n).alias(n) for n in ("requests", "status_4xx", "status_5xx", "request_time_count", "request_time_sum_ms")),
+        F.min("bucket_ts").alias("first_seen"), (F.max("bucket_ts") + F.expr("interval 1 minute")).alias("last_seen"),
+    )
     unique = ips.groupBy(*keys).agg(F.count_distinct("client_ip").alias("unique_ips"))
     joined = rows.join(unique, keys, "left").join(histogram_p95(latency, *keys), keys, "left")
-    out = joined.withColumns({"unique_ips": F.coalesce("unique_ips", F.lit(0)), "avg_request_time_ms": rate("request_time_sum_ms", "request_time_count"), "p95_request_time_ms": F.coalesce("p95_request_time_ms", F.lit(0.0)), "status_4xx_rate": rate("status_4xx"), "status_5xx_rate": rate("status_5xx")})
+    out = joined.withColumns(
+        {
+            "unique_ips": F.coalesce("unique_ips", F.lit(0)), "avg_request_time_ms": rate("request_time_sum_ms", "request_time_count"),
+            "p95_request_time_ms": F.coalesce("p95_request_time_ms", F.lit(0.0)), "status_4xx_rate": rate("status_4xx"),
+            "status_5xx_rate": rate("status_5xx"),
+        }
+    )
     return out.drop("request_time_count", "request_time_sum_ms")
 
 
@@ -83,7 +112,10 @@ def _with_intel(rows: DataFrame, intel: DataFrame | None) -> DataFrame:
     if intel is None:
         return rows
     out = rows.join(intel.select(F.col("ip").alias("client_ip"), *(c for c in INTEL if c in intel.columns)), "client_ip", "left")
-    return out.withColumn("verified_source", verified_source(F.col("known_actor"), F.col("actor_type"), F.col("manual_action"), F.col("forward_confirmed"), F.col("verified_actor")))
+    return out.withColumn(
+        "verified_source",
+        verified_source(F.col("known_actor"), F.col("actor_type"), F.col("manual_action"), F.col("forward_confirmed"), F.col("verified_actor")),
+    )
 
 
 def top_ips(events: DataFrame, intel: DataFrame | None = None, limit: int = 25) -> DataFrame:
@@ -93,7 +125,10 @@ def top_ips(events: DataFrame, intel: DataFrame | None = None, limit: int = 25)
 
 def top_ips_from_rollup(rows: DataFrame, intel: DataFrame | None = None, limit: int = 25) -> DataFrame:
     """From rollup_ip_1h rows with edges."""
-    added = rows.groupBy("client_ip").agg(*(F.sum(n).alias(n) for n in ("requests", "status_4xx", "status_5xx", "bytes_sent")), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    added = rows.groupBy("client_ip").agg(
+        *(F.sum(n).alias(n) for n in ("requests", "status_4xx", "status_5xx", "bytes_sent")), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+    )
     return _with_intel(_top(added, limit, F.desc("requests"), "client_ip"), intel)
 
 
@@ -104,26 +139,42 @@ def top_paths(events: DataFrame, limit: int = 10) -> DataFrame:
 
 def user_agents(events: DataFrame, intel: DataFrame, limit: int = 25) -> DataFrame:
     """Top user agents with their analysis, and how many of their addresses and requests are verified."""
-    proof = intel.select(F.col("ip").alias("client_ip"), verified_source_loose(F.col("known_actor"), F.col("actor_type"), F.col("manual_action"), F.col("forward_confirmed"), F.col("verified_actor")).alias("__ok"))
-    by_ip = events.groupBy(F.coalesce("user_agent", F.lit("")).alias("sample"), "client_ip").agg(F.count("*").alias("n"), _class(4).alias("n4"), _class(5).alias("n5"), _bytes().alias("nb"), *_seen())
+    proof = intel.select(
+        F.col("ip").alias("client_ip"),
+        verified_source_loose(
+            F.col("known_actor"), F.col("actor_type"), F.col("manual_action"), F.col("forward_confirmed"), F.col("verified_actor"),
+        ).alias("__ok"),
+    )
+    by_ip = events.groupBy(F.coalesce("user_agent", F.lit("")).alias("sample"), "client_ip").agg(
+        F.count("*").alias("n"), _class(4).alias("n4"), _class(5).alias("n5"), _bytes().alias("nb"), *_seen(),
+    )
     ok = F.coalesce("__ok", F.lit(False))
     rows = by_ip.join(proof, "client_ip", "left").groupBy("sample").agg(
         F.sum("n").alias("requests"), F.count("client_ip").alias("unique_ips"), F.sum("n4").alias("status_4xx"), F.sum("n5").alias("status_5xx"), F.sum("nb").alias("bytes_sent"),
         F.count(F.when(ok, F.col("client_ip"))).alias("verified_ips"), F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("verified_requests"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
     )
     top = _top(rows, limit, F.desc("requests"), "sample").withColumn("__a", analyse(F.col("sample"), F.col("requests")))
-    return top.select(*rows.columns, *(F.col(f"__a.{f}").alias(f) for f in FIELDS), (F.col("verified_ips") > 0).alias("verified_source"), rate("status_4xx").alias("status_4xx_rate"), rate("status_5xx").alias("status_5xx_rate"))
+    return top.select(
+        *rows.columns, *(F.col(f"__a.{f}").alias(f) for f in FIELDS), (F.col("verified_ips") > 0).alias("verified_source"),
+        rate("status_4xx").alias("status_4xx_rate"), rate("status_5xx").alias("status_5xx_rate"),
+    )
 
 
 def slow_paths(events: DataFrame, limit: int = 25, least: int = 20) -> DataFrame:
-    rows = events.where("request_time_ms is not null").groupBy("site_id", "env", F.coalesce("path", F.lit("")).alias("path")).agg(F.count("*").alias("requests"), F.avg("request_time_ms").alias("avg_request_time_ms"), F.percentile("request_time_ms", F.lit(0.95)).alias("p95_request_time_ms"), _class(5), *_seen())
+    rows = events.where("request_time_ms is not null").groupBy("site_id", "env", F.coalesce("path", F.lit("")).alias("path")).agg(
+        F.count("*").alias("requests"), F.avg("request_time_ms").alias("avg_request_time_ms"),
+        F.percentile("request_time_ms", F.lit(0.95)).alias("p95_request_time_ms"), _class(5), *_seen(),
+    )
     return _top(rows.where(F.col("requests") >= least), limit, F.desc("p95_request_time_ms"), F.desc("requests"), "site_id", "env", "path")
 
 
 def slow_paths_from_rollup(latency: DataFrame, limit: int = 25, least: int = 20) -> DataFrame:
     """From rollup_path_latency_1h rows with edges; p95 is an upper edge."""
     keys = ["site_id", "env", "path"]
-    rows = latency.groupBy(*keys).agg(F.sum("requests").alias("requests"), F.sum("status_5xx").alias("status_5xx"), F.sum("request_time_sum_ms").alias("ms"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")).where(F.col("requests") >= least)
+    rows = latency.groupBy(*keys).agg(
+        F.sum("requests").alias("requests"), F.sum("status_5xx").alias("status_5xx"), F.sum("request_time_sum_ms").alias("ms"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+    ).where(F.col("requests") >= least)
     out = rows.join(histogram_p95(latency, *keys), keys).withColumn("avg_request_time_ms", rate("ms")).drop("ms")
     return _top(out, limit, F.desc("p95_request_time_ms"), F.desc("requests"), *keys)
 
@@ -134,7 +185,9 @@ def status_breakdown(events: DataFrame, limit: int = 32) -> DataFrame:
 
 def path_hotspots(events: DataFrame, limit: int = 25) -> DataFrame:
     """Paths with 30 or more requests, 5 or more server errors and a rate of 0.2 or more."""
-    rows = events.groupBy("site_id", "env", F.coalesce("path", F.lit("")).alias("path")).agg(F.count("*").alias("requests"), _class(5), *_seen()).where("requests >= 30 and status_5xx >= 5")
+    rows = events.groupBy(
+        "site_id", "env", F.coalesce("path", F.lit("")).alias("path"),
+    ).agg(F.count("*").alias("requests"), _class(5), *_seen()).where("requests >= 30 and status_5xx >= 5")
     return _top(rows.withColumn("rate", rate("status_5xx")).where("rate >= 0.2"), limit, F.desc("status_5xx"), F.desc("requests"), "site_id", "env", "path")
 
 
@@ -143,7 +196,10 @@ def probe_summary(events: DataFrame, probes: DataFrame, family: str, category: s
     own = probes.where(F.col("family") == family)
     own = own.where(F.col("category") == category) if category else own
     keys = ["category", "rule_key", "site_id", "env", "client_ip", F.coalesce("path", F.lit("")).alias("path")]
-    rows = own.groupBy(*keys).agg(F.count("*").alias("requests"), _class(4), _class(5), F.max("method").alias("method"), F.max(F.coalesce("query", F.lit(""))).alias("sample_query"), F.max("match_reason").alias("match_reason"), *_seen())
+    rows = own.groupBy(*keys).agg(
+        F.count("*").alias("requests"), _class(4), _class(5), F.max("method").alias("method"),
+        F.max(F.coalesce("query", F.lit(""))).alias("sample_query"), F.max("match_reason").alias("match_reason"), *_seen(),
+    )
     top = _top(rows, limit, F.desc("requests"), "category", "site_id", "env", "client_ip", "path")
     hits = events.join(top.select("client_ip").distinct(), "client_ip", "left_semi").groupBy("client_ip").agg(F.count("*").alias("total_ip_hits"))
     return top.join(hits, "client_ip", "left").withColumn("total_ip_hits", F.coalesce("total_ip_hits", F.lit(0)))
@@ -171,12 +227,16 @@ def log_totals(logs: DataFrame) -> DataFrame:
 
 def log_messages(logs: DataFrame, limit: int = 25) -> DataFrame:
     """Most frequent messages by type, severity and first 240 characters, with the sites they come from."""
-    rows = logs.groupBy("log_type", "severity", F.left("message", F.lit(240)).alias("message")).agg(F.count("*").alias("events"), F.array_join(F.sort_array(F.collect_set("site_id")), ", ").alias("sites"), *_seen())
+    rows = logs.groupBy("log_type", "severity", F.left("message", F.lit(240)).alias("message")).agg(
+        F.count("*").alias("events"), F.array_join(F.sort_array(F.collect_set("site_id")), ", ").alias("sites"), *_seen(),
+    )
     return _top(rows, limit, F.desc("events"), "log_type", "severity", "message")
 
 
 def latest_logs(logs: DataFrame, limit: int = 25) -> DataFrame:
-    return _top(logs, limit, F.desc("ts"), "id").select("id", "ts", "site_id", "env", "log_type", "severity", F.left("message", F.lit(500)).alias("message"), F.left("raw", F.lit(1200)).alias("raw"))
+    return _top(logs, limit, F.desc("ts"), "id").select(
+        "id", "ts", "site_id", "env", "log_type", "severity", F.left("message", F.lit(500)).alias("message"), F.left("raw", F.lit(1200)).alias("raw"),
+    )
 
 
 def timeline(events: DataFrame, seconds: int, points: int = 180) -> DataFrame:
@@ -192,14 +252,19 @@ def query_params(events: DataFrame, limit: int = 25, param: str = "", family: st
     rows = rows.where(F.col("param") == param.lower()) if param else rows
     rows = rows.where(F.col("param_family") == family) if family else rows
     newest = lambda c: F.max_by(F.coalesce(c, F.lit("")), F.struct("ts", "id")).alias(f"example_{c}")
-    out = rows.groupBy("param_family", "param", "param_value").agg(F.count("*").alias("requests"), _class(4), _class(5), _slow(), F.count_distinct("client_ip").alias("unique_ips"), F.count_distinct("path").alias("unique_paths"), _times()[0], newest("path"), newest("query"), *_seen())
+    out = rows.groupBy("param_family", "param", "param_value").agg(
+        F.count("*").alias("requests"), _class(4), _class(5), _slow(), F.count_distinct("client_ip").alias("unique_ips"),
+        F.count_distinct("path").alias("unique_paths"), _times()[0], newest("path"), newest("query"), *_seen(),
+    )
     return _top(out, limit, F.desc("status_5xx"), F.desc("slow_requests"), F.desc("requests"), "param_family", "param", "param_value")
 
 
 def recent_errors(events: DataFrame, facts: DataFrame, intel: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """Error facts, and errors among the raw events that have no fact yet."""
     missing = events.where("status >= 400").join(facts.select("id"), "id", "left_anti")
-    rows = facts.select(*events.columns).unionByName(missing).select("id", "ts", "site_id", "env", "client_ip", "method", "path", "query", "status", "request_time_ms", "user_agent")
+    rows = facts.select(*events.columns).unionByName(missing).select(
+        "id", "ts", "site_id", "env", "client_ip", "method", "path", "query", "status", "request_time_ms", "user_agent",
+    )
     return _with_intel(_top(rows, limit, F.desc("ts"), F.desc("id")), intel)
 
 
@@ -236,7 +301,9 @@ def issues(sites: DataFrame, ips: DataFrame, agents: DataFrame, slow: DataFrame,
     site = F.concat_ws("/", "site_id", "env")
     r4, r5 = rate("status_4xx"), rate("status_5xx")
     severe = logs.withColumn("__n", F.when(F.col("severity").isin("critical", "error") | F.col("log_type").contains("error"), F.col("events")).otherwise(0))
-    by_type = severe.groupBy("log_type").agg(F.sum("events").alias("events"), F.sum("__n").alias("severe"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    by_type = severe.groupBy("log_type").agg(
+        F.sum("events").alias("events"), F.sum("__n").alias("severe"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+    )
     burst = (F.col("requests") >= 50) & (F.col("status_5xx") >= 10) & (r5 >= 0.10)
     out = [
         _issues(sites, "site_5xx_rate", (F.col("status_5xx") >= 10) & (r5 >= 0.02), _clamp(_whole(r5 * 100) + _part("status_5xx", 10, 35), 35, 100), "site", site, "status_5xx", r5),
@@ -253,13 +320,19 @@ def issues(sites: DataFrame, ips: DataFrame, agents: DataFrame, slow: DataFrame,
     if probes is not None:
         by = lambda scores, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in scores.items() for x in kv]), F.col("category")), F.lit(other))
         bad = F.expr("least((status_4xx + status_5xx) div 2, 12)")
-        admin = by({"admin_tool": 58, "password_reset": 55, "admin_login": 62, "admin_path": 42}, 35) + F.when(F.col("method") == "POST", 8).otherwise(0) + _part("requests", 3, 16) + bad
-        injection = by({"sql_injection": 70, "xss": 64, "secret_file": 68, "path_traversal": 60}, 55) + _part("requests", 4, 10) + F.when(F.col("status_5xx") > 0, 4).otherwise(0)
+        admin = by(
+            {"admin_tool": 58, "password_reset": 55, "admin_login": 62, "admin_path": 42}, 35,
+        ) + F.when(F.col("method") == "POST", 8).otherwise(0) + _part("requests", 3, 16) + bad
+        injection = by(
+            {"sql_injection": 70, "xss": 64, "secret_file": 68, "path_traversal": 60}, 55,
+        ) + _part("requests", 4, 10) + F.when(F.col("status_5xx") > 0, 4).otherwise(0)
         few = (F.col("category") == "admin_path") & (F.col("requests") < 10) & (F.col("status_4xx") < 5)
         score = F.when(F.col("family") == "admin", _clamp(admin, 30, 92)).otherwise(_clamp(injection, 35, 90))
         out.append(_issues(probes, F.col("rule_key"), ~few, score, "ip", F.col("client_ip"), "requests"))
     if tor is not None:
-        score = F.when(F.col("admin_requests") > 0, _clamp(70 + F.least(5 * F.col("admin_requests"), F.lit(20)), 70, 95)).otherwise(50 + _part("requests", 25, 20)).cast("int")
+        score = F.when(
+            F.col("admin_requests") > 0, _clamp(70 + F.least(5 * F.col("admin_requests"), F.lit(20)), 70, 95),
+        ).otherwise(50 + _part("requests", 25, 20)).cast("int")
         out.append(_issues(tor, "tor_exit_traffic", (F.col("admin_requests") > 0) | (F.col("requests") >= 10), score, "ip", F.col("client_ip"), "requests"))
     whole = out[0]
     for more in out[1:]:
@@ -317,7 +390,10 @@ def tor_detail(events: DataFrame, intel: DataFrame, **filters: str) -> dict[str,
     for name, value in filters.items():
         own = own.where(F.col(name) == value) if value else own
     counted = lambda *k: own.groupBy(*k).agg(F.count("*").alias("requests"), _class(4), _class(5), *_seen())
-    return {"summary": own.agg(F.count("*").alias("requests"), F.count_distinct("client_ip").alias("unique_ips"), _class(4), _class(5), *_seen()), "ips": counted("client_ip"), "requests": own}
+    return {
+        "summary": own.agg(F.count("*").alias("requests"), F.count_distinct("client_ip").alias("unique_ips"), _class(4), _class(5), *_seen()),
+        "ips": counted("client_ip"), "requests": own,
+    }
 
 
 def ip_detail_from_rollups(ips: DataFrame, paths: DataFrame, agents: DataFrame, ip: str) -> dict[str, DataFrame]:
@@ -325,6 +401,9 @@ def ip_detail_from_rollups(ips: DataFrame, paths: DataFrame, agents: DataFrame,
 
     def added(rows: DataFrame, *keys: str) -> DataFrame:
         own = rows.where(F.col("client_ip") == ip)
-        return own.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in ("requests", "status_4xx", "status_5xx", "bytes_sent")), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+        return own.groupBy(*keys).agg(
+            *(F.sum(n).alias(n) for n in ("requests", "status_4xx", "status_5xx", "bytes_sent")), F.min("first_seen").alias("first_seen"),
+            F.max("last_seen").alias("last_seen"),
+        )
 
     return {"sites": added(ips, "site_id", "env"), "paths": added(paths, "path"), "user_agents": added(agents, "user_agent")}

@@ -82,7 +82,11 @@ _LINES: list[tuple[str, tuple | None]] = [
 
 def _access_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = by_case(spark, sf_dir, "raw string", [(line,) for line, _ in _LINES])
-    lines = rows.select("id", "raw", *(F.lit(x).alias(c) for x, c in zip(("s", "live", "c", "nginx-access", "f"), (*C.SOURCE, "log_type", "raw_file_id"), strict=True)), F.col("id").alias("raw_line_no"))
+    lines = rows.select(
+        "id", "raw",
+        *(F.lit(x).alias(c) for x, c in zip(("s", "live", "c", "nginx-access", "f"), (*C.SOURCE, "log_type", "raw_file_id"), strict=True)),
+        F.col("id").alias("raw_line_no"),
+    )
     timed = C.line_times(lines).withColumn("fingerprint", F.col("id").cast("string"))
     events, _ = C.index_access(timed)
     return events.select(F.col("id").cast("long").alias("id"), *_ACCESS)
@@ -174,7 +178,11 @@ def _agent_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SERVICE = {"family": "VARCHAR", "known_actor": "VARCHAR", "actor_type": "VARCHAR", "risk_score": "INTEGER"}
 _AGENT_NAMES = [f"Mozilla/5.0 (compatible; {x.title()}/1.0)" for s in catalog.SERVICES for x in s.agents] + ["nothing known"]
-_HOSTS = [h for s in catalog.SERVICES for h in (*(f"A.{x}1.example" for x in s.dns_parts), *(f"Crawl-1.{x}." for x in s.dns_suffixes), *(f"not{x}" for x in s.dns_suffixes), *s.dns_suffixes)] + ["host.example"]
+_HOSTS = [
+    h for s in catalog.SERVICES for h in (
+        *(f"A.{x}1.example" for x in s.dns_parts), *(f"Crawl-1.{x}." for x in s.dns_suffixes), *(f"not{x}" for x in s.dns_suffixes), *s.dns_suffixes,
+    )
+] + ["host.example"]
 _ORGS = [f"AS1 {x.upper()} Inc." for s in catalog.SERVICES for x in s.orgs] + ["Somebody else"]
 
 
@@ -227,7 +235,10 @@ def _probe_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- networks
 
 _NETWORK = {"cidr": "VARCHAR", "provider_id": "VARCHAR"}
-_RANGES = [("203.0.113.0/24", "b"), ("203.0.113.0/29", "z"), ("203.0.113.0/29", "y"), ("2001:db8::/32", "six"), ("2001:db8:0:1::/64", "part"), ("2001:db8::5/128", "one"), ("198.0.0.0/8", "wide")]
+_RANGES = [
+    ("203.0.113.0/24", "b"), ("203.0.113.0/29", "z"), ("203.0.113.0/29", "y"), ("2001:db8::/32", "six"), ("2001:db8:0:1::/64", "part"),
+    ("2001:db8::5/128", "one"), ("198.0.0.0/8", "wide"),
+]
 _ADDRESSES: list[tuple[str | None, tuple]] = [
     ("203.0.113.5", ("203.0.113.0/29", "y")), ("203.0.113.9", ("203.0.113.0/24", "b")), ("::ffff:203.0.113.9", ("203.0.113.0/24", "b")), ("198.51.100.1", ("198.0.0.0/8", "wide")), ("192.0.2.1", (None, None)),
     ("2001:db8::1", ("2001:db8::/32", "six")), ("2001:DB8:0:1::9", ("2001:db8:0:1::/64", "part")), ("2001:db8::5", ("2001:db8::5/128", "one")), ("2001:db9::1", (None, None)), ("bad", (None, None)), ("203.0.113.05", (None, None)), (None, (None, None)),

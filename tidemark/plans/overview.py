@@ -20,7 +20,9 @@ width = lambda since, until: bucket_seconds(until - since)
 
 def dimension(events: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column with first and last time seen and a count."""
-    return events.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("request_count"))
+    return events.where(F.col(column).isNotNull()).groupBy(column).agg(
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("request_count"),
+    )
 
 
 def value_key(value: Column) -> Column:
@@ -42,7 +44,9 @@ def add_new(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
 
 def add_counts(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """The alternative to ``add_new`` that keeps counts and times up to date."""
-    return stored.unionByName(fresh).groupBy(key).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("request_count").alias("request_count"))
+    return stored.unionByName(fresh).groupBy(key).agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("request_count").alias("request_count"),
+    )
 
 
 def overview(events: DataFrame, since: datetime, until: datetime, now: datetime, minutes: DataFrame | None = None) -> DataFrame:
@@ -62,20 +66,37 @@ def overview(events: DataFrame, since: datetime, until: datetime, now: datetime,
     one = F.lit(1) == F.lit(1)
     # each side is a single row
     joined = row.join(F.broadcast(site), one, "left").join(F.broadcast(ip), one, "left").join(F.broadcast(latest), one, "left")
-    return joined.select("requests", (F.col("requests") / span).alias("requests_per_minute"), "unique_ips", share("c4").alias("status_4xx_rate"), share("c5").alias("status_5xx_rate"), "top_site", "top_site_requests", "top_ip", "top_ip_requests", "latest_event_at", lag.alias("event_lag_seconds"))
+    return joined.select(
+        "requests", (F.col("requests") / span).alias("requests_per_minute"), "unique_ips", share("c4").alias("status_4xx_rate"),
+        share("c5").alias("status_5xx_rate"), "top_site", "top_site_requests", "top_ip", "top_ip_requests", "latest_event_at",
+        lag.alias("event_lag_seconds"),
+    )
 
 
 def alert_candidates(events: DataFrame, limit: int = 50) -> DataFrame:
     """Addresses and paths that break a rule: of an address only the first that applies."""
-    measures = (F.count("*").alias("requests"), R.count_if(F.col("status").between(400, 499)).alias("status_4xx"), R.count_if(F.col("status").between(500, 599)).alias("status_5xx"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    measures = (
+        F.count("*").alias("requests"), R.count_if(F.col("status").between(400, 499)).alias("status_4xx"),
+        R.count_if(F.col("status").between(500, 599)).alias("status_5xx"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+    )
     order = (F.desc("status_5xx"), F.desc("status_4xx"), F.desc("requests"), "site_id", "env", "actor_value")
-    ips = events.where("client_ip is not null").groupBy("site_id", "env", F.col("client_ip").alias("actor_value")).agg(*measures).where("requests >= 50").orderBy(*order).limit(limit).withColumn("actor_type", F.lit("ip"))
-    paths = events.where("path is not null").groupBy("site_id", "env", F.col("path").alias("actor_value")).agg(*measures).where("requests >= 30").orderBy(*order).limit(limit).withColumn("actor_type", F.lit("path"))
+    ips = events.where("client_ip is not null").groupBy(
+        "site_id", "env", F.col("client_ip").alias("actor_value"),
+    ).agg(*measures).where("requests >= 50").orderBy(*order).limit(limit).withColumn("actor_type", F.lit("ip"))
+    paths = events.where("path is not null").groupBy(
+        "site_id", "env", F.col("path").alias("actor_value"),
+    ).agg(*measures).where("requests >= 30").orderBy(*order).limit(limit).withColumn("actor_type", F.lit("path"))
     r4, r5 = F.col("status_4xx") / F.col("requests"), F.col("status_5xx") / F.col("requests")
-    rule = F.when((F.col("actor_type") == "ip") & (F.col("status_5xx") >= 10) & (r5 >= 0.10), "ip_5xx_burst").when((F.col("actor_type") == "ip") & (F.col("status_4xx") >= 100) & (r4 >= 0.50), "ip_4xx_scan").when((F.col("actor_type") == "path") & (F.col("status_5xx") >= 5) & (r5 >= 0.20), "path_5xx_hotspot")
+    rule = F.when((F.col("actor_type") == "ip") & (F.col("status_5xx") >= 10) & (r5 >= 0.10), "ip_5xx_burst").when((F.col("actor_type") == "ip") & (F.col("status_4xx") >= 100) & (r4 >= 0.50), "ip_4xx_scan").when(
+        (F.col("actor_type") == "path") & (F.col("status_5xx") >= 5) & (r5 >= 0.20), "path_5xx_hotspot",
+    )
     whole = lambda rate, times, part, by, most: (rate * times).cast("int") + F.least(F.expr(f"{part} div {by}"), F.lit(most))
     held = lambda x, lo, hi: F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
-    score = F.when(F.col("rule_key") == "ip_5xx_burst", held(whole(r5, 70, "status_5xx", 10, 30), 35, 100)).when(F.col("rule_key") == "ip_4xx_scan", held(whole(r4, 60, "status_4xx", 50, 30), 25, 90)).otherwise(held(whole(r5, 80, "status_5xx", 5, 20), 30, 95))
+    score = F.when(
+        F.col("rule_key") == "ip_5xx_burst", held(whole(r5, 70, "status_5xx", 10, 30), 35, 100),
+    ).when(
+        F.col("rule_key") == "ip_4xx_scan", held(whole(r4, 60, "status_4xx", 50, 30), 25, 90),
+    ).otherwise(held(whole(r5, 80, "status_5xx", 5, 20), 30, 95))
     return ips.unionByName(paths).withColumn("rule_key", rule).where("rule_key is not null").withColumn("score", score.cast("int"))
 
 
@@ -83,7 +104,9 @@ def merge_alerts(open_alerts: DataFrame, found: DataFrame) -> DataFrame:
     """Open alerts with new findings of the same rule, site, environment and actor folded in: times widened, the
     newest score; other findings open new alerts."""
     keys = ["rule_key", "site_id", "env", "actor_type", "actor_value"]
-    both = open_alerts.select(*keys, "score", "first_seen", "last_seen", F.lit(0).alias("__new")).unionByName(found.select(*keys, "score", "first_seen", "last_seen", F.lit(1).alias("__new")))
+    both = open_alerts.select(*keys, "score", "first_seen", "last_seen", F.lit(0).alias("__new")).unionByName(
+        found.select(*keys, "score", "first_seen", "last_seen", F.lit(1).alias("__new"))
+    )
     return both.groupBy(*keys).agg(F.max_by("score", "__new").alias("score"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
@@ -108,9 +131,14 @@ def notifications(alerts: DataFrame, delivered: DataFrame, least: str = "high",
 
 def site_health(sites: DataFrame) -> DataFrame:
     """Risk of a site from its error rate and slowest environment: critical from 65, warning from 25."""
-    rows = sites.groupBy("site_id").agg(F.sum("requests").alias("requests"), F.sum(F.col("status_4xx") + F.col("status_5xx")).alias("errors"), F.max("p95_request_time_ms").alias("p95"))
+    rows = sites.groupBy("site_id").agg(
+        F.sum("requests").alias("requests"), F.sum(F.col("status_4xx") + F.col("status_5xx")).alias("errors"),
+        F.max("p95_request_time_ms").alias("p95"),
+    )
     risk = F.least(F.lit(99), F.floor(F.coalesce(F.try_divide("errors", "requests"), F.lit(0.0)) * 900 + F.col("p95") / 90 + 0.5)).cast("int")
-    return rows.select("site_id", "requests", risk.alias("risk")).withColumn("health", F.when(F.col("risk") >= 65, "critical").when(F.col("risk") >= 25, "warning").otherwise("healthy"))
+    return rows.select("site_id", "requests", risk.alias("risk")).withColumn(
+        "health", F.when(F.col("risk") >= 65, "critical").when(F.col("risk") >= 25, "warning").otherwise("healthy"),
+    )
 
 
 def facets(events: DataFrame, *columns: str) -> DataFrame:
@@ -124,7 +152,9 @@ def facets(events: DataFrame, *columns: str) -> DataFrame:
 def report_charts(timeline: DataFrame, statuses: DataFrame, sites: DataFrame, ips: DataFrame, agents: DataFrame, slow: DataFrame, probes: DataFrame) -> dict[str, DataFrame]:
     """The seven charts of a report as (label, value, secondary) tables."""
     mix = F.floor(F.col("status") / 100).cast("int")
-    pick = lambda df, label, value, second, n: df.select(label.cast("string").alias("label"), F.col(value).cast("double").alias("value"), second.cast("double").alias("secondary")).orderBy(F.desc("value"), "label").limit(n)
+    pick = lambda df, label, value, second, n: df.select(
+        label.cast("string").alias("label"), F.col(value).cast("double").alias("value"), second.cast("double").alias("secondary"),
+    ).orderBy(F.desc("value"), "label").limit(n)
     none = F.lit(None)
     return {
         "traffic_timeline": timeline.orderBy(F.desc("bucket_ts")).limit(120).select(F.col("bucket_ts").cast("string").alias("label"), F.col("requests").cast("double").alias("value"), (F.col("status_4xx") + F.col("status_5xx")).cast("double").alias("secondary")).orderBy("label"),
@@ -186,7 +216,9 @@ def evidence(summary: dict, charts: dict[str, list[dict]], sections: dict[str, l
 def read_audit(events: DataFrame, facts: DataFrame, minutes: DataFrame, statuses: DataFrame, since: datetime, until: datetime) -> dict:
     """Which tables each report of a window would read, and how many raw rows that takes."""
     w = R.window(events, since, until)
-    edge = lambda seconds: w.where((F.col("ts") < R.at(R.whole(since, until, seconds)[0])) | (F.col("ts") >= R.at(R.whole(since, until, seconds)[1]))).count()
+    edge = lambda seconds: w.where(
+        (F.col("ts") < R.at(R.whole(since, until, seconds)[0])) | (F.col("ts") >= R.at(R.whole(since, until, seconds)[1]))
+    ).count()
     ready, status_ready = R.dimension_ready(events, since, until), R.same_total(minutes, statuses, since, until)
     gaps = w.where("status >= 400").join(facts.select("id"), "id", "left_anti").count()
     minute_edges, hour_edges = edge(60), edge(3600)
@@ -275,7 +307,10 @@ def choose_archives(archives: list[dict], start: datetime, end: datetime) -> lis
 def archive_groups(segments: DataFrame, cutoff: datetime, archived: DataFrame, unit: str = "week") -> DataFrame:
     """Segments older than a cutoff that no archive holds yet, by day or week: what the next archives are made of."""
     old = segments.where(F.col("bucket_end") <= R.at(cutoff)).join(archived.select("segment_id"), "segment_id", "left_anti")
-    return old.groupBy(F.date_trunc(unit, "bucket_start").alias("range_start")).agg(F.count("*").alias("segments"), F.sum("line_count").alias("line_count"), F.min("bucket_start").alias("first_bucket"), F.max("bucket_end").alias("last_bucket"))
+    return old.groupBy(F.date_trunc(unit, "bucket_start").alias("range_start")).agg(
+        F.count("*").alias("segments"), F.sum("line_count").alias("line_count"), F.min("bucket_start").alias("first_bucket"),
+        F.max("bucket_end").alias("last_bucket"),
+    )
 
 
 def retention_counts(tables: dict[str, tuple[DataFrame, str, datetime]]) -> DataFrame:
@@ -359,7 +394,9 @@ def job_counts(jobs: DataFrame, recent: int = 200) -> DataFrame:
 
 
 def slow_phases(steps: DataFrame, limit: int = 8) -> DataFrame:
-    return steps.groupBy("job_name", "step_name").agg(F.count("*").alias("runs"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms")).orderBy(F.desc("max_ms"), "job_name", "step_name").limit(limit)
+    return steps.groupBy("job_name", "step_name").agg(
+        F.count("*").alias("runs"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"),
+    ).orderBy(F.desc("max_ms"), "job_name", "step_name").limit(limit)
 
 
 def cycle_summary(jobs: DataFrame, pattern: str = "pipeline") -> DataFrame:
@@ -367,12 +404,17 @@ def cycle_summary(jobs: DataFrame, pattern: str = "pipeline") -> DataFrame:
     own = Window.partitionBy("name").orderBy(F.desc("started_at"), "id")
     rows = jobs.where(F.col("name").rlike(f"(?i){pattern}")).withColumn("__n", F.row_number().over(own)).where("__n <= 2")
     pick = lambda n, c: F.max(F.when(F.col("__n") == n, F.col(c)))
-    return rows.groupBy("name").agg(pick(1, "status").alias("latest_status"), pick(1, "started_at").alias("latest_at"), pick(2, "status").alias("previous_status"), pick(2, "started_at").alias("previous_at"))
+    return rows.groupBy("name").agg(
+        pick(1, "status").alias("latest_status"), pick(1, "started_at").alias("latest_at"), pick(2, "status").alias("previous_status"),
+        pick(2, "started_at").alias("previous_at"),
+    )
 
 
 def file_stats(files: DataFrame, since: datetime) -> DataFrame:
     """Raw files by status, and failures since a time."""
-    return files.groupBy("status").agg(F.count("*").alias("files"), R.count_if((F.col("status") == "failed") & (F.col("updated_at") >= R.at(since))).alias("failed_recent"))
+    return files.groupBy("status").agg(
+        F.count("*").alias("files"), R.count_if((F.col("status") == "failed") & (F.col("updated_at") >= R.at(since))).alias("failed_recent"),
+    )
 
 
 # ---- registered queries
@@ -399,24 +441,38 @@ def registered(ev: str, when: str, since: datetime, until: datetime) -> Iterator
         SELECT site_id, env, actor_value, requests, status_4xx, status_5xx, first_seen, last_seen, actor_type, rule_key, CAST(CASE rule_key WHEN 'ip_5xx_burst' THEN least(greatest(trunc(r5 * 70) + least(status_5xx // 10, 30), 35), 100) WHEN 'ip_4xx_scan' THEN least(greatest(trunc(r4 * 60) + least(status_4xx // 50, 30), 25), 90) ELSE least(greatest(trunc(r5 * 80) + least(status_5xx // 5, 20), 30), 95) END AS INT) AS score FROM r WHERE rule_key IS NOT NULL"""
     sites = f"(SELECT site_id, env, count(*) AS requests, {c4} AS status_4xx, {c5} AS status_5xx, coalesce(percentile_cont(0.95) WITHIN GROUP (ORDER BY request_time_ms), 0.0) AS p95 FROM w GROUP BY 1, 2)"
     yield "site_health", lambda s, d: site_health(N.site_summary(window(s, d))), f"""{ev} SELECT *, CASE WHEN risk >= 65 THEN 'critical' WHEN risk >= 25 THEN 'warning' ELSE 'healthy' END AS health FROM (SELECT site_id, CAST(sum(requests) AS BIGINT) AS requests, CAST(least(99, floor(sum(status_4xx + status_5xx) / CAST(sum(requests) AS DOUBLE) * 900 + max(p95) / 90 + 0.5)) AS INT) AS risk FROM {sites} GROUP BY 1)"""
-    yield "facets", lambda s, d: facets(window(s, d), "status", "env", "site_id", "path"), f"{ev} " + " UNION ALL ".join(f"SELECT '{c}' AS facet, CAST(coalesce(CAST({c} AS VARCHAR), '') AS VARCHAR) AS value, count(*) AS n FROM w GROUP BY 2" for c in ("status", "env", "site_id", "path"))
+    yield "facets", lambda s, d: facets(window(s, d), "status", "env", "site_id", "path"), f"{ev} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS facet, CAST(coalesce(CAST({c} AS VARCHAR), '') AS VARCHAR) AS value, count(*) AS n FROM w GROUP BY 2" for c in ("status", "env", "site_id", "path")
+    )
     yield "site_rates", lambda s, d: site_rates(A.access_events(s, d)), f"{ev} SELECT *, events / CASE WHEN last_seen > first_seen THEN (epoch_us(last_seen) - epoch_us(first_seen)) / CAST(86400000000 AS DOUBLE) ELSE 1.0 END AS events_per_day FROM (SELECT site_id, count(*) AS events, min(ts) AS first_seen, max(ts) AS last_seen FROM ev GROUP BY 1)"
     for column in ("client_ip", "path", "query"):
         yield f"dimension_{column}", lambda s, d, c=column: dimension(A.access_events(s, d), c), f"{ev} SELECT {column}, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS request_count FROM ev WHERE {column} IS NOT NULL GROUP BY 1"
-    yield "dimension_insert_if_absent", lambda s, d: add_new(dimension(A.access_events(s, d).where("id % 2 = 0"), "path"), dimension(A.access_events(s, d), "path"), "path"), f"{ev}, a AS (SELECT path, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS request_count FROM ev WHERE id % 2 = 0 GROUP BY 1) SELECT * FROM a UNION ALL SELECT path, min(ts), max(ts), count(*) FROM ev WHERE path NOT IN (SELECT path FROM a) GROUP BY 1"
+    yield "dimension_insert_if_absent", lambda s, d: add_new(
+        dimension(A.access_events(s, d).where("id % 2 = 0"), "path"), dimension(A.access_events(s, d), "path"), "path",
+    ), f"{ev}, a AS (SELECT path, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS request_count FROM ev WHERE id % 2 = 0 GROUP BY 1) SELECT * FROM a UNION ALL SELECT path, min(ts), max(ts), count(*) FROM ev WHERE path NOT IN (SELECT path FROM a) GROUP BY 1"
 
     def segments(s: SparkSession, d: str) -> DataFrame:
         hour = F.date_trunc("hour", "ts")
-        return A.access_events(s, d).groupBy("site_id", hour.alias("bucket_start")).agg(F.count("*").alias("line_count")).select(F.concat_ws("/", "site_id", F.date_format("bucket_start", "yyyyMMddHH")).alias("segment_id"), "bucket_start", (F.col("bucket_start") + F.expr("interval 1 hour")).alias("bucket_end"), "line_count")
+        return A.access_events(s, d).groupBy("site_id", hour.alias("bucket_start")).agg(F.count("*").alias("line_count")).select(
+            F.concat_ws("/", "site_id", F.date_format("bucket_start", "yyyyMMddHH")).alias("segment_id"), "bucket_start",
+            (F.col("bucket_start") + F.expr("interval 1 hour")).alias("bucket_end"), "line_count",
+        )
 
     yield "archive_groups", lambda s, d: archive_groups(segments(s, d), until, segments(s, d).where("line_count % 5 = 0")), f"""{ev}, sg AS (SELECT site_id, date_trunc('hour', ts) AS bucket_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS bucket_end, count(*) AS line_count FROM ev GROUP BY ALL)
         SELECT CAST(date_trunc('week', bucket_start) AS TIMESTAMP) AS range_start, count(*) AS segments, CAST(sum(line_count) AS BIGINT) AS line_count, min(bucket_start) AS first_bucket, max(bucket_end) AS last_bucket FROM sg WHERE bucket_end <= TIMESTAMP '{until}' AND line_count % 5 <> 0 GROUP BY 1"""
     yield "merged_intervals", lambda s, d: merged_intervals(A.access_events(s, d).where("status >= 500").select("site_id", F.col("ts").cast("timestamp").alias("range_start"), (F.col("ts").cast("timestamp") + F.expr("interval 30 minutes")).alias("range_end")), "site_id"), f"""{ev}, iv AS (SELECT site_id, ts AS range_start, ts + INTERVAL 30 MINUTE AS range_end FROM ev WHERE status >= 500),
         m AS (SELECT *, max(range_end) OVER (PARTITION BY site_id ORDER BY range_start, range_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM iv), g AS (SELECT *, sum(CASE WHEN b IS NULL OR range_start > b THEN 1 ELSE 0 END) OVER (PARTITION BY site_id ORDER BY range_start, range_end) AS run FROM m) SELECT site_id, min(range_start) AS range_start, max(range_end) AS range_end FROM g GROUP BY site_id, run"""
-    yield "database_probe_ips", lambda s, d: database_probe_ips(N.probe_summary(window(s, d), probes.probes(window(s, d)), "injection", limit=100_000)).withColumn("sites", F.array_join("sites", ", ")), f"{ev} SELECT client_ip, count(*) AS requests, {c4} AS status_4xx, {c5} AS status_5xx, string_agg(DISTINCT site_id, ', ' ORDER BY site_id) AS sites FROM w WHERE query = 'id=1%20OR%201%3D1' AND client_ip IS NOT NULL GROUP BY 1"
-    yield "retention_counts", lambda s, d: retention_counts({"access_events": (A.access_events(s, d), "ts", until), "log_events": (A.log_events(s, d), "ts", since)}), f"{ev} SELECT 'access_events' AS \"table\", count(*) AS expired FROM ev WHERE ts < TIMESTAMP '{until}' UNION ALL SELECT 'log_events', count(*) FROM ev WHERE ts < TIMESTAMP '{since}'"
-
-    ranges = [("203.0.113.0/24", "net-all", "cloud"), ("203.0.113.64/26", "net-b", "edge"), ("203.0.113.96/28", "net-c", "crawler"), ("203.0.113.100/32", "net-d", "monitor"), ("203.0.113.64/26", "net-a", "fetcher")]
+    yield "database_probe_ips", lambda s, d: database_probe_ips(
+        N.probe_summary(window(s, d), probes.probes(window(s, d)), "injection", limit=100_000)
+    ).withColumn("sites", F.array_join("sites", ", ")), f"{ev} SELECT client_ip, count(*) AS requests, {c4} AS status_4xx, {c5} AS status_5xx, string_agg(DISTINCT site_id, ', ' ORDER BY site_id) AS sites FROM w WHERE query = 'id=1%20OR%201%3D1' AND client_ip IS NOT NULL GROUP BY 1"
+    yield "retention_counts", lambda s, d: retention_counts(
+        {"access_events": (A.access_events(s, d), "ts", until), "log_events": (A.log_events(s, d), "ts", since)}
+    ), f"{ev} SELECT 'access_events' AS \"table\", count(*) AS expired FROM ev WHERE ts < TIMESTAMP '{until}' UNION ALL SELECT 'log_events', count(*) FROM ev WHERE ts < TIMESTAMP '{since}'"
+
+    ranges = [
+        ("203.0.113.0/24", "net-all", "cloud"), ("203.0.113.64/26", "net-b", "edge"), ("203.0.113.96/28", "net-c", "crawler"),
+        ("203.0.113.100/32", "net-d", "monitor"), ("203.0.113.64/26", "net-a", "fetcher"),
+    ]
 
     def matched(s: SparkSession, d: str) -> DataFrame:
         table = s.createDataFrame(ranges, "cidr string, provider_id string, provider_type string")

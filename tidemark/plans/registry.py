@@ -81,7 +81,10 @@ _ROLLUP_SQL = {
     "rollup_path_latency_1h": ("hour", f"path, {_EDGE} AS bucket_le_ms", f"count(*) AS requests, {_C5} AS status_5xx, CAST(sum(request_time_ms) AS BIGINT) AS request_time_sum_ms, {_SEEN}", "request_time_ms IS NOT NULL"),
 }
 for _name, (_width, _keys, _measures, _where) in _ROLLUP_SQL.items():
-    _on_events(_name, lambda e, n=_name: R.build(e, n), f"SELECT date_trunc('{_width}', ts) AS bucket_ts, site_id, env, {_keys + ', ' if _keys else ''}{_measures} FROM ev WHERE {_where} GROUP BY ALL")
+    _on_events(
+        _name, lambda e, n=_name: R.build(e, n),
+        f"SELECT date_trunc('{_width}', ts) AS bucket_ts, site_id, env, {_keys + ', ' if _keys else ''}{_measures} FROM ev WHERE {_where} GROUP BY ALL",
+    )
 
 _PAIR = "lower(ltrim(split_part(pair, '=', 1), '?'))"
 _VALUE = "CASE WHEN instr(pair, '=') > 0 THEN substr(pair, instr(pair, '=') + 1, 512) ELSE '' END"
@@ -89,8 +92,15 @@ _FAMILY = f"CASE WHEN param = 'srsltid' THEN 'srsltid' WHEN starts_with(param, '
 PARAMS = lambda src: f", pr AS (SELECT *, {_FAMILY} AS param_family FROM (SELECT *, {_PAIR} AS param, {_VALUE} AS param_value FROM (SELECT *, unnest(string_split(query, '&')) AS pair FROM {src} WHERE coalesce(query, '') <> '')) WHERE param <> '')"
 _UNIQUE = "count(DISTINCT client_ip) AS unique_ips, count(DISTINCT path) AS unique_paths"
 _NEWEST = "coalesce(arg_max(coalesce(path, ''), (ts, id)), '') AS example_path, coalesce(arg_max(coalesce(query, ''), (ts, id)), '') AS example_query"
-_on_events("rollup_query_param_1h", R.build_params, PARAMS("ev") + f" SELECT date_trunc('hour', ts) AS bucket_ts, site_id, env, param_family, param, md5(param_value) AS value_hash, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_CS} AS slow_requests, {_UNIQUE}, count(DISTINCT user_agent) AS unique_user_agents, count(request_time_ms) AS request_time_count, CAST(coalesce(sum(request_time_ms), 0) AS BIGINT) AS request_time_sum_ms, {_SEEN}, {_NEWEST}, any_value(param_value) AS param_value FROM pr GROUP BY ALL")
-_on_events("rollup_merge", lambda e: R.merge(R.build(e.where("id % 3 = 0"), "rollup_ip_path_1h"), R.build(e.where("id % 3 <> 0"), "rollup_ip_path_1h"), "rollup_ip_path_1h"), _sql["rollup_ip_path_1h"].removeprefix(EV))
+_on_events(
+    "rollup_query_param_1h", R.build_params,
+    PARAMS("ev") + f" SELECT date_trunc('hour', ts) AS bucket_ts, site_id, env, param_family, param, md5(param_value) AS value_hash, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_CS} AS slow_requests, {_UNIQUE}, count(DISTINCT user_agent) AS unique_user_agents, count(request_time_ms) AS request_time_count, CAST(coalesce(sum(request_time_ms), 0) AS BIGINT) AS request_time_sum_ms, {_SEEN}, {_NEWEST}, any_value(param_value) AS param_value FROM pr GROUP BY ALL",
+)
+_on_events(
+    "rollup_merge",
+    lambda e: R.merge(R.build(e.where("id % 3 = 0"), "rollup_ip_path_1h"), R.build(e.where("id % 3 <> 0"), "rollup_ip_path_1h"), "rollup_ip_path_1h"),
+    _sql["rollup_ip_path_1h"].removeprefix(EV),
+)
 
 
 def _rebuilt(e: DataFrame) -> DataFrame:
@@ -129,15 +139,31 @@ _add("top_source_ips", lambda s, d: N.top_ips(_window(s, d), A.ip_intel(s, d)),
 _add("top_source_ips_from_rollup", lambda s, d: N.top_ips_from_rollup(_with_edges(s, d, "rollup_ip_1h"), A.ip_intel(s, d)), f"{EV} {_TOP_IPS}")
 _on_window("top_paths", N.top_paths, f"SELECT coalesce(path, '') AS path, {_FULL} FROM w GROUP BY 1 ORDER BY requests DESC, path LIMIT 10")
 _on_window("status_breakdown", N.status_breakdown, "SELECT coalesce(status, 0) AS status, count(*) AS requests FROM w GROUP BY 1 ORDER BY requests DESC, status LIMIT 32")
-_add("status_breakdown_from_rollup", lambda s, d: _with_edges(s, d, "rollup_status_1h").groupBy("status").agg(F.sum("requests").alias("requests")).orderBy(F.desc("requests"), "status").limit(32), _sql["status_breakdown"])
+_add(
+    "status_breakdown_from_rollup", lambda s,
+    d: _with_edges(s, d, "rollup_status_1h").groupBy("status").agg(F.sum("requests").alias("requests")).orderBy(F.desc("requests"), "status").limit(32),
+    _sql["status_breakdown"],
+)
 _SLOW = f"SELECT site_id, env, coalesce(path, '') AS path, count(*) AS requests, avg(request_time_ms) AS avg_request_time_ms, percentile_cont(0.95) WITHIN GROUP (ORDER BY request_time_ms) AS p95_request_time_ms, {_C5} AS status_5xx, {_SEEN} FROM w WHERE request_time_ms IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 20"
 _on_window("slow_paths", N.slow_paths, f"{_SLOW} ORDER BY p95_request_time_ms DESC, requests DESC, site_id, env, path LIMIT 25")
 _add("slow_paths_from_rollup", lambda s, d: N.slow_paths_from_rollup(_with_edges(s, d, "rollup_path_latency_1h")), f"""{EV} SELECT s.* EXCLUDE (p95_request_time_ms), h.p95 AS p95_request_time_ms FROM ({_SLOW}) s JOIN {_histogram_sql('site_id, env, path')} h USING (site_id, env, path)
     ORDER BY p95_request_time_ms DESC, requests DESC, site_id, env, path LIMIT 25""")
-_on_window("path_5xx_hotspots", N.path_hotspots, f"SELECT *, status_5xx / CAST(requests AS DOUBLE) AS rate FROM (SELECT site_id, env, coalesce(path, '') AS path, count(*) AS requests, {_C5} AS status_5xx, {_SEEN} FROM w GROUP BY 1, 2, 3) WHERE requests >= 30 AND status_5xx >= 5 AND status_5xx / CAST(requests AS DOUBLE) >= 0.2 ORDER BY status_5xx DESC, requests DESC, site_id, env, path LIMIT 25")
-_add("log_totals", lambda s, d: N.log_totals(R.window(A.log_events(s, d), SINCE, UNTIL)), f"{EV} SELECT log_type, severity, count(*) AS events, {_SEEN} FROM lg GROUP BY 1, 2")
-_add("log_messages", lambda s, d: N.log_messages(R.window(A.log_events(s, d), SINCE, UNTIL)), f"{EV} SELECT log_type, severity, left(message, 240) AS message, count(*) AS events, string_agg(DISTINCT site_id, ', ' ORDER BY site_id) AS sites, {_SEEN} FROM lg GROUP BY 1, 2, 3 ORDER BY events DESC, log_type, severity, message LIMIT 25")
-_add("latest_logs", lambda s, d: N.latest_logs(R.window(A.log_events(s, d), SINCE, UNTIL)), f"{EV} SELECT id, ts, site_id, env, log_type, severity, left(message, 500) AS message, left(raw, 1200) AS raw FROM lg ORDER BY ts DESC, id LIMIT 25")
+_on_window(
+    "path_5xx_hotspots", N.path_hotspots,
+    f"SELECT *, status_5xx / CAST(requests AS DOUBLE) AS rate FROM (SELECT site_id, env, coalesce(path, '') AS path, count(*) AS requests, {_C5} AS status_5xx, {_SEEN} FROM w GROUP BY 1, 2, 3) WHERE requests >= 30 AND status_5xx >= 5 AND status_5xx / CAST(requests AS DOUBLE) >= 0.2 ORDER BY status_5xx DESC, requests DESC, site_id, env, path LIMIT 25",
+)
+_add(
+    "log_totals", lambda s, d: N.log_totals(R.window(A.log_events(s, d), SINCE, UNTIL)),
+    f"{EV} SELECT log_type, severity, count(*) AS events, {_SEEN} FROM lg GROUP BY 1, 2",
+)
+_add(
+    "log_messages", lambda s, d: N.log_messages(R.window(A.log_events(s, d), SINCE, UNTIL)),
+    f"{EV} SELECT log_type, severity, left(message, 240) AS message, count(*) AS events, string_agg(DISTINCT site_id, ', ' ORDER BY site_id) AS sites, {_SEEN} FROM lg GROUP BY 1, 2, 3 ORDER BY events DESC, log_type, severity, message LIMIT 25",
+)
+_add(
+    "latest_logs", lambda s, d: N.latest_logs(R.window(A.log_events(s, d), SINCE, UNTIL)),
+    f"{EV} SELECT id, ts, site_id, env, log_type, severity, left(message, 500) AS message, left(raw, 1200) AS raw FROM lg ORDER BY ts DESC, id LIMIT 25",
+)
 
 # ---- user agents
 
@@ -154,9 +180,27 @@ _AGENT = f"""SELECT *, CASE WHEN sample = '' THEN 'missing' WHEN svc IS NOT NULL
 _UA = f""", ua AS (SELECT coalesce(user_agent, '') AS sample, count(*) AS requests, count(DISTINCT client_ip) AS unique_ips, {_C4} AS status_4xx, {_C5} AS status_5xx, {_BYTES},
     count(DISTINCT client_ip) FILTER (WHERE ok) AS verified_ips, count(*) FILTER (WHERE ok) AS verified_requests, {_SEEN} FROM (SELECT w.*, coalesce({_LOOSE}, false) AND i.ip IS NOT NULL AS ok FROM w LEFT JOIN ip i ON i.ip = w.client_ip) GROUP BY 1 ORDER BY requests DESC, sample LIMIT 25)"""
 _FIELDS = ", ".join(useragent.FIELDS)
-_add("user_agents", lambda s, d: N.user_agents(_window(s, d), A.ip_intel(s, d)), f"{EV}{_UA} SELECT sample, requests, unique_ips, status_4xx, status_5xx, bytes_sent, verified_ips, verified_requests, first_seen, last_seen, {_FIELDS}, verified_ips > 0 AS verified_source, {_R4}, {_R5} FROM ({_AGENT})")
-_on_events("user_agent_dimension", lambda e: O.dimension(e, "user_agent").withColumn("a", useragent.analyse(F.col("user_agent"), F.col("request_count"))).select("user_agent", "first_seen", "last_seen", "request_count", *(F.col(f"a.{f}").alias(f) for f in useragent.FIELDS)), f", ua AS (SELECT user_agent AS sample, count(*) AS requests, {_SEEN} FROM ev WHERE user_agent IS NOT NULL GROUP BY 1) SELECT sample AS user_agent, first_seen, last_seen, requests AS request_count, {_FIELDS} FROM ({_AGENT})")
-_on_events("bot_kinds", lambda e: e.groupBy(F.coalesce("user_agent", F.lit("")).alias("sample")).agg(F.count("*").alias("requests")).withColumn("a", useragent.analyse(F.col("sample"), F.col("requests"))).select("sample", "requests", bots.bot_kind(F.col("a.family"), F.col("a.known_actor"), F.col("a.actor_type"), F.col("sample"), F.lit(""), F.col("a.risk_score"), F.lit("")).alias("kind")), "SELECT coalesce(user_agent, '') AS sample, count(*) AS requests, CASE WHEN contains(user_agent, 'AhrefsBot') THEN 'seo' WHEN contains(user_agent, 'curl') OR contains(user_agent, 'python') THEN 'tools' WHEN contains(user_agent, 'sqlmap') THEN 'suspicious' ELSE 'other' END AS kind FROM ev GROUP BY ALL")
+_add(
+    "user_agents", lambda s, d: N.user_agents(_window(s, d), A.ip_intel(s, d)),
+    f"{EV}{_UA} SELECT sample, requests, unique_ips, status_4xx, status_5xx, bytes_sent, verified_ips, verified_requests, first_seen, last_seen, {_FIELDS}, verified_ips > 0 AS verified_source, {_R4}, {_R5} FROM ({_AGENT})",
+)
+_on_events(
+    "user_agent_dimension",
+    lambda e: O.dimension(e, "user_agent").withColumn("a", useragent.analyse(F.col("user_agent"), F.col("request_count"))).select(
+        "user_agent", "first_seen", "last_seen", "request_count", *(F.col(f"a.{f}").alias(f) for f in useragent.FIELDS),
+    ),
+    f", ua AS (SELECT user_agent AS sample, count(*) AS requests, {_SEEN} FROM ev WHERE user_agent IS NOT NULL GROUP BY 1) SELECT sample AS user_agent, first_seen, last_seen, requests AS request_count, {_FIELDS} FROM ({_AGENT})",
+)
+_on_events(
+    "bot_kinds",
+    lambda e: e.groupBy(F.coalesce("user_agent", F.lit("")).alias("sample")).agg(F.count("*").alias("requests")).withColumn("a", useragent.analyse(F.col("sample"), F.col("requests"))).select(
+        "sample", "requests",
+        bots.bot_kind(
+            F.col("a.family"), F.col("a.known_actor"), F.col("a.actor_type"), F.col("sample"), F.lit(""), F.col("a.risk_score"), F.lit(""),
+        ).alias("kind"),
+    ),
+    "SELECT coalesce(user_agent, '') AS sample, count(*) AS requests, CASE WHEN contains(user_agent, 'AhrefsBot') THEN 'seo' WHEN contains(user_agent, 'curl') OR contains(user_agent, 'python') THEN 'tools' WHEN contains(user_agent, 'sqlmap') THEN 'suspicious' ELSE 'other' END AS kind FROM ev GROUP BY ALL",
+)
 
 # ---- probes and facts
 
@@ -165,7 +209,10 @@ _PROBES = """, pb AS (SELECT *, 'admin' AS family, CASE WHEN method = 'POST' THE
     px AS (SELECT *, CASE family WHEN 'admin' THEN concat('admin_', category) ELSE concat('probe_', category) END AS rule_key, CASE WHEN family = 'admin' THEN '' WHEN category = 'sql_injection' THEN 'tautology' ELSE 'secret_file' END AS match_reason FROM pb)"""
 _PROBE_COLUMNS = "id, ts, site_id, env, client_ip, method, path, query, status, family, category, rule_key, match_reason"
 _on_window("security_probes", lambda w: probes.probes(w).select(*_PROBE_COLUMNS.split(", ")), f"{_PROBES} SELECT {_PROBE_COLUMNS} FROM px")
-_on_window("rollup_security_probe_1h", lambda w: R.build_probes(probes.probes(w)), f"{_PROBES} SELECT date_trunc('hour', ts) AS bucket_ts, site_id, env, family, category, rule_key, count(*) AS events, count(DISTINCT client_ip) AS unique_ips, {_C4} AS status_4xx, {_C5} AS status_5xx, {_SEEN} FROM px GROUP BY ALL")
+_on_window(
+    "rollup_security_probe_1h", lambda w: R.build_probes(probes.probes(w)),
+    f"{_PROBES} SELECT date_trunc('hour', ts) AS bucket_ts, site_id, env, family, category, rule_key, count(*) AS events, count(DISTINCT client_ip) AS unique_ips, {_C4} AS status_4xx, {_C5} AS status_5xx, {_SEEN} FROM px GROUP BY ALL",
+)
 
 
 def _probe_top(family: str) -> str:
@@ -178,13 +225,22 @@ def _probe_top(family: str) -> str:
 
 _HITS = "(SELECT client_ip, count(*) AS n FROM w WHERE client_ip IS NOT NULL GROUP BY 1)"
 for _family, _title in (("admin", "admin_probes"), ("injection", "injection_probes")):
-    _on_window(_title, lambda w, f=_family: N.probe_summary(w, probes.probes(w), f), f"{_PROBES} SELECT t.*, coalesce(h.n, 0) AS total_ip_hits FROM {_probe_top(_family)} t LEFT JOIN {_HITS} h USING (client_ip)")
+    _on_window(
+        _title, lambda w, f=_family: N.probe_summary(w, probes.probes(w), f),
+        f"{_PROBES} SELECT t.*, coalesce(h.n, 0) AS total_ip_hits FROM {_probe_top(_family)} t LEFT JOIN {_HITS} h USING (client_ip)",
+    )
 _TOR = f"""(SELECT client_ip, risk_score, country_code, requests, status_4xx, status_5xx, first_seen, last_seen, coalesce(n, 0) AS admin_requests
     FROM (SELECT client_ip, i.risk_score, i.country_code, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_SEEN} FROM w JOIN ip i ON i.ip = w.client_ip WHERE i.is_tor_exit GROUP BY 1, 2, 3) t
     LEFT JOIN (SELECT client_ip, count(*) AS n FROM px WHERE family = 'admin' GROUP BY 1) a USING (client_ip) ORDER BY admin_requests DESC, requests DESC, client_ip LIMIT 25)"""
 _add("tor_sources", lambda s, d: N.tor_sources(_window(s, d), probes.probes(_window(s, d)), A.ip_intel(s, d)), f"{EV}{_PROBES} SELECT * FROM {_TOR}")
-_on_events("error_facts", lambda e: probes.errors(e).select("id", "ts", "site_id", "env", "client_ip", "path", "status"), "SELECT id, ts, site_id, env, client_ip, path, status FROM ev WHERE status >= 400")
-_on_events("slow_facts", lambda e: probes.slow(e).select("id", "ts", "site_id", "env", "client_ip", "path", "request_time_ms"), "SELECT id, ts, site_id, env, client_ip, path, request_time_ms FROM ev WHERE request_time_ms >= 1000")
+_on_events(
+    "error_facts", lambda e: probes.errors(e).select("id", "ts", "site_id", "env", "client_ip", "path", "status"),
+    "SELECT id, ts, site_id, env, client_ip, path, status FROM ev WHERE status >= 400",
+)
+_on_events(
+    "slow_facts", lambda e: probes.slow(e).select("id", "ts", "site_id", "env", "client_ip", "path", "request_time_ms"),
+    "SELECT id, ts, site_id, env, client_ip, path, request_time_ms FROM ev WHERE request_time_ms >= 1000",
+)
 
 
 def _issues(s: SparkSession, d: str) -> DataFrame:
@@ -239,14 +295,35 @@ _add("issues", _issues, _issues_sql())
 _TIMELINE = lambda n: f"SELECT * FROM (SELECT to_timestamp(floor(epoch(ts) / {n}) * {n}) AT TIME ZONE 'UTC' AS bucket_ts, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_BYTES} FROM w GROUP BY 1 ORDER BY bucket_ts DESC LIMIT 180) ORDER BY bucket_ts"
 _on_window("timeline", lambda w: N.timeline(w, O.width(SINCE, UNTIL)), _TIMELINE(O.width(SINCE, UNTIL)))
 _on_window("timeline_3h", lambda w: N.timeline(w, 10800), _TIMELINE(10800))
-_on_window("query_params", N.query_params, PARAMS("w") + f" SELECT param_family, param, param_value, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_CS} AS slow_requests, {_UNIQUE}, coalesce(avg(request_time_ms), 0.0) AS avg_request_time_ms, {_NEWEST}, {_SEEN} FROM pr GROUP BY 1, 2, 3 ORDER BY status_5xx DESC, slow_requests DESC, requests DESC, param_family, param, param_value LIMIT 25")
+_on_window(
+    "query_params", N.query_params,
+    PARAMS("w") + f" SELECT param_family, param, param_value, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_CS} AS slow_requests, {_UNIQUE}, coalesce(avg(request_time_ms), 0.0) AS avg_request_time_ms, {_NEWEST}, {_SEEN} FROM pr GROUP BY 1, 2, 3 ORDER BY status_5xx DESC, slow_requests DESC, requests DESC, param_family, param, param_value LIMIT 25",
+)
 _ERROR = "id, ts, site_id, env, client_ip, method, path, query, status, user_agent"
-_on_window("recent_errors", lambda w: N.recent_errors(w, probes.errors(w).where("id % 13 <> 0"), limit=50).select(*_ERROR.split(", ")), f"SELECT {_ERROR} FROM w WHERE status >= 400 ORDER BY ts DESC, id DESC LIMIT 50")
-_add("recent_errors_with_intel", lambda s, d: N.recent_errors(_window(s, d), probes.errors(_window(s, d)), A.ip_intel(s, d), 50).select(*_ERROR.split(", "), "actor_type", "known_actor", "manual_action", "country_code", "verified_source"), f"{EV} SELECT e.*, i.actor_type, i.known_actor, i.manual_action, i.country_code, {_VERIFIED} AS verified_source FROM (SELECT {_ERROR} FROM w WHERE status >= 400 ORDER BY ts DESC, id DESC LIMIT 50) e LEFT JOIN ip i ON i.ip = e.client_ip")
-_on_window("agent_detail_ips", lambda w: N.paged(N.agent_detail(w, "curl/8.7.1")["ips"], 10, 5, F.desc("requests"), F.asc_nulls_first("client_ip")), f"SELECT *, count(*) OVER () AS total FROM (SELECT client_ip, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_SEEN} FROM w WHERE user_agent = 'curl/8.7.1' GROUP BY 1) ORDER BY requests DESC, client_ip NULLS FIRST LIMIT 10 OFFSET 5")
-_on_window("ip_detail_hits", lambda w: N.ip_detail(w, "203.0.113.77")["url_hits"], f"SELECT site_id, env, method, path, query, status, user_agent, count(*) AS requests, coalesce(avg(request_time_ms), 0.0) AS avg_request_time_ms, {_P95} AS p95_request_time_ms, {_SEEN} FROM w WHERE client_ip = '203.0.113.77' GROUP BY ALL")
+_on_window(
+    "recent_errors", lambda w: N.recent_errors(w, probes.errors(w).where("id % 13 <> 0"), limit=50).select(*_ERROR.split(", ")),
+    f"SELECT {_ERROR} FROM w WHERE status >= 400 ORDER BY ts DESC, id DESC LIMIT 50",
+)
+_add(
+    "recent_errors_with_intel", lambda s,
+    d: N.recent_errors(_window(s, d), probes.errors(_window(s, d)), A.ip_intel(s, d), 50).select(
+        *_ERROR.split(", "), "actor_type", "known_actor", "manual_action", "country_code", "verified_source",
+    ),
+    f"{EV} SELECT e.*, i.actor_type, i.known_actor, i.manual_action, i.country_code, {_VERIFIED} AS verified_source FROM (SELECT {_ERROR} FROM w WHERE status >= 400 ORDER BY ts DESC, id DESC LIMIT 50) e LEFT JOIN ip i ON i.ip = e.client_ip",
+)
+_on_window(
+    "agent_detail_ips", lambda w: N.paged(N.agent_detail(w, "curl/8.7.1")["ips"], 10, 5, F.desc("requests"), F.asc_nulls_first("client_ip")),
+    f"SELECT *, count(*) OVER () AS total FROM (SELECT client_ip, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_SEEN} FROM w WHERE user_agent = 'curl/8.7.1' GROUP BY 1) ORDER BY requests DESC, client_ip NULLS FIRST LIMIT 10 OFFSET 5",
+)
+_on_window(
+    "ip_detail_hits", lambda w: N.ip_detail(w, "203.0.113.77")["url_hits"],
+    f"SELECT site_id, env, method, path, query, status, user_agent, count(*) AS requests, coalesce(avg(request_time_ms), 0.0) AS avg_request_time_ms, {_P95} AS p95_request_time_ms, {_SEEN} FROM w WHERE client_ip = '203.0.113.77' GROUP BY ALL",
+)
 _on_window("ip_detail_sites", lambda w: N.ip_detail(w, "203.0.113.77")["sites"], f"SELECT site_id, env, {_FULL} FROM w WHERE client_ip = '203.0.113.77' GROUP BY ALL")
-_on_window("signal_detail_ips", lambda w: N.signal_detail(probes.probes(w), family="injection", category="sql_injection", env="live")["ips"], f"{_PROBES} SELECT client_ip, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_SEEN} FROM px WHERE family = 'injection' AND category = 'sql_injection' AND env = 'live' GROUP BY 1")
+_on_window(
+    "signal_detail_ips", lambda w: N.signal_detail(probes.probes(w), family="injection", category="sql_injection", env="live")["ips"],
+    f"{_PROBES} SELECT client_ip, count(*) AS requests, {_C4} AS status_4xx, {_C5} AS status_5xx, {_SEEN} FROM px WHERE family = 'injection' AND category = 'sql_injection' AND env = 'live' GROUP BY 1",
+)
 
 # ---- search
 
@@ -263,11 +340,17 @@ for _name, _text, _cond in (
 def _ingested(s: SparkSession, d: str) -> DataFrame:
     lines, _ = C.combine(A.access_lines(s, d))
     events, _ = C.index_access(lines)
-    return events.select("ts", "site_id", "env", "client_ip", "method", "path", "query", "status", "bytes_sent", "user_agent", F.coalesce("request_time_ms", F.lit(0)).alias("request_time_ms"))
+    return events.select(
+        "ts", "site_id", "env", "client_ip", "method", "path", "query", "status", "bytes_sent", "user_agent",
+        F.coalesce("request_time_ms", F.lit(0)).alias("request_time_ms"),
+    )
 
 
 _OCTET = "CASE WHEN TRY_CAST(split_part(client_ip, '.', 4) AS INT) > 255 THEN NULL ELSE client_ip END AS client_ip"
-_add("ingest_access_lines", _ingested, f"{EV} SELECT DISTINCT date_trunc('second', ts) AS ts, site_id, env, {_OCTET}, method, path, query, status, bytes_sent, user_agent, coalesce(request_time_ms, 0) AS request_time_ms FROM ev")
+_add(
+    "ingest_access_lines", _ingested,
+    f"{EV} SELECT DISTINCT date_trunc('second', ts) AS ts, site_id, env, {_OCTET}, method, path, query, status, bytes_sent, user_agent, coalesce(request_time_ms, 0) AS request_time_ms FROM ev",
+)
 _LOG_LINES_SQL = f"""WITH lg AS ({A.LOGS_SQL}) SELECT DISTINCT date_trunc('second', ts) AS ts, site_id, env, log_type,
     CASE log_type WHEN 'php-error' THEN CASE WHEN contains(message, 'error') THEN 'error' ELSE 'warning' END WHEN 'php-slow' THEN CASE WHEN contains(message, 'error') THEN 'error' ELSE 'info' END ELSE severity END AS severity,
     CASE log_type WHEN 'php-error' THEN concat('PHP Warning: ', message) WHEN 'nginx-error' THEN concat('1#0: ', message) WHEN 'php-slow' THEN concat('[pool www] ', message)

@@ -141,7 +141,10 @@ _ACTIONS = ("suspicious", "verified", "watch", "clear")
 
 def _manual(s: SparkSession, d: str) -> DataFrame:
     ips = A.ip_intel(s, d).withColumn("label", F.concat(F.lit("  said\n by  "), F.col("actor_type"), F.lit(" ")))
-    part = lambda name: ips.select("ip", F.lit(name).alias("asked"), *(c.alias(n) for c, n in zip(trust.manual_action(name, F.col("label"), F.col("risk_score")), ("action", "label", "risk"), strict=True)))
+    part = lambda name: ips.select(
+        "ip", F.lit(name).alias("asked"),
+        *(c.alias(n) for c, n in zip(trust.manual_action(name, F.col("label"), F.col("risk_score")), ("action", "label", "risk"), strict=True)),
+    )
     out = part(_ACTIONS[0])
     for name in _ACTIONS[1:]:
         out = out.unionByName(part(name))
@@ -157,7 +160,10 @@ _MANUAL_SQL = " UNION ALL ".join(
 def _suspicious(s: SparkSession, d: str) -> DataFrame:
     c = {n: F.col(n) for n in ("manual_action", "actor_type", "known_actor", "is_tor_exit", "is_datacenter", "requests", "status_4xx", "status_5xx", "risk_score")}
     busy = N.top_ips(A.access_events(s, d), A.ip_intel(s, d), limit=100_000)
-    test = trust.suspicious_ip(c["manual_action"], c["actor_type"], c["known_actor"], c["is_tor_exit"], F.lit(""), c["is_datacenter"], c["requests"], c["status_4xx"], c["status_5xx"], c["risk_score"])
+    test = trust.suspicious_ip(
+        c["manual_action"], c["actor_type"], c["known_actor"], c["is_tor_exit"], F.lit(""), c["is_datacenter"], c["requests"], c["status_4xx"],
+        c["status_5xx"], c["risk_score"],
+    )
     return busy.select("client_ip", test.alias("suspicious"))
 
 
@@ -363,7 +369,9 @@ def _record(s: SparkSession, d: str) -> DataFrame:
     """Found by its key, by its text, and by its first characters."""
     stored = O.dimension(A.access_events(s, d), "user_agent").withColumn("key", F.length("user_agent"))
     part = lambda how, *a, **k: N.agent_record(stored, *a, **k).select(F.lit(how).alias("how"), "user_agent", "request_count")
-    return part("key", "none", key=10).unionByName(part("text", "sqlmap/1.8.7")).unionByName(part("start", "python-of-another-kind", prefix=6)).unionByName(part("nothing", "none"))
+    return part("key", "none", key=10).unionByName(part("text", "sqlmap/1.8.7")).unionByName(
+        part("start", "python-of-another-kind", prefix=6)
+    ).unionByName(part("nothing", "none"))
 
 
 _RECORD_SQL = "SELECT how, user_agent, count(*) AS request_count FROM (SELECT unnest(['key', 'text', 'start']) AS how, unnest(['curl/8.7.1', 'sqlmap/1.8.7', 'python-requests/2.32.3']) AS user_agent) JOIN ev USING (user_agent) GROUP BY ALL"
@@ -386,7 +394,9 @@ def registered(ev: str) -> Iterator[Found]:
     yield "pending_segments", _pending, f"{ev} {_PENDING_SQL}"
     seen, done = _FILES.format(11), _FILES.format(13)
     names = ("site_id", "remote_path", "remote_size", "remote_mtime")
-    yield "changed_files", lambda s, d: logs.changed_files(table(s, d, done, "event_id % 5 > 0"), table(s, d, seen).drop("status", "updated_at")).select(*names), f"SELECT {', '.join(names)} FROM {sql(seen + '; event_id')} WHERE NOT (event_id % 5 > 0 AND event_id % 4 > 0 AND event_id % 11 = event_id % 13)"
+    yield "changed_files", lambda s, d: logs.changed_files(
+        table(s, d, done, "event_id % 5 > 0"), table(s, d, seen).drop("status", "updated_at"),
+    ).select(*names), f"SELECT {', '.join(names)} FROM {sql(seen + '; event_id')} WHERE NOT (event_id % 5 > 0 AND event_id % 4 > 0 AND event_id % 11 = event_id % 13)"
     backlog = f"SELECT id FROM {sql(_BACKLOG)} WHERE status = 'downloaded' AND (combined_at IS NULL OR combined_sha256 <> sha256"
     yield "combine_backlog", lambda s, d: logs.combine_backlog(table(s, d, _BACKLOG)).select("id"), f"{backlog} OR true)"
     yield "combine_backlog_since", lambda s, d: logs.combine_backlog(table(s, d, _BACKLOG), str(NOW)).select("id"), f"{backlog} OR remote_mtime >= TIMESTAMP '{NOW}')"
@@ -403,7 +413,9 @@ def registered(ev: str) -> Iterator[Found]:
     yield "readiness", _readiness, f"{ev} {_READINESS_SQL}"
     yield "read_audit", _read_audit, f"{ev}, {_READ_AUDIT_SQL}"
     yield "backfill_remaining", _remaining, f"{ev} SELECT count(*) AS remaining FROM ev WHERE id % 401 = 3 OR (status >= 400 AND id % 3 <> 0) OR (request_time_ms >= 1000 AND id % 5 <> 0)"
-    yield "table_audit", lambda s, d: O.table_audit({"access_events": (A.access_events(s, d), "ts"), "log_events": (A.log_events(s, d).where("id % 4 = 0"), "ts")}), f"{ev} SELECT 'access_events' AS \"table\", count(*) AS rows, min(ts) AS oldest, max(ts) AS newest FROM ev UNION ALL SELECT 'log_events', count(*), min(ts), max(ts) FROM ev WHERE id % 4 = 0"
+    yield "table_audit", lambda s, d: O.table_audit(
+        {"access_events": (A.access_events(s, d), "ts"), "log_events": (A.log_events(s, d).where("id % 4 = 0"), "ts")}
+    ), f"{ev} SELECT 'access_events' AS \"table\", count(*) AS rows, min(ts) AS oldest, max(ts) AS newest FROM ev UNION ALL SELECT 'log_events', count(*), min(ts), max(ts) FROM ev WHERE id % 4 = 0"
     kept = f"id % 7 <> 0 OR id % 3 IN (SELECT i FROM (VALUES (0, TIMESTAMP '2024-01-10'), (1, TIMESTAMP '2024-03-01'), (2, TIMESTAMP '2024-01-20')) AS v(i, t) WHERE t > TIMESTAMP '{NOW}')"
     yield "without_expired_imports", lambda s, d: O.without_expired_imports(*_imported(s, d), NOW).select("id"), f"{ev} SELECT id FROM ev WHERE {kept}"
     yield "rollup_without_expired_imports", _rollup_after_expiry, f"{ev} SELECT date_trunc('hour', ts) AS bucket_ts, site_id, env, path, {_DETAIL} FROM ev WHERE path IS NOT NULL AND ({kept}) GROUP BY ALL"
@@ -425,5 +437,7 @@ def registered(ev: str) -> Iterator[Found]:
     for part, keys in (("sites", "site_id, env"), ("paths", "path"), ("user_agents", "user_agent")):
         where = " AND user_agent IS NOT NULL" * (part == "user_agents")
         yield f"ip_detail_{part}_from_rollups", lambda s, d, p=part: _ip_rollups(s, d)[p], f"{ev} SELECT {keys}, {_DETAIL} FROM w WHERE client_ip = '203.0.113.77'{where} GROUP BY ALL"
-    yield "tor_detail_ips", lambda s, d: N.tor_detail(_window(s, d), A.ip_intel(s, d), env="live")["ips"], f"{ev} SELECT client_ip, {_ERRORS}, {_SEEN} FROM w JOIN ip ON ip.ip = w.client_ip WHERE is_tor_exit AND env = 'live' GROUP BY 1"
+    yield "tor_detail_ips", lambda s, d: N.tor_detail(
+        _window(s, d), A.ip_intel(s, d), env="live",
+    )["ips"], f"{ev} SELECT client_ip, {_ERRORS}, {_SEEN} FROM w JOIN ip ON ip.ip = w.client_ip WHERE is_tor_exit AND env = 'live' GROUP BY 1"
     yield "tor_detail_summary", lambda s, d: N.tor_detail(_window(s, d), A.ip_intel(s, d))["summary"], f"{ev} SELECT count(*) AS requests, count(DISTINCT client_ip) AS unique_ips, {_C4} AS status_4xx, {_C5} AS status_5xx, {_SEEN} FROM w JOIN ip ON ip.ip = w.client_ip WHERE is_tor_exit"

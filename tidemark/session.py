@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,7 +13,9 @@ from pyspark.sql import SparkSession
 
 def session(name: str = "tidemark", **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; ``conf`` entries use ``__`` for dots."""
-    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config(
+        "spark.sql.sources.partitionOverwriteMode", "dynamic",
+    )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
@@ -23,7 +27,9 @@ def ship(spark: SparkSession) -> None:
     if not getattr(context, "_has_tidemark", False):
         root = Path(__file__).resolve().parent
         if root.parent.suffix != ".zip":
-            archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            archive = Path(folder) / "tidemark.zip"
             with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
                 for file in sorted(root.rglob("*.py")):
                     out.write(file, file.relative_to(root.parent))

@@ -14,7 +14,11 @@ from pyspark.sql import types as T
 
 from tidemark.functions.parsing import combined_log_type, local_log_type
 
-SEGMENT_LINE = T.StructType([T.StructField(n, T.StringType()) for n in ("ts", "site_id", "env", "container_id", "log_type", "raw_file_id")] + [T.StructField("raw_line_no", T.LongType()), T.StructField("raw", T.StringType()), T.StructField("fingerprint", T.StringType())])
+SEGMENT_LINE = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("ts", "site_id", "env", "container_id", "log_type", "raw_file_id")] + [
+        T.StructField("raw_line_no", T.LongType()), T.StructField("raw", T.StringType()), T.StructField("fingerprint", T.StringType()),
+    ]
+)
 
 
 def _numbered(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,7 +93,9 @@ def changed_files(registry: DataFrame, seen: DataFrame) -> DataFrame:
     """Files to fetch: new ones, those of another size or time, and those not downloaded."""
     keys = ["site_id", "env", "container_id", "remote_path"]
     done = registry.where("status = 'downloaded'").select(*keys, F.col("remote_size").alias("__size"), F.col("remote_mtime").alias("__mtime"))
-    return seen.join(done, keys, "left").where(~(F.col("remote_size").eqNullSafe(F.col("__size")) & F.col("remote_mtime").eqNullSafe(F.col("__mtime")))).select(*seen.columns)
+    return seen.join(done, keys, "left").where(
+        ~(F.col("remote_size").eqNullSafe(F.col("__size")) & F.col("remote_mtime").eqNullSafe(F.col("__mtime")))
+    ).select(*seen.columns)
 
 
 def combine_backlog(registry: DataFrame, since: str | None = None) -> DataFrame:
@@ -113,7 +119,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                             lines = gzip.decompress(tar.extractfile(member).read()).decode("utf-8", "replace").splitlines()
                             yield pd.DataFrame({"archive": name, "member": member.name, "line": lines})
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(members, "archive string, member string, line string")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(
+        members, "archive string, member string, line string",
+    )
 
 
 def _plain(name: str, content: bytes) -> bytes:
@@ -128,4 +136,6 @@ def compact(spark: SparkSession, path: str, out: str, unit: str = "week") -> Non
     """Segments of days rewritten as archives of weeks or months: zstd Parquet, by the period's first day."""
     lines, _ = read_segments(spark, path)
     once = lines.withColumn("period", F.to_date(F.date_trunc(unit, "ts"))).dropDuplicates(["fingerprint", "ts"])
-    once.repartition("period", F.left("fingerprint", F.lit(1))).sortWithinPartitions("ts", "fingerprint").write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(out)
+    once.repartition(
+        "period", F.left("fingerprint", F.lit(1)),
+    ).sortWithinPartitions("ts", "fingerprint").write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(out)

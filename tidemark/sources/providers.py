@@ -41,5 +41,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     known = spark.createDataFrame(list(PROVIDERS), "provider_id string, provider_name string, actor_type string, source_url string, kind string")
-    bodies = spark.read.text(folder, wholetext=True).select(F.col("value").alias("body"), F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.\w+)?$", 1).alias("provider_id"))
+    bodies = spark.read.text(folder, wholetext=True).select(
+        F.col("value").alias("body"), F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.\w+)?$", 1).alias("provider_id"),
+    )
     return bodies.join(F.broadcast(known), "provider_id")  # the list above

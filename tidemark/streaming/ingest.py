@@ -27,10 +27,15 @@ def to_events(lines: DataFrame) -> DataFrame:
     """Parsed access events; lines without time or request go."""
     timed = lines.withColumn("ts", access_time(F.col("raw"))).where("ts is not null")
     own = ("site_id", "env", "container_id")
-    marked = timed.withColumn("fingerprint", fingerprint(*(F.col(c) for c in own), F.lit("nginx-access"), F.col("ts"), F.col("raw"))).withColumn("a", access_fields(clean_line(F.col("raw")))).where("a.path is not null")
+    marked = timed.withColumn(
+        "fingerprint", fingerprint(*(F.col(c) for c in own), F.lit("nginx-access"), F.col("ts"), F.col("raw")),
+    ).withColumn("a", access_fields(clean_line(F.col("raw")))).where("a.path is not null")
     text = lambda c: F.nullif(F.col(f"a.{c}"), F.lit("")).alias(c)
     number = lambda c: F.nullif(F.col(f"a.{c}"), F.lit(0)).alias(c)
-    return marked.select(F.col("fingerprint").alias("id"), "fingerprint", "ts", *own, *map(text, ("client_ip", "method", "path", "query", "referer", "user_agent")), number("status"), F.col("a.bytes_sent").alias("bytes_sent"), number("request_time_ms"))
+    return marked.select(
+        F.col("fingerprint").alias("id"), "fingerprint", "ts", *own, *map(text, ("client_ip", "method", "path", "query", "referer", "user_agent")),
+        number("status"), F.col("a.bytes_sent").alias("bytes_sent"), number("request_time_ms"),
+    )
 
 
 def _keep(batch: DataFrame, root: str, tables: tuple[str, ...]) -> None:
@@ -58,10 +63,14 @@ def _keep(batch: DataFrame, root: str, tables: tuple[str, ...]) -> None:
 
 def ingest(spark: SparkSession, source: str, root: str, tables: tuple[str, ...] = ("rollup_1m", "rollup_ip_1h", "rollup_path_1h", "rollup_status_1h"), every: str | None = None) -> StreamingQuery:
     """Start ingest from ``source`` to the tables under ``root``; without ``every``, all that is there, then stop."""
-    writer = to_events(stream_lines(spark, source)).writeStream.foreachBatch(lambda batch, _: _keep(batch, root, tables)).option("checkpointLocation", f"{root}/_checkpoint")
+    writer = to_events(stream_lines(spark, source)).writeStream.foreachBatch(
+        lambda batch, _: _keep(batch, root, tables),
+    ).option("checkpointLocation", f"{root}/_checkpoint")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def live_timeline(events: DataFrame, minutes: int = 5, lateness: str = "15 minutes") -> DataFrame:
     """A streaming count by window and site, for views that may lag behind late lines."""
-    return events.withWatermark("ts", lateness).groupBy(F.window("ts", f"{minutes} minutes"), "site_id").agg(F.count("*").alias("requests"), R.count_if(F.col("status") >= 500).alias("status_5xx"))
+    return events.withWatermark("ts", lateness).groupBy(F.window("ts", f"{minutes} minutes"), "site_id").agg(
+        F.count("*").alias("requests"), R.count_if(F.col("status") >= 500).alias("status_5xx"),
+    )
