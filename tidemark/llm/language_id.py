@@ -138,8 +138,8 @@ def sample_by_language(rows: DataFrame, sample_rows: int, least_rows: int) -> Da
     however rare it is. place, from 0 to 1, is the row's place in its language's sample."""
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    total = rows.sparkSession.createDataFrame([(max(1, rows.count()),)], "all long")
-    quota = counts.join(F.broadcast(total)).select(F.col("lang"), F.least(F.lit(1.0), F.greatest(sample_rows / F.col("all"), least_rows / F.col("n"))).alias("share"))  # one row is broadcast
+    share = F.greatest(F.lit(sample_rows / max(1, rows.count())), least_rows / F.col("n"))
+    quota = counts.select("lang", F.least(F.lit(1.0), share).alias("share"))
     return rows.join(quota, "lang").select("text", "lang", (place / F.col("share")).alias("place")).where("place < 1")
 
 

@@ -80,8 +80,7 @@ def corpus_dictionary(docs: DataFrame, least_share: float = 1e-3) -> DataFrame:
     texts = docs.select("text").where("text is not null")
     words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word")).where(F.length("word") >= 3)
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    total = texts.agg(F.count("*").alias("texts"))
-    return written(counts.join(F.broadcast(total), F.col("n") >= F.col("texts") * least_share).select("word"), "dictionary")  # one row is broadcast
+    return written(counts.where(F.col("n") >= texts.count() * least_share).select("word"), "dictionary")
 
 
 def _coverage(found: DataFrame, dictionary: DataFrame) -> DataFrame:
