@@ -106,6 +106,13 @@ def test_one_of_each_group_of_similar_texts_stays(spark, odd):
     assert kept >= set(group.values()) and not any(j >= 0.9 and a.doc_id in kept and b.doc_id in kept for a, b, j in pairs if a.doc_id != b.doc_id)
 
 
+def test_texts_of_one_doc_id_do_not_all_meet(spark):
+    texts = [prose(k, 80) for k in range(300)]
+    docs = spark.createDataFrame([(7, t, "en", "s", 1) for t in texts] + [(8, texts[0], "en", "s", 1)], DOCS)
+    assert {(x.doc_id, x.n_copies) for x in suffix_dedup.repeated_passages(docs).collect()} == {(7, 2), (8, 2)}
+    assert simhash_dedup.keep_one_each(docs).count() == 300
+
+
 def test_near_pairs_of_alike_sizes(spark):
     r = random.Random(9)
     base = [r.getrandbits(63) for _ in range(20)]

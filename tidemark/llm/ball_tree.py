@@ -51,7 +51,9 @@ def build_tree(vectors: np.ndarray, leaf: int = 256) -> tuple[np.ndarray, dict[s
             order[lo:hi] = order[lo:hi][np.argpartition(own @ line, half)]
             todo += [(lo + half, hi, me, 1), (lo, lo + half, me, 0)]
     names = ("lo", "hi", "left", "right")
-    return order, {n: np.array([x[k] for x in nodes], np.int64) for k, n in enumerate(names)} | {"centres": np.array([x[4] for x in nodes]).reshape(len(nodes), points.shape[1]), "radii": np.array([x[5] for x in nodes])}
+    return order, {n: np.array([x[k] for x in nodes], np.int64) for k, n in enumerate(names)} | {
+        "centres": np.array([x[4] for x in nodes]).reshape(len(nodes), points.shape[1]), "radii": np.array([x[5] for x in nodes]),
+    }
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,9 +121,14 @@ def search(tree: dict[str, np.ndarray], vectors: np.ndarray, ids: np.ndarray, ro
 
 def _integers(vectors: DataFrame) -> DataFrame:
     """(row, vec_id, dim, v): components as floor(1024 x); rows with null or non-finite parts are left out."""
-    whole = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    whole = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(
+        "embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")),
+    )
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(whole)
-    return usable.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("long")).alias("v"))
+    return usable.select(
+        F.monotonically_increasing_id().alias("row"), "vec_id", F.size("embedding").alias("dim"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("long")).alias("v"),
+    )
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
@@ -183,7 +190,10 @@ def _dealer(planes: dict[int, tuple]):
             for d in np.unique(dims).tolist():
                 own = batch.take(pa.array(np.flatnonzero(dims == d)))
                 cells = cell_of(_matrix(own.column(own.schema.names.index("v")), len(own)), planes.get(d))
-                yield pa.RecordBatch.from_arrays([*(own.column(own.schema.names.index(n)) for n in ("row", "vec_id", "dim", "v")), pa.array(cells)], names=["row", "vec_id", "dim", "v", "cell"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(own.column(own.schema.names.index(n)) for n in ("row", "vec_id", "dim", "v")), pa.array(cells)],
+                    names=["row", "vec_id", "dim", "v", "cell"],
+                )
 
     return run
 
@@ -191,7 +201,9 @@ def _dealer(planes: dict[int, tuple]):
 def _split(dealt: DataFrame, most: int, name: str) -> DataFrame:
     """``dealt`` with a number ``name`` of its cell's part; parts of a cell have about ``most`` rows."""
     parts = dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / most).alias("parts"))
-    return dealt.join(parts, ["dim", "cell"]).withColumn(name, (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts"))).cast("long")).drop("parts")
+    return dealt.join(parts, ["dim", "cell"]).withColumn(
+        name, (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts"))).cast("long"),
+    ).drop("parts")
 
 
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -211,7 +223,12 @@ def _shard(key: tuple, table: pa.Table) -> pa.Table:
 def _block(key: tuple, table: pa.Table) -> pa.Table:
     """A block's first shard is the first of its cell."""
     columns = [table.column(n).to_numpy().tobytes() for n in ("vec_id", "row")]
-    out = dict(zip(_arrow(_BLOCK).names, [key[0].as_py(), key[1].as_py(), key[1].as_py() >> 32 << 32, *columns, _matrix(table.column("v"), len(table)).tobytes()], strict=True))
+    out = dict(
+        zip(
+            _arrow(_BLOCK).names,
+            [key[0].as_py(), key[1].as_py(), key[1].as_py() >> 32 << 32, *columns, _matrix(table.column("v"), len(table)).tobytes()], strict=True,
+        )
+    )
     return pa.Table.from_pylist([out], _arrow(_BLOCK))
 
 
@@ -241,7 +258,9 @@ def _floors(k: int):
             for at in range(len(batch)):
                 row = _Row(batch.slice(at, 1).to_pylist()[0])
                 best = row.search(k, np.full(len(row["q_rows"]) // 8, NONE))
-                yield pa.RecordBatch.from_pylist([{"dim": row["dim"], "block": row["block"], "floor": best.scores[:, -1].tobytes()}], _arrow("dim int, block long, floor binary"))
+                yield pa.RecordBatch.from_pylist(
+                    [{"dim": row["dim"], "block": row["block"], "floor": best.scores[:, -1].tobytes()}], _arrow("dim int, block long, floor binary"),
+                )
 
     return run
 
@@ -282,7 +301,13 @@ def _searcher(k: int, remembered: int = 1024):
                 known[place] = best.least()
                 found = best.scores > NONE
                 number = found.sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row.ints("q_rows"), number)), pa.array(np.repeat(row.ints("q_ids"), number)), pa.array(best.ids[found]), pa.array(best.scores[found])], names=["row", "query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(row.ints("q_rows"), number)), pa.array(np.repeat(row.ints("q_ids"), number)), pa.array(best.ids[found]),
+                        pa.array(best.scores[found]),
+                    ],
+                    names=["row", "query_id", "vec_id", "score"],
+                )
 
     return run
 

@@ -36,4 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not seen[0]:
             break
         mark, now = seen, written(_small_star(_large_star(now)), "edges")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    ).groupBy("node").agg(F.min("component").alias("component"))

@@ -184,7 +184,13 @@ def _pass(docs: DataFrame, items: list[list[str]], names: list, schema: T.Struct
         for batch in in_slices(batches):
             rows = [(k, *hit) for k, text in enumerate(batch.column(1).to_pylist()) for hit in matcher.find(text)]
             k, item, *rest = zip(*rows, strict=True) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k, pa.int64())), pa.array([names[i] for i in item], item_type), pa.array(rest[0], pa.float64()), *(pa.array(x, pa.int32()) for x in rest[1:])], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(k, pa.int64())), pa.array([names[i] for i in item], item_type), pa.array(rest[0], pa.float64()),
+                    *(pa.array(x, pa.int32()) for x in rest[1:]),
+                ],
+                names=schema.fieldNames(),
+            )
 
     return docs.select("doc_id", "text").mapInArrow(find, schema)
 

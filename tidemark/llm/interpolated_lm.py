@@ -53,7 +53,12 @@ def from_planes(data: bytes) -> np.ndarray:
 
 
 def _block_type(doc_id: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("block", T.LongType()), T.StructField("tuning", T.BooleanType()), T.StructField("doc_ids", T.ArrayType(doc_id)), *(T.StructField(n, T.BinaryType()) for n in ("folds", "lengths", "vocabulary", "tokens"))])
+    return T.StructType(
+        [
+            T.StructField("block", T.LongType()), T.StructField("tuning", T.BooleanType()), T.StructField("doc_ids", T.ArrayType(doc_id)),
+            *(T.StructField(n, T.BinaryType()) for n in ("folds", "lengths", "vocabulary", "tokens")),
+        ]
+    )
 
 
 def token_blocks(docs: DataFrame, folds: int, tuning: int, block_tokens: int) -> DataFrame:
@@ -71,7 +76,11 @@ def token_blocks(docs: DataFrame, folds: int, tuning: int, block_tokens: int) ->
             nonlocal seq
             names, fold_of, words = held[kind]
             vocabulary, tokens = np.unique(_narrow(np.concatenate(words)), return_inverse=True)
-            row = {"block": (part << 24) + seq, "tuning": kind, "doc_ids": list(names), "folds": np.array(fold_of, np.uint8).tobytes(), "lengths": np.array([len(w) for w in words], "<u4").tobytes(), "vocabulary": vocabulary.astype("<u8").tobytes(), "tokens": planes(tokens)}
+            row = {
+                "block": (part << 24) + seq, "tuning": kind, "doc_ids": list(names), "folds": np.array(fold_of, np.uint8).tobytes(),
+                "lengths": np.array([len(w) for w in words], "<u4").tobytes(), "vocabulary": vocabulary.astype("<u8").tobytes(),
+                "tokens": planes(tokens),
+            }
             seq += 1
             for x in held[kind]:
                 x.clear()
@@ -154,7 +163,13 @@ def _requests(order: int, held_out: int, tuning: int, ranges: int):
                     for r in range(ranges):
                         a, b = cuts[r], cuts[r + 1]
                         if a < b:
-                            out.append({"range": r, "block": row["block"], "tuning": row["tuning"], "n": n, "low": keys[a:b].astype("<u4").tobytes(), "high": (keys[a:b] >> np.uint64(32)).astype("<u2").tobytes(), "base": planes(base[a:b]), "tuned": planes(tuned[a:b])})
+                            out.append(
+                                {
+                                    "range": r, "block": row["block"], "tuning": row["tuning"], "n": n, "low": keys[a:b].astype("<u4").tobytes(),
+                                    "high": (keys[a:b] >> np.uint64(32)).astype("<u2").tobytes(), "base": planes(base[a:b]),
+                                    "tuned": planes(tuned[a:b]),
+                                }
+                            )
                     yield pa.RecordBatch.from_pylist(out, _REQUEST_ARROW)
 
     return run
@@ -172,8 +187,18 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
         for r in rows:
             at = place[cut : cut + len(r["low"]) // 4]
             cut += len(at)
-            out.append({"block": r["block"], "tuning": r["tuning"], "n": n, "range": key[0].as_py(), "base": planes(base[at]), "tuned": planes(tuned[at]), "distinct": None, "distinct_base": None})
-        out.append({"block": -1, "tuning": False, "n": n, "range": key[0].as_py(), "base": None, "tuned": None, "distinct": int((base + tuned > 0).sum()), "distinct_base": int((base > 0).sum())})
+            out.append(
+                {
+                    "block": r["block"], "tuning": r["tuning"], "n": n, "range": key[0].as_py(), "base": planes(base[at]), "tuned": planes(tuned[at]),
+                    "distinct": None, "distinct_base": None,
+                }
+            )
+        out.append(
+            {
+                "block": -1, "tuning": False, "n": n, "range": key[0].as_py(), "base": None, "tuned": None, "distinct": int((base + tuned > 0).sum()),
+                "distinct_base": int((base > 0).sum()),
+            }
+        )
     return pa.Table.from_pylist(out, _ANSWER_ARROW)
 
 
@@ -265,7 +290,11 @@ def score_texts(docs: DataFrame, order: int = 2, folds: int = 10, held_out: int
     answers = written(asked.repartition(tasks, "range").groupBy("range").applyInArrow(_answer, _ANSWER), "ngram-counts")
     totals = answers.where("block = -1 and n = 0").agg(F.sum("distinct"), F.sum("distinct_base")).first()
     distinct, distinct_base = totals[0] or 0, totals[1] or 0
-    sizes = {(r["base"], r["tuned"]): (r["texts"], r["tokens"]) for r in blocks.mapInArrow(_sizes(held_out, tuning), "base boolean, tuned boolean, texts long, tokens long").groupBy("base", "tuned").agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens")).collect()}
+    sizes = {
+        (r["base"], r["tuned"]): (r["texts"], r["tokens"]) for r in blocks.mapInArrow(
+            _sizes(held_out, tuning), "base boolean, tuned boolean, texts long, tokens long",
+        ).groupBy("base", "tuned").agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens")).collect()
+    }
     (texts, tokens), (more_texts, more_tokens) = sizes.get((True, False), (0, 0)), sizes.get((False, True), (0, 0))
 
     def tune(key: tuple, block: pa.Table, answer: pa.Table) -> pa.Table:
@@ -279,7 +308,13 @@ def score_texts(docs: DataFrame, order: int = 2, folds: int = 10, held_out: int
     cells = own_blocks.cogroup(own_answers).applyInArrow(tune, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # bounded by the number of cells
     weights = learn_weights(_decoded(cells["cell"].to_numpy(np.int64), order, 1.0 / (distinct_base + 1)), cells["n"].to_numpy(float), order + 1)
 
-    out = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType(
+        [
+            docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()),
+            *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
     schema, all_tokens, all_texts = to_arrow_schema(out), tokens + more_tokens, texts + more_texts
 
     def score(key: tuple, block: pa.Table, answer: pa.Table) -> pa.Table:
@@ -291,7 +326,10 @@ def score_texts(docs: DataFrame, order: int = 2, folds: int = 10, held_out: int
         c = counts[0][own.at[0]]
         add = lambda x: np.bincount(own.doc, x, len(own.lengths))
         base = np.log10((c + smoothing) / (all_tokens + smoothing * (distinct + 1)))
-        columns = [row["doc_ids"], own.folds == held_out, own.lengths, add(c > 0).astype(np.int64), np.full(len(own.lengths), all_tokens), add(base), add(np.log10(np.maximum(mixed, 1e-300)))]
+        columns = [
+            row["doc_ids"], own.folds == held_out, own.lengths, add(c > 0).astype(np.int64), np.full(len(own.lengths), all_tokens), add(base),
+            add(np.log10(np.maximum(mixed, 1e-300))),
+        ]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return by_block(blocks).cogroup(by_block(answers.where("block >= 0"))).applyInArrow(score, out)
@@ -304,6 +342,12 @@ def _sizes(held_out: int, tuning: int):
             folds = np.frombuffer(b"".join(batch.column(names.index("folds")).to_pylist()), np.uint8)
             lengths = np.frombuffer(b"".join(batch.column(names.index("lengths")).to_pylist()), "<u4").astype(np.int64)
             rows = [((folds != held_out) & (folds != tuning), True, False), (folds == tuning, False, True)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for _, a, _ in rows]), pa.array([b for *_, b in rows]), pa.array([int(m.sum()) for m, *_ in rows], pa.int64()), pa.array([int(lengths[m].sum()) for m, *_ in rows], pa.int64())], names=["base", "tuned", "texts", "tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([a for _, a, _ in rows]), pa.array([b for *_, b in rows]), pa.array([int(m.sum()) for m, *_ in rows], pa.int64()),
+                    pa.array([int(lengths[m].sum()) for m, *_ in rows], pa.int64()),
+                ],
+                names=["base", "tuned", "texts", "tokens"],
+            )
 
     return run

@@ -206,6 +206,12 @@ def identify(docs: DataFrame, model: LanguageModel, *keep: str | Column) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             found = [model.predict(t) for t in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(k) for k in range(len(names))), pa.array([x[0] for x in found], pa.string()),
+                    pa.array([x[1] for x in found], pa.float64()),
+                ],
+                names=[*names, "lang_pred", "score"],
+            )
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -127,7 +127,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
                             column.append(value)
                         seen[n] += 1
                 k, piece, start, n, ids, rank = rows
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256).take(pa.array(k, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([part] * len(n), pa.int32()), pa.array(rank, pa.int64())], names=out.fieldNames())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, 256).take(pa.array(k, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                        pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([part] * len(n), pa.int32()), pa.array(rank, pa.int64()),
+                    ],
+                    names=out.fieldNames(),
+                )
 
     out = T.StructType([T.StructField(n, t) for n, t in [("doc_id", docs.schema["doc_id"].dataType), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("part", T.IntegerType()), ("local_rank", T.LongType())]])
     return docs.select("doc_id", "text").mapInArrow(cut, out)
@@ -173,7 +179,11 @@ def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_
     # the same text under the same doc_id has the same ids, so any of its rows may fill any of its places
     order = Window.partitionBy("doc_id", "piece", "start", "length", "ids_crc32").orderBy("tie")
     places = _placed(pieces, capacity).withColumn("tie", F.struct("sequence_id", "offset")).withColumn("nth", F.row_number().over(order)).drop("tie")
-    bodies = pieces.withColumn("ids_crc32", F.crc32("ids")).withColumn("tie", F.struct("part", "local_rank")).withColumn("nth", F.row_number().over(order)).select("doc_id", "piece", "start", "length", "ids_crc32", "nth", "ids")
+    bodies = pieces.withColumn("ids_crc32", F.crc32("ids")).withColumn("tie", F.struct("part", "local_rank")).withColumn("nth", F.row_number().over(order)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "nth", "ids",
+    )
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "nth")]
     joined = places.alias("p").join(bodies.alias("b"), same).select("p.sequence_id", "p.offset", "b.ids", "p.length")
-    return joined.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("held")).select("sequence_id", "n_tokens", F.aggregate("held", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    return joined.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("held")).select(
+        "sequence_id", "n_tokens", F.aggregate("held", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"),
+    )

@@ -59,12 +59,18 @@ def candidates(docs: DataFrame) -> DataFrame:
     some = [*(low.contains(x) for x in _SOME_WORD), *(F.col("text").contains(x) for x in _SOME_PREFIX), F.col("text").rlike(_SOME_RUN)]
     some = docs.select("doc_id", "text").where(reduce(lambda a, b: a | b, some))
     held = some.where(F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
-    split = held.select("doc_id", "row", F.md5("text").alias("text_hash"), F.split("text", CANDIDATE, -1).alias("around"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    split = held.select(
+        "doc_id", "row", F.md5("text").alias("text_hash"), F.split("text", CANDIDATE, -1).alias("around"),
+        F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"),
+    )
     each = split.select("doc_id", "row", "text_hash", "around", F.posexplode("found").alias("nth", "whole"))
     before, after = F.get("around", F.col("nth")), F.get("around", F.col("nth") + 1)
     # an assigned value is judged without the word that announces it, which stands to its left
     value = F.regexp_replace("whole", rf"^{_ASSIGNED}", "")
-    each = each.select("row", "doc_id", "text_hash", "nth", "whole", value.alias("value"), F.length(before).alias("gap"), F.right(before, F.lit(48)).alias("before"), F.left(after, F.lit(24)).alias("right"))
+    each = each.select(
+        "row", "doc_id", "text_hash", "nth", "whole", value.alias("value"), F.length(before).alias("gap"), F.right(before, F.lit(48)).alias("before"),
+        F.left(after, F.lit(24)).alias("right"),
+    )
     order = Window.partitionBy("row").orderBy("nth")  # one text's candidates
     end = F.sum(F.col("gap") + F.length("whole")).over(order)
     announced = F.concat("before", F.expr("left(whole, length(whole) - length(value))"))
@@ -132,7 +138,10 @@ def labelled_findings(spark: SparkSession, rows: int = 8192, words: tuple[str, .
     marked = F.translate(mixed, "aeiAEIswq", "!@#$%^&*?")
     name = F.concat(word(5), F.lit("_"), word(6), pick(7, "_version_20", "_v1_", "-20", "_"), part(digits, F.lit(2)))
     prose = pick(8, " and the ", "see also ", "was found in ", "then ", "", "with ")
-    keyword = pick(9, "password=", "passwd: ", "token = \"", "secret: '", "api_key=", "API_KEY = \"", "Authorization: ", "access_key: ", "client_key=\"", "pwd=", "Bearer ", "secret is ")
+    keyword = pick(
+        9, "password=", "passwd: ", "token = \"", "secret: '", "api_key=", "API_KEY = \"", "Authorization: ", "access_key: ", "client_key=\"", "pwd=",
+        "Bearer ", "secret is ",
+    )
     secret_end = pick(9, "", "", "\" ", "' ", "", "\"", " ", " ", "\"", "", " ", " ")
     password = pick(10, "password=", "password: ", "passwd = \"", "pwd=", "Password: '", "pass=", "the password is ", "PASSWORD=\"", "passphrase: \"")
     password_end = pick(10, "", " ", "\"", ";", "' ", "&", " ", "\"", "\" ")
@@ -167,14 +176,21 @@ def labelled_findings(spark: SparkSession, rows: int = 8192, words: tuple[str, .
         (0, F.concat(word(38), F.lit(" "), word(39), F.lit(" "), pick(40, "must be", "has to be", "is not", "can be", "will be"), F.lit(" "), word(41), F.lit(" "), pick(42, "again", "here", "soon", "there")), F.lit("the password: \""), F.lit("\"")),
         (0, F.replace(F.concat(F.lit("20"), part(digits, F.lit(2)), F.lit(" "), word(44), F.lit(" "), word(45)), F.lit(" "), pick(43, "-", "/", "_")), F.concat(prose, pick(46, "", "file ", "see ", "token ")), F.lit(" ")),
     ]
-    part_of = lambda k, x: spark.range(k, rows, len(kinds), 1).select(x[1].alias("value"), x[2].alias("left"), x[3].alias("right"), F.lit(float(x[0])).alias("label"))
+    part_of = lambda k, x: spark.range(k, rows, len(kinds), 1).select(
+        x[1].alias("value"), x[2].alias("left"), x[3].alias("right"), F.lit(float(x[0])).alias("label"),
+    )
     return reduce(DataFrame.unionByName, (part_of(k, x) for k, x in enumerate(kinds)))
 
 
 def train(findings: DataFrame, dictionary: DataFrame, trees: int = 40, depth: int = 8, seed: int = 11) -> PipelineModel:
     """A forest from labelled ``findings`` (value, left, right, label 0/1)."""
     rows = written(features(written(findings, "findings"), dictionary), "labelled")  # read several times below
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="__features"), RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)]).fit(rows)
+    return Pipeline(
+        stages=[
+            VectorAssembler(inputCols=list(FEATURES), outputCol="__features"),
+            RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed),
+        ]
+    ).fit(rows)
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
@@ -190,8 +206,13 @@ def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     model = train(findings, dictionary)
     # written, as the features read them twice
     judged = model.transform(features(written(candidates(docs), "candidates"), dictionary)).withColumn("score", F.element_at(vector_to_array("probability"), 2))
-    kind = F.when(F.col("issued") > 0, "issued key").when(F.col("uuid") > 0, "uuid").when(F.col("numeric") > 0, "number").when(F.col("hexes") + F.col("marks") >= 0.999, "hexadecimal").otherwise("mixed")
-    return judged.select("doc_id", "text_hash", F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char"), "value", kind.alias("kind"), "score", (F.col("score") >= 0.5).alias("is_secret"))
+    kind = F.when(F.col("issued") > 0, "issued key").when(F.col("uuid") > 0, "uuid").when(F.col("numeric") > 0, "number").when(
+        F.col("hexes") + F.col("marks") >= 0.999, "hexadecimal",
+    ).otherwise("mixed")
+    return judged.select(
+        "doc_id", "text_hash", F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char"), "value",
+        kind.alias("kind"), "score", (F.col("score") >= 0.5).alias("is_secret"),
+    )
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", findings: DataFrame | None = None) -> DataFrame:
@@ -199,7 +220,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", findings: DataFrame | None =
 
     n_chars, if there, is counted anew for changed texts. All rows and columns stay.
     """
-    found = scan(docs, findings).where("is_secret").groupBy("text_hash").agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("order"), "value"))).alias("__secrets"))
+    found = scan(docs, findings).where("is_secret").groupBy("text_hash").agg(
+        F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("order"), "value"))).alias("__secrets")
+    )
     found = written(found, "secrets").withColumnRenamed("text_hash", "__hash")
     joined = docs.join(found, F.md5(docs["text"]) == F.col("__hash"), "left")
     clean = F.aggregate("__secrets", F.col("text"), lambda text, x: F.replace(text, x["value"], F.lit(mark)))

@@ -94,7 +94,10 @@ def near_pairs(fps: DataFrame, max_bits: int = 4, alike: float | None = None) ->
     size = F.col("size").cast("double") if alike else F.lit(1.0)
     # two units a cell; sizes that are alike are at most one apart, so the next cell on the nearer side is enough
     spot = F.log(size) / (2.0001 * math.log(1 / alike)) if alike else F.lit(0.0)
-    points = fps.select("fp", popcount_embedding(F.col("fp")).alias("point"), size.alias("size"), F.floor(spot).alias("level"), (F.round(spot) * 2 - F.floor(spot) - 1).cast("long").alias("next"))
+    points = fps.select(
+        "fp", popcount_embedding(F.col("fp")).alias("point"), size.alias("size"), F.floor(spot).alias("level"),
+        (F.round(spot) * 2 - F.floor(spot) - 1).cast("long").alias("next"),
+    )
     own, met = [], []
     for g, (segments, radius) in enumerate(_groups(max_bits)):
         cell = F.col("point").bitwiseAND(F.lit(_signed(sum(3 << 2 * s for s in segments))))
@@ -107,7 +110,9 @@ def near_pairs(fps: DataFrame, max_bits: int = 4, alike: float | None = None) ->
                 met.append(F.when(count != other, F.struct(F.lit(g).alias("g"), cell.bitwiseXOR(F.lit(_signed(flip << 2 * s))).alias("cell"))))
     a = points.select(F.col("fp").alias("fp_a"), F.col("size").alias("size_a"), "level", F.inline(F.array(*own)))
     levels = F.explode(F.array("level", "next") if alike else F.array("level"))
-    b = points.select("fp", "size", "point", levels.alias("level")).select(F.col("fp").alias("fp_b"), F.col("size").alias("size_b"), "level", F.inline(F.array_compact(F.array(*met))))
+    b = points.select("fp", "size", "point", levels.alias("level")).select(
+        F.col("fp").alias("fp_b"), F.col("size").alias("size_b"), "level", F.inline(F.array_compact(F.array(*met))),
+    )
     bits = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
     same = (a["g"] == b["g"]) & (a["cell"] == b["cell"]) & (a["level"] == b["level"])
     near = (F.col("fp_a") < F.col("fp_b")) & (bits <= max_bits)
@@ -130,16 +135,18 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, words_per_shingle: int =
     a, b = classes.select(F.col("fp").alias("fp_a"), F.col("rep").alias("u")), classes.select(F.col("fp").alias("fp_b"), F.col("rep").alias("v"))
     linked = components(pairs.join(a, "fp_a").join(b, "fp_b").select("u", "v"))
     links = pairs.select(F.col("fp_a").alias("fp")).unionByName(pairs.select(F.col("fp_b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
-    classes = classes.join(linked, classes["rep"] == linked["node"], "left").join(links, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = classes.join(linked, classes["rep"] == linked["node"], "left").join(links, "fp", "left").select(
+        "fp", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
     # written first: both sides of the last join are then plain shuffles, whose hot keys Spark can split
     return fps.join(written(classes, "classes"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-_CLASS = "cls binary, fp long, size long"
+_CLASS = "text_hash long, cls binary, fp long, size long"
 
 
 def text_classes(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """doc_id, cls (a 128-bit hash of all words), fp and size (number of different shingles) of every row."""
+    """doc_id, text_hash, cls (a 128-bit hash of all words), fp and size (number of different shingles) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -152,25 +159,27 @@ def text_classes(docs: DataFrame, words_per_shingle: int) -> DataFrame:
                 cls.append(xxh3_128_digest(b" ".join(words)))
                 fps.append(majority_bits(hashes))
                 sizes.append(len(np.unique(hashes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())], names=["doc_id", "cls", "fp", "size"])
+            columns = [pa.array(cls, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "text_hash", "cls", "fp", "size"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_CLASS}")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_CLASS}")
 
 
 def _shingle_sets(docs: DataFrame, classes: DataFrame, words_per_shingle: int) -> DataFrame:
-    """(cls, shingles) of ``classes`` (rep, cls), from the texts of ``docs``."""
+    """(cls, shingles) of ``classes`` (rep, text_hash, cls), from the texts of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in in_slices(batches, 64):
             words = [ascii_words(t) for t in texts_as_bytes(batch)]
-            # another row with the same doc_id has another class
+            # another text of the same doc_id and hash has another class
             own = [k for k, (w, cls) in enumerate(zip(words, batch.column(0).to_pylist(), strict=True)) if xxh3_128_digest(b" ".join(w)) == cls]
             sets = [np.unique(shingle_hashes(words[k], words_per_shingle)).view(np.int64) for k in own]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(classes.select(F.col("rep").alias("doc_id"), "cls"), "doc_id").select("cls", "text")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = hashed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "text_hash"]).select("cls", "text")
     return texts.mapInArrow(run, "cls binary, shingles array<long>").dropDuplicates(["cls"])
 
 
@@ -184,17 +193,26 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     that of the links at that edge some are not met; of texts that are nearly the same, none.
     """
     rows = written(text_classes(docs.where("doc_id is not null"), words_per_shingle), "texts")
-    classes = written(rows.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("size").alias("size")), "classes")
-    leads = written(classes.groupBy("fp").agg(F.min(F.struct("rep", "cls", "size")).alias("lead")).select("fp", "lead.*").withColumn("size", F.greatest("size", F.lit(1))), "leads")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    classes = rows.groupBy("cls").agg(first, F.first("fp").alias("fp"), F.first("size").alias("size"))
+    classes = written(classes.select("cls", F.col("first.doc_id").alias("rep"), "first.text_hash", "fp", "size"), "classes")
+    lead = F.min(F.struct("rep", "cls", "text_hash", "size")).alias("lead")
+    leads = written(classes.groupBy("fp").agg(lead).select("fp", "lead.*").withColumn("size", F.greatest("size", F.lit(1))), "leads")
     near = near_pairs(leads, max_bits, similarity)
-    a, b = (leads.select(F.col("fp").alias(f"fp_{x}"), F.col("rep").alias(u), F.col("cls").alias(f"cls_{x}")) for x, u in (("a", "u"), ("b", "v")))
-    same = classes.select("fp", F.col("rep").alias("v"), F.col("cls").alias("cls_b")).join(a.withColumnRenamed("fp_a", "fp"), "fp").where("cls_a <> cls_b")
-    pairs = written(near.join(a, "fp_a").join(b, "fp_b").select("u", "v", "cls_a", "cls_b").unionByName(same.select("u", "v", "cls_a", "cls_b")), "candidates")
-    asked = pairs.select(F.col("u").alias("rep"), F.col("cls_a").alias("cls")).unionByName(pairs.select(F.col("v").alias("rep"), F.col("cls_b").alias("cls"))).distinct()
+    side = lambda rows, x: rows.select(F.col("fp").alias(f"fp_{x}"), F.struct("rep", "text_hash", "cls").alias(x))
+    met = near.join(side(leads, "a"), "fp_a").join(side(leads, "b"), "fp_b").select("a", "b")
+    same = side(classes, "b").join(side(leads, "a"), F.col("fp_a") == F.col("fp_b")).where("a.cls <> b.cls").select("a", "b")
+    both = met.unionByName(same).select(*(F.col(f"{x}.{c}").alias(f"{n}_{x}") for x in "ab" for c, n in (("rep", "rep"), ("text_hash", "hash"), ("cls", "cls"))))
+    pairs = written(both, "candidates")
+    asked = pairs.select("rep_a", "hash_a", "cls_a").toDF("rep", "text_hash", "cls").unionByName(
+        pairs.select("rep_b", "hash_b", "cls_b").toDF("rep", "text_hash", "cls")
+    ).distinct()
     sets = written(_shingle_sets(docs, asked, words_per_shingle), "shingles")
     both = pairs.join(sets.toDF("cls_a", "a"), "cls_a").join(sets.toDF("cls_b", "b"), "cls_b")
     shared = F.size(F.array_intersect("a", "b"))
-    links = both.select("u", "v", shared.alias("n"), (F.size("a") + F.size("b") - shared).alias("all")).where(F.col("n") >= similarity * F.col("all") - 1e-9).select("u", "v")
+    links = both.select(
+        F.col("rep_a").alias("u"), F.col("rep_b").alias("v"), shared.alias("n"), (F.size("a") + F.size("b") - shared).alias("all"),
+    ).where(F.col("n") >= similarity * F.col("all") - 1e-9).select("u", "v")
     linked = components(links)
     named = classes.join(linked, classes["rep"] == linked["node"], "left").select("cls", F.coalesce("component", "rep").alias("group"))
     return rows.select("doc_id", "cls").join(written(named, "groups"), "cls").select("doc_id", "group")

@@ -76,10 +76,15 @@ def minimisers(words: np.ndarray, gram: int, window: int) -> np.ndarray:
 
 
 def _keep_suffixes(doc_id: pa.DataType, least: int, gram: int, window: int):
-    """doc_id, row (a number of its own), cls (hash of all words), n_words, places and keys of the kept suffixes of texts
+    """doc_id, text_hash, row (a number of its own), cls (hash of all words), n_words, places and keys of the kept suffixes of texts
     that are long enough."""
     reach = least - window + 1
-    schema = pa.schema([("doc_id", doc_id), ("row", pa.int64()), ("cls", pa.int64()), ("n_words", pa.int32()), ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema(
+        [
+            ("doc_id", doc_id), ("text_hash", pa.int64()), ("row", pa.int64()), ("cls", pa.int64()), ("n_words", pa.int32()),
+            ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())),
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
@@ -96,7 +101,9 @@ def _keep_suffixes(doc_id: pa.DataType, least: int, gram: int, window: int):
                     number += 1
                     rows.append((k, number, class_of(split), len(split), places.astype(np.int32), whole[places].view(np.int64)))
                 k, *columns = zip(*rows, strict=True) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(k, pa.int64())), *(pa.array(x, t) for x, t in zip(columns, schema.types[1:], strict=True))], schema=schema)
+                at_rows = pa.array(k, pa.int64())
+                kept = [part.column(0).take(at_rows), part.column(2).take(at_rows)]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, t) for x, t in zip(columns, schema.types[2:], strict=True))], schema=schema)
 
     return run
 
@@ -131,7 +138,10 @@ def _with_words(least: int, window: int):
                         end = place + reach
                         for column, value in zip(rows, (cls, place, key, words[max(0, place - side) : place][::-1].tobytes(), words[end : end + side].tobytes()), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in _SUFFIX.split(", ")])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                    names=[x.split()[0] for x in _SUFFIX.split(", ")],
+                )
 
     return run
 
@@ -240,7 +250,10 @@ def _compare(least: int, window: int, back: int = 3):
             left, right = longest_matches(rows, least, window, back)
             at = np.flatnonzero(right >= 0)
             found = [np.full(len(at), part, np.int32), np.full(len(at), -1, np.int32), rows.column(0).to_numpy()[at], rows.column(1).to_numpy()[at], left[at], right[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, schema.types[:6], strict=True)] + [pa.nulls(len(at), t) for t in schema.types[6:]], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(found, schema.types[:6], strict=True)] + [pa.nulls(len(at), t) for t in schema.types[6:]],
+                schema=schema,
+            )
             kept = rows.slice(max(0, len(rows) - back))
         if kept is not None:
             yield end(kept.slice(len(kept) - 1), part, 1)
@@ -262,11 +275,22 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 5, window: i
     if least < window + gram:
         raise ValueError("least must be window + gram or more")
     doc_id = docs.schema["doc_id"].dataType
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    per_doc = written(texts.mapInArrow(_keep_suffixes(to_arrow_schema(T.StructType([docs.schema["doc_id"]])).field(0).type, least, gram, window), T.StructType([T.StructField("doc_id", doc_id), T.StructField("row", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType()))])), "kept-suffixes")
+    # by doc_id and text hash, so that texts of one doc_id do not all meet each other below
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).where("doc_id is not null and text is not null")
+    numbers = [("text_hash", T.LongType()), ("row", T.LongType()), ("cls", T.LongType()), ("n_words", T.IntegerType())]
+    kept = T.StructType(
+        [
+            T.StructField("doc_id", doc_id), *(T.StructField(n, t) for n, t in numbers), T.StructField("places", T.ArrayType(T.IntegerType())),
+            T.StructField("keys", T.ArrayType(T.LongType())),
+        ]
+    )
+    own_type = to_arrow_schema(T.StructType([docs.schema["doc_id"]])).field(0).type
+    per_doc = written(texts.mapInArrow(_keep_suffixes(own_type, least, gram, window), kept), "kept-suffixes")
     # the smallest doc_id stands for a class, by one of its rows
     classes = written(per_doc.groupBy("cls").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row"), F.count("*").alias("n_copies")), "word-classes")
-    suffixes = per_doc.join(classes, ["cls", "row"], "left_semi").select("cls", "doc_id", F.inline(F.arrays_zip("places", "keys"))).toDF("cls", "doc_id", "place", "key")
+    suffixes = per_doc.join(classes, ["cls", "row"], "left_semi").select(
+        "cls", "doc_id", "text_hash", F.inline(F.arrays_zip("places", "keys")),
+    ).toDF("cls", "doc_id", "text_hash", "place", "key")
     shared = written(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
     met = suffixes.join(shared, "key")
     # of three and more, a neighbour need not be the partner that completes the passage
@@ -278,19 +302,30 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 5, window: i
     return copies.unionByName(single).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "n_copies")
 
 
+_TEXT = ["doc_id", "text_hash"]
+
+
 def _wanted(suffixes: DataFrame) -> DataFrame:
-    """One row a document: doc_id, cls, places and keys of ``suffixes`` (cls, doc_id, place, key)."""
-    return suffixes.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("place", "key")).alias("at")).select("doc_id", "cls", F.col("at.place").alias("places"), F.col("at.key").alias("keys"))
+    """One row a document: doc_id, text_hash, cls, places and keys of ``suffixes`` (the same, by place and key)."""
+    rows = suffixes.groupBy(*_TEXT, "cls").agg(F.collect_list(F.struct("place", "key")).alias("at"))
+    return rows.select(*_TEXT, "cls", F.col("at.place").alias("places"), F.col("at.key").alias("keys"))
 
 
 def _window_matches(texts: DataFrame, suffixes: DataFrame, least: int, window: int) -> DataFrame:
     """The most words to the left and to the right of suffixes (cls, doc_id, place, key) in windows of ``least`` words that
     stand elsewhere too, whichever suffix they are shared with. All hold the place, so that together they are one span."""
-    around = written(texts.join(_wanted(suffixes), "doc_id").select("doc_id", "text", "cls", "places").mapInArrow(_with_windows(least, window), _CONTEXT), "contexts")
-    contexts = written(around.groupBy("context").agg(F.count("*").alias("n"), F.first("least_left").alias("least_left"), F.first("windows", ignorenulls=True).alias("windows")), "windows")
+    around = written(texts.join(_wanted(suffixes), _TEXT).select("doc_id", "text", "cls", "places").mapInArrow(_with_windows(least, window), _CONTEXT), "contexts")
+    contexts = written(
+        around.groupBy("context").agg(
+            F.count("*").alias("n"), F.first("least_left").alias("least_left"), F.first("windows", ignorenulls=True).alias("windows"),
+        ),
+        "windows",
+    )
     each = lambda some: some.select("context", "n", "least_left", F.posexplode("windows").alias("more", "hash"))
     shared = written(each(contexts).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"), "shared-windows")
-    single = each(contexts.where("n = 1")).join(shared, "hash", "left_semi").groupBy("context").agg(F.max(F.col("least_left") + F.col("more")).alias("left"), (least - F.min(F.col("least_left") + F.col("more"))).alias("right"))
+    single = each(contexts.where("n = 1")).join(shared, "hash", "left_semi").groupBy("context").agg(
+        F.max(F.col("least_left") + F.col("more")).alias("left"), (least - F.min(F.col("least_left") + F.col("more"))).alias("right"),
+    )
     several = contexts.where("n > 1").select("context", (F.col("least_left") + F.size("windows") - 1).alias("left"), (least - F.col("least_left")).alias("right"))
     return around.select("cls", "place", "context").join(single.unionByName(several), "context").select("cls", "place", "left", "right")
 
@@ -298,17 +333,23 @@ def _window_matches(texts: DataFrame, suffixes: DataFrame, least: int, window: i
 def _matches(texts: DataFrame, suffixes: DataFrame, least: int, window: int) -> DataFrame:
     """Long enough matches of neighbouring suffixes (cls, doc_id, place, key), sorted by key and the words after it."""
     order = ["key", "after", "cls", "place"]
-    sorted_ = texts.join(_wanted(suffixes), "doc_id").select("doc_id", "text", "cls", "places", "keys").mapInArrow(_with_words(least, window), _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = texts.join(_wanted(suffixes), _TEXT).select(
+        "doc_id", "text", "cls", "places", "keys",
+    ).mapInArrow(_with_words(least, window), _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
     found = written(sorted_.mapInArrow(_compare(least, window), _FOUND), "matches")
     ends = found.where("side >= 0").orderBy("part", "side").select("cls", "place", "key", "before", "after").toArrow()  # two rows a partition
     left, right = longest_matches(ends, least, window, 1)
     across = [(c, p, int(x), int(y)) for c, p, x, y in zip(ends.column(0).to_pylist(), ends.column(1).to_pylist(), left, right, strict=True) if y >= 0]
-    return found.where("side = -1").select("cls", "place", "left", "right").unionByName(texts.sparkSession.createDataFrame(across, "cls long, place int, left int, right int"))
+    return found.where("side = -1").select("cls", "place", "left", "right").unionByName(
+        texts.sparkSession.createDataFrame(across, "cls long, place int, left int, right int")
+    )
 
 
 def _joined(matches: DataFrame) -> DataFrame:
     """Overlapping or touching matches of a class as one span: (cls, start_word, end_word)."""
-    spans = matches.select("cls", (F.col("place") - F.col("left")).alias("s"), (F.col("place") + F.col("right")).alias("e")).groupBy("cls", "s").agg(F.max("e").alias("e"))
+    spans = matches.select(
+        "cls", (F.col("place") - F.col("left")).alias("s"), (F.col("place") + F.col("right")).alias("e"),
+    ).groupBy("cls", "s").agg(F.max("e").alias("e"))
     order = Window.partitionBy("cls").orderBy("s")
     fresh = F.coalesce(F.col("s") > F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     numbered = spans.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(order))

@@ -25,7 +25,10 @@ _STREAMS = ("chunks", "bitmaps", "ranks")
 
 
 def _segment_type(doc_id: T.DataType) -> T.StructType:
-    fields = [("part", T.IntegerType()), ("seq", T.IntegerType()), ("tokens", T.LongType()), ("chunk_bits", T.IntegerType()), ("doc_ids", T.ArrayType(doc_id)), ("lengths", T.ArrayType(T.LongType()))]
+    fields = [
+        ("part", T.IntegerType()), ("seq", T.IntegerType()), ("tokens", T.LongType()), ("chunk_bits", T.IntegerType()),
+        ("doc_ids", T.ArrayType(doc_id)), ("lengths", T.ArrayType(T.LongType())),
+    ]
     return T.StructType([T.StructField(n, t) for n, t in [*fields, *((s, T.ArrayType(T.BinaryType())) for s in _STREAMS)]])
 
 
@@ -51,7 +54,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, chunk_
 
         for batch in batches:
             doc_ids = batch.column(0)
-            schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("tokens", pa.int64()), ("chunk_bits", pa.int32()), ("doc_ids", pa.list_(doc_ids.type)), ("lengths", pa.list_(pa.int64())), *((s, pa.list_(pa.binary())) for s in _STREAMS)])
+            schema = pa.schema(
+                [
+                    ("part", pa.int32()), ("seq", pa.int32()), ("tokens", pa.int64()), ("chunk_bits", pa.int32()),
+                    ("doc_ids", pa.list_(doc_ids.type)), ("lengths", pa.list_(pa.int64())), *((s, pa.list_(pa.binary())) for s in _STREAMS),
+                ]
+            )
             for at in range(0, len(batch), 256):
                 texts = [x or "" for x in batch.column(1).slice(at, 256).to_pylist()]
                 for name, ids in zip(doc_ids.slice(at, 256).to_pylist(), words.ids(texts), strict=True):
@@ -79,7 +87,9 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     parts = rows.groupBy("part").agg(F.sum("tokens").alias("n"))
     base = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    heads = rows.select("part", "seq", "tokens").withColumn("before", F.sum("tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("tokens")).join(base, "part").select("part", "seq", (F.col("base") + F.col("before")).alias("start"))
+    heads = rows.select("part", "seq", "tokens").withColumn(
+        "before", F.sum("tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("tokens"),
+    ).join(base, "part").select("part", "seq", (F.col("base") + F.col("before")).alias("start"))
     return rows.join(heads, ["part", "seq"])
 
 
@@ -130,7 +140,9 @@ def token_at(spark: SparkSession, path: str, positions: DataFrame, stride: int =
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([levels[x - start] for x in at], pa.int64())], names=["pos", "id"])
 
     held = segments(spark, path).withColumn("stretch", F.explode(F.sequence(F.floor(F.col("start") / stride), F.floor((F.col("start") + F.col("tokens") - 1) / stride))))
-    wanted = positions.select(F.col("pos").cast("long")).where("pos >= 0").withColumn("stretch", F.floor(F.col("pos") / stride)).withColumn("lot", F.floor(F.rand(7) * 16))
+    wanted = positions.select(F.col("pos").cast("long")).where("pos >= 0").withColumn(
+        "stretch", F.floor(F.col("pos") / stride),
+    ).withColumn("lot", F.floor(F.rand(7) * 16))
     spans = held.select("part", "seq", "start", "tokens", "stretch")
     hits = wanted.join(spans, (wanted["stretch"] == spans["stretch"]) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("tokens")))
     lots = hits.groupBy("part", "seq", "start", "lot").agg(F.collect_list("pos").alias("at"))

@@ -64,7 +64,10 @@ def word_counts(docs: DataFrame, order: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for label, c in enumerate(seen):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([label] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["word", "toxic", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), pa.string()), pa.array([label] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())],
+                    names=["word", "toxic", "n"],
+                )
                 c.clear()
 
         for batch in in_slices(batches):
@@ -74,7 +77,9 @@ def word_counts(docs: DataFrame, order: int) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return docs.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "word string, toxic int, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
+    return docs.select(
+        "text", F.col("toxic").cast("int").alias("toxic"),
+    ).mapInArrow(count, "word string, toxic int, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
 
 
 def ngram_counts(words: DataFrame, order: int) -> DataFrame:
@@ -228,7 +233,12 @@ class WordRatios:
             x = np.fromiter(map(memory.__getitem__, words), np.float64, len(words))
             top = np.sort(np.fromiter(map(memory.__getitem__, set(words)), np.float64))[:-4:-1]
             strong = np.maximum(x - CLEAR, 0.0)
-            out.append([float(np.clip(x, -4.0, 12.0).mean()), float(min(1.0, 10 * (strong > 0).mean())), float(strong.mean()), *np.minimum(12.0, top).tolist(), *[0.0] * (3 - len(top))])
+            out.append(
+                [
+                    float(np.clip(x, -4.0, 12.0).mean()), float(min(1.0, 10 * (strong > 0).mean())), float(strong.mean()),
+                    *np.minimum(12.0, top).tolist(), *[0.0] * (3 - len(top)),
+                ]
+            )
         if len(memory) > REMEMBERED:  # the words met first stay, being the common ones
             for w in new:
                 del memory[w]
