@@ -180,6 +180,14 @@ def test_windows():
         timewindow.resolve(a, "1h", b)
 
 
+def test_spans():
+    day = datetime(2024, 1, 1)
+    spans = [timedelta(days=366), timedelta(days=90), timedelta(days=30), timedelta(days=7), timedelta(hours=24), timedelta(minutes=60), timedelta(hours=72), timedelta(minutes=90), timedelta(minutes=5), timedelta(0)]
+    assert [timewindow.span_of(day, day + s) for s in spans] == [
+        ("365d", "annual"), ("90d", "quarterly"), ("30d", "monthly"), ("7d", "weekly"), ("24h", "daily"), ("1h", "period"), ("72h0m0s", "period"), ("1h30m0s", "period"), ("5m0s", "period"), ("0s", "period"),
+    ]
+
+
 def test_trust(spark):
     rows = [("Ahrefs", "crawler", None, True, None, True, True), ("Tor exit", "tor", None, True, True, False, False), ("AWS", "cloud", None, True, None, False, True), ("x", "unknown", "allowlisted", None, None, True, True), ("x", "crawler", "suspicious", True, True, False, False), (None, None, None, None, None, False, False)]
     df = spark.createDataFrame(rows, "k string, t string, m string, f boolean, v boolean, strict boolean, loose boolean")

@@ -95,8 +95,10 @@ def test_tree_and_segments_round_trip(spark, tmp_path):
     next(iter((tmp_path / "seg").rglob("*.json.gz"))).parent.joinpath("part-x.json").write_text("{broken\n")
     good, broken = logs.read_segments(spark, str(tmp_path / "seg"))
     assert (good.count(), broken.count()) == (3, 1)
+    assert sorted((r.site_id, r.env, r.container_id, r.log_type, r.raw_line_no, str(r.ts)) for r in good.collect()) == sorted((r.site_id, r.env, r.container_id, r.log_type, r.raw_line_no, str(r.ts)) for r in kept.collect())
     logs.compact(spark, str(tmp_path / "seg"), str(tmp_path / "week"))
     assert spark.read.parquet(str(tmp_path / "week")).count() == 3
+    assert sorted((str(r.period), r.line_count, r.sources) for r in logs.archive_manifest(spark, str(tmp_path / "week")).collect()) == [("2026-06-15", 3, 2)]
 
 
 def test_large_files_are_read_in_splits(spark, tmp_path):
@@ -125,6 +127,10 @@ def test_archives(spark, tmp_path):
             info.size = len(data)
             tar.addfile(info, io.BytesIO(data))
     (tmp_path / "d.tar.zst").write_bytes(zstandard.compress(body.getvalue()))
+    (tmp_path / "e.tar").write_bytes(body.getvalue())
+    found = logs.read_archives(spark, str(tmp_path), lines_at_once=1)
+    assert {(r.archive.rsplit(".", 1)[-1], r.line) for r in found.collect()} == {(kind, line) for kind in ("zst", "tar") for line in ("one", "two")}
+    (tmp_path / "e.tar").unlink()
     assert sorted((r.member, r.line) for r in logs.read_archives(spark, str(tmp_path)).collect()) == [("a/x.jsonl.gz", "one"), ("a/x.jsonl.gz", "two")]
 
 

@@ -62,3 +62,21 @@ def whole(since: datetime, until: datetime, width: int) -> tuple[datetime, datet
     """The whole minutes (60) or hours (3600) inside a window: start rounded up, end down. Empty if start >= end."""
     start = _floor(since, width)
     return start if start == since else start + timedelta(seconds=width), _floor(until, width)
+
+
+#: Least and most hours of a span, its label, and the kind of report it makes.
+SPANS = (
+    (360 * 24, 370 * 24, "365d", "annual"), (85 * 24, 95 * 24, "90d", "quarterly"), (29 * 24, 31 * 24, "30d", "monthly"), (6 * 24, 8 * 24, "7d", "weekly"),
+    (23, 25, "24h", "daily"), (50 / 60, 70 / 60, "1h", "period"),
+)
+
+
+def span_of(since: datetime, until: datetime) -> tuple[str, str]:
+    """Label and kind of report of a window: the usual span that it is close to, else its length to the minute."""
+    hours = (until - since).total_seconds() / _HOUR
+    for least, most, label, kind in SPANS:
+        if least <= hours <= most:
+            return label, kind
+    minutes = int(hours * 60 + 0.5)
+    parts = [f"{minutes // 60}h"] * (minutes >= 60) + [f"{minutes % 60}m"] * (minutes > 0)
+    return "".join([*parts, "0s"]), "period"

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import probes
-from tidemark.functions.timewindow import bucket_seconds
+from tidemark.functions.timewindow import bucket_seconds, span_of
+from tidemark.functions.useragent import FIELDS, analyse, merge_stored
 from tidemark.operators import intel as I
 from tidemark.operators import rollups as R
 from tidemark.plans import adapter as A
@@ -176,14 +177,15 @@ def report_summary(totals: DataFrame, issues: DataFrame, probes: DataFrame, tor:
     return totals.join(F.broadcast(by), one).join(F.broadcast(sums), one).join(F.broadcast(tors), one)
 
 
-def report_text(row: dict) -> str:
-    """A plain summary of a report's row."""
+def report_text(row: dict, since: datetime | None = None, until: datetime | None = None) -> str:
+    """A plain summary of a report's row, headed by the kind and span of its window if that is given."""
     grave = row["critical_issues"] + row["high_issues"]
+    label, kind = span_of(since, until) if since and until else ("", "")
     lines = [f"{row['requests']} requests from {row['unique_ips']} addresses; {row['status_4xx_rate']:.1%} client errors, {row['status_5xx_rate']:.1%} server errors."]
     lines.append(f"{row['issue_count']} issues, {grave} of them high or critical." if row["issue_count"] else "No issues.")
     if row["admin_probe_requests"] or row["injection_probe_requests"]:
         lines.append(f"{row['admin_probe_requests']} admin and {row['injection_probe_requests']} injection probes; {row['tor_requests']} requests from Tor exits.")
-    return "\n".join(lines)
+    return "\n".join([f"{kind.capitalize()} report, {label}."] * bool(label) + lines)
 
 
 def drilldowns(rows: int = 30, **sections: DataFrame) -> dict[str, DataFrame]:
@@ -245,6 +247,13 @@ def stale_agents(stored: DataFrame, limit: int = 5000) -> DataFrame:
     return stored.where(gap(F.col("family")) | gap(F.col("actor_type")) | F.col("risk_score").isNull()).orderBy(F.desc("last_seen"), "user_agent").limit(limit)
 
 
+def reanalysed(stored: DataFrame, limit: int = 5000) -> DataFrame:
+    """The stale of ``stored`` (user_agent, request_count, ... and the fields of the analysis) with their gaps filled."""
+    rows = stale_agents(stored, limit)
+    filled = merge_stored(F.struct(*FIELDS), analyse(F.col("user_agent"), F.col("request_count")))
+    return rows.withColumn("__a", filled).select(*(c for c in rows.columns if c not in FIELDS), *(F.col(f"__a.{c}").alias(c) for c in FIELDS))
+
+
 def report_catalog(reports: DataFrame, site: str = "", kind: str = "", limit: int = 25, offset: int = 0) -> DataFrame:
     """A page of reports, newest first, with its summary out of the stored input and the number of all that fit in
     ``total``; a site also matches reports of all."""

@@ -191,6 +191,17 @@ _on_events(
     ),
     f", ua AS (SELECT user_agent AS sample, count(*) AS requests, {_SEEN} FROM ev WHERE user_agent IS NOT NULL GROUP BY 1) SELECT sample AS user_agent, first_seen, last_seen, requests AS request_count, {_FIELDS} FROM ({_AGENT})",
 )
+
+
+def _reanalysed(e: DataFrame) -> DataFrame:
+    """Stored analyses of which some have lost their family, type or risk, made whole again."""
+    whole = O.dimension(e, "user_agent").withColumn("a", useragent.analyse(F.col("user_agent"), F.col("request_count")))
+    stored = whole.select("user_agent", "first_seen", "last_seen", "request_count", "a.*")
+    lost = lambda c, n: F.when(F.length("user_agent") % 3 == n, None).otherwise(F.col(c))
+    return O.reanalysed(stored.withColumns({"family": lost("family", 0), "risk_score": lost("risk_score", 2)}))
+
+
+_on_events("reanalysed_agents", _reanalysed, _sql["user_agent_dimension"].removeprefix(EV) + " WHERE length(sample) % 3 IN (0, 2)")
 _on_events(
     "bot_kinds",
     lambda e: e.groupBy(F.coalesce("user_agent", F.lit("")).alias("sample")).agg(F.count("*").alias("requests")).withColumn("a", useragent.analyse(F.col("sample"), F.col("requests"))).select(

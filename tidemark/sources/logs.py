@@ -6,6 +6,7 @@ import io
 import tarfile
 from collections.abc import Iterator
 from fnmatch import fnmatch
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -82,11 +83,14 @@ def write_segments(lines: DataFrame, path: str) -> None:
     stay. A source's hour is dealt by its keys and a part of the fingerprint, so that a busy one fills several files."""
     from tidemark.operators.combine import rfc3339
 
-    keys = ["log_type", "site_id", "env", "container_id", "bucket"]
+    source = ["log_type", "site_id", "env", "container_id"]
     rows = lines.withColumn("bucket", F.date_format("ts", "yyyy-MM-dd-HH")).withColumn("__lot", F.left("fingerprint", F.lit(1)))
-    dealt = rows.repartition(*keys, "__lot").sortWithinPartitions(*keys, "ts", "fingerprint").drop("__lot").withColumn("ts", rfc3339(F.col("ts")))
-    kept = dealt.select(*keys, "ts", "raw_file_id", "raw_line_no", "raw", "fingerprint")
-    kept.write.mode("overwrite").option("compression", "gzip").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(path)
+    dealt = rows.repartition(*source, "bucket", "__lot").sortWithinPartitions(*source, "bucket", "ts", "fingerprint")
+    # the folders are named by copies, as what names a folder is not in its files, which say all about a line by themselves
+    folders = {f"by_{c}": F.col(c) for c in source}
+    kept = dealt.withColumn("ts", rfc3339(F.col("ts"))).select(*SEGMENT_LINE.fieldNames(), "bucket").withColumns(folders)
+    out = kept.write.mode("overwrite").option("compression", "gzip").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy(*folders, "bucket").json(path)
 
 
 def changed_files(registry: DataFrame, seen: DataFrame) -> DataFrame:
@@ -105,31 +109,32 @@ def combine_backlog(registry: DataFrame, since: str | None = None) -> DataFrame:
     return registry.where("status = 'downloaded'").where(stale | recent)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, line) of tar archives, plain, gzip or zstd, whose regular members end in .gz."""
+def read_archives(spark: SparkSession, path: str, lines_at_once: int = 20_000) -> DataFrame:
+    """(archive, member, line) of tar archives, plain, gzip or zstd, whose regular members end in .gz. Archives and members
+    are unpacked as they are read, so that a task holds a packed archive and a few lines."""
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import gzip
 
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(_plain(name, content))) as tar:
+                with tarfile.open(fileobj=_unpacked(name, io.BytesIO(content)), mode="r|*") as tar:
                     for member in tar:
                         if member.isfile() and fnmatch(member.name, "*.gz"):
-                            lines = gzip.decompress(tar.extractfile(member).read()).decode("utf-8", "replace").splitlines()
-                            yield pd.DataFrame({"archive": name, "member": member.name, "line": lines})
+                            with gzip.open(tar.extractfile(member), "rt", encoding="utf-8", errors="replace") as text:
+                                while some := [line.rstrip("\n") for line in islice(text, lines_at_once)]:
+                                    yield pd.DataFrame({"archive": name, "member": member.name, "line": some})
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(
-        members, "archive string, member string, line string",
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(members, "archive string, member string, line string")
 
 
-def _plain(name: str, content: bytes) -> bytes:
+def _unpacked(name: str, packed: io.BytesIO) -> io.BufferedIOBase:
     if name.endswith((".zst", ".zstd")):
         import zstandard
 
-        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content)).read()
-    return content
+        return zstandard.ZstdDecompressor().stream_reader(packed)
+    return packed
 
 
 def compact(spark: SparkSession, path: str, out: str, unit: str = "week") -> None:
@@ -139,3 +144,10 @@ def compact(spark: SparkSession, path: str, out: str, unit: str = "week") -> Non
     once.repartition(
         "period", F.left("fingerprint", F.lit(1)),
     ).sortWithinPartitions("ts", "fingerprint").write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(out)
+
+
+def archive_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(period, line_count, min_ts, max_ts, sources) of compacted archives: what coverage and retention look at."""
+    source = F.concat_ws("/", "site_id", "env", "container_id", "log_type")
+    rows = spark.read.parquet(path).groupBy("period")
+    return rows.agg(F.count("*").alias("line_count"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.count_distinct(source).alias("sources"))
