@@ -137,10 +137,12 @@ def sample_by_language(rows: DataFrame, sample_rows: int, least_rows: int) -> Da
     language its share of them, but ``least_rows`` (or all it has) at least, so that every language is learnt
     however rare it is. place, from 0 to 1, is the row's place in its language's sample."""
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.greatest(F.lit(sample_rows / max(1, rows.count())), least_rows / F.col("n"))
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    total = counts.agg(F.count("*").alias("languages"), F.sum("n").alias("n")).first()
+    share = F.greatest(F.lit(sample_rows / max(1, total["n"] or 0)), least_rows / F.col("n"))
     quota = counts.select("lang", F.least(F.lit(1.0), share).alias("share"))
-    return rows.join(quota, "lang").select("text", "lang", (place / F.col("share")).alias("place")).where("place < 1")
+    few = total["languages"] <= 10_000  # else the table is no small one, and Spark chooses
+    return rows.join(F.broadcast(quota) if few else quota, "lang").select("text", "lang", (place / F.col("share")).alias("place")).where("place < 1")
 
 
 def train(docs: DataFrame, dims: int = 1 << 15, sample_rows: int = 3000, least_rows: int = 200, copies: int = 4, rounds: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3, scale: float = 8.0) -> LanguageModel:
