@@ -150,6 +150,10 @@ def test_stream_is_idempotent_and_takes_late_lines(spark, tmp_path):
     (folder / "2.log").write_text(access(1, m=1) + "\n" + access(9, m=0, s=500) + "\n")
     ingest.ingest(spark, str(tmp_path / "in"), root).awaitTermination()
     events = spark.read.parquet(f"{root}/access_events")
+    assert events.count() == 5 and events.where("batch = 1").count() == 1
+    again = [("site1", "live", "c1", x) for x in (folder / "2.log").read_text().splitlines()]
+    ingest._keep(spark.createDataFrame(again, "site_id string, env string, container_id string, raw string"), 1, root, ingest.TABLES)  # after a failure
+    events = spark.read.parquet(f"{root}/access_events")
     assert events.count() == 5
     for name in ("rollup_1m", "rollup_status_1h"):
         stored = spark.read.parquet(f"{root}/{name}").drop("hour")

@@ -88,13 +88,17 @@ def pending_segments(in_range: DataFrame, backlog: DataFrame, limit: int) -> Dat
 
 
 
+def with_access_fields(lines: DataFrame) -> DataFrame:
+    """``lines`` (raw, ...) with their fields in ``a``, null in lines that are none. Python sees only what a pattern cannot read."""
+    clean = lines.withColumn("__line", clean_line(F.col("raw")))
+    ordinary = is_ordinary(F.col("__line"))
+    read = clean.where(ordinary).withColumn("a", ordinary_fields(F.col("__line")))
+    return read.unionByName(clean.where(~ordinary).withColumn("a", access_fields("__line"))).drop("__line")
+
+
 def index_access(segment_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(access events, lines that are none) of combined access lines; empty fields and zero status or times are null."""
-    lines = segment_lines.where(is_access(F.col("log_type"))).withColumn("__line", clean_line(F.col("raw")))
-    ordinary = is_ordinary(F.col("__line"))
-    # Python sees only the lines that a pattern cannot read
-    read = lines.where(ordinary).withColumn("a", ordinary_fields(F.col("__line")))
-    parsed = read.unionByName(lines.where(~ordinary).withColumn("a", access_fields("__line"))).drop("__line")
+    parsed = with_access_fields(segment_lines.where(is_access(F.col("log_type"))))
     ok = F.col("a.path").isNotNull()
     zero = lambda c: F.nullif(F.col(f"a.{c}"), F.lit(0)).alias(c)
     text = lambda *names: [_clean(F.nullif(F.col(f"a.{c}"), F.lit(""))).alias(c) for c in names]

@@ -1,8 +1,8 @@
 """Continuous ingest: new raw lines become events, and the hours they touch are counted anew.
 
-State alone would drop late lines; here a late line adds to its day's events, and the rollups of its hour are
-rebuilt from them. Every batch writes its own folders and overwrites whole hours, so a batch that
-is run again after a failure changes nothing.
+State alone would drop late lines; here a late line adds to its hour's events, and the rollups of that hour are
+rebuilt from them. A batch adds events in folders of its own, by hour and batch, and overwrites the rollups of whole
+hours, so that events are never rewritten and a batch that is run again after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.parsing import access_fields, access_time, clean_line
+from tidemark.functions.parsing import access_time
 from tidemark.operators import rollups as R
-from tidemark.operators.combine import fingerprint
+from tidemark.operators.combine import fingerprint, with_access_fields
 
 
 def stream_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,9 +27,8 @@ def to_events(lines: DataFrame) -> DataFrame:
     """Parsed access events; lines without time or request go."""
     timed = lines.withColumn("ts", access_time(F.col("raw"))).where("ts is not null")
     own = ("site_id", "env", "container_id")
-    marked = timed.withColumn(
-        "fingerprint", fingerprint(*(F.col(c) for c in own), F.lit("nginx-access"), F.col("ts"), F.col("raw")),
-    ).withColumn("a", access_fields(clean_line(F.col("raw")))).where("a.path is not null")
+    marked = timed.withColumn("fingerprint", fingerprint(*(F.col(c) for c in own), F.lit("nginx-access"), F.col("ts"), F.col("raw")))
+    marked = with_access_fields(marked).where("a.path is not null")
     text = lambda c: F.nullif(F.col(f"a.{c}"), F.lit("")).alias(c)
     number = lambda c: F.nullif(F.col(f"a.{c}"), F.lit(0)).alias(c)
     return marked.select(
@@ -38,34 +37,35 @@ def to_events(lines: DataFrame) -> DataFrame:
     )
 
 
-def _keep(batch: DataFrame, root: str, tables: tuple[str, ...]) -> None:
-    """Add a batch to the hours it touches and count these anew."""
-    spark = batch.sparkSession
-    fresh = batch.withColumn("hour", F.date_format("ts", "yyyy-MM-dd-HH")).dropDuplicates(["fingerprint", "ts"])
-    fresh.write.mode("overwrite").parquet(f"{root}/_batch")  # read below more than once, and the source's own files are not to be parsed again
-    fresh = spark.read.parquet(f"{root}/_batch")
+def _keep(lines: DataFrame, batch: int, root: str, tables: tuple[str, ...]) -> None:
+    """Add a batch's lines to the hours they touch and count these anew."""
+    spark, events = lines.sparkSession, f"{root}/access_events"
+    fresh = to_events(lines).withColumn("hour", F.date_format("ts", "yyyy-MM-dd-HH")).dropDuplicates(["fingerprint", "ts"])
+    fresh.write.mode("overwrite").parquet(f"{root}/_batch")  # read more than once, and lines are not to be parsed again
+    fresh = spark.read.parquet(f"{root}/_batch").withColumn("batch", F.lit(batch))
     hours = [r["hour"] for r in fresh.select("hour").distinct().collect()]  # hours of one batch
     if not hours:
         return
-    events = f"{root}/access_events"
-    path = spark._jvm.org.apache.hadoop.fs.Path(events)
+    path, keys = spark._jvm.org.apache.hadoop.fs.Path(events), ["fingerprint", "ts"]
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        stored = spark.read.schema(fresh.schema).parquet(events).where(F.col("hour").isin(hours))
-        fresh = stored.unionByName(fresh).dropDuplicates(["fingerprint", "ts"])
-        fresh.write.mode("overwrite").parquet(f"{root}/_hours")
-        fresh = spark.read.parquet(f"{root}/_hours")
-    fresh.repartition("hour", F.left("fingerprint", F.lit(1))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour").parquet(events)
+        # this batch's own events are those of a run that failed
+        stored = spark.read.schema(fresh.schema).parquet(events).where(F.col("hour").isin(hours) & (F.col("batch") != batch))
+        fresh = fresh.join(stored.select(*keys), keys, "left_anti")
+    out = fresh.repartition("hour", F.left("fingerprint", F.lit(1))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("hour", "batch").parquet(events)
     whole = spark.read.schema(fresh.schema).parquet(events).where(F.col("hour").isin(hours))
     for name in tables:
         counted = R.build(whole, name).withColumn("hour", F.date_format("bucket_ts", "yyyy-MM-dd-HH"))
         counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour").parquet(f"{root}/{name}")
 
 
-def ingest(spark: SparkSession, source: str, root: str, tables: tuple[str, ...] = ("rollup_1m", "rollup_ip_1h", "rollup_path_1h", "rollup_status_1h"), every: str | None = None) -> StreamingQuery:
+TABLES = ("rollup_1m", "rollup_ip_1h", "rollup_path_1h", "rollup_status_1h")
+
+
+def ingest(spark: SparkSession, source: str, root: str, tables: tuple[str, ...] = TABLES, every: str | None = None) -> StreamingQuery:
     """Start ingest from ``source`` to the tables under ``root``; without ``every``, all that is there, then stop."""
-    writer = to_events(stream_lines(spark, source)).writeStream.foreachBatch(
-        lambda batch, _: _keep(batch, root, tables),
-    ).option("checkpointLocation", f"{root}/_checkpoint")
+    lines = stream_lines(spark, source).writeStream.foreachBatch(lambda batch, number: _keep(batch, number, root, tables))
+    writer = lines.option("checkpointLocation", f"{root}/_checkpoint")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
