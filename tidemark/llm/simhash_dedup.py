@@ -87,15 +87,16 @@ def near_pairs(fps: DataFrame, max_bits: int = 4, alike: float | None = None) ->
     """Rows (fp_a, fp_b, bits), fp_a < fp_b, of distinct fingerprints ``fps`` (fp) within max_bits bits.
 
     With ``alike``, ``fps`` has a positive ``size`` too, and the lesser of a pair's sizes is at least that share of the
-    other: the size's logarithm is one more coordinate of the grid.
+    other: the size's logarithm is one more coordinate of the grid. With a column ``part``, pairs of one part are left out.
     """
     if not 0 <= max_bits <= 32:
         raise ValueError("max_bits must lie between 0 and 32")
     size = F.col("size").cast("double") if alike else F.lit(1.0)
     # two units a cell; sizes that are alike are at most one apart, so the next cell on the nearer side is enough
     spot = F.log(size) / (2.0001 * math.log(1 / alike)) if alike else F.lit(0.0)
+    part = F.col("part") if "part" in fps.columns else F.lit(None).cast("string")
     points = fps.select(
-        "fp", popcount_embedding(F.col("fp")).alias("point"), size.alias("size"), F.floor(spot).alias("level"),
+        part.alias("part"), "fp", popcount_embedding(F.col("fp")).alias("point"), size.alias("size"), F.floor(spot).alias("level"),
         (F.round(spot) * 2 - F.floor(spot) - 1).cast("long").alias("next"),
     )
     own, met = [], []
@@ -108,14 +109,16 @@ def near_pairs(fps: DataFrame, max_bits: int = 4, alike: float | None = None) ->
             count = F.shiftrightunsigned("point", 2 * s).bitwiseAND(F.lit(3))
             for flip, other in ((1, 2), (3, 0)):
                 met.append(F.when(count != other, F.struct(F.lit(g).alias("g"), cell.bitwiseXOR(F.lit(_signed(flip << 2 * s))).alias("cell"))))
-    a = points.select(F.col("fp").alias("fp_a"), F.col("size").alias("size_a"), "level", F.inline(F.array(*own)))
+    a = points.select(F.col("fp").alias("fp_a"), F.col("size").alias("size_a"), F.col("part").alias("part_a"), "level", F.inline(F.array(*own)))
     levels = F.explode(F.array("level", "next") if alike else F.array("level"))
-    b = points.select("fp", "size", "point", levels.alias("level")).select(
-        F.col("fp").alias("fp_b"), F.col("size").alias("size_b"), "level", F.inline(F.array_compact(F.array(*met))),
+    b = points.select("fp", "size", "part", "point", levels.alias("level")).select(
+        F.col("fp").alias("fp_b"), F.col("size").alias("size_b"), F.col("part").alias("part_b"), "level", F.inline(F.array_compact(F.array(*met))),
     )
     bits = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
     same = (a["g"] == b["g"]) & (a["cell"] == b["cell"]) & (a["level"] == b["level"])
     near = (F.col("fp_a") < F.col("fp_b")) & (bits <= max_bits)
+    if "part" in fps.columns:
+        near = near & (F.col("part_a") != F.col("part_b"))
     if alike:
         near = near & (F.least("size_a", "size_b") >= alike * F.greatest("size_a", "size_b"))
     return a.join(b, same & near).select("fp_a", "fp_b", bits.alias("bits")).distinct()
@@ -183,14 +186,30 @@ def _shingle_sets(docs: DataFrame, classes: DataFrame, words_per_shingle: int) -
     return texts.mapInArrow(run, "cls binary, shingles array<long>").dropDuplicates(["cls"])
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, max_bits: int = 10) -> DataFrame:
+def _alike(docs: DataFrame, pairs: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
+    """The links (u, v) among ``pairs`` (a and b: structs of rep, text_hash and cls) whose texts are alike."""
+    flat = (F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("rep", "text_hash", "cls"))
+    pairs = written(pairs.select(*flat), "candidates")
+    side = lambda x: pairs.select(f"rep_{x}", f"text_hash_{x}", f"cls_{x}").toDF("rep", "text_hash", "cls")
+    sets = written(_shingle_sets(docs, side("a").unionByName(side("b")).distinct(), words_per_shingle), "shingles")
+    both = pairs.join(sets.toDF("cls_a", "a"), "cls_a").join(sets.toDF("cls_b", "b"), "cls_b")
+    shared = F.size(F.array_intersect("a", "b"))
+    least = similarity * (F.size("a") + F.size("b") - shared) - 1e-9
+    return both.where(shared >= least).select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
+
+
+def similar_groups(
+    docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, max_bits: int = 9, rounds: int = 3,
+) -> DataFrame:
     """(doc_id, group) of every row with a doc_id: the smallest doc_id reachable over links between texts whose sets of
     word shingles have that Jaccard similarity or more.
 
     Candidates are classes of equal texts within ``max_bits`` bits of each other, by the grid of ``near_pairs``, and of
     sizes that the similarity allows; each is verified on the shingles themselves. Texts of one fingerprint are
-    verified against the one with the smallest doc_id. Two texts of the least similarity differ in about ten bits, so
-    that of the links at that edge some are not met; of texts that are nearly the same, none.
+    verified against the one with the smallest doc_id. The radius grows over ``rounds``: texts that nearer links have
+    joined are not compared again, so that a large group of edited copies does not give all its pairs. Two texts of
+    the least similarity differ in about ten bits, so that of the links at that edge some are not met; of texts that
+    are nearly the same, none.
     """
     rows = written(text_classes(docs.where("doc_id is not null"), words_per_shingle), "texts")
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
@@ -198,27 +217,21 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     classes = written(classes.select("cls", F.col("first.doc_id").alias("rep"), "first.text_hash", "fp", "size"), "classes")
     lead = F.min(F.struct("rep", "cls", "text_hash", "size")).alias("lead")
     leads = written(classes.groupBy("fp").agg(lead).select("fp", "lead.*").withColumn("size", F.greatest("size", F.lit(1))), "leads")
-    near = near_pairs(leads, max_bits, similarity)
     side = lambda rows, x: rows.select(F.col("fp").alias(f"fp_{x}"), F.struct("rep", "text_hash", "cls").alias(x))
-    met = near.join(side(leads, "a"), "fp_a").join(side(leads, "b"), "fp_b").select("a", "b")
     same = side(classes, "b").join(side(leads, "a"), F.col("fp_a") == F.col("fp_b")).where("a.cls <> b.cls").select("a", "b")
-    both = met.unionByName(same).select(*(F.col(f"{x}.{c}").alias(f"{n}_{x}") for x in "ab" for c, n in (("rep", "rep"), ("text_hash", "hash"), ("cls", "cls"))))
-    pairs = written(both, "candidates")
-    asked = pairs.select("rep_a", "hash_a", "cls_a").toDF("rep", "text_hash", "cls").unionByName(
-        pairs.select("rep_b", "hash_b", "cls_b").toDF("rep", "text_hash", "cls")
-    ).distinct()
-    sets = written(_shingle_sets(docs, asked, words_per_shingle), "shingles")
-    both = pairs.join(sets.toDF("cls_a", "a"), "cls_a").join(sets.toDF("cls_b", "b"), "cls_b")
-    shared = F.size(F.array_intersect("a", "b"))
-    links = both.select(
-        F.col("rep_a").alias("u"), F.col("rep_b").alias("v"), shared.alias("n"), (F.size("a") + F.size("b") - shared).alias("all"),
-    ).where(F.col("n") >= similarity * F.col("all") - 1e-9).select("u", "v")
+    links = written(_alike(docs, same, similarity, words_per_shingle), "links")
+    for turn in range(1, rounds + 1):
+        joined = written(components(links), "joined")
+        parts = leads.join(joined, leads["rep"] == joined["node"], "left").withColumn("part", F.coalesce("component", "rep"))
+        near = near_pairs(parts.select("fp", "size", "part"), max_bits * turn // rounds, similarity)
+        met = near.join(side(leads, "a"), "fp_a").join(side(leads, "b"), "fp_b").select("a", "b")
+        links = written(links.unionByName(_alike(docs, met, similarity, words_per_shingle)), "links")
     linked = components(links)
     named = classes.join(linked, classes["rep"] == linked["node"], "left").select("cls", F.coalesce("component", "rep").alias("group"))
     return rows.select("doc_id", "cls").join(written(named, "groups"), "cls").select("doc_id", "group")
 
 
-def keep_one_each(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, max_bits: int = 10) -> DataFrame:
+def keep_one_each(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, max_bits: int = 9) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group of similar texts; all columns stay.
 
     Rows that repeat that doc_id stay too, and so do all rows without one. Null and empty texts are alike. An empty
