@@ -82,6 +82,12 @@ def op10_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), k=10, query_every=100)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lexical_search import search
+
+    return search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_interpolated_lm": op9_interpolated_lm,
     "op10_ball_tree": op10_ball_tree,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -106,4 +113,16 @@ ORACLE_SQL: dict[str, str] = {
                    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.row <> c.row AND len(q.e) = len(c.e))
         SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM p QUALIFY rank <= 10""",
+    "op11_lexical_search": r"""
+        WITH split AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+             docs AS (SELECT doc, doc_id, t, len(t) AS n FROM split WHERE len(t) > 0),
+             total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs),
+             held AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(t) AS term FROM docs) GROUP BY ALL),
+             weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM held, total GROUP BY term, n_docs),
+             items AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+             asked AS (SELECT item, item_id, term, count(*) AS repeats FROM (SELECT item, item_id, unnest(t) AS term FROM items) GROUP BY ALL),
+             scored AS (SELECT item, item_id, doc, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+                        FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN docs USING (doc), total GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, doc) AS INTEGER) AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 20""",
 }
