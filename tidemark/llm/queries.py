@@ -88,6 +88,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), k=20)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.alignment import align, default_tokenizers
+
+    return align(_table(spark, sf_dir, "documents"), *default_tokenizers())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_interpolated_lm": op9_interpolated_lm,
     "op10_ball_tree": op10_ball_tree,
     "op11_lexical_search": op11_lexical_search,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
