@@ -69,7 +69,7 @@ def test_stages(spark, stages):
 
 
 def test_registered_queries():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, len(queries.QUERIES) + 1)] and len(queries.QUERIES) >= 12
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, len(queries.QUERIES) + 1)] and len(queries.QUERIES) >= 13
 
 
 def test_empty_documents(spark, tmp_path):

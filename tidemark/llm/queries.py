@@ -94,6 +94,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_table(spark, sf_dir, "documents"), *default_tokenizers())
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import find, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return find(docs, train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
@@ -107,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ball_tree": op10_ball_tree,
     "op11_lexical_search": op11_lexical_search,
     "op12_token_alignment": op12_token_alignment,
+    "op13_pii": op13_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
