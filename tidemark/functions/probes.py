@@ -107,15 +107,20 @@ def _sql_reason(v: Column) -> Column:
     )
 
 
-def probes(events: DataFrame) -> DataFrame:
-    """The events that are probes, once for each family, with family, category, rule_key and match_reason."""
+def classified(events: DataFrame) -> DataFrame:
+    """``events`` with __probes: what each is a probe of, once for each family: family, category, rule_key, match_reason."""
     admin = admin_category(F.col("method"), F.col("path"), F.col("query"), F.col("status"))
     tried = events.withColumns({"__admin": admin, "__injection": injection(F.col("path"), F.col("query"))})
     rows = F.array(
         F.when(F.col("__admin").isNotNull(), F.struct(F.lit("admin").alias("family"), F.col("__admin").alias("category"), F.concat(F.lit("admin_"), "__admin").alias("rule_key"), F.lit("").alias("match_reason"))),
         F.when(F.col("__injection").isNotNull(), F.struct(F.lit("injection").alias("family"), F.col("__injection.category").alias("category"), F.concat(F.lit("probe_"), "__injection.category").alias("rule_key"), F.col("__injection.reason").alias("match_reason"))),
     )
-    return tried.select(*events.columns, F.inline(F.array_compact(rows)))
+    return tried.select(*events.columns, F.array_compact(rows).alias("__probes"))
+
+
+def probes(events: DataFrame) -> DataFrame:
+    """The events that are probes, once for each family, with family, category, rule_key and match_reason."""
+    return classified(events).select(*events.columns, F.inline("__probes"))
 
 
 def errors(events: DataFrame) -> DataFrame:

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.params import with_params
 from tidemark.functions.trust import verified_source, verified_source_loose
 from tidemark.functions.useragent import FIELDS, analyse
+from tidemark.functions import probes as P
+from tidemark.operators.quantiles import Measure, percentiles, summary
 from tidemark.operators.rollups import count_if, histogram_p95
+from tidemark.sources.scratch import kept
 
 INTEL = (
     "reverse_dns", "asn", "asn_org", "network", "country_code", "known_actor", "actor_type", "risk_score", "forward_confirmed", "verified_actor",
@@ -32,10 +35,26 @@ def _bytes() -> Column:
     return F.coalesce(F.sum("bytes_sent"), F.lit(0)).alias("bytes_sent")
 
 
-def _times() -> tuple[Column, Column]:
-    return F.coalesce(F.avg("request_time_ms"), F.lit(0.0)).alias("avg_request_time_ms"), F.coalesce(
-        F.percentile("request_time_ms", F.lit(0.95)), F.lit(0.0),
-    ).alias("p95_request_time_ms")
+def _average() -> Column:
+    return F.coalesce(F.avg("request_time_ms"), F.lit(0.0)).alias("avg_request_time_ms")
+
+
+def _measures(*names: str) -> dict[str, Measure]:
+    """Additive measures by name, with those that an average of durations needs."""
+    every = {
+        "requests": Measure(F.count("*")), "status_4xx": Measure(_class(4)), "status_5xx": Measure(_class(5)), "slow_requests": Measure(_slow()), "bytes_sent": Measure(_bytes()),
+        "empty_user_agents": Measure(count_if(F.coalesce("user_agent", F.lit("")) == "")), "first_seen": Measure(F.min("ts"), "min"), "last_seen": Measure(F.max("ts"), "max"),
+        "__timed": Measure(F.count("request_time_ms")), "__ms": Measure(F.sum("request_time_ms")),
+    }
+    return {n: every[n] for n in (*names, "__timed", "__ms")}
+
+
+def _with_average(rows: DataFrame) -> DataFrame:
+    """Average and percentile of durations, zero without any."""
+    return rows.withColumns({"avg_request_time_ms": rate("__ms", "__timed"), "p95_request_time_ms": F.coalesce("p95_request_time_ms", F.lit(0.0))}).drop("__ms", "__timed")
+
+
+_P95 = ("request_time_ms", "p95_request_time_ms")
 
 
 def _seen() -> tuple[Column, Column]:
@@ -48,17 +67,10 @@ def rate(part: str, total: str = "requests") -> Column:
 
 def totals(events: DataFrame) -> DataFrame:
     """One row of counters, latencies and rates."""
-    row = events.agg(
-        F.count("*").alias("requests"), F.count_distinct("client_ip").alias("unique_ips"), F.count_distinct("user_agent").alias("unique_user_agents"),
-        _class(4), _class(5), count_if(F.coalesce("user_agent", F.lit("")) == "").alias("empty_user_agents"),
-        _slow(), _bytes(), *_times(),
-    )
-    return row.withColumns(
-        {
-            "status_4xx_rate": rate("status_4xx"), "status_5xx_rate": rate("status_5xx"), "slow_requests_rate": rate("slow_requests"),
-            "empty_user_agents_rate": rate("empty_user_agents"),
-        }
-    )
+    own = _measures("requests", "status_4xx", "status_5xx", "empty_user_agents", "slow_requests", "bytes_sent")
+    row = summary(events, [], _P95[0], own, _P95[1], ("client_ip", "user_agent")).withColumnsRenamed({"unique_client_ip": "unique_ips", "unique_user_agent": "unique_user_agents"})
+    row = _with_average(row.withColumns({n: F.coalesce(n, F.lit(0)) for n in (*own, "unique_ips", "unique_user_agents")}))
+    return row.withColumns({f"{n}_rate": rate(n) for n in ("status_4xx", "status_5xx", "slow_requests", "empty_user_agents")})
 
 
 def totals_from_minutes(minutes: DataFrame) -> DataFrame:
@@ -77,9 +89,8 @@ def totals_from_minutes(minutes: DataFrame) -> DataFrame:
 
 
 def site_summary(events: DataFrame) -> DataFrame:
-    rows = events.groupBy("site_id", "env").agg(
-        F.count("*").alias("requests"), F.count_distinct("client_ip").alias("unique_ips"), _class(4), _class(5), *_times(), *_seen(),
-    )
+    own = _measures("requests", "status_4xx", "status_5xx", "first_seen", "last_seen")
+    rows = _with_average(summary(events, ["site_id", "env"], _P95[0], own, _P95[1], ("client_ip",)).withColumnRenamed("unique_client_ip", "unique_ips"))
     return rows.withColumns({"status_4xx_rate": rate("status_4xx"), "status_5xx_rate": rate("status_5xx")})
 
 
@@ -161,11 +172,13 @@ def user_agents(events: DataFrame, intel: DataFrame, limit: int = 25) -> DataFra
 
 
 def slow_paths(events: DataFrame, limit: int = 25, least: int = 20) -> DataFrame:
-    rows = events.where("request_time_ms is not null").groupBy("site_id", "env", F.coalesce("path", F.lit("")).alias("path")).agg(
-        F.count("*").alias("requests"), F.avg("request_time_ms").alias("avg_request_time_ms"),
-        F.percentile("request_time_ms", F.lit(0.95)).alias("p95_request_time_ms"), _class(5), *_seen(),
-    )
-    return _top(rows.where(F.col("requests") >= least), limit, F.desc("p95_request_time_ms"), F.desc("requests"), "site_id", "env", "path")
+    rows = events.where("request_time_ms is not null").withColumn("path", F.coalesce("path", F.lit("")))
+    own = _measures("requests", "status_5xx", "first_seen", "last_seen")
+    return _slowest(summary(rows, ["site_id", "env", "path"], _P95[0], own, _P95[1]), limit, least)
+
+
+def _slowest(rows: DataFrame, limit: int, least: int) -> DataFrame:
+    return _top(_with_average(rows.where(F.col("requests") >= least)), limit, F.desc("p95_request_time_ms"), F.desc("requests"), "site_id", "env", "path")
 
 
 def slow_paths_from_rollup(latency: DataFrame, limit: int = 25, least: int = 20) -> DataFrame:
@@ -185,9 +198,12 @@ def status_breakdown(events: DataFrame, limit: int = 32) -> DataFrame:
 
 def path_hotspots(events: DataFrame, limit: int = 25) -> DataFrame:
     """Paths with 30 or more requests, 5 or more server errors and a rate of 0.2 or more."""
-    rows = events.groupBy(
-        "site_id", "env", F.coalesce("path", F.lit("")).alias("path"),
-    ).agg(F.count("*").alias("requests"), _class(5), *_seen()).where("requests >= 30 and status_5xx >= 5")
+    rows = events.groupBy("site_id", "env", F.coalesce("path", F.lit("")).alias("path")).agg(F.count("*").alias("requests"), _class(5), *_seen())
+    return _hottest(rows, limit)
+
+
+def _hottest(rows: DataFrame, limit: int) -> DataFrame:
+    rows = rows.where("requests >= 30 and status_5xx >= 5")
     return _top(rows.withColumn("rate", rate("status_5xx")).where("rate >= 0.2"), limit, F.desc("status_5xx"), F.desc("requests"), "site_id", "env", "path")
 
 
@@ -254,7 +270,7 @@ def query_params(events: DataFrame, limit: int = 25, param: str = "", family: st
     newest = lambda c: F.max_by(F.coalesce(c, F.lit("")), F.struct("ts", "id")).alias(f"example_{c}")
     out = rows.groupBy("param_family", "param", "param_value").agg(
         F.count("*").alias("requests"), _class(4), _class(5), _slow(), F.count_distinct("client_ip").alias("unique_ips"),
-        F.count_distinct("path").alias("unique_paths"), _times()[0], newest("path"), newest("query"), *_seen(),
+        F.count_distinct("path").alias("unique_paths"), _average(), newest("path"), newest("query"), *_seen(),
     )
     return _top(out, limit, F.desc("status_5xx"), F.desc("slow_requests"), F.desc("requests"), "param_family", "param", "param_value")
 
@@ -340,6 +356,64 @@ def issues(sites: DataFrame, ips: DataFrame, agents: DataFrame, slow: DataFrame,
     return whole.orderBy(F.desc("score"), F.desc("last_seen"), "rule_key", "actor_value")
 
 
+#: What of an event each part of the report counts by: site, path and duration; agent and address; probe.
+_PARTS = ("site_id", "env", "path", "client_ip", "user_agent", "request_time_ms", "family", "category", "rule_key")
+
+
+def report_counts(events: DataFrame) -> DataFrame:
+    """The report's three sets of keys counted in one read of ``events``: ``part`` 0 by site, environment, path and duration, 1 by
+    user agent and address, 2 by probe, site, environment, address and path. Kept as a table with a folder for each part.
+
+    Each event gives a row for each set that it has a part in, which are added up before they are shuffled.
+    """
+    tried = P.classified(events)
+    path, none = F.coalesce("path", F.lit("")).alias("path"), {c: F.lit(None).cast(events.schema[c].dataType if c in events.columns else "string").alias(c) for c in _PARTS}
+    row = lambda part, **own: F.struct(F.lit(part).alias("part"), *(own.get(c, none[c]) for c in _PARTS))
+    plain = {c: F.col(c) for c in _PARTS if c in events.columns}
+    site = {c: plain[c] for c in ("site_id", "env")}
+    probe = lambda p: row(2, **site, path=path, client_ip=plain["client_ip"], family=p["family"].alias("family"), category=p["category"].alias("category"), rule_key=p["rule_key"].alias("rule_key"))
+    rows = F.concat(
+        F.array(row(0, **site, path=path, request_time_ms=plain["request_time_ms"]), row(1, client_ip=plain["client_ip"], user_agent=F.coalesce("user_agent", F.lit("")).alias("user_agent"))),
+        F.transform("__probes", probe),
+    )
+    kept_columns = ["ts", "status", "bytes_sent", "method", "request_time_ms"]
+    each = tried.select(*(F.col(c).alias(f"__{c}") for c in kept_columns), F.inline(rows))
+    status = lambda n: count_if(F.col("__status").between(100 * n, 100 * n + 99)).alias(f"status_{n}xx")
+    counts = each.groupBy("part", *_PARTS).agg(
+        F.count("*").alias("requests"), status(4), status(5), F.coalesce(F.sum("__bytes_sent"), F.lit(0)).alias("bytes_sent"), F.max("__method").alias("method"),
+        F.count("__request_time_ms").alias("__n"), F.sum("__request_time_ms").alias("__ms"), F.min("__ts").alias("first_seen"), F.max("__ts").alias("last_seen"),
+    )
+    return kept(counts, "report", "part")
+
+
+def issue_report(events: DataFrame, logs: DataFrame, intel: DataFrame, limit: int = 25) -> DataFrame:
+    """``issues`` of a window, from one read each of its events, its log events and the table of intelligence."""
+    counts = report_counts(events)
+    paths, people, found = (counts.where(F.col("part") == k) for k in range(3))
+    add = lambda rows, *keys, more=(): rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("requests", "status_4xx", "status_5xx", "bytes_sent")), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *more)
+    own = {n: m for n, m in _measures("requests", "status_4xx", "status_5xx", "first_seen", "last_seen").items() if n != "__timed"}
+    timed = {**own, "__timed": Measure(F.sum("__n"))}
+    named = paths.withColumn("__timed", F.col("__n"))
+    sites = _with_average(percentiles(named, ["site_id", "env"], _P95[0], timed, _P95[1]))
+    slow = _slowest(percentiles(named.where("request_time_ms is not null"), ["site_id", "env", "path"], _P95[0], timed, _P95[1]), limit, 20)
+    loose = verified_source_loose(F.col("known_actor"), F.col("actor_type"), F.col("manual_action"), F.col("forward_confirmed"), F.col("verified_actor"))
+    proof = intel.select(F.col("ip").alias("client_ip"), loose.alias("ok"), "is_tor_exit", "risk_score", "country_code")
+    known = kept(people.drop("risk_score").join(proof, "client_ip", "left"), "people")
+    ok = F.coalesce("ok", F.lit(False))
+    rows = add(known.withColumnRenamed("user_agent", "sample"), "sample", more=(F.count("client_ip").alias("unique_ips"), F.count(F.when(ok, F.col("client_ip"))).alias("verified_ips")))
+    agents = _top(rows, limit, F.desc("requests"), "sample").withColumn("__a", analyse(F.col("sample"), F.col("requests")))
+    agents = agents.select(*rows.columns, *(F.col(f"__a.{f}").alias(f) for f in FIELDS), (F.col("verified_ips") > 0).alias("verified_source"))
+    exits = add(known.where("is_tor_exit and client_ip is not null"), "client_ip", "risk_score", "country_code")
+    admin = found.where("family = 'admin'").groupBy("client_ip").agg(F.sum("requests").alias("admin_requests"))
+    exits = exits.join(admin, "client_ip", "left").withColumn("admin_requests", F.coalesce("admin_requests", F.lit(0)))
+    order = Window.partitionBy("family").orderBy(F.desc("requests"), "category", "site_id", "env", "client_ip", "path")
+    tops = found.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= limit)
+    return issues(
+        sites, _top(add(people.where("client_ip is not null"), "client_ip"), limit, F.desc("requests"), "client_ip"), agents, slow,
+        _hottest(add(paths, "site_id", "env", "path"), limit), log_totals(logs), tops.drop("__k"), _top(exits, limit, F.desc("admin_requests"), F.desc("requests"), "client_ip"),
+    )
+
+
 # ---- details
 
 def paged(rows: DataFrame, limit: int, offset: int, *order: Column | str) -> DataFrame:
@@ -359,7 +433,8 @@ def ip_detail(events: DataFrame, ip: str) -> dict[str, DataFrame]:
     """Summary, sites, paths, addresses asked for, user agents and requests of one address."""
     own = events.where(F.col("client_ip") == ip)
     counted = lambda *k: own.groupBy(*k).agg(F.count("*").alias("requests"), _class(4), _class(5), _bytes(), *_seen())
-    hits = own.groupBy("site_id", "env", "method", "path", "query", "status", "user_agent").agg(F.count("*").alias("requests"), *_times(), *_seen())
+    hit = ["site_id", "env", "method", "path", "query", "status", "user_agent"]
+    hits = _with_average(summary(own, hit, _P95[0], _measures("requests", "first_seen", "last_seen"), _P95[1]))
     return {"traffic": totals(own), "sites": counted("site_id", "env"), "paths": counted("path"), "url_hits": hits, "user_agents": counted("user_agent"), "requests": own}
 
 

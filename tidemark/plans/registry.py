@@ -255,12 +255,7 @@ _on_events(
 
 
 def _issues(s: SparkSession, d: str) -> DataFrame:
-    w, intel = _window(s, d), A.ip_intel(s, d)
-    found = probes.probes(w)
-    return N.issues(
-        N.site_summary(w), N.top_ips(w), N.user_agents(w, intel), N.slow_paths(w), N.path_hotspots(w),
-        N.log_totals(R.window(A.log_events(s, d), SINCE, UNTIL)), N.probe_tops(found), N.tor_sources(w, found, intel),
-    )
+    return N.issue_report(_window(s, d), R.window(A.log_events(s, d), SINCE, UNTIL), A.ip_intel(s, d))
 
 
 def _issues_sql() -> str:
