@@ -7,8 +7,9 @@ term's weight). They serve three times:
    below; the documents behind the stored impacts are scored exactly, and the k-th of those scores raises that bound.
 2. An item's terms are ordered from rare to frequent. A document that holds only terms of a suffix scores at most the sum
    of their highest impacts; the suffix whose sum lies below the bound makes no candidates.
-3. The other terms' postings are joined and added up by item and document. What they add up to, plus the bound of the
-   suffix, must reach the item's bound; the documents left are scored exactly.
+3. The other terms' postings are joined and added up by item and document. The documents with the highest sums are scored
+   exactly, which raises the bound again. A sum plus the bound of the suffix, and the suffix sum of the document's rarest term,
+   must both reach the item's bound; the documents left are scored exactly.
 
 Nothing is lost: a document is left out only if its score is provably less than that of k others.
 All arithmetic of scores is in 64-bit integers.
@@ -135,9 +136,15 @@ def search(items: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
     summed = wanted.withColumn("suffix", F.sum(F.col("weight") * F.col("highest")).over(onward)).join(bounds, "item")
     leading = summed.withColumn("leads", F.col("suffix") >= F.col("bound"))
     rest = leading.groupBy("item").agg(F.coalesce(F.max(F.when(~F.col("leads"), F.col("suffix"))), F.lit(0)).alias("rest"), F.first("bound").alias("bound"))
-    leading = written(leading.where("leads").select("item", "term_id", "weight"), "leading")
-    reached = leading.join(postings, "term_id").groupBy("item", "doc").agg(F.sum(F.col("weight") * F.col("share")).alias("part"))
-    candidates = reached.join(rest, "item").where("part + rest >= bound").select("item", "doc")
+    leading = written(leading.where("leads").select("item", "term_id", "weight", "suffix"), "leading")
+    impact = F.col("weight") * F.col("share")
+    reached = written(leading.join(postings, "term_id").groupBy("item", "doc").agg(F.sum(impact).alias("part"), F.max("suffix").alias("most")), "reached")
+
+    # the documents with the highest parts raise the bound once more; a document's rarest term bounds its score as well
+    leaders = reached.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("part"), "doc"))).where(F.col("place") <= 4 * k)
+    again = written(_exact(leaders.select("item", "doc"), forward, wanted), "leaders")
+    rest = rest.join(_kth(again, k, "raised"), "item", "left").select("item", "rest", F.greatest("bound", F.coalesce("raised", F.lit(0))).alias("bound"))
+    candidates = reached.join(rest, "item").where("part + rest >= bound and most >= bound").select("item", "doc")
     scored = written(_exact(candidates, forward, wanted).where("score > 0"), "scored")
 
     ranks = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "doc")
