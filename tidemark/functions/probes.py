@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import let
+
 #: Words and patterns that name a probe.
 ADMIN_TOOL = ("phpmyadmin", "/pma", "adminer", "/xmlrpc.php", "/wp-admin/install.php", "/wp-admin/setup-config.php")
 PASSWORD_RESET = (
@@ -43,10 +45,9 @@ def any_of(text: Column, words: tuple[str, ...]) -> Column:
 def variants(value: Column) -> Column:
     """The lower-cased value and what up to two rounds of URL decoding make of it, without repeats; a value
     that cannot be decoded, or does not change, ends the rounds."""
-    first = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    second = F.lower(F.try_url_decode(first))
-    third = F.when(F.try_url_decode(first) != first, F.lower(F.try_url_decode(second)))
-    return F.array_distinct(F.array_compact(F.array(first, second, third)))
+    decoded = lambda first: let(F.try_url_decode(first), lambda d: F.array_distinct(F.array_compact(F.array(first, F.lower(d), F.when(d != first, F.lower(F.try_url_decode(F.lower(d))))))))
+    # without a percent or plus sign, decoding changes nothing
+    return let(F.lower(F.trim(F.coalesce(value, F.lit("")))), lambda first: F.when(first.contains("%") | first.contains("+"), decoded(first)).otherwise(F.array(first)))
 
 
 def _texts(path: Column, query: Column) -> tuple[Column, Column, Column]:
@@ -72,27 +73,21 @@ def injection(path: Column, query: Column) -> Column:
     target before others, variant by variant."""
     p, q, target = _texts(path, query)
     gate = F.exists(F.concat(variants(p), variants(q), variants(F.concat(p, F.lit("?"), q))), lambda v: any_of(v, CANDIDATE))
-    tries = variants(target)
-    sql = F.get(F.filter(F.transform(tries, _sql_reason), lambda x: x.isNotNull()), F.lit(0))
-    script = F.get(
-        F.filter(
-            F.transform(
-                tries,
-                lambda v: F.when(any_of(v, ("<script", "3cscript")), "script_tag").when(
-                    any_of(v, ("javascript:", "onerror=", "onload=", "alert(")), "xss_payload",
-                ),
-            ),
-            lambda x: x.isNotNull(),
-        ),
-        F.lit(0),
-    )
-    secret = F.exists(tries, lambda v: any_of(v, SECRET_FILE)) | F.exists(variants(p), lambda v: v.startswith("/.env"))
-    system = F.exists(tries, lambda v: v.rlike(TRAVERSAL) | any_of(v, SYSTEM_FILE))
     row = lambda category, reason: F.struct(F.lit(category).alias("category"), reason.alias("reason"))
-    return F.when(
-        gate,
-        F.when(sql.isNotNull(), row("sql_injection", sql)).when(script.isNotNull(), row("xss", script)).when(secret, row("secret_file", F.lit("secret_file"))).when(system, row("path_traversal", F.lit("path_traversal"))),
-    )
+    first = lambda tries, rule: F.get(F.filter(F.transform(tries, rule), lambda x: x.isNotNull()), F.lit(0))
+
+    def rules(tries: Column) -> Column:
+        secret = F.exists(tries, lambda v: any_of(v, SECRET_FILE)) | F.exists(variants(p), lambda v: v.startswith("/.env"))
+        system = F.exists(tries, lambda v: v.rlike(TRAVERSAL) | any_of(v, SYSTEM_FILE))
+        files = F.when(secret, row("secret_file", F.lit("secret_file"))).when(system, row("path_traversal", F.lit("path_traversal")))
+        script = let(first(tries, _script_reason), lambda reason: F.when(reason.isNotNull(), row("xss", reason)).otherwise(files))
+        return let(first(tries, _sql_reason), lambda reason: F.when(reason.isNotNull(), row("sql_injection", reason)).otherwise(script))
+
+    return F.when(gate, let(variants(target), rules))
+
+
+def _script_reason(v: Column) -> Column:
+    return F.when(any_of(v, ("<script", "3cscript")), "script_tag").when(any_of(v, ("javascript:", "onerror=", "onload=", "alert(")), "xss_payload")
 
 
 def _sql_reason(v: Column) -> Column:
