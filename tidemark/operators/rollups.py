@@ -79,10 +79,11 @@ ROLLUPS = {
 }
 
 
-def _grouped(rows: DataFrame, spec: Rollup) -> DataFrame:
+def grouped(rows: DataFrame, spec: Rollup, *also: str) -> DataFrame:
+    """``rows`` counted by the rollup's keys, and by the columns ``also``."""
     rows = rows.where(spec.where) if spec.where else rows
     keyed = rows.withColumns({"bucket_ts": F.date_trunc(spec.width, "ts")} | {f"__{k}": F.expr(c) for k, c in spec.keys.items()})
-    groups = [F.col("bucket_ts"), F.col("site_id"), F.col("env"), *(F.col(f"__{k}").alias(k) for k in spec.keys)]
+    groups = [F.col("bucket_ts"), F.col("site_id"), F.col("env"), *(F.col(f"__{k}").alias(k) for k in spec.keys), *map(F.col, also)]
     return keyed.groupBy(*groups).agg(*_measures(spec.measures))
 
 
@@ -90,9 +91,9 @@ def _measures(measures: dict[str, str]) -> list[Column]:
     return [F.expr(c).alias(n) for n, c in measures.items()]
 
 
-def build(events: DataFrame, name: str) -> DataFrame:
+def build(events: DataFrame, name: str, *also: str) -> DataFrame:
     """One rollup over all of ``events``: a single partial-then-final aggregation."""
-    return _grouped(events, ROLLUPS[name])
+    return grouped(events, ROLLUPS[name], *also)
 
 
 def build_probes(probes: DataFrame) -> DataFrame:
@@ -103,30 +104,33 @@ def build_probes(probes: DataFrame) -> DataFrame:
 def build_params(events: DataFrame) -> DataFrame:
     """rollup_query_param_1h: by parameter and value, with the newest request as an example.
 
-    Requests alike in address, agent and path are added up first, so that the three distinct counts, which Spark makes
-    from a copy of each row for each of them, see each combination once and no long text.
+    Requests alike in address, agent and path are added up first, with the newest of them. The three distinct counts, for each
+    of which Spark makes a copy of each row, then see each combination once; the long texts are in one of the copies only.
     """
     keys = ["bucket_ts", "site_id", "env", "param_family", "param", "value_hash"]
     rows = with_params(events).withColumns({"bucket_ts": F.date_trunc("hour", "ts"), "value_hash": F.md5("param_value")})
-    added = _REQUESTS | _ERRORS | _SLOW | _TIMES | _SEEN
-    alike = rows.groupBy(*keys, "client_ip", "user_agent", "path").agg(*_measures(added))
-    sums = {n: f"min({n})" if n == "first_seen" else f"max({n})" if n == "last_seen" else f"sum({n})" for n in added}
-    unique = _UNIQUE_IPS | {"unique_user_agents": "count(DISTINCT user_agent)", "unique_paths": "count(DISTINCT path)"}
-    counted = alike.groupBy(*keys).agg(*_measures(sums | unique))
+    parts = _REQUESTS | _ERRORS | _SLOW | _TIMES | _SEEN
     text = lambda c: F.coalesce(c, F.lit("")).alias(f"example_{c}")
-    newest = rows.groupBy(*keys).agg(F.max(F.struct("ts", "id", text("path"), text("query"), "param_value")).alias("__newest"))
-    examples = newest.select(*keys, "__newest.example_path", "__newest.example_query", "__newest.param_value")
-    same = [counted[k].eqNullSafe(examples[k]) for k in keys]
-    return counted.join(examples, same).select(counted["*"], "example_path", "example_query", "param_value")
+    newest = F.max(F.struct("ts", "id", text("path"), text("query"), "param_value")).alias("__newest")
+    alike = rows.groupBy(*keys, "client_ip", "user_agent", "path").agg(*_measures(parts), newest)
+    sums = {n: f"min({n})" if n == "first_seen" else f"max({n})" if n == "last_seen" else f"sum({n})" for n in parts}
+    unique = {"client_ip": "unique_ips", "user_agent": "unique_user_agents", "path": "unique_paths"}
+    counted = alike.groupBy(*keys).agg(*_measures(sums), F.max("__newest").alias("__newest"), *(F.count_distinct(c).alias(n) for c, n in unique.items()))
+    return counted.select(*keys, *sums, *unique.values(), "__newest.example_path", "__newest.example_query", "__newest.param_value")
 
 
 def merge(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
     """Two partial rollups added up: counters summed, first and last seen widened. Not for distinct counts."""
+    return added(old.unionByName(new), name)
+
+
+def added(rows: DataFrame, name: str) -> DataFrame:
+    """Partial rows of a rollup added up by key."""
     spec = ROLLUPS[name]
     if spec.unique:
         raise ValueError(f"{name} counts distinct values, which do not add up")
     join = {n: f"min({n})" if n == "first_seen" else f"max({n})" if n == "last_seen" else f"sum({n})" for n in spec.measures}
-    return old.unionByName(new).groupBy(*spec.columns).agg(*_measures(join))
+    return rows.groupBy(*spec.columns).agg(*_measures(join))
 
 
 def touched_hours(rows: DataFrame) -> DataFrame:
@@ -167,7 +171,7 @@ def rollup_with_edges(rollup: DataFrame, events: DataFrame, name: str, since: da
     stored = rollup.where((F.col("bucket_ts") >= at(lo)) & (F.col("bucket_ts") < at(hi)))
     edge = window(events, since, until, site).where((F.col("ts") < at(lo)) | (F.col("ts") >= at(hi)))
     stored = stored.where(F.col("site_id") == site) if site else stored
-    return stored.unionByName(_grouped(edge, spec))
+    return stored.unionByName(grouped(edge, spec))
 
 
 # ---- readiness: may a window be read from a rollup?

@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.store import RollupStore
+from tidemark.sources.scratch import new_path
+
 #: Column -> SQL over ``events``.
 ACCESS = {
     "id": "event_id",
@@ -102,3 +105,33 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plain_times(df: DataFrame) -> DataFrame:
     """Timestamps without zone, as DuckDB gives them."""
     return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n, t in df.dtypes if t == "timestamp"})
+
+
+_stores: dict[tuple[str, str, bool], RollupStore] = {}
+#: Rollups of the store that has a gap hold what came before this batch.
+_LATE = 2
+
+
+def rollup_store(spark: SparkSession, sf_dir: str, *names: str, gap: bool = False) -> RollupStore:
+    """A store of the access events, written once a session, that holds the named rollups of them.
+
+    Events come in three batches, the last one of late lines. With ``gap``, the rollups do not hold that one."""
+    key = (spark.sparkContext.applicationId, sf_dir, gap)
+    if key not in _stores:
+        _stores[key] = store = RollupStore(spark, new_path(spark, "rollup-store"), "day")
+        events = access_events(spark, sf_dir)
+        late = "id % 211 = 0"
+        store.append(events.where(f"id % 3 <> 0 AND NOT {late}"), 0)
+        store.append(events.where(f"id % 3 = 0 AND NOT {late}"), 1)
+        if not gap:
+            store.append(events.where(late), _LATE)
+    store = _stores[key]
+    if gap and store.held("events").where(F.col("batch") == _LATE).isEmpty():
+        store.backfill(*GAP_ROLLUPS)
+        store.append(access_events(spark, sf_dir).where("id % 211 = 0"), _LATE)
+    if not gap:
+        store.backfill(*names)
+    return store
+
+
+GAP_ROLLUPS = ("rollup_1m", "rollup_ip_1h", "rollup_site_latency_1h", "rollup_path_1h")

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import bots, params, probes, search, useragent
 from tidemark.functions.catalog import agent_sql
 from tidemark.operators import combine as C
+from tidemark.functions.timewindow import whole
 from tidemark.operators import rollups as R
+from tidemark.operators import store as ST
 from tidemark.plans import adapter as A
 from tidemark.plans import analysis as N
 from tidemark.plans import cases, stored
 from tidemark.plans import overview as O
+from tidemark.sources.scratch import kept
 
 #: The window of the registered reports: it cuts minutes and hours at both ends.
 SINCE, UNTIL = datetime(2024, 1, 5, 10, 7, 30), datetime(2024, 1, 24, 5, 13, 45)
@@ -58,9 +61,9 @@ def _on_window(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None
     _add(name, lambda s, d: f(_window(s, d)), f"{EV} {sql}")
 
 
-def _with_edges(spark: SparkSession, sf_dir: str, name: str, since: datetime = SINCE, until: datetime = UNTIL) -> DataFrame:
-    events = A.access_events(spark, sf_dir)
-    return R.rollup_with_edges(R.build(events, name), events, name, since, until)
+def _stored(spark: SparkSession, sf_dir: str, name: str, since: datetime = SINCE, until: datetime = UNTIL, gap: bool = False) -> DataFrame:
+    """A rollup's rows of the window, from the store: complete hours as stored, the rest from events."""
+    return A.rollup_store(spark, sf_dir, name, gap=gap).rows(name, since, until)
 
 
 # ---- rollups
@@ -114,14 +117,33 @@ _on_events("rollup_rebuild_touched_hours", _rebuilt, _sql["rollup_path_1h"].remo
 
 _on_window("totals", N.totals, f"""SELECT *, status_4xx / CAST(greatest(requests, 1) AS DOUBLE) AS status_4xx_rate, status_5xx / CAST(greatest(requests, 1) AS DOUBLE) AS status_5xx_rate, slow_requests / CAST(greatest(requests, 1) AS DOUBLE) AS slow_requests_rate, empty_user_agents / CAST(greatest(requests, 1) AS DOUBLE) AS empty_user_agents_rate
     FROM (SELECT count(*) AS requests, count(DISTINCT client_ip) AS unique_ips, count(DISTINCT user_agent) AS unique_user_agents, {_C4} AS status_4xx, {_C5} AS status_5xx, count(*) FILTER (WHERE coalesce(user_agent, '') = '') AS empty_user_agents, {_CS} AS slow_requests, {_BYTES}, coalesce(avg(request_time_ms), 0.0) AS avg_request_time_ms, {_P95} AS p95_request_time_ms FROM w)""")
-_add("totals_from_minutes", lambda s, d: N.totals_from_minutes(_with_edges(s, d, "rollup_1m")), f"""{EV} SELECT *, request_time_sum_ms / CAST(greatest(request_time_count, 1) AS DOUBLE) AS avg_request_time_ms, status_4xx / CAST(greatest(requests, 1) AS DOUBLE) AS status_4xx_rate, status_5xx / CAST(greatest(requests, 1) AS DOUBLE) AS status_5xx_rate
+_add("totals_from_minutes", lambda s, d: N.totals_from_minutes(_stored(s, d, "rollup_1m")), f"""{EV} SELECT *, request_time_sum_ms / CAST(greatest(request_time_count, 1) AS DOUBLE) AS avg_request_time_ms, status_4xx / CAST(greatest(requests, 1) AS DOUBLE) AS status_4xx_rate, status_5xx / CAST(greatest(requests, 1) AS DOUBLE) AS status_5xx_rate
     FROM (SELECT * EXCLUDE (unique_ips) FROM (SELECT {_MINUTE} FROM w))""")
 _SITES = f"SELECT *, {_R4}, {_R5} FROM (SELECT site_id, env, count(*) AS requests, count(DISTINCT client_ip) AS unique_ips, {_C4} AS status_4xx, {_C5} AS status_5xx, coalesce(avg(request_time_ms), 0.0) AS avg_request_time_ms, {_P95} AS p95_request_time_ms, {_SEEN} FROM w GROUP BY site_id, env)"
 _on_window("site_summary", N.site_summary, _SITES)
 
 
-def _sites_from_rollups(s: SparkSession, d: str) -> DataFrame:
-    return N.site_summary_from_rollups(*(_with_edges(s, d, n) for n in ("rollup_1m", "rollup_ip_1h", "rollup_site_latency_1h")))
+def _sites_from_rollups(s: SparkSession, d: str, gap: bool = False) -> DataFrame:
+    return N.site_summary_from_rollups(*(_stored(s, d, n, gap=gap) for n in ("rollup_1m", "rollup_ip_1h", "rollup_site_latency_1h")))
+
+
+def _backfilled_twice(s: SparkSession, d: str) -> DataFrame:
+    """A rollup that was added to batch by batch, and once more: the marks keep it from counting twice."""
+    store = A.rollup_store(s, d, "rollup_path_1h")
+    store.backfill("rollup_path_1h")
+    return store.merged("rollup_path_1h")
+
+
+def _unique_from_bitmaps(s: SparkSession, d: str) -> DataFrame:
+    """Addresses of the window by site, from hours of bitmaps and the window's edges."""
+    events, hour = A.access_events(s, d), 3600
+    lo, hi = whole(SINCE, UNTIL, hour)
+    known = ST.dense_keys(s.createDataFrame([], "client_ip string, key long"), events.where("id % 2 = 0"), "client_ip")
+    keys = kept(ST.dense_keys(known, events, "client_ip"), "address-keys")
+    by = ("site_id", "env")
+    hours = kept(ST.distinct_rollup(events, keys, "client_ip", *by), "address-bitmaps").where((F.col("bucket_ts") >= R.at(lo)) & (F.col("bucket_ts") < R.at(hi)))
+    edges = ST.distinct_rollup(R.window(events, SINCE, UNTIL).where((F.col("ts") < R.at(lo)) | (F.col("ts") >= R.at(hi))), keys, "client_ip", *by)
+    return ST.merge_distinct(hours.unionByName(edges), *by, name="unique_ips")
 
 
 def _histogram_sql(keys: str, src: str = "w") -> str:
@@ -131,22 +153,27 @@ def _histogram_sql(keys: str, src: str = "w") -> str:
 _add("site_summary_from_rollups", _sites_from_rollups, f"""{EV} SELECT a.site_id, a.env, requests, status_4xx, status_5xx, date_trunc('minute', first_seen) AS first_seen, date_trunc('minute', last_seen) + INTERVAL 1 MINUTE AS last_seen, unique_ips, avg_request_time_ms, coalesce(h.p95, 0.0) AS p95_request_time_ms, status_4xx_rate, status_5xx_rate
     FROM ({_SITES}) a LEFT JOIN {_histogram_sql('site_id, env')} h USING (site_id, env)""")
 
+_add("site_summary_over_a_gap", lambda s, d: _sites_from_rollups(s, d, gap=True), _sql["site_summary_from_rollups"])
+_add("totals_from_minutes_over_a_gap", lambda s, d: N.totals_from_minutes(_stored(s, d, "rollup_1m", gap=True)), _sql["totals_from_minutes"])
+_add("rollup_backfilled_twice", _backfilled_twice, _sql["rollup_path_1h"])
+_add("unique_ips_from_bitmaps", _unique_from_bitmaps, f"{EV} SELECT site_id, env, count(DISTINCT client_ip) AS unique_ips FROM w WHERE client_ip IS NOT NULL GROUP BY ALL")
+
 _VERIFIED = "CASE WHEN coalesce(manual_action, '') = 'suspicious' THEN false WHEN coalesce(manual_action, '') IN ('allowlisted', 'verified') THEN true WHEN coalesce(actor_type, '') IN ('cloud', 'datacenter', 'edge', 'hosting', 'vps', 'unknown', 'tor', '') THEN false ELSE coalesce(verified_actor, false) OR (coalesce(forward_confirmed, false) AND coalesce(known_actor, '') NOT IN ('', 'Tor exit')) END"
 _LOOSE = "CASE WHEN coalesce(manual_action, '') = 'suspicious' THEN false WHEN coalesce(manual_action, '') IN ('allowlisted', 'verified') THEN true ELSE coalesce(actor_type, '') NOT IN ('', 'datacenter', 'unknown', 'tor') AND (coalesce(verified_actor, false) OR (coalesce(forward_confirmed, false) AND coalesce(known_actor, '') <> '')) END"
 _INTEL_COLUMNS = "i.actor_type, i.known_actor, i.manual_action, i.forward_confirmed, i.verified_actor, i.is_tor_exit, i.is_datacenter, i.risk_score, i.country_code"
 _TOP_IPS = f"SELECT t.*, {_INTEL_COLUMNS}, {_VERIFIED} AS verified_source FROM (SELECT client_ip, {_FULL} FROM w WHERE client_ip IS NOT NULL GROUP BY client_ip ORDER BY requests DESC, client_ip LIMIT 25) t LEFT JOIN ip i ON i.ip = t.client_ip"
 _add("top_source_ips", lambda s, d: N.top_ips(_window(s, d), A.ip_intel(s, d)), f"{EV} {_TOP_IPS}")
-_add("top_source_ips_from_rollup", lambda s, d: N.top_ips_from_rollup(_with_edges(s, d, "rollup_ip_1h"), A.ip_intel(s, d)), f"{EV} {_TOP_IPS}")
+_add("top_source_ips_from_rollup", lambda s, d: N.top_ips_from_rollup(_stored(s, d, "rollup_ip_1h"), A.ip_intel(s, d)), f"{EV} {_TOP_IPS}")
 _on_window("top_paths", N.top_paths, f"SELECT coalesce(path, '') AS path, {_FULL} FROM w GROUP BY 1 ORDER BY requests DESC, path LIMIT 10")
 _on_window("status_breakdown", N.status_breakdown, "SELECT coalesce(status, 0) AS status, count(*) AS requests FROM w GROUP BY 1 ORDER BY requests DESC, status LIMIT 32")
 _add(
     "status_breakdown_from_rollup", lambda s,
-    d: _with_edges(s, d, "rollup_status_1h").groupBy("status").agg(F.sum("requests").alias("requests")).orderBy(F.desc("requests"), "status").limit(32),
+    d: _stored(s, d, "rollup_status_1h").groupBy("status").agg(F.sum("requests").alias("requests")).orderBy(F.desc("requests"), "status").limit(32),
     _sql["status_breakdown"],
 )
 _SLOW = f"SELECT site_id, env, coalesce(path, '') AS path, count(*) AS requests, avg(request_time_ms) AS avg_request_time_ms, percentile_cont(0.95) WITHIN GROUP (ORDER BY request_time_ms) AS p95_request_time_ms, {_C5} AS status_5xx, {_SEEN} FROM w WHERE request_time_ms IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 20"
 _on_window("slow_paths", N.slow_paths, f"{_SLOW} ORDER BY p95_request_time_ms DESC, requests DESC, site_id, env, path LIMIT 25")
-_add("slow_paths_from_rollup", lambda s, d: N.slow_paths_from_rollup(_with_edges(s, d, "rollup_path_latency_1h")), f"""{EV} SELECT s.* EXCLUDE (p95_request_time_ms), h.p95 AS p95_request_time_ms FROM ({_SLOW}) s JOIN {_histogram_sql('site_id, env, path')} h USING (site_id, env, path)
+_add("slow_paths_from_rollup", lambda s, d: N.slow_paths_from_rollup(_stored(s, d, "rollup_path_latency_1h")), f"""{EV} SELECT s.* EXCLUDE (p95_request_time_ms), h.p95 AS p95_request_time_ms FROM ({_SLOW}) s JOIN {_histogram_sql('site_id, env, path')} h USING (site_id, env, path)
     ORDER BY p95_request_time_ms DESC, requests DESC, site_id, env, path LIMIT 25""")
 _on_window(
     "path_5xx_hotspots", N.path_hotspots,

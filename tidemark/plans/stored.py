@@ -379,7 +379,7 @@ _RECORD_SQL = "SELECT how, user_agent, count(*) AS request_count FROM (SELECT un
 
 def _ip_rollups(s: SparkSession, d: str) -> dict[str, DataFrame]:
     events = A.access_events(s, d)
-    edges = lambda n: R.rollup_with_edges(R.build(events, n), events, n, SINCE, UNTIL)
+    edges = lambda n: A.rollup_store(s, d, n).rows(n, SINCE, UNTIL)
     return N.ip_detail_from_rollups(edges("rollup_ip_1h"), edges("rollup_ip_path_1h"), edges("rollup_ip_user_agent_1h"), "203.0.113.77")
 
 
