@@ -193,6 +193,33 @@ def test_repeated_passages(spark, seed):
     assert got == brute_repeats({k: split(t) for k, t in enumerate(texts)}, 50)
     cut = suffix_dedup.without_repeats(docs)
     assert cut.count() == docs.count() and cut.columns == docs.columns
+    for x in cut.where("doc_id is not null").collect():
+        text = dict(enumerate(texts)).get(x.doc_id, next((n[1] for n in NONE if n[0] == x.doc_id), None))
+        gone = {k for a, b in got.get(x.doc_id, []) for k in range(a, b)}
+        assert x.text == (text if not gone else " ".join(w for k, w in enumerate(text.split()) if k not in gone))
+
+
+def test_repeats_are_cut_where_they_stand(spark):
+    """Whole texts are compared: case, marks and other white space; texts of one doc_id are cut each at its own places."""
+    core = " ".join(f"Shared{k}," for k in range(60))
+    rows = [(1, f"\tx09 \\r keep  these\n{core} FINAL words-13.", "en", "s", 1), (2, f"{core}", "en", "s", 1), (2, " ".join(f"own{k}" for k in range(90)), "en", "s", 1), (2, f"before {core} after", "en", "s", 1), (3, "short  text\t", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted((x.doc_id, x.text) for x in suffix_dedup.without_repeats(docs).collect())
+    assert got == sorted([(1, "x09 \\r keep these FINAL words-13."), (2, ""), (2, rows[2][1]), (2, "before after"), (3, rows[4][1])])
+
+
+def test_secrets_are_replaced_at_their_places(spark):
+    key = "e3b3ed3cc8548923d6"
+    texts = [f"the password={key} stands, é\U0001f600 token = \"{key}{key}\" by {key}", f"pwd: tide7 in tide7s and ebbtide7; password={key}", f"password={key}"]
+    docs = frame(spark, texts)
+    found = secret_scan.scan(docs).collect()
+    for k, text in enumerate(texts):
+        values = {x.value for x in found if x.doc_id == k and x.is_secret}
+        assert key in values
+        for a, b in sorted({(x.start_char, x.end_char) for x in found if x.doc_id == k and x.value in values}, reverse=True):
+            text = text[:a] + "[SECRET]" + text[b:]
+        assert secret_scan.redact(docs).where(F.col("doc_id") == k).first().text == text
+    assert "tide7s and ebbtide7" in secret_scan.redact(docs).where("doc_id = 1").first().text
 
 
 def test_passages_of_templates_are_whole(spark):

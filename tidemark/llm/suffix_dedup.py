@@ -270,8 +270,14 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 5, window: i
     more than one, the whole text is the passage. Null, empty and shorter texts give no row, nor do
     rows without a doc_id; an empty table gives none; a doc_id that stands in several rows is reported
     for each. Nothing is dropped for being frequent: the windows of a common passage are counted in each task
-    before the sum.
+    before the sum. Keys that two suffixes share are matched by the sorted neighbours; where three or more share one, the
+    counted windows decide.
     """
+    return _passages(docs, least, gram, window).drop("text_hash")
+
+
+def _passages(docs: DataFrame, least: int, gram: int, window: int) -> DataFrame:
+    """``repeated_passages`` with the text_hash of each row's text, which tells apart texts of one doc_id."""
     if least < window + gram:
         raise ValueError("least must be window + gram or more")
     doc_id = docs.schema["doc_id"].dataType
@@ -296,10 +302,10 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = 5, window: i
     # of three and more, a neighbour need not be the partner that completes the passage
     matches = _matches(texts, met.where("n = 2"), least, window).unionByName(_window_matches(texts, met.where("n > 2"), least, window))
     inside = _joined(matches)
-    own = per_doc.select("doc_id", "cls", "n_words").join(classes.select("cls", "n_copies"), "cls")
-    copies = own.where("n_copies > 1").select("doc_id", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), "n_copies")
-    single = own.where("n_copies = 1").join(inside, "cls").select("doc_id", "start_word", "end_word", "n_copies")
-    return copies.unionByName(single).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "n_copies")
+    own = per_doc.select("doc_id", "text_hash", "cls", "n_words").join(classes.select("cls", "n_copies"), "cls")
+    copies = own.where("n_copies > 1").select("doc_id", "text_hash", F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), "n_copies")
+    single = own.where("n_copies = 1").join(inside, "cls").select("doc_id", "text_hash", "start_word", "end_word", "n_copies")
+    return copies.unionByName(single).select("doc_id", "text_hash", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "n_copies")
 
 
 _TEXT = ["doc_id", "text_hash"]
@@ -356,11 +362,14 @@ def _joined(matches: DataFrame) -> DataFrame:
     return numbered.groupBy("cls", "run").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word")).drop("run")
 
 
-def without_repeats(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with every word of a repeated passage taken out of ``text``, all occurrences alike.
-    Rows without repeats stay as they are; other columns stay in any case."""
-    found = repeated_passages(docs, **settings).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cut"))
-    joined = docs.join(found, "doc_id", "left")
-    words = F.expr("filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
-    left = F.expr("array_join(filter(__words, (w, i) -> not exists(__cut, c -> i >= c.start_word and i < c.end_word)), ' ')")
-    return joined.withColumn("__words", words).withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(left)).select(docs.columns)
+def without_repeats(docs: DataFrame, least: int = 50, gram: int = 5, window: int = 20) -> DataFrame:
+    """``docs`` with every word of a repeated passage taken out of ``text``, all occurrences alike; the words left stand
+    single-spaced, in their own case. Rows without repeats stay as they are, each text of a doc_id is cut at its own
+    places, and other columns stay in any case."""
+    found = _passages(docs, least, gram, window).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start_word", "end_word")).alias("__cut"))
+    found = found.withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
+    joined = docs.join(found, (docs["doc_id"] == F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
+    # a space on either side, so that the first and the last part are empty and places count from 1
+    words = F.split(F.concat(F.lit(" "), "text", F.lit(" ")), "[ \\t-\\r]+")
+    left = F.filter(words, lambda w, k: (w != "") & ~F.exists("__cut", lambda c: (k > c["start_word"]) & (k <= c["end_word"])))
+    return joined.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(left, " "))).select(docs.columns)
