@@ -216,16 +216,19 @@ def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", findings: DataFrame | None = None) -> DataFrame:
-    """``docs`` with ``mark`` in place of every secret found, wherever its value stands in that text.
+    """``docs`` with ``mark`` in place of every secret found: at its own places, and at the other places of that text where
+    the same value stands as a candidate. The same letters inside a longer word stay.
 
     n_chars, if there, is counted anew for changed texts. All rows and columns stay.
     """
-    found = scan(docs, findings).where("is_secret").groupBy("text_hash").agg(
-        F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("order"), "value"))).alias("__secrets")
-    )
+    spans = scan(docs, findings).groupBy("text_hash", "value").agg(F.max("is_secret").alias("secret"), F.collect_set(F.struct("start_char", "end_char")).alias("at"))
+    found = spans.where("secret").groupBy("text_hash").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("__secrets"))
     found = written(found, "secrets").withColumnRenamed("text_hash", "__hash")
     joined = docs.join(found, F.md5(docs["text"]) == F.col("__hash"), "left")
-    clean = F.aggregate("__secrets", F.col("text"), lambda text, x: F.replace(text, x["value"], F.lit(mark)))
+    text = F.col("text")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    step = lambda s, x: F.when(x["start_char"] < s["at"], s).otherwise(F.struct(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start_char"] - s["at"]), F.lit(mark)).alias("out"), x["end_char"].alias("at")))
+    clean = F.aggregate("__secrets", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     joined = joined.withColumn("text", F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
