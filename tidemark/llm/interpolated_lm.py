@@ -271,7 +271,7 @@ def _gathered(table: pa.Table, order: int) -> list[tuple[np.ndarray, np.ndarray]
     return [(join(n, "base"), join(n, "tuned")) for n in range(order)]
 
 
-def score_texts(docs: DataFrame, order: int = 2, folds: int = 10, held_out: int = 0, tuning: int = 1, block_tokens: int = 1 << 21, smoothing: float = 0.1) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 3, folds: int = 10, held_out: int = 0, tuning: int = 1, block_tokens: int = 1 << 21, smoothing: float = 0.1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Training documents are those whose crc32(doc_id as text) mod ``folds`` is not ``held_out``; of them, the
