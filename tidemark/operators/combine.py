@@ -89,11 +89,11 @@ def pending_segments(in_range: DataFrame, backlog: DataFrame, limit: int) -> Dat
 
 
 def with_access_fields(lines: DataFrame) -> DataFrame:
-    """``lines`` (raw, ...) with their fields in ``a``, null in lines that are none. Python sees only what a pattern cannot read."""
-    clean = lines.withColumn("__line", clean_line(F.col("raw")))
-    ordinary = is_ordinary(F.col("__line"))
-    read = clean.where(ordinary).withColumn("a", ordinary_fields(F.col("__line")))
-    return read.unionByName(clean.where(~ordinary).withColumn("a", access_fields("__line"))).drop("__line")
+    """``lines`` (raw, ...) with their fields in ``a``, null in lines that are none, in one read of them. Python sees only
+    what a pattern cannot read, and nulls for all else."""
+    clean = lines.withColumn("__line", clean_line(F.col("raw"))).withColumn("__plain", is_ordinary(F.col("__line")))
+    read = clean.withColumn("__other", access_fields(F.when(~F.col("__plain"), F.col("__line"))))
+    return read.withColumn("a", F.when(F.col("__plain"), ordinary_fields(F.col("__line"))).otherwise(F.col("__other"))).drop("__line", "__plain", "__other")
 
 
 def index_access(segment_lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from ipaddress import ip_address, ip_network
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -80,32 +80,37 @@ _PLAIN_V4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[
 
 
 def with_bits(rows: DataFrame, column: str, name: str = "__bits") -> DataFrame:
-    """``rows`` with the bits of an address column; Python sees only what is no plain IPv4 address. Nulls go."""
-    plain = F.col(column).rlike(_PLAIN_V4)
+    """``rows`` with the bits of an address column, in one read; Python sees nulls but for what is no plain IPv4 address.
+    Rows without an address go."""
     octet = lambda k: F.lpad(F.bin(F.split(column, r"\.")[k].cast("int")), 8, "0")
-    v4 = rows.where(plain).withColumn(name, F.concat(*map(octet, range(4))))
-    return v4.unionByName(rows.where(~plain).withColumn(name, address_bits(column))).where(F.col(name).isNotNull())
+    marked = rows.withColumn("__plain", F.coalesce(F.col(column).rlike(_PLAIN_V4), F.lit(False)))
+    read = marked.withColumn("__other", address_bits(F.when(~F.col("__plain"), F.col(column))))
+    return read.withColumn(name, F.when(F.col("__plain"), F.concat(*map(octet, range(4)))).otherwise(F.col("__other"))).where(F.col(name).isNotNull()).drop("__plain", "__other")
 
 
-def longest_prefix(ips: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``ips`` (ip, ...) with the columns of the longest range (cidr, ...) that holds each; ties by provider_id.
+def prefix_matches(ips: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(ip, __n, columns of ``ranges``) for each range (cidr, ...) that holds an address of ``ips``; __n is its length.
 
-    Ranges meet addresses by equality on (number of bits, prefix), once for each prefix length that occurs: at
-    most 33 + 129 rows an address, and no comparison of every address with every range. Rows without a
-    match stay, with nulls.
-    """
+    Ranges meet addresses by equality on (number of bits, prefix), once for each prefix length that occurs: no comparison of
+    every address with every range, and for hot prefixes the join may be dealt anew, as for any other key."""
     named = [c for c in ranges.columns if c != "ip"]
     parts = F.split("cidr", "/")
     own = with_bits(
         ranges.withColumns({"__base": parts[0], "__n": parts[1].cast("int")}), "__base",
     ).withColumn("__prefix", F.expr("left(__bits, __n)")).withColumn("__size", F.length("__bits"))
-    lengths = own.groupBy("__size").agg(F.collect_set("__n").alias("__ns"))  # two rows at most
+    lengths = own.groupBy("__size").agg(F.collect_set("__n").alias("__ns"))  # two rows at most, of 33 and 129 lengths
     asked = with_bits(ips.select("ip").distinct(), "ip").withColumn("__size", F.length("__bits"))
     tried = asked.join(F.broadcast(lengths), "__size").withColumn("__n", F.explode("__ns")).withColumn("__prefix", F.expr("left(__bits, __n)")).select("ip", "__size", "__n", "__prefix")
-    met = tried.join(own.select("__size", "__n", "__prefix", *named), ["__size", "__n", "__prefix"])
-    order = [F.desc("__n"), *([F.col("provider_id")] if "provider_id" in named else []), F.col("cidr")]
-    best = met.withColumn("__rank", F.row_number().over(Window.partitionBy("ip").orderBy(*order))).where("__rank = 1")
-    return ips.join(best.select("ip", *named), "ip", "left")
+    return tried.join(own.select("__size", "__n", "__prefix", *named), ["__size", "__n", "__prefix"]).select("ip", "__n", *named)
+
+
+def longest_prefix(ips: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``ips`` (ip, ...) with the columns of the longest range (cidr, ...) that holds each; ties by provider_id, then cidr. Rows without a
+    match stay, with nulls."""
+    named = [c for c in ranges.columns if c != "ip"]
+    order = F.struct(-F.col("__n"), *([F.col("provider_id")] if "provider_id" in named else []), F.col("cidr"))
+    best = prefix_matches(ips, ranges).groupBy("ip").agg(F.min_by(F.struct(*named), order).alias("__best")).select("ip", "__best.*")
+    return ips.join(best, "ip", "left")
 
 
 def located(ips: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -124,12 +129,7 @@ def allowlisted(ips: DataFrame, allowlist: DataFrame) -> DataFrame:
         ).alias("cidr"),
         F.col("label").alias("allow_label"), F.col("actor_type").alias("allow_type"),
     )
-    base = entries.withColumn("__base", F.split("cidr", "/")[0])
-    own = with_bits(base, "__base").withColumn("__prefix", F.expr("left(__bits, int(split(cidr, '/')[1]))")).withColumn("__size", F.length("__bits"))
-    asked = with_bits(ips.select("ip").distinct(), "ip")
-    met = asked.join(
-        F.broadcast(own.drop("__bits", "__base")), (F.length("__bits") == F.col("__size")) & F.col("__bits").startswith(F.col("__prefix")),
-    )  # a short list that people write
+    met = prefix_matches(ips, entries)
     first = met.groupBy("ip").agg(F.min_by("allow_label", "position").alias("allow_label"), F.min_by("allow_type", "position").alias("allow_type"))
     return ips.join(first, "ip", "left")
 

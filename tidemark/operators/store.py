@@ -87,18 +87,18 @@ class RollupStore:
         spec = R.ROLLUPS[name]
         todo = self.pending(name)
         todo = todo.orderBy("folder", "batch").limit(most) if most else todo
-        todo = todo.cache()
+        todo = todo.persist()
         added = todo.count()
         if added:
-            rows = self._table("events").join(todo.select("folder").distinct(), "folder", "left_semi")
+            rows, done = self._table("events").join(todo.select("folder").distinct(), "folder", "left_semi"), todo
             if spec.unique:
                 # what counts distinct values is counted anew, over all batches of its folder
                 self._write(R.build(rows, name).withColumn("folder", self.folder_of("bucket_ts")), name, "folder")
-                todo = self.held("events").join(todo.select("folder").distinct(), "folder", "left_semi")
+                done = self.held("events").join(todo.select("folder").distinct(), "folder", "left_semi")
             else:
                 own = rows.join(todo, ["folder", "batch"], "left_semi")
                 self._write(R.build(own, name, "batch").withColumn("folder", self.folder_of("bucket_ts")), name, "folder", "batch")
-            self._mark(todo, name)
+            self._mark(done, name)
         todo.unpersist()
         return added
 
