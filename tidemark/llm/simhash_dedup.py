@@ -267,15 +267,16 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     links = written(_alike(same.unionByName(near), sets, similarity), "links")
 
     alike_sizes = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")
-    for least in (True, False):
-        own = _with_parts(met, links).select("band", F.struct("part", "rep", "cls", "size").alias("b"))
-        leader = (F.min if least else F.max)("b").alias("a")
-        leaders = own.groupBy("band").agg(leader, F.min("b.part").alias("low"), F.max("b.part").alias("high")).where("low <> high").select("band", "a")
-        pairs = own.join(leaders, "band").where((F.col("a.part") != F.col("b.part")) & alike_sizes)
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared > 2").select("a", "b")
-        links = written(links.unionByName(_alike(pairs, sets, similarity)), "links")
-
-    own = written(_with_parts(met, links), "own")
+    joined = written(components(links), "joined")
+    own = _with_parts(met, joined).select("band", F.struct("part", "rep", "cls", "size").alias("b"))
+    ends = own.groupBy("band").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low.part <> high.part")
+    leaders = ends.select("band", F.explode(F.array("low", "high")).alias("a"))
+    pairs = own.join(leaders, "band").where((F.col("a.part") != F.col("b.part")) & alike_sizes)
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared > 2").select("a", "b")
+    links = written(_stars(joined).unionByName(_alike(pairs, sets, similarity)), "links")
+
+    joined = written(components(links), "joined")
+    own = written(_with_parts(met, joined), "own")
     apart = own.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band")
     own = written(own.join(apart, "band"), "apart")
     sketches = written(_sketches(sets.join(own.select("cls").distinct(), "cls", "left_semi")), "sketches")
@@ -286,16 +287,20 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     other = own.select(F.col("band").alias("band_b"), F.col("a").alias("b"))
     pairs = own.join(other, (F.col("band") == F.col("band_b")) & (F.col("a.part") < F.col("b.part")) & alike_sizes & (differ <= most))
     pairs = pairs.select(F.struct("a.rep", "a.cls").alias("a"), F.struct("b.rep", "b.cls").alias("b")).distinct()
-    links = written(links.unionByName(_alike(pairs, sets, similarity)), "links")
+    links = written(_stars(joined).unionByName(_alike(pairs, sets, similarity)), "links")
 
     linked = components(links)
     named = classes.join(linked, classes["rep"] == linked["node"], "left").select("cls", F.coalesce("component", "rep").alias("group"))
     return rows.select("doc_id", "cls").join(written(named, "groups"), "cls").select("doc_id", "group")
 
 
-def _with_parts(met: DataFrame, links: DataFrame) -> DataFrame:
-    """``met`` (band, cls, rep, size) with part: the smallest rep reachable over ``links``."""
-    joined = written(components(links), "joined")
+def _stars(joined: DataFrame) -> DataFrame:
+    """What is joined already as one link a node: the links that made it are not followed again."""
+    return joined.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
+def _with_parts(met: DataFrame, joined: DataFrame) -> DataFrame:
+    """``met`` (band, cls, rep, size) with part: the smallest rep reachable, by ``joined`` (node, component)."""
     return met.select("band", "cls", "rep", "size").join(joined, met["rep"] == joined["node"], "left").withColumn("part", F.coalesce("component", "rep")).drop("node", "component")
 
 
