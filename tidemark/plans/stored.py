@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import catalog, trust
+from tidemark.operators import carry
 from tidemark.operators import combine as C
 from tidemark.operators import intel as I
 from tidemark.operators import rollups as R
@@ -54,10 +55,33 @@ def _quarantined(s: SparkSession, d: str) -> DataFrame:
 
 def _carried(s: SparkSession, d: str) -> DataFrame:
     """Lines without a time between those of a PHP log, indexed."""
+    return _indexed(C.line_times(_traced(s, d)))
+
+
+def _traced(s: SparkSession, d: str) -> DataFrame:
     lines = A.log_lines(s, d).where("log_type = 'php-error'")
     trace = F.concat(F.lit("#0 trace "), "raw_line_no")
-    timed = C.line_times(lines.withColumn("raw", F.when(F.col("raw_line_no") % 3 == 1, trace).otherwise(F.col("raw")))).where("ts is not null")
-    return C.index_logs(timed.withColumn("fingerprint", F.col("raw_line_no").cast("string"))).select("fingerprint", "ts", "site_id", "severity", "message")
+    return lines.withColumn("raw", F.when(F.col("raw_line_no") % 3 == 1, trace).otherwise(F.col("raw")))
+
+
+def _indexed(timed: DataFrame) -> DataFrame:
+    marked = timed.where("ts is not null").withColumn("fingerprint", F.col("raw_line_no").cast("string"))
+    return C.index_logs(marked).select("fingerprint", "ts", "site_id", "severity", "message")
+
+
+def _carried_in_pieces(s: SparkSession, d: str) -> DataFrame:
+    """The same when the files come in three pieces, each with the last times of the one before."""
+    lines, last, parts = _traced(s, d), s.createDataFrame([], carry.LAST), []
+    for piece in range(3):
+        part = lines.where(_piece(F.col("raw_line_no")) == piece)
+        parts.append(carry.carried_times(part, last, 512))
+        last = carry.last_times(part, last, 512)
+    return _indexed(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+def _piece(line: Column) -> Column:
+    """0 up to line 300, 1 up to line 4,000, 2 from there."""
+    return F.when(line < 300, 0).when(line < 4000, 1).otherwise(2)
 
 
 _CARRIED_SQL = f"""lines AS (SELECT *, CASE WHEN id % 3 <> 1 THEN date_trunc('second', ts) END AS own FROM ({A.LOGS_SQL}) WHERE log_type = 'php-error'),
@@ -390,6 +414,7 @@ def registered(ev: str) -> Iterator[Found]:
     yield "new_rows", _new_rows, f"{ev} SELECT CAST(id AS VARCHAR) AS fingerprint, ts FROM ev WHERE id % 2 = 1"
     yield "quarantined_lines", _quarantined, f"{ev} SELECT site_id, id AS raw_line_no, 'garbage' AS raw, 'timestamp_parse_failed' AS reason FROM ev WHERE id % 17 = 0"
     yield "carried_log_lines", _carried, f"WITH {_CARRIED_SQL}"
+    yield "carried_log_lines_in_pieces", _carried_in_pieces, f"WITH {_CARRIED_SQL}"
     yield "changed_segments", lambda s, d: C.changed_segments(*_manifests(s, d)).select(*_HOUR), f"{ev} {_CHANGED_SQL}"
     yield "pending_segments", _pending, f"{ev} {_PENDING_SQL}"
     seen, done = _FILES.format(11), _FILES.format(13)

@@ -41,8 +41,9 @@ def _keep(lines: DataFrame, batch: int, root: str, tables: tuple[str, ...]) -> N
     """Add a batch's lines to the hours they touch and count these anew."""
     spark, events = lines.sparkSession, f"{root}/access_events"
     fresh = to_events(lines).withColumn("hour", F.date_format("ts", "yyyy-MM-dd-HH")).dropDuplicates(["fingerprint", "ts"])
-    fresh.write.mode("overwrite").parquet(f"{root}/_batch")  # read more than once, and lines are not to be parsed again
-    fresh = spark.read.parquet(f"{root}/_batch").withColumn("batch", F.lit(batch))
+    own = f"{root}/_batch/{batch}"
+    fresh.write.mode("overwrite").parquet(own)  # read more than once, and lines are not to be parsed again
+    fresh = spark.read.parquet(own).withColumn("batch", F.lit(batch))
     hours = [r["hour"] for r in fresh.select("hour").distinct().collect()]  # hours of one batch
     if not hours:
         return
@@ -56,7 +57,9 @@ def _keep(lines: DataFrame, batch: int, root: str, tables: tuple[str, ...]) -> N
     whole = spark.read.schema(fresh.schema).parquet(events).where(F.col("hour").isin(hours))
     for name in tables:
         counted = R.build(whole, name).withColumn("hour", F.date_format("bucket_ts", "yyyy-MM-dd-HH"))
-        counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour").parquet(f"{root}/{name}")
+        counted.repartition("hour", F.pmod(F.hash("site_id"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour").parquet(f"{root}/{name}")
+    before = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_batch/{batch - 1}")
+    before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
 
 
 TABLES = ("rollup_1m", "rollup_ip_1h", "rollup_path_1h", "rollup_status_1h")
