@@ -202,3 +202,13 @@ def test_scans_read_what_they_need(spark):
     plan = registry.queries()["status_breakdown"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
     assert "user_id" not in plan and "props" not in plan
+
+
+def test_database_probes_of_more_addresses_than_a_page(spark, tmp_path):
+    from tidemark.plans import registry
+
+    n = 100_050  # each an address, site and path of its own
+    one = spark.range(n).selectExpr("id * 40 + 1 AS event_id", "TIMESTAMP '2024-01-06 00:00:00' AS ts", "id * 37 + 1 AS user_id", "'view' AS event_type", "1.0D AS value", "'' AS props")
+    one.write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.queries()["database_probe_ips"](spark, str(tmp_path))
+    assert got.agg(F.count("*"), F.sum("requests")).first() == (n, n)

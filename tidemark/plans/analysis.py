@@ -207,15 +207,20 @@ def _hottest(rows: DataFrame, limit: int) -> DataFrame:
     return _top(rows.withColumn("rate", rate("status_5xx")).where("rate >= 0.2"), limit, F.desc("status_5xx"), F.desc("requests"), "site_id", "env", "path")
 
 
-def probe_summary(events: DataFrame, probes: DataFrame, family: str, category: str = "", limit: int = 25) -> DataFrame:
-    """Probes of a family by category, rule, site, environment, address and path, with the address's hits in all."""
+def probe_groups(probes: DataFrame, family: str, category: str = "") -> DataFrame:
+    """All probes of a family by category, rule, site, environment, address and path."""
     own = probes.where(F.col("family") == family)
     own = own.where(F.col("category") == category) if category else own
     keys = ["category", "rule_key", "site_id", "env", "client_ip", F.coalesce("path", F.lit("")).alias("path")]
-    rows = own.groupBy(*keys).agg(
+    return own.groupBy(*keys).agg(
         F.count("*").alias("requests"), _class(4), _class(5), F.max("method").alias("method"),
         F.max(F.coalesce("query", F.lit(""))).alias("sample_query"), F.max("match_reason").alias("match_reason"), *_seen(),
     )
+
+
+def probe_summary(events: DataFrame, probes: DataFrame, family: str, category: str = "", limit: int = 25) -> DataFrame:
+    """The busiest of ``probe_groups``, with the address's hits in all."""
+    rows = probe_groups(probes, family, category)
     top = _top(rows, limit, F.desc("requests"), "category", "site_id", "env", "client_ip", "path")
     hits = events.join(top.select("client_ip").distinct(), "client_ip", "left_semi").groupBy("client_ip").agg(F.count("*").alias("total_ip_hits"))
     return top.join(hits, "client_ip", "left").withColumn("total_ip_hits", F.coalesce("total_ip_hits", F.lit(0)))

@@ -472,7 +472,7 @@ def registered(ev: str, when: str, since: datetime, until: datetime) -> Iterator
     yield "merged_intervals", lambda s, d: merged_intervals(A.access_events(s, d).where("status >= 500").select("site_id", F.col("ts").cast("timestamp").alias("range_start"), (F.col("ts").cast("timestamp") + F.expr("interval 30 minutes")).alias("range_end")), "site_id"), f"""{ev}, iv AS (SELECT site_id, ts AS range_start, ts + INTERVAL 30 MINUTE AS range_end FROM ev WHERE status >= 500),
         m AS (SELECT *, max(range_end) OVER (PARTITION BY site_id ORDER BY range_start, range_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM iv), g AS (SELECT *, sum(CASE WHEN b IS NULL OR range_start > b THEN 1 ELSE 0 END) OVER (PARTITION BY site_id ORDER BY range_start, range_end) AS run FROM m) SELECT site_id, min(range_start) AS range_start, max(range_end) AS range_end FROM g GROUP BY site_id, run"""
     yield "database_probe_ips", lambda s, d: database_probe_ips(
-        N.probe_summary(window(s, d), probes.probes(window(s, d)), "injection", limit=100_000)
+        N.probe_groups(probes.probes(window(s, d)), "injection")
     ).withColumn("sites", F.array_join("sites", ", ")), f"{ev} SELECT client_ip, count(*) AS requests, {c4} AS status_4xx, {c5} AS status_5xx, string_agg(DISTINCT site_id, ', ' ORDER BY site_id) AS sites FROM w WHERE query = 'id=1%20OR%201%3D1' AND client_ip IS NOT NULL GROUP BY 1"
     yield "retention_counts", lambda s, d: retention_counts(
         {"access_events": (A.access_events(s, d), "ts", until), "log_events": (A.log_events(s, d), "ts", since)}
