@@ -166,3 +166,12 @@ def test_json_lines_are_what_was_written(spark, tmp_path):
     logs.write_segments(kept, str(tmp_path / "s"))
     text = gzip.decompress(next(iter((tmp_path / "s").rglob("*.json.gz"))).read_bytes()).decode()
     assert json.loads(text)["ts"] == "2026-06-17T14:22:31Z"
+
+
+def test_times_are_worked_out_once_a_line(spark):
+    """Filters on the time stand above the place where it is worked out, not below with a copy of it."""
+    lines = spark.range(3).selectExpr("'s' AS site_id", "'e' AS env", "'c' AS container_id", "'nginx-access' AS log_type", "'f' AS raw_file_id", "id AS raw_line_no", "concat('x [05/Jan/2024:10:00:0', id, ' +0000]') AS raw")
+    timed = C.line_times(lines).where("ts is not null")
+    assert timed.count() == 3
+    plan = timed._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "regexp" in x]

@@ -40,7 +40,8 @@ def line_times(lines: DataFrame) -> DataFrame:
     before = Window.partitionBy(*SOURCE, "log_type", "raw_file_id").orderBy("raw_line_no").rowsBetween(Window.unboundedPreceding, 0)
     others = timed.where(~alone & F.col("raw_file_id").isNotNull()).withColumn("__own", parse_log(F.col("raw"))["ts"])
     carried = others.withColumn("ts", F.last("__own", ignorenulls=True).over(before)).drop("__own")
-    return timed.where(alone | F.col("raw_file_id").isNull()).withColumn("ts", own).unionByName(carried)
+    # a generator, so that filters on the time are not pushed below it, where each would work the time out anew
+    return timed.where(alone | F.col("raw_file_id").isNull()).withColumn("ts", F.explode(F.array(own))).unionByName(carried)
 
 
 def combine(lines: DataFrame, since: datetime | None = None, until: datetime | None = None) -> tuple[DataFrame, DataFrame]:
