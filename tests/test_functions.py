@@ -211,3 +211,10 @@ def test_search(spark):
     assert ids("path:/* status:<500") == [2]
     assert ids("site:site-1 or severity:warning") == [1, 2]
     assert ids("nothing:here") == []
+
+
+def test_lines_without_a_valid_address_need_no_python(spark):
+    lines = [f'{ip} - - [05/Jan/2024:10:00:00 +0000] "GET /a?b=1 HTTP/1.1" 200 5 "-" "x y" 0.250' for ip in ("203.0.113.900", "203.0.113.9", "1.2.3", "010.1.1.1", "7", "1.2.3.4.5", ".", "256.1.1.1")]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").where(parsing.is_ordinary(F.col("line"))).withColumn("a", parsing.ordinary_fields(F.col("line"))).collect()
+    assert len(rows) == len(lines)
+    assert all(tuple(r.a) == parsing.parse_access(r.line) for r in rows)

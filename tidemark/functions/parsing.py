@@ -141,15 +141,23 @@ def parse_access(line: str) -> tuple | None:
 @pandas_udf(ACCESS)
 def access_fields(lines: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Arrow-batched ``parse_access``; a row of nulls for lines that are none."""
+    none = None
     for batch in lines:
+        if not batch.notna().any():  # most batches of plain lines: one frame of nulls serves all of a length
+            if none is None or len(none) != len(batch):
+                none = pd.DataFrame({f.name: pd.array([None] * len(batch), dtype="string" if f.dataType == T.StringType() else "Int64") for f in ACCESS.fields})
+            yield none
+            continue
         rows = [parse_access(x) if x else None for x in batch]
         yield pd.DataFrame({f.name: pd.array([r[k] if r else None for r in rows], dtype="string" if f.dataType == T.StringType() else "Int64") for k, f in enumerate(ACCESS.fields)})
 
 
 _NUMBER = r"(?:-|\d{1,9}(?:\.\d{1,9})?)"
-#: An access line whose fields need no more than cutting: an IPv4 address or none, a plain target, no escapes, nothing left out.
+_IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
+#: An access line whose fields need no more than cutting: digits and dots for an address, or none, a plain target, no escapes,
+#: nothing left out.
 ORDINARY = (
-    r"^((?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)|-) [^\s\"\[\]\\,]+ [^\s\"\[\]\\,]+ \[[^\]\"\\,]+\] "
+    r"^([0-9.]+|-) [^\s\"\[\]\\,]+ [^\s\"\[\]\\,]+ \[[^\]\"\\,]+\] "
     r"\"([A-Z]+) (/(?!/)[^\s\"\\%#?,\x00-\x20\x7f]*|/)(?:\?([^\s\"\\#,\x00-\x20\x7f]*))? HTTP/[0-9.]+\" "
     rf"(\d{{1,3}}) (-|\d{{1,18}}) \"([^\"\\\x01]+)\" \"([^\"\\\x01]+)\"(?: ({_NUMBER}))?(?: ({_NUMBER}))?$"
 )
@@ -163,7 +171,10 @@ def is_ordinary(line: Column) -> Column:
 
 def ordinary_fields(line: Column) -> Column:
     """What ``parse_access`` makes of an ordinary line, from one match: its groups with a sign between that it cannot hold."""
-    cut = F.split(F.regexp_replace(line, ORDINARY, "\x01".join(f"${k}" for k in range(1, 11))), "\x01", -1)
+    return let(F.split(F.regexp_replace(line, ORDINARY, "\x01".join(f"${k}" for k in range(1, 11))), "\x01", -1), _cut_fields)
+
+
+def _cut_fields(cut: Column) -> Column:
     part = lambda k: F.get(cut, F.lit(k - 1))
     dash = lambda c: F.when(c == "-", "").otherwise(c)
 
@@ -173,7 +184,7 @@ def ordinary_fields(line: Column) -> Column:
         return F.when(F.coalesce(seconds, F.lit(0.0)) > 0, whole).otherwise(0).cast("int")
 
     values = {
-        "client_ip": dash(part(1)), "method": part(2), "scheme": F.lit(""), "host": F.lit(""), "path": part(3), "query": part(4), "status": part(5).cast("int"),
+        "client_ip": F.when(part(1).rlike(_IPV4), part(1)).otherwise(""), "method": part(2), "scheme": F.lit(""), "host": F.lit(""), "path": part(3), "query": part(4), "status": part(5).cast("int"),
         "bytes_sent": F.coalesce(part(6).try_cast("long"), F.lit(0).cast("long")), "referer": dash(part(7)), "user_agent": dash(part(8)), "request_time_ms": ms(part(9)), "upstream_time_ms": ms(part(10)),
     }
     return F.struct(*(c.alias(n) for n, c in values.items()))

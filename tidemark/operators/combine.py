@@ -94,7 +94,8 @@ def with_access_fields(lines: DataFrame) -> DataFrame:
     what a pattern cannot read, and nulls for all else."""
     clean = lines.withColumn("__line", clean_line(F.col("raw"))).withColumn("__plain", is_ordinary(F.col("__line")))
     read = clean.withColumn("__other", access_fields(F.when(~F.col("__plain"), F.col("__line"))))
-    return read.withColumn("a", F.when(F.col("__plain"), ordinary_fields(F.col("__line"))).otherwise(F.col("__other"))).drop("__line", "__plain", "__other")
+    # by a generator: else each use of a field would cut the line anew
+    return read.withColumn("a", F.explode(F.array(F.when(F.col("__plain"), ordinary_fields(F.col("__line"))).otherwise(F.col("__other"))))).drop("__line", "__plain", "__other")
 
 
 def index_access(segment_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
