@@ -529,6 +529,22 @@ def test_weights_find_the_mixture():
     assert np.allclose(w[0] @ p, true @ p, atol=0.02)
 
 
+def test_weights_from_sums_over_a_table(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    codes = np.unique(r.integers(0, 24, 5000) << 30 | r.integers(0, 200, (3, 5000)).T @ (1 << 10 * np.arange(3)))
+    codes[::7] |= 1023
+    codes = np.unique(codes)
+    n = r.integers(1, 50, len(codes))
+    own = interpolated_lm.learn_weights(interpolated_lm._decoded(codes, 3, 0.001), n, 4, rounds=5)
+    shared = interpolated_lm._shares_of(spark.createDataFrame(list(zip(codes.tolist(), n.tolist(), strict=True)), "cell long, n long"), 3, 0.001)
+    assert np.allclose(interpolated_lm.learn_weights(shared, None, 4, rounds=5), own, rtol=1e-9)
+    # the driver never holds the cells of a corpus
+    learn, seen = interpolated_lm.learn_weights, []
+    monkeypatch.setattr(interpolated_lm, "learn_weights", lambda cells, numbers, orders: seen.append((cells, numbers)) or learn(cells, numbers, orders))
+    assert interpolated_lm.score_texts(frame(spark, [prose(k, 30) for k in range(20)], NONE)).count() == 20 + len(NONE)
+    assert callable(seen[0][0]) and seen[0][1] is None
+
+
 # ---- 2 and 3
 
 def test_language_id(spark, empty):

@@ -15,7 +15,7 @@ tasks by their number, so that a range and a task stay the same size however man
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,8 +110,8 @@ class Block:
         self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
         self.folds = np.frombuffer(row["folds"], np.uint8)
         vocabulary = np.frombuffer(row["vocabulary"], "<u8").astype(np.uint64)
-        tokens = from_planes(row["tokens"])
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        tokens = from_planes(row["tokens"]).astype(np.int32)
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         fold_of = self.folds[self.doc]
         self.base, self.tuned = (fold_of != held_out) & (fold_of != tuning), fold_of == tuning
         self.keys, self.at = [vocabulary], [tokens]
@@ -122,13 +122,14 @@ class Block:
             # the key of order n at a token: that of order n - 1 at the token before, and the word itself
             before = np.concatenate(([begin], grams[:-1]))
             before[starts] = begin
-            own, place = np.unique(_narrow(mix(before, words)), return_inverse=True)
+            grams = _narrow(mix(before, words))
+            del before
+            own, place = np.unique(grams, return_inverse=True)
             self.keys.append(own)
-            self.at.append(place)
-            ahead = np.concatenate(([-1], self.at[n - 2][:-1]))
+            self.at.append(place.astype(np.int32))
+            ahead = np.roll(self.at[n - 2], 1)
             ahead[starts] = -1
             self.context.append(ahead)
-            grams = own[place]
 
     def counts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         size = len(self.keys[n])
@@ -205,7 +206,7 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
 # ---- the model
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
-    return np.minimum(CONTEXT_BUCKETS - 1, np.log2(count + 1.0).astype(np.int64))
+    return np.minimum(CONTEXT_BUCKETS - 1, np.log2(count + 1.0).astype(np.int8))
 
 
 def estimates(block: Block, counts: list[np.ndarray], tokens: int, texts: int, distinct: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -220,27 +221,31 @@ def estimates(block: Block, counts: list[np.ndarray], tokens: int, texts: int, d
     return out, context_bucket(seen)
 
 
-def learn_weights(cells: np.ndarray, numbers: np.ndarray, orders: int, rounds: int = 60, prior: float = 20.0) -> np.ndarray:
-    """Mixture weights by bucket from (bucket, estimates...) cells and how many tokens fall into each.
+def shares(cells: np.ndarray, numbers: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """How many of the tokens each order accounts for, by bucket, under ``weights``: the sums of one round of EM."""
+    bucket = cells[:, 0].astype(np.int64)
+    part = cells[:, 1:] * weights[bucket]
+    part *= (numbers / np.maximum(part.sum(1), 1e-300))[:, None]
+    return np.column_stack([np.bincount(bucket, x, CONTEXT_BUCKETS) for x in part.T])
+
+
+def learn_weights(cells: np.ndarray | Callable[[np.ndarray], np.ndarray], numbers: np.ndarray | None, orders: int, rounds: int = 60, prior: float = 20.0) -> np.ndarray:
+    """Mixture weights by bucket from (bucket, estimates...) cells and how many tokens fall into each, or from a
+    function that gives the ``shares`` of cells that stand elsewhere; all that comes here then is its sums.
 
     All buckets together come first; their weights, worth ``prior`` tokens, steady the rare buckets.
     """
+    shared = cells if callable(cells) else lambda weights: shares(cells, numbers, weights)
     weights = np.full((CONTEXT_BUCKETS, orders), 1.0 / orders)
-    if not len(cells):
-        return weights
-
-    def maximise(p: np.ndarray, n: np.ndarray, start: np.ndarray, belief: np.ndarray) -> np.ndarray:
-        w = start
-        for _ in range(rounds):
-            part = p * w
-            total = (n[:, None] * part / np.maximum(part.sum(1, keepdims=True), 1e-300)).sum(0) + belief
-            w = total / total.sum()
-        return w
-
-    overall = maximise(cells[:, 1:], numbers, weights[0], np.full(orders, 1e-3))
-    for b in range(CONTEXT_BUCKETS):
-        own = cells[:, 0] == b
-        weights[b] = maximise(cells[own, 1:], numbers[own], overall, prior * overall) if own.any() else overall
+    for k in range(rounds):
+        total = shared(weights).sum(0)
+        if not k and not total.any():
+            return weights
+        weights = np.tile((total + 1e-3) / (total + 1e-3).sum(), (CONTEXT_BUCKETS, 1))
+    belief = prior * weights
+    for _ in range(rounds):
+        total = shared(weights) + belief
+        weights = total / total.sum(1, keepdims=True)
     return weights
 
 
@@ -255,20 +260,42 @@ def _cells(p: list[np.ndarray], bucket: np.ndarray) -> np.ndarray:
     return code
 
 
+_ESTIMATE = np.append(2.0 ** (-np.arange(1023) / _STEP), 0.0)
+
+
 def _decoded(codes: np.ndarray, order: int, uniform: float) -> np.ndarray:
-    columns, rest = [], codes.copy()
-    for _ in range(order):
-        q = rest % 1024
-        columns.append(np.where(q == 1023, 0.0, 2.0 ** (-q / _STEP)))
-        rest //= 1024
-    return np.column_stack([rest, np.full(len(codes), uniform), *columns[::-1]])
+    columns = [_ESTIMATE[codes >> 10 * k & 1023] for k in reversed(range(order))]
+    return np.column_stack([codes >> 10 * order, np.full(len(codes), uniform), *columns])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (cell, n) rows of a batch as one row of two arrays."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([x.to_numpy().astype("<i8").tobytes()]) for x in batch.columns], names=["cell", "n"])
+
+
+def _shares_of(cells: DataFrame, order: int, uniform: float) -> Callable[[np.ndarray], np.ndarray]:
+    """``shares`` over a table (cell, n), summed in Spark: of each round one small array a task reaches the driver."""
+    rows = written(cells.mapInArrow(_packed, "cell binary, n binary"), "tuning-cells")
+
+    def shared(weights: np.ndarray) -> np.ndarray:
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(weights.shape)
+            for batch in batches:
+                for codes, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                    total += shares(_decoded(np.frombuffer(codes, "<i8"), order, uniform), np.frombuffer(n, "<i8"), weights)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["total"])
+
+        sums = [np.frombuffer(r["total"]).reshape(weights.shape) for r in rows.mapInArrow(own, "total binary").collect()]
+        return sum(sums, np.zeros(weights.shape))
+
+    return shared
 
 
-def _gathered(table: pa.Table, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A block's answers put together again, by order: (base, tuned)."""
+def _gathered(table: pa.Table, order: int, *columns: str) -> list[np.ndarray]:
+    """A block's answers put together again, by order: the sum of the named counts."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["n"], r["range"]))
-    join = lambda n, c: np.concatenate([from_planes(r[c]) for r in rows if r["n"] == n])
-    return [(join(n, "base"), join(n, "tuned")) for n in range(order)]
+    return [np.concatenate([sum(from_planes(r[c]) for c in columns) for r in rows if r["n"] == n]) for n in range(order)]
 
 
 def score_texts(docs: DataFrame, order: int = 3, folds: int = 10, held_out: int = 0, tuning: int = 1, block_tokens: int = 1 << 21, smoothing: float = 0.1) -> DataFrame:
@@ -299,14 +326,14 @@ def score_texts(docs: DataFrame, order: int = 3, folds: int = 10, held_out: int
 
     def tune(key: tuple, block: pa.Table, answer: pa.Table) -> pa.Table:
         own = Block(block.to_pylist()[0], order, held_out, tuning)
-        p, bucket = estimates(own, [base for base, _ in _gathered(answer, order)], tokens, texts, distinct_base)
+        p, bucket = estimates(own, _gathered(answer, order, "base"), tokens, texts, distinct_base)
         codes, n = np.unique(_cells(p, bucket), return_counts=True)
         return pa.table({"cell": pa.array(codes), "n": pa.array(n.astype(np.int64))})
 
     by_block = lambda some: some.repartition(tasks, "block").groupBy("block")
     own_blocks, own_answers = by_block(blocks.where("tuning")), by_block(answers.where("tuning"))
-    cells = own_blocks.cogroup(own_answers).applyInArrow(tune, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # bounded by the number of cells
-    weights = learn_weights(_decoded(cells["cell"].to_numpy(np.int64), order, 1.0 / (distinct_base + 1)), cells["n"].to_numpy(float), order + 1)
+    cells = own_blocks.cogroup(own_answers).applyInArrow(tune, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    weights = learn_weights(_shares_of(cells, order, 1.0 / (distinct_base + 1)), None, order + 1)
 
     out = T.StructType(
         [
@@ -320,9 +347,11 @@ def score_texts(docs: DataFrame, order: int = 3, folds: int = 10, held_out: int
     def score(key: tuple, block: pa.Table, answer: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         own = Block(row, order, held_out, tuning)
-        counts = [base + tuned for base, tuned in _gathered(answer, order)]
+        counts = _gathered(answer, order, "base", "tuned")
         p, bucket = estimates(own, counts, all_tokens, all_texts, distinct)
-        mixed = sum(w * x for w, x in zip(weights[bucket].T, p, strict=True))
+        mixed = np.zeros(len(bucket))
+        for w in reversed(weights.T):  # each estimate goes as soon as it is added
+            mixed += w[bucket] * p.pop()
         c = counts[0][own.at[0]]
         add = lambda x: np.bincount(own.doc, x, len(own.lengths))
         base = np.log10((c + smoothing) / (all_tokens + smoothing * (distinct + 1)))
