@@ -146,6 +146,13 @@ def test_near_pairs_of_alike_sizes(spark):
     assert got == {(min(a, b), max(a, b)) for a, b in itertools.combinations(points, 2) if (a ^ b).bit_count() <= 6 and min(points[a], points[b]) >= 0.8 * max(points[a], points[b])}
 
 
+def test_near_pairs_broadcast_no_cells(spark):
+    """A fingerprint is listed in tens of cells, which a plan must not take for as small as the fingerprints."""
+    fps = spark.range(1000).withColumnRenamed("id", "fp")
+    plan = simhash_dedup.near_pairs(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("bits", [0, 1, 3, 4, 5, 7])
 def test_near_pairs_of_random_fingerprints(spark, bits):
     r = random.Random(bits)

@@ -121,7 +121,8 @@ def near_pairs(fps: DataFrame, max_bits: int = 4, alike: float | None = None) ->
         near = near & (F.col("part_a") != F.col("part_b"))
     if alike:
         near = near & (F.least("size_a", "size_b") >= alike * F.greatest("size_a", "size_b"))
-    return a.join(b, same & near).select("fp_a", "fp_b", bits.alias("bits")).distinct()
+    # Spark takes either side for as small as its source, before the listing of cells, and would broadcast tens of rows a fingerprint
+    return a.join(b.hint("merge"), same & near).select("fp_a", "fp_b", bits.alias("bits")).distinct()
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 4, words_per_shingle: int = 4) -> DataFrame:
