@@ -1,8 +1,10 @@
 """The corpus operators against brute force, on small tables with nulls, empty and long texts, ties and clashing columns."""
 
+import inspect
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -483,6 +485,21 @@ def test_alignment(seed):
 
 # ---- 9
 
+def test_interpolated_lm_block_memory():
+    """A block of the default size and its estimates, of which an executor holds one a core."""
+    size = inspect.signature(interpolated_lm.score_texts).parameters["block_tokens"].default
+    words = np.random.default_rng(1).zipf(1.2, size).clip(1, 200_000)
+    own, tokens = np.unique(words, return_inverse=True)
+    vocabulary, lengths = np.sort(np.random.default_rng(2).integers(0, 1 << 48, len(own), np.uint64)), np.full(size // 256, 256, "<u4")
+    row = {"lengths": lengths.tobytes(), "folds": bytes([5]) * len(lengths), "vocabulary": vocabulary.tobytes(), "tokens": interpolated_lm.planes(tokens)}
+    tracemalloc.start()
+    block = interpolated_lm.Block(row, 3, 0, 1)
+    interpolated_lm.estimates(block, [block.counts(n)[0] for n in range(3)], size, len(lengths), len(own))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160e6, peak
+
+
 def test_interpolated_lm(spark, empty):
     texts = [prose(k, 5 + 7 * k % 60) for k in range(60)] + [prose(3, 26)] * 5
     docs = frame(spark, texts, NONE)

@@ -9,8 +9,9 @@ Counts cover the whole corpus and nobody holds them whole. Documents become bloc
 size, each with its own sorted vocabulary. A block asks for the counts of its distinct n-grams, one
 request per range of n-gram hashes; a range gathers the requests of all blocks, adds them up and answers
 each in the order asked, so that answers carry no keys. As every block names an n-gram once,
-a frequent one weighs no more than a rare one. There are as many ranges as blocks, and both are dealt to
-tasks by their number, so that a range and a task stay the same size however many texts there are.
+a frequent one weighs no more than a rare one. There are half as many ranges as blocks, each worked off by
+order, and both are dealt to tasks by their number, so that a range and a task stay the same size however
+many texts there are.
 """
 
 from __future__ import annotations
@@ -177,29 +178,28 @@ def _requests(order: int, held_out: int, tuning: int, ranges: int):
 
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """Add up one range's counts and answer each request in its own order."""
-    out = []
-    for n in sorted(set(table.column("n").to_pylist())):
-        rows = table.filter(pc.equal(table.column("n"), n)).to_pylist()
-        keys = np.concatenate([np.frombuffer(r["low"], "<u4").astype(np.uint64) | np.frombuffer(r["high"], "<u2").astype(np.uint64) << np.uint64(32) for r in rows])
-        own, place = np.unique(keys, return_inverse=True)
-        base, tuned = (np.bincount(place, np.concatenate([from_planes(r[c]) for r in rows]), len(own)).astype(np.int64) for c in ("base", "tuned"))
-        cut = 0
-        for r in rows:
-            at = place[cut : cut + len(r["low"]) // 4]
-            cut += len(at)
-            out.append(
-                {
-                    "block": r["block"], "tuning": r["tuning"], "n": n, "range": key[0].as_py(), "base": planes(base[at]), "tuned": planes(tuned[at]),
-                    "distinct": None, "distinct_base": None,
-                }
-            )
+    """Add up the counts of one range and order, and answer each request in its own order."""
+    range_, n = (x.as_py() for x in key)
+    rows, out = table.to_pylist(), []
+    keys = np.concatenate([np.frombuffer(r["low"], "<u4").astype(np.uint64) | np.frombuffer(r["high"], "<u2").astype(np.uint64) << np.uint64(32) for r in rows])
+    own, place = np.unique(keys, return_inverse=True)
+    base, tuned = (np.bincount(place, np.concatenate([from_planes(r[c]) for r in rows]), len(own)).astype(np.int64) for c in ("base", "tuned"))
+    cut = 0
+    for r in rows:
+        at = place[cut : cut + len(r["low"]) // 4]
+        cut += len(at)
         out.append(
             {
-                "block": -1, "tuning": False, "n": n, "range": key[0].as_py(), "base": None, "tuned": None, "distinct": int((base + tuned > 0).sum()),
-                "distinct_base": int((base > 0).sum()),
+                "block": r["block"], "tuning": r["tuning"], "n": n, "range": range_, "base": planes(base[at]), "tuned": planes(tuned[at]),
+                "distinct": None, "distinct_base": None,
             }
         )
+    out.append(
+        {
+            "block": -1, "tuning": False, "n": n, "range": range_, "base": None, "tuned": None, "distinct": int((base + tuned > 0).sum()),
+            "distinct_base": int((base > 0).sum()),
+        }
+    )
     return pa.Table.from_pylist(out, _ANSWER_ARROW)
 
 
@@ -298,7 +298,7 @@ def _gathered(table: pa.Table, order: int, *columns: str) -> list[np.ndarray]:
     return [np.concatenate([sum(from_planes(r[c]) for c in columns) for r in rows if r["n"] == n]) for n in range(order)]
 
 
-def score_texts(docs: DataFrame, order: int = 3, folds: int = 10, held_out: int = 0, tuning: int = 1, block_tokens: int = 1 << 21, smoothing: float = 0.1) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 3, folds: int = 10, held_out: int = 0, tuning: int = 1, block_tokens: int = 1 << 20, smoothing: float = 0.1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Training documents are those whose crc32(doc_id as text) mod ``folds`` is not ``held_out``; of them, the
@@ -310,11 +310,11 @@ def score_texts(docs: DataFrame, order: int = 3, folds: int = 10, held_out: int
     one is zero.
     """
     blocks = written(token_blocks(docs, folds, tuning, block_tokens), "token-blocks")
-    # a range is as large as a block, and a task works off about two of them, whatever the size of the corpus
-    ranges = max(16, blocks.count())
-    tasks = -(-ranges // 2)
+    # one order of a range is about as large as a block, and a task works off about two of either, whatever the size of the corpus
+    n_blocks = max(16, blocks.count())
+    ranges, tasks = max(16, n_blocks // 2), -(-n_blocks // 2)
     asked = blocks.mapInArrow(_requests(order, held_out, tuning, ranges), _REQUEST)
-    answers = written(asked.repartition(tasks, "range").groupBy("range").applyInArrow(_answer, _ANSWER), "ngram-counts")
+    answers = written(asked.repartition(tasks, "range", "n").groupBy("range", "n").applyInArrow(_answer, _ANSWER), "ngram-counts")
     totals = answers.where("block = -1 and n = 0").agg(F.sum("distinct"), F.sum("distinct_base")).first()
     distinct, distinct_base = totals[0] or 0, totals[1] or 0
     sizes = {
