@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import queries
+from tidemark.llm import queries, simhash_dedup
 from tidemark.llm.common import written
 
 SF = "/root/testdata/sf0.01"
@@ -88,3 +88,27 @@ def test_odd_documents(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, str(tmp_path)), name.replace(" ", "-"))
     assert {r.doc_id for r in docs.collect()} >= {1, 3, 4}
+
+
+def test_likely_texts(spark):
+    """All texts that are wanted pass before the shuffle, and few others."""
+    rows = spark.range(40_000).selectExpr("id AS doc_id", "xxhash64(id) AS text_hash", "'x' AS text")
+    wanted = rows.where("doc_id % 7 = 0").select("doc_id", "text_hash")
+    got = simhash_dedup._likely(rows, wanted)
+    assert got.columns == rows.columns
+    assert got.join(wanted, ["doc_id", "text_hash"]).count() == wanted.count()
+    assert got.count() < wanted.count() + 0.1 * 40_000
+    assert simhash_dedup._likely(rows, wanted.where("false")).isEmpty()
+
+
+def test_candidates_are_listed_once(spark, monkeypatch):
+    """Texts that are not quite alike share several bands, and are compared once."""
+    seen, alike = [], simhash_dedup._alike
+    monkeypatch.setattr(simhash_dedup, "_alike", lambda pairs, *more: seen.append(pairs) or alike(pairs, *more))
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(w if k % 12 != i or k > 200 else f"{w}x{i}" for k, w in enumerate(base)) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    simhash_dedup.similar_groups(docs, 0.8).collect()
+    last = seen[-1]
+    assert last._jdf.queryExecution().analyzed().nodeName() != "Distinct"
+    assert last.count() == last.distinct().count()

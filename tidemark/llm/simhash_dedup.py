@@ -191,6 +191,22 @@ def text_classes(docs: DataFrame, words_per_shingle: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_CLASS}")
 
 
+#: Bits of the bitmap that tells which texts are wanted, for each of them: one text in 16 of the others passes, too.
+_BITS = 16
+
+
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose (doc_id, text_hash) is not in ``wanted``, so that few texts are shuffled. What is
+    broadcast are ``_BITS`` bits a wanted text."""
+    buckets = max(1, -(-wanted.count() * _BITS // 32768))
+    place = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets << 15))
+    bucket, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit(32767)).cast("int")
+    marked = wanted.select(bucket.alias("bucket"), bit.cast("long").alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("marked"))
+    byte = F.conv(F.hex(F.substring("marked", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1
+    return rows.withColumn("bucket", bucket).join(F.broadcast(marked), "bucket").where(found).drop("bucket", "marked")
+
+
 def _shingle_sets(docs: DataFrame, classes: DataFrame, words_per_shingle: int) -> DataFrame:
     """(cls, shingles) of ``classes`` (rep, text_hash, cls), from the texts of ``docs``."""
 
@@ -205,7 +221,8 @@ def _shingle_sets(docs: DataFrame, classes: DataFrame, words_per_shingle: int) -
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "shingles"])
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    texts = hashed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "text_hash"]).select("cls", "text")
+    wanted = classes.withColumnRenamed("rep", "doc_id")
+    texts = _likely(hashed, wanted).join(wanted, ["doc_id", "text_hash"]).select("cls", "text")
     return texts.mapInArrow(run, "cls binary, shingles array<long>").dropDuplicates(["cls"])
 
 
@@ -241,7 +258,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     2. Classes that share three bands or more with the least or the greatest of a band's classes.
     3. Whatever shares a band and is not joined yet. The join compares the sketches of both texts and keeps pairs that
        differ in no more bits than four standard deviations above what the similarity expects (one link in 30,000 at the
-       very edge differs in more), so that large groups of texts that are just not alike enough give few rows.
+       very edge differs in more), so that large groups of texts that are just not alike enough give few rows. A pair
+       that shares several bands is one row: it meets in the least of them.
 
     Texts that are joined already do not meet again, so that a group of edited copies does not give all its pairs. At the
     least similarity 0.9996 of the links share a band, above it more.
@@ -280,14 +298,16 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     own = written(_with_parts(met, joined), "own")
     apart = own.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band")
     own = written(own.join(apart, "band"), "apart")
-    sketches = written(_sketches(sets.join(own.select("cls").distinct(), "cls", "left_semi")), "sketches")
-    own = own.join(sketches, "cls").select("band", F.struct("part", "rep", "cls", "size", "sketch").alias("a"))
+    sketches = _sketches(sets.join(own.select("cls").distinct(), "cls", "left_semi"))
+    bands = own.groupBy("cls").agg(F.collect_set("band").alias("bands"))
+    own = own.join(written(sketches.join(bands, "cls"), "sketches"), "cls").select("band", F.struct("part", "rep", "cls", "size", "sketch", "bands").alias("a"))
     differ = sum((F.bit_count(F.col("a.sketch")[k].bitwiseXOR(F.col("b.sketch")[k])) for k in range(SKETCH // 64)), F.lit(0))
     share = (1 - similarity) / 2
     most = int(SKETCH * share + 4 * math.sqrt(SKETCH * share * (1 - share)))
     other = own.select(F.col("band").alias("band_b"), F.col("a").alias("b"))
-    pairs = own.join(other, (F.col("band") == F.col("band_b")) & (F.col("a.part") < F.col("b.part")) & alike_sizes & (differ <= most))
-    pairs = pairs.select(F.struct("a.rep", "a.cls").alias("a"), F.struct("b.rep", "b.cls").alias("b")).distinct()
+    first_met = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("band")
+    pairs = own.join(other, (F.col("band") == F.col("band_b")) & (F.col("a.part") < F.col("b.part")) & alike_sizes & (differ <= most) & first_met)
+    pairs = pairs.select(F.struct("a.rep", "a.cls").alias("a"), F.struct("b.rep", "b.cls").alias("b"))
     links = written(_stars(joined).unionByName(_alike(pairs, sets, similarity)), "links")
 
     linked = components(links)
