@@ -212,3 +212,15 @@ def test_database_probes_of_more_addresses_than_a_page(spark, tmp_path):
     one.write.parquet(f"{tmp_path}/events.parquet")
     got = registry.queries()["database_probe_ips"](spark, str(tmp_path))
     assert got.agg(F.count("*"), F.sum("requests")).first() == (n, n)
+
+
+def test_query_params_hash_their_counts(spark, tmp_path, monkeypatch):
+    """No aggregate over all rows sorts them: only the examples of the last moment, for the report's rows, are strings."""
+    day = datetime(2024, 1, 6)
+    rows = [(k, day if k > 5 else day - timedelta(hours=1), f"10.0.0.{k % 3}", f"/p{k}", "a=1&b=2" if k % 2 else "a=1", 500 if k % 2 else 200, k) for k in range(10)]
+    events = spark.createDataFrame(rows, "id long, ts timestamp, client_ip string, path string, query string, status int, request_time_ms int")
+    plans, keep = [], N.kept
+    monkeypatch.setattr(N, "kept", lambda df, *more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, *more))
+    got = {(x.param, x.param_value): (x.requests, x.unique_ips, x.unique_paths, x.example_path, x.example_query) for x in N.query_params(events).collect()}
+    assert got == {("a", "1"): (10, 3, 10, "/p9", "a=1&b=2"), ("b", "2"): (5, 3, 5, "/p9", "a=1&b=2")}
+    assert len(plans) == 1 and "SortAggregate" not in plans[0] and "ObjectHashAggregate" not in plans[0]

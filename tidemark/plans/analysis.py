@@ -268,16 +268,26 @@ def timeline(events: DataFrame, seconds: int, points: int = 180) -> DataFrame:
 
 
 def query_params(events: DataFrame, limit: int = 25, param: str = "", family: str = "") -> DataFrame:
-    """Parameter values by errors, slowness and volume, with the newest request as an example."""
+    """Parameter values by errors, slowness and volume, with the newest request as an example.
+
+    Counts alone are hashed while they add up; with the examples, whose strings make Spark sort instead, a task would hold all its
+    rows. So the examples are looked up afterwards, for the rows of the report, among the requests of their last moment.
+    """
     rows = with_params(events)
     rows = rows.where(F.col("param") == param.lower()) if param else rows
     rows = rows.where(F.col("param_family") == family) if family else rows
-    newest = lambda c: F.max_by(F.coalesce(c, F.lit("")), F.struct("ts", "id")).alias(f"example_{c}")
-    out = rows.groupBy("param_family", "param", "param_value").agg(
+    keys = ["param_family", "param", "param_value"]
+    out = rows.groupBy(*keys).agg(
         F.count("*").alias("requests"), _class(4), _class(5), _slow(), F.count_distinct("client_ip").alias("unique_ips"),
-        F.count_distinct("path").alias("unique_paths"), _average(), newest("path"), newest("query"), *_seen(),
+        F.count_distinct("path").alias("unique_paths"), _average(), *_seen(),
     )
-    return _top(out, limit, F.desc("status_5xx"), F.desc("slow_requests"), F.desc("requests"), "param_family", "param", "param_value")
+    order = (F.desc("status_5xx"), F.desc("slow_requests"), F.desc("requests"), *keys)
+    top = kept(_top(out, limit, *order), "query-params")
+    last = rows.join(F.broadcast(top.select(*keys, "last_seen")), keys).where(F.col("ts").eqNullSafe(F.col("last_seen")))
+    newest = lambda c: F.max_by(F.coalesce(c, F.lit("")), F.struct("ts", "id")).alias(f"example_{c}")
+    top = top.join(last.groupBy(*keys).agg(newest("path"), newest("query")), keys)
+    measures = [c for c in out.columns if c not in (*keys, "first_seen", "last_seen")]
+    return _top(top, limit, *order).select(*keys, *measures, "example_path", "example_query", "first_seen", "last_seen")
 
 
 def recent_errors(events: DataFrame, facts: DataFrame, intel: DataFrame | None = None, limit: int = 10) -> DataFrame:
