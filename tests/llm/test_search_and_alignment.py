@@ -125,3 +125,30 @@ def test_words_are_tokenised_as_in_their_text(spark, pair):
         assert (got is None) == (want is None)
         if want:
             assert [list(zip(got[k].tolist(), got[k + 1].tolist(), strict=True)) for k in (0, 2)] == want
+
+
+def test_new_words_are_encoded_together_and_altered_ones_apart(pair, monkeypatch):
+    class Altering:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def encode(self, text, **options):
+            self.calls += 1
+            change = lambda t: t.replace("alter", "other")
+            return self.model.encode(change(text) if isinstance(text, str) else list(map(change, text)), **options)
+
+    monkeypatch.setattr(pair, "b", Altering(pair.b))
+    assert None not in list(pair.tokens([prose(k, 30, [f"new{k}x{j}" for j in range(20)]) for k in range(20)]))
+    assert pair.b.calls == 1
+    texts = [f"plain{k} {'e' * k}x" for k in range(9)] + ["", "it will alter3 this", "ne\u0301e later", "alter4", "x\nlater", "last"]
+    found = [x and [list(zip(x[k].tolist(), x[k + 1].tolist(), strict=True)) for k in (0, 2)] for x in pair.tokens(texts)]
+    assert [k for k, x in enumerate(found) if x is None] == [9, 10, 12]
+    assert found == [whole_tokens(pair, t) for t in texts]
+
+
+def test_a_document_is_grouped_without_interpreted_functions(spark, pair, monkeypatch):
+    plans, put = [], alignment.written
+    monkeypatch.setattr(alignment, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or put(df, name))
+    assert alignment.align(frame(spark, ["one two", None]), *alignment.default_tokenizers()).count() == 2
+    assert "MapInArrow" in plans[0]
+    assert not any("lambdafunction" in p or "array_intersect" in p for p in plans)

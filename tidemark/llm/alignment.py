@@ -1,26 +1,24 @@
 """Alignment of two tokenizers over the same bytes.
 
-Python only tokenises. From the arrays of ids and byte offsets on, Spark's higher-order functions do the work:
-``array_intersect`` of the ends gives the offsets where tokens of both end together, which cut both into groups; at each of
-them one token of A and one of B are linked. How often a pair of ids is linked in the corpus is counted over all links and
-looked up again: pairs of at least a ``1 / frequent_pairs`` share of all links, of which there can be no more than
-``frequent_pairs``, are broadcast, the others are joined.
+Python tokenises a text and marks, over arrays of its tokens' ends, the bytes where tokens of both end together: they cut
+both into groups, and at each of them one token of A and one of B are linked. What concerns the corpus is Spark's: how often
+a pair of ids is linked is counted over all links and looked up again. Pairs of at least a ``1 / frequent_pairs`` share of
+all links, of which there can be no more than ``frequent_pairs``, are broadcast, the others are joined.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import in_slices, texts_as_bytes, written
 
-_TOKENS = "a_ids array<int>, a_ends array<int>, a_marks array<long>, b_ids array<int>, b_ends array<int>, b_marks array<long>"
 #: Tabs, control characters, spaces of other kinds and the sign that pieces use for a space: such texts go whole, and so do
 #: texts with white space beside white space or at an end. In all others no pre-token and no piece crosses a space.
 _ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f-\u2060\u2581\u3000\ufeff]")
@@ -72,32 +70,56 @@ class Pair:
         ranks = {v: i for i, v in self.a_bytes.items()}
         return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def _a_ids(self, texts: list[str]) -> list[list[int]]:
-        if self.ranked:
-            return [self.ranked(" " + t) for t in texts]
-        return [x.ids for x in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-
-    def _encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
-        """Token ids under A and under B, as bytes; None for a text whose joined bytes differ."""
-        a_part, b_part = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        for text, a, b in zip(texts, self._a_ids(texts), self.b.encode(texts, num_threads=1), strict=True):
-            whole = b" " + text.encode()
-            same = text and b"".join(map(a_part, a)) == whole and b"".join(map(b_part, b)) == whole
-            yield (array("i", a).tobytes(), array("i", b).tobytes()) if same else None
+    def _ids(self, text: str) -> tuple[list[int], list[int]]:
+        """Token ids of a text under A, with a space before it, and under B, which adds that space."""
+        a = self.ranked(" " + text) if self.ranked else self.a.encode(" " + text, add_special_tokens=False).ids
+        return a, self.b.encode(text)
+
+    def _encode(self, words: Sequence[str]) -> list[tuple[bytes, bytes] | None]:
+        """Token ids of each word under A and under B, as bytes; None for a word whose joined bytes differ.
+
+        The words are encoded as one text and cut where each ends; halves are tried apart where that text is altered.
+        """
+        found, stops = [], np.cumsum([len(w.encode()) + 1 for w in words])
+        text = " ".join(words)
+        whole = b" " + text.encode()
+        for ids, part, sizes in zip(self._ids(text), (self.a_bytes.__getitem__, self.b_bytes.__getitem__), (self.a_sizes, self.b_sizes), strict=True):
+            if same := bool(text) and b"".join(map(part, ids)) == whole:
+                held = np.array(ids, np.int32)
+                ends = np.cumsum(sizes[held])
+                last = np.searchsorted(ends, stops)
+                same, held, cuts = bool((ends[last] == stops).all()), held.tobytes(), [0, *(4 * last + 4).tolist()]
+            if not same:
+                half = len(words) // 2
+                return self._encode(words[:half]) + self._encode(words[half:]) if half else [None]
+            found.append([held[x:y] for x, y in itertools.pairwise(cuts)])
+        return list(zip(*found, strict=True))
 
     def tokens(self, texts: list[str]) -> Iterator[list[np.ndarray] | None]:
         """a_ids, a_ends, b_ids and b_ends of each text, or None where it has no tokens."""
-        get = self.known.get
+        few, size = [], 0
         for text in texts:
-            words = text.split(" ") if self.by_word and _by_word(text) else [text]
-            own = list(map(get, words))
-            if None in own:
-                new = list(dict.fromkeys(w for w, x in zip(words, own, strict=True) if x is None))
-                found = dict(zip(new, self._encode(new), strict=True))
+            if few and size + len(text) > 1_000_000:  # so many characters stand in words at once
+                yield from self._together(few)
+                few, size = [], 0
+            few.append(text)
+            size += len(text)
+        yield from self._together(few)
+
+    def _together(self, texts: list[str]) -> Iterator[list[np.ndarray] | None]:
+        """``tokens`` of texts whose new words are encoded together."""
+        rows = []
+        for text in texts:
+            words = text.split(" ") if text and self.by_word and _by_word(text) else None
+            rows.append((words, list(map(self.known.get, words)) if words else self._encode([text])))
+        new = list(dict.fromkeys(w for words, own in rows if words and None in own for w, x in zip(words, own, strict=True) if x is None))
+        found = {w: x for part in itertools.batched(new, 2000) for w, x in zip(part, self._encode(part), strict=True)}
+        for w in new[: max(self.limit - len(self.known), 0)]:  # the words met first stay, being the common ones
+            if len(w) < 24 and found[w] is not None:
+                self.known[w] = found[w]
+        for words, own in rows:
+            if words and None in own:
                 own = [found[w] if x is None else x for w, x in zip(words, own, strict=True)]
-                for w in new[: max(self.limit - len(self.known), 0)]:  # the words met first stay, being the common ones
-                    if len(w) < 24 and found[w] is not None:
-                        self.known[w] = found[w]
             if None in own:
                 yield None
                 continue
@@ -107,69 +129,65 @@ class Pair:
                 out += [ids, np.cumsum(sizes[ids], dtype=np.int32)]
             yield out
 
+    def decimals(self) -> tuple[np.ndarray, np.ndarray]:
+        """What ``group_text`` writes for an id of A and of B: at twice the id, one further for the last of a group."""
+        written = [[f"{i}{mark}".encode() for i in range(len(sizes)) for mark in marks] for sizes, marks in ((self.a_sizes, ",|"), (self.b_sizes, ",;"))]
+        kind = f"S{max(8, *(len(x[-1]) for x in written))}"
+        return np.array(written[0], kind), np.array(written[1], kind)
 
-def marks(ends: np.ndarray) -> np.ndarray:
-    """The ends as bits of 64-bit words: bit e of the sequence is set if a token ends at byte e."""
-    if not len(ends):
-        return np.zeros(0, np.int64)
-    bits = np.zeros((int(ends[-1]) // 64 + 1) * 64, np.uint8)
-    bits[ends] = 1
-    return np.packbits(bits, bitorder="little").view("<i8")
-
-
-_held: dict[tuple[str, str], Pair] = {}
-
-
-def tokenised(docs: DataFrame, a_path: str, b_path: str, *keep: str) -> DataFrame:
-    """Columns ``keep``, ids and ends (bytes, the added space included) of both, and the ends once more as marks; all empty
-    without tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (a_path, b_path) not in _held:
-            _held[a_path, b_path] = Pair(a_path, b_path)
-        none = [np.zeros(0, np.int32)] * 4
-        for batch in in_slices(batches, 32):
-            rows = [x or none for x in _held[a_path, b_path].tokens([t.decode() for t in texts_as_bytes(batch)])]
-            columns = []
-            for x, kind in zip(zip(*([a, b, marks(b), c, d, marks(d)] for a, b, c, d in rows), strict=True), "iiliil", strict=True):
-                offsets = np.concatenate(([0], np.cumsum([len(v) for v in x])))
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(x), pa.int32() if kind == "i" else pa.int64())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, "a_ids", "a_ends", "a_marks", "b_ids", "b_ends", "b_marks"])
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, {_TOKENS}")
+def last_of_groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token of A and of B, whether one of the other tokenizer ends at the same byte; both end with the text."""
+    out = []
+    for own, others in ((a_ends, b_ends), (b_ends, a_ends)):
+        ended = np.zeros(int(others[-1]) + 1, bool)
+        ended[others] = True
+        out.append(ended[own])
+    return out[0], out[1]
 
 
-def _ending(ends: str, others: str) -> Column:
-    """Places of the tokens whose end is marked as one of the other tokenizer's."""
-    marked = lambda end: F.getbit(F.col(others)[F.shiftright(end, 6)], end.bitwiseAND(F.lit(63))) == 1
-    # beyond the last mark there is none: both end with the text
-    return F.filter(F.sequence(F.lit(0), F.size(ends) - 1), lambda k: marked(F.col(ends)[k]))
+def links(a_ids: np.ndarray, b_ids: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> np.ndarray:
+    """The linked ids at each common end, as one number a pair: A's in the high half, B's in the low."""
+    return (a_ids[a_last].astype(np.int64) << 32) | b_ids[b_last]
 
 
-def groups(tokens: DataFrame) -> DataFrame:
-    """``tokens`` with ends (offsets where both end), a_at and b_at (the tokens that end there)."""
-    none, some = F.array().cast("array<int>"), F.size("a_ends") > 0
-    at = {"a_at": _ending("a_ends", "b_marks"), "b_at": _ending("b_ends", "a_marks")}
-    return tokens.withColumns({"ends": F.array_intersect("a_ends", "b_ends")} | {n: F.when(some, c).otherwise(none) for n, c in at.items()})
+def group_text(a_ids: np.ndarray, b_ids: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, decimals: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Groups as ``a1,a2|b1;a3|b2,b3``."""
+    a_stops, b_stops = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1
+    a_sizes, b_sizes = np.diff(a_stops, prepend=0), np.diff(b_stops, prepend=0)
+    parts = np.empty(len(a_ids) + len(b_ids), decimals[0].dtype)
+    # a group's tokens of A stand after B's of the groups before, its tokens of B also after A's of its own
+    parts[np.arange(len(a_ids)) + np.repeat(b_stops - b_sizes, a_sizes)] = decimals[0][2 * a_ids + a_last]
+    parts[np.arange(len(b_ids)) + np.repeat(a_stops, b_sizes)] = decimals[1][2 * b_ids + b_last]
+    return parts.tobytes().translate(None, b"\0")[:-1]
 
 
-def _ids(ids: str, at: str, last: Column, k: Column) -> Column:
-    """Decimal ids of the k-th group: those after the token that ends the group before, up to ``last``, which ends this."""
-    first = F.when(k == 0, F.lit(0)).otherwise(F.col(at)[k - 1] + 1)
-    several = F.array_join(F.slice(ids, first + 1, last - first + 1).cast("array<string>"), ",")
-    return F.when(first == last, F.col(ids)[last].cast("string")).otherwise(several)
+_held: dict[tuple[str, str], tuple[Pair, tuple[np.ndarray, np.ndarray]]] = {}
 
 
-def group_text() -> Column:
-    """Groups as ``a1,a2|b1;a3|b2,b3``; of ``groups``."""
-    return F.array_join(F.transform("a_at", lambda last, k: F.concat(_ids("a_ids", "a_at", last, k), F.lit("|"), _ids("b_ids", "b_at", F.col("b_at")[k], k))), ";")
+def grouped(docs: DataFrame, a_path: str, b_path: str, *keep: str) -> DataFrame:
+    """Columns ``keep``, n_a and n_b (numbers of tokens), groups (``group_text``) and links (``links``); 0 and empty without tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (a_path, b_path) not in _held:
+            pair = Pair(a_path, b_path)
+            _held[a_path, b_path] = pair, pair.decimals()
+        pair, decimals = _held[a_path, b_path]
+        for batch in in_slices(batches, 32):
+            n_a, n_b, texts, linked = [], [], [], []
+            for x in pair.tokens([t.decode() for t in texts_as_bytes(batch)]):
+                a_ids, a_ends, b_ids, b_ends = x or [np.zeros(0, np.int32)] * 4
+                last = last_of_groups(a_ends, b_ends) if x else (np.zeros(0, bool),) * 2
+                n_a.append(len(a_ids))
+                n_b.append(len(b_ids))
+                texts.append(group_text(a_ids, b_ids, *last, decimals))
+                linked.append(links(a_ids, b_ids, *last))
+            offsets = np.cumsum([0, *map(len, linked)])
+            columns = [pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(linked)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, "n_a", "n_b", "groups", "links"])
 
-def links() -> Column:
-    """The linked ids at each end, as one number a pair: A's in the high half, B's in the low; of ``groups``."""
-    pair = lambda a, b: F.shiftleft(F.col("a_ids")[a].cast("long"), 32) + F.col("b_ids")[b]
-    return F.zip_with("a_at", "b_at", pair)
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, n_a long, n_b long, groups string, links array<long>")
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, frequent_pairs: int = 200_000) -> DataFrame:
@@ -184,11 +202,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, frequent_pairs: int = 200_0
     Links are written once. Only counts of pairs are shuffled, added up in each task before, and rare pairs' links; no row
     is as wide as a pair's documents. Of the pairs broadcast there are ``frequent_pairs`` at most, whatever the corpus.
     """
-    tokens = groups(tokenised(docs, a_path, b_path, "doc_id"))
-    text, count = group_text(), F.size("ends")
-    aligned = tokens.select(
-        "doc_id", F.monotonically_increasing_id().alias("doc"), F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), count.cast("long").alias("n_groups"),
-        F.when(count > 0, F.sha2(text.cast("binary"), 256)).otherwise("").alias("groups_sha256"), links().alias("links"),
+    n_links = F.size("links").cast("long")
+    aligned = grouped(docs, a_path, b_path, "doc_id").select(
+        "doc_id", F.monotonically_increasing_id().alias("doc"), "n_a", "n_b", n_links.alias("n_groups"), F.when(n_links > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("").alias("groups_sha256"), "links"
     )
     aligned = written(aligned, "aligned")
     pairs = written(aligned.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("count")), "pairs")
